@@ -23,10 +23,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         near = state.join(seen, state.node == seen.n, "left").select("node", "label", F.least("label", "m").alias("best"))
         near = written(near, f"cc_{i}_near")
         hook = near.groupBy(F.col("label").alias("h")).agg(F.min("best").alias("hooked"))
-        moved = near.join(hook, near.label == hook.h).select("node", F.col("label").alias("old"), F.col("hooked").alias("to"))
+        moved = near.join(hook, near.label == hook.h).select("node", F.col("label").alias("old"), F.col("hooked").alias("goal"))
         moved = written(moved, f"cc_{i}_moved")
-        up = moved.select(F.col("node").alias("p"), F.col("to").alias("over"))
-        done = written(moved.join(up, moved.to == up.p, "left").select("node", "old", F.coalesce("over", "to").alias("label")), f"cc_{i}")
+        up = moved.select(F.col("node").alias("p"), F.col("goal").alias("over"))
+        done = written(moved.join(up, moved.goal == up.p, "left").select("node", "old", F.coalesce("over", "goal").alias("label")), f"cc_{i}")
         state = done.select("node", "label")
         if done.where("label <> old").isEmpty():
             return state.select("node", F.col("label").alias("component"))
