@@ -1,3 +1,18 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op10_repeated_phrase_automata"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS s, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS k FROM win),
+twice AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM h WHERE k IN (SELECT k FROM twice)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM hit),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT a.doc_id, count(*) AS n, string_agg(a.word, ' ' ORDER BY a.p) AS t
+         FROM word a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p WHERE g.p IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catchwork.llm.phrases import repeated_passages
 from catchwork.llm.simhash import simhash_groups
 
 
@@ -14,3 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op10_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"), window=35)
