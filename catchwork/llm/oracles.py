@@ -16,3 +16,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+ORACLES["op5_warc_index_merge"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages),
+x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s,
+             list_aggregate(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS bits,
+             array_to_string(list_reverse(string_split(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '.')), ',')
+             || ')' || regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS url_key FROM p),
+y AS (SELECT *, max(page_id) OVER (PARTITION BY s, payload_bytes) AS newest,
+             row_number() OVER (ORDER BY url_key, page_id) - 1 AS merge_pos FROM x)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+           + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to, url_key, merge_pos
+FROM y
+"""
+
+ORACLES["op6_pstable_vectors"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+walk(root, near) AS (SELECT vec_id, vec_id FROM e UNION SELECT w.root, l.b FROM walk w JOIN link l ON l.a = w.near),
+least AS (SELECT root, min(near) AS component_id FROM walk GROUP BY root),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(l.component_id, m.vec_id) AS component_id,
+       m.vec_id = coalesce(l.component_id, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN least l ON l.root = m.vec_id LEFT JOIN n ON n.a = m.vec_id
+"""

@@ -8,6 +8,8 @@ from catchwork.llm.phrases import repeated_passages
 from catchwork.llm.quality import fit, quality_rules
 from catchwork.llm.secrets import find_secrets
 from catchwork.llm.simhash import simhash_groups
+from catchwork.llm.vectors import vector_groups
+from catchwork.llm.warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +34,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans")
+
+
+def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archived_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "merge_pos")
+
+
+def op6_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
