@@ -46,3 +46,40 @@ SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(l.component_id, m.v
        m.vec_id = coalesce(l.component_id, m.vec_id) AS kept
 FROM embeddings m LEFT JOIN least l ON l.root = m.vec_id LEFT JOIN n ON n.a = m.vec_id
 """
+
+
+def _mix_level(level: int) -> str:
+    """SQL of one level of the tree: shares of the children of each parent."""
+    names = ["domain", "lang", "source"][: level + 1]
+    keys, own = ", ".join(names), names[-1]
+    part = "PARTITION BY " + ", ".join(names[:-1]) if level else ""
+    stated = {"domain": "CASE domain WHEN 'domain0' THEN 2.0 ELSE 1.0 END", "lang": "CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 ELSE 1.0 END", "source": "CASE source WHEN 'src0' THEN 0.5 ELSE 1.0 END"}[own]
+    above = "(SELECT b AS budget FROM total)" if not level else f"s{level - 1}.share"
+    source = f"(SELECT {keys}, sum(room) AS room FROM leaf GROUP BY ALL) k" + (f" JOIN s{level - 1} USING ({', '.join(names[:-1])})" if level else "")
+    return f"""
+n{level} AS (SELECT {keys}, CAST(room AS DOUBLE) AS room, CAST({stated} AS DOUBLE) AS weight, {above} AS budget FROM {source}),
+o{level} AS (SELECT *, coalesce(sum(room) OVER ({part} ORDER BY room / weight, {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f,
+             sum(weight) OVER ({part} ORDER BY room / weight, {own} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM n{level}),
+m{level} AS (SELECT *, max(CASE WHEN room / weight >= (budget - f) / w THEN (budget - f) / w END) OVER ({part}) AS lam FROM o{level}),
+s{level} AS (SELECT {keys}, least(room, coalesce(lam * weight, room)) AS share FROM m{level})"""
+
+
+# DuckDB has no CRC-32 of text, so the domain's checksum is taken from the names' table of remainders by bits.
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(source, ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+ORACLES["op3_hierarchical_mix"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source, md5(coalesce(text, '')) AS th,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+src AS (SELECT DISTINCT source FROM d),
+dom AS (SELECT source, 'domain' || (xor({_CRC}, 4294967295) % 4) AS domain FROM src),
+r AS (SELECT domain, d.* FROM d JOIN dom USING (source) WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS leaf_tokens, CAST(sum(n_tokens) AS BIGINT) * 2 AS room FROM r GROUP BY ALL),
+total AS (SELECT floor(0.6 * sum(leaf_tokens) + 1e-6) AS b FROM leaf),
+{_mix_level(0).strip()},{_mix_level(1)},{_mix_level(2)},
+goal AS (SELECT domain, lang, source, floor(share + 1e-6) AS goal, leaf_tokens FROM s2 JOIN leaf USING (domain, lang, source)),
+x AS (SELECT r.*, g.goal, g.leaf_tokens, e.epoch, ('0x' || substr(md5('mix-1|' || e.epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+      FROM r JOIN goal g USING (domain, lang, source), (VALUES (0), (1)) AS e(epoch)),
+y AS (SELECT *, epoch * leaf_tokens + sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY h, doc_id, th ROWS UNBOUNDED PRECEDING) AS upto FROM x)
+SELECT domain, lang, source, doc_id, CAST(epoch AS INTEGER) AS epoch, n_tokens, CAST(upto AS BIGINT) AS upto, leaf_tokens FROM y WHERE upto <= goal
+"""

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catchwork.llm.licenses import fit as fit_licenses
+from catchwork.llm.licenses import license_scan
+from catchwork.llm.mixing import mix_sources
+from catchwork.llm.packing import pack_documents
 from catchwork.llm.phrases import repeated_passages
 from catchwork.llm.quality import fit, quality_rules
 from catchwork.llm.secrets import find_secrets
+from catchwork.llm.sharding import shard_documents
 from catchwork.llm.simhash import simhash_groups
 from catchwork.llm.vectors import vector_groups
 from catchwork.llm.warc import archived_pages
 
+#: Target weights by name for each level of the tree; others have weight 1.
+MIX_WEIGHTS = {"domain": {"domain0": 2.0, "domain1": 1.0}, "lang": {"en": 4.0, "de": 2.0}, "source": {"src0": 0.5}}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,3 +51,20 @@ def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op1_balanced_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS).drop("text_hash")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan(docs, fit_licenses(docs))

@@ -132,3 +132,17 @@ def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
 
     return scan.mapInArrow(run, schema)
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
+    """docs with every found span replaced by mark; n_chars, where there is such a column, follows the new text. All rows and columns stay."""
+    found = find_secrets(docs, **options).where("size(cut) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "cut")
+    found = written(found.dropDuplicates(["_id", "_key"]).withColumnRenamed("cut", "_cut"), "secret_cuts")
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = keyed.join(found, keyed.doc_id.cast("long").eqNullSafe(found._id) & (keyed._text_key == found._key), "left")
+    cut = F.aggregate(F.reverse("_cut"), F.col("text"), lambda t, c: F.concat(F.substring(t, F.lit(1), c["start"]), F.lit(mark), F.substring(t, c["end"] + 1, F.length(t))))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(cut)
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)

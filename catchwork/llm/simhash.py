@@ -31,7 +31,7 @@ def _fingerprint(words: list[bytes], width: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row: bit set where over half of the shingles' XXH64 have it.
+    """(doc_id, text_key, fp long) for every row: bit set where over half of the shingles' XXH64 have it; text_key is xxhash64 of the text.
 
     Words are maximal runs without ASCII white space after A-Z become a-z; shingles count with repeats; fewer words than
     width make one shingle; no words (also a null or empty text) give 0.
@@ -41,10 +41,10 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 fps = np.array([_fingerprint(t.lower().split(), width, seed) for t in texts(part, "text")], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _remainders(top: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ def near_fingerprints(prints: DataFrame, hot_key: int = 2048) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, hot_key: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, fingerprint hex, component_id) for every row of docs.
+    """(doc_id, text_key, fp long, fingerprint hex, component_id, group_key) for every row of docs; group_key numbers the groups, also those without any id.
 
     Rows link when their fingerprints differ in at most 2 bits; component_id is the smallest doc_id reachable. Equal
     fingerprints are collapsed first, so a large group of copies costs one key. Rows with a null doc_id stay and get the
@@ -141,5 +141,15 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, hot_key: int
     group = unique.join(links, unique.fp == links.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("g"))
     group = written(group, "simhash_groups")
     least = group.groupBy(F.col("g").alias("gg")).agg(F.min("least_id").alias("component_id"))
-    by_fp = written(group.join(least, group.g == least.gg).select(F.col("fp").alias("of"), "component_id"), "simhash_components")
-    return prints.join(by_fp, prints.fp == by_fp.of).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = written(group.join(least, group.g == least.gg).select(F.col("fp").alias("of"), "component_id", F.col("g").alias("group_key")), "simhash_components")
+    return prints.join(by_fp, prints.fp == by_fp.of).select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_key")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of simhash_groups: that with the least doc_id (rows without id come last), then the least text key. All columns stay."""
+    groups = simhash_groups(docs, **options)
+    first = groups.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("one"))
+    first = first.select(F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    kept = keyed.join(first, keyed.doc_id.eqNullSafe(first._id) & (keyed._text_key == first._key), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
