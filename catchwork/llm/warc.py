@@ -105,7 +105,7 @@ def _records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """One row for each record of the archives that index names: archive, record and what its headers and payload say. The payload of each response must have the digest that its header states."""
+    """One written row for each record of the archives that index names, an archive to a task: archive, record and what its headers and payload say. The payload of each response must have the digest that its header states."""
     schema = "archive string, record int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     archives = index.select("archive").distinct()
-    return archives.mapInArrow(run, schema)
+    return written(archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, schema), "warc_read")
 
 
 class LoserTree:
@@ -197,10 +197,10 @@ def merge_index(index: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
             yield pa.RecordBatch.from_pylist(merged, schema=pa.schema([("archive", pa.string()), ("record", pa.int32()), ("url_key", pa.string()), ("captured", pa.int64()), ("merge_part", pa.int32()), ("part_pos", pa.int64())]))
 
     merged = written(dealt.mapInArrow(run, "archive string, record int, url_key string, captured long, merge_part int, part_pos long"), "warc_merged")
-    before, total = [0] * parts, 0
     counts = {r["merge_part"]: r["count"] for r in merged.groupBy("merge_part").count().collect()}  # one row for each range
-    for p in range(parts):
-        before[p] = total
+    before, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(total)
         total += counts.get(p, 0)
     base = F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in before)), F.col("merge_part") + 1)
     return merged.withColumn("merge_pos", base + F.col("part_pos")).drop("part_pos")
