@@ -90,12 +90,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.05, roun
     ends = final.withColumn("upto", F.sum("n").over(upto)).groupBy(F.col("t1").alias("g1"), F.col("t2").alias("g2")).agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
     ends = written(ends, "shard_ends")
     ranked = prefix_sum(members, GROUP, "h", ["doc_id"], F.lit(1), "_rank", total)
-    first = F.filter("ends", lambda x: x["upto"] >= F.col("_rank"))[0]["shard"]
+    first = F.get(F.filter("ends", lambda x: x["upto"] >= F.col("_rank")), 0)["shard"]
     ranked = written(ranked, "shard_ranked")
     placed = ranked.join(ends, (ranked.t1 == ends.g1) & (ranked.t2 == ends.g2)).select("doc_id", "size", "text_crc32", "h", first.alias("shard"))
     used = sum(surplus)
     alone = prefix_sum(items.join(linked, on, "left_anti").withColumn("_k", F.lit(0)), ["_k"], "h", ["doc_id", "t1"], F.lit(1), "_rank", total)
     spot = F.col("_rank") - 1 + used
-    rest = alone.select("doc_id", "size", "text_crc32", "h", _placed(free, spot, spot + 1)[0]["shard"].alias("shard"))
+    rest = alone.select("doc_id", "size", "text_crc32", "h", F.get(_placed(free, spot, spot + 1), 0)["shard"].alias("shard"))
     slotted = prefix_sum(written(placed.union(rest), "shard_placed"), ["shard"], "h", ["doc_id"], F.lit(1), "_slot", total)
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
