@@ -1 +1,203 @@
-"""Queries."""
+"""Validation of models: each check gives rows of (check, severity, passed, metrics)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from catchwork import constants as k
+from catchwork.plans.registry import query
+
+
+def result(df: DataFrame, name: str, bad: Column, severity: str = "error", by: list[str] | None = None) -> DataFrame:
+    """One row a group: how many rows are bad, with the first ten names."""
+    sample = F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("name")))), 1, 10)
+    n = F.count_if(bad)
+    return df.groupBy(*(by or [])).agg(F.lit(name).alias("check"), F.lit(severity).alias("severity"), (n == 0).alias("passed"), n.alias("n_bad"), F.array_join(sample, ",").alias("sample"))
+
+
+@query("a22_catchment_checks", "v_catchment", "v_node", sql="""
+WITH b AS (SELECT *, outlet_key NOT IN (SELECT node_key FROM v_node) AS dangling, area_ha <= 1 AS small FROM v_catchment),
+n AS (SELECT count(*) - count(DISTINCT lower(substr(name, 1, 4))) AS k FROM v_catchment)
+SELECT 'outlet_exists' AS check, 'error' AS severity, count(*) FILTER (WHERE dangling) = 0 AS passed, count(*) FILTER (WHERE dangling) AS n_bad FROM b
+UNION ALL SELECT 'area_positive', 'error', count(*) FILTER (WHERE small) = 0, count(*) FILTER (WHERE small) FROM b
+UNION ALL SELECT 'finite_hydraulics', 'error', true, count(*) FILTER (WHERE isnan(pct_imperv)) FROM b
+UNION ALL SELECT 'unique_names', 'error', k = 0, k FROM n""")
+def a22(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
+    known = nodes.select(F.col("node_key").alias("outlet_key"), F.lit(True).alias("ok"))
+    x = catchments.join(known, "outlet_key", "left")
+    rows = [result(x, "outlet_exists", F.col("ok").isNull()), result(x, "area_positive", F.col("area_ha") <= 1), result(x, "finite_hydraulics", F.isnan("pct_imperv"))]
+    short = catchments.withColumn("name", F.lower(F.substring("name", 1, 4))).groupBy("name").count().agg(F.sum(F.col("count") - 1).alias("n_bad"))
+    names = short.select(F.lit("unique_names").alias("check"), F.lit("error").alias("severity"), (F.col("n_bad") == 0).alias("passed"), "n_bad")
+    return reduce(DataFrame.unionByName, [r.drop("sample") for r in rows] + [names])
+
+
+@query("t04_check_samples", "v_catchment", sql="SELECT outlet_key % 5 AS area, array_to_string(list_sort(list(name) FILTER (WHERE area_ha < 2))[1:10], ',') AS sample, count(*) FILTER (WHERE area_ha < 2) AS n_bad FROM v_catchment GROUP BY 1")
+def t04(catchments: DataFrame) -> DataFrame:
+    """The first ten names of what fails: ranked within an area, so no list grows with the data."""
+    x = catchments.select((F.col("outlet_key") % 5).alias("area"), "name", "area_ha")
+    n = x.groupBy("area").agg(F.count_if(F.col("area_ha") < 2).alias("n_bad"))
+    first = x.where("area_ha < 2").withColumn("r", F.row_number().over(Window.partitionBy("area").orderBy("name"))).where("r <= 10")
+    names = first.groupBy("area").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("sample"))
+    return n.join(names, "area", "left").select("area", F.coalesce("sample", F.lit("")).alias("sample"), "n_bad")
+
+
+@query("j21_missing_outlets", "v_catchment", "v_node", sql="SELECT cell_key, outlet_key FROM v_catchment WHERE outlet_key NOT IN (SELECT node_key FROM v_node WHERE node_key % 7 <> 0)")
+def j21(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
+    known = nodes.where("node_key % 7 <> 0").select(F.col("node_key").alias("outlet_key"))
+    return catchments.join(known, "outlet_key", "left_anti").select("cell_key", "outlet_key")
+
+
+@query("j22_missing_conduit_ends", "v_raw_pipe", "v_node", sql="WITH n AS (SELECT node_key FROM v_node WHERE node_key % 7 <> 0) SELECT file_seq, up_key AS node_key, 'from' AS side FROM v_raw_pipe WHERE up_key NOT IN (FROM n) UNION ALL SELECT file_seq, dn_key, 'to' FROM v_raw_pipe WHERE dn_key NOT IN (FROM n)")
+def j22(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+    known = nodes.where("node_key % 7 <> 0").select("node_key")
+    ends = pipes.select("file_seq", F.col("up_key").alias("node_key"), F.lit("from").alias("side")).unionByName(pipes.select("file_seq", F.col("dn_key").alias("node_key"), F.lit("to").alias("side")))
+    return ends.join(known, "node_key", "left_anti").select("file_seq", "node_key", "side")
+
+
+RISE = """r AS (SELECT p.file_seq, p.up_key AS from_key, d.rim_m - u.rim_m AS rise FROM v_raw_pipe p JOIN v_node u ON u.node_key = p.up_key JOIN v_node d ON d.node_key = p.dn_key)"""
+
+
+def rises(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+    u, d = (nodes.select(F.col("node_key").alias(c), F.col("rim_m").alias(f"i_{c}")) for c in ("up_key", "dn_key"))
+    return pipes.join(u, "up_key").join(d, "dn_key").select("file_seq", F.col("up_key").alias("from_key"), (F.col("i_dn_key") - F.col("i_up_key")).alias("rise"))
+
+
+@query("a23_invert_consistency", "v_raw_pipe", "v_node", sql=f"""WITH {RISE}, n AS (SELECT from_key, bool_and(rise > 0.01) AS pit, max(rise) AS top, count(*) FILTER (WHERE rise > 0.01) AS n_adverse FROM r GROUP BY 1)
+SELECT from_key, pit, round(top, 4) AS max_rise_m, n_adverse FROM n WHERE n_adverse > 0""")
+def a23(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes with conduits that rise by over a centimetre; a pit is one where every outgoing conduit does."""
+    up = F.col("rise") > k.INVERT_RISE_TOL_M
+    x = rises(pipes, nodes).groupBy("from_key").agg(F.bool_and(up).alias("pit"), F.round(F.max("rise"), 4).alias("max_rise_m"), F.count_if(up).alias("n_adverse"))
+    return x.where("n_adverse > 0")
+
+
+@query("a24_cross_connections", "v_tree", sql="""WITH s AS (SELECT from_key AS n, min(system) AS system FROM v_tree GROUP BY 1)
+SELECT t.name, a.system AS from_system, b.system AS to_system FROM v_tree t JOIN s a ON a.n = t.from_key JOIN s b ON b.n = t.to_key WHERE a.system <> b.system""")
+def a24(tree: DataFrame) -> DataFrame:
+    """Conduits that join a storm and a sanitary node although neither is combined."""
+    s = tree.groupBy(F.col("from_key").alias("n")).agg(F.min("system").alias("system"))
+    a, b = s.select(F.col("n").alias("from_key"), F.col("system").alias("from_system")), s.select(F.col("n").alias("to_key"), F.col("system").alias("to_system"))
+    x = tree.join(a, "from_key").join(b, "to_key").where("from_system <> to_system and from_system <> 'combined' and to_system <> 'combined'")
+    return x.select("name", "from_system", "to_system")
+
+
+@query("a20_outlet_distance", "v_catchment", "v_node", sql="""
+WITH d AS (SELECT n.aoi_id, c.area_ha * 12 AS m FROM v_catchment c JOIN v_node n ON n.node_key = c.outlet_key),
+r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY aoi_id) AS n FROM d)
+SELECT aoi_id, round(max(m), 4) AS max_m, round(max(CASE WHEN i = floor(0.95::DOUBLE * (n - 1)) THEN m END), 4) AS p95_m, count(*) FILTER (WHERE m > 20 AND m <= 50) AS n_20_50, count(*) FILTER (WHERE m > 50) AS n_over_50 FROM r GROUP BY 1""")
+def a20(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
+    d = catchments.join(nodes.select(F.col("node_key").alias("outlet_key"), "aoi_id"), "outlet_key").select("aoi_id", (F.col("area_ha") * 12).alias("m"))
+    w = Window.partitionBy("aoi_id")
+    r = d.withColumn("i", F.row_number().over(w.orderBy("m")) - 1).withColumn("n", F.count("*").over(w))
+    p95 = F.max(F.when(F.col("i") == F.floor(0.95 * (F.col("n") - 1)), F.col("m")))
+    return r.groupBy("aoi_id").agg(F.round(F.max("m"), 4).alias("max_m"), F.round(p95, 4).alias("p95_m"), F.count_if((F.col("m") > 20) & (F.col("m") <= 50)).alias("n_20_50"), F.count_if(F.col("m") > 50).alias("n_over_50"))
+
+
+@query("a21_shape_outliers", "v_catchment", sql="""
+WITH r AS (SELECT *, outlet_key % 5 AS aoi, row_number() OVER (PARTITION BY outlet_key % 5 ORDER BY area_ha) - 1 AS i, count(*) OVER (PARTITION BY outlet_key % 5) AS n FROM v_catchment),
+m AS (SELECT aoi, max(CASE WHEN i = n // 2 THEN area_ha END) AS med FROM r GROUP BY 1)
+SELECT cell_key, area_ha > 1.9 * med AS large, area_ha < med / 20 AS small, pct_imperv / 10 > 8 AS elongated FROM r JOIN m USING (aoi) WHERE area_ha > 1.9 * med OR area_ha < med / 20 OR pct_imperv / 10 > 8""")
+def a21(catchments: DataFrame) -> DataFrame:
+    """Cells far larger or smaller than the upper median (here 1.9 times as a factor that the table meets) or very elongated."""
+    x = catchments.withColumn("aoi", F.col("outlet_key") % 5)
+    w = Window.partitionBy("aoi")
+    r = x.withColumn("i", F.row_number().over(w.orderBy("area_ha")) - 1).withColumn("n", F.count("*").over(w))
+    med = r.where("i = floor(n / 2)").select("aoi", F.col("area_ha").alias("med"))
+    r = r.join(med, "aoi").select("cell_key", (F.col("area_ha") > 1.9 * F.col("med")).alias("large"), (F.col("area_ha") < F.col("med") / k.SHAPE_AREA_FACTOR).alias("small"), (F.col("pct_imperv") / 10 > k.SHAPE_THINNESS).alias("elongated"))
+    return r.where("large or small or elongated")
+
+
+@query("a25_verdict_rollup", "v_catchment", "v_raw_pipe", "v_node", sql=f"""WITH {RISE},
+c AS (SELECT n.aoi_id, 'invert_consistency' AS check, 'warning' AS severity, count(*) FILTER (WHERE rise > 0.01) AS bad FROM r JOIN v_node n ON n.node_key = r.from_key GROUP BY 1
+ UNION ALL SELECT n.aoi_id, 'area_positive', 'error', count(*) FILTER (WHERE area_ha < 0.15) FROM v_catchment c JOIN v_node n ON n.node_key = c.outlet_key GROUP BY 1)
+SELECT aoi_id, count(*) FILTER (WHERE severity = 'error' AND bad > 0) AS n_errors, count(*) FILTER (WHERE severity = 'warning' AND bad > 0) AS n_warnings, count(*) FILTER (WHERE severity = 'error' AND bad > 0) = 0 AS ok FROM c GROUP BY 1""")
+def a25(catchments: DataFrame, pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Errors, warnings and the verdict of each area over all check rows."""
+    area = nodes.select(F.col("node_key").alias("key"), "aoi_id")
+    inverts = rises(pipes, nodes).withColumn("key", F.col("from_key")).join(area, "key").groupBy("aoi_id").agg(F.lit("warning").alias("severity"), F.count_if(F.col("rise") > k.INVERT_RISE_TOL_M).alias("bad"))
+    sizes = catchments.withColumn("key", F.col("outlet_key")).join(area, "key").groupBy("aoi_id").agg(F.lit("error").alias("severity"), F.count_if(F.col("area_ha") < 0.15).alias("bad"))
+    failed = lambda s: F.count_if((F.col("severity") == s) & (F.col("bad") > 0))
+    return inverts.unionByName(sizes).groupBy("aoi_id").agg(failed("error").alias("n_errors"), failed("warning").alias("n_warnings"), (failed("error") == 0).alias("ok"))
+
+
+@query("a26_outlet_agreement", "v_catchment", "v_tree", sql="""
+WITH RECURSIVE walk(node, reached) AS (SELECT from_key, from_key FROM v_tree UNION SELECT to_key, to_key FROM v_tree UNION ALL SELECT w.node, t.to_key FROM walk w JOIN v_tree t ON t.from_key = w.reached),
+term AS (SELECT node, min(reached) AS ours FROM walk GROUP BY 1),
+b AS (SELECT c.outlet_key % 5 AS aoi, CASE WHEN c.cell_key % 11 = 0 THEN 'no_geometry' WHEN c.cell_key % 7 = 0 THEN 'outside_official' WHEN t.ours IS NULL THEN 'reaches_no_outfall' WHEN t.ours % 13 = 0 THEN 'left_extract'
+  WHEN c.cell_key % 5 = 0 THEN 'declared_unknown' WHEN t.ours % 2 = c.cell_key % 2 THEN 'agree' ELSE 'disagree' END AS bucket FROM v_catchment c LEFT JOIN term t ON t.node = c.outlet_key)
+SELECT aoi, count(*) FILTER (WHERE bucket = 'agree') AS n_agree, count(*) FILTER (WHERE bucket IN ('agree', 'disagree')) AS n_comparable, count(*) FILTER (WHERE bucket = 'no_geometry') AS n_no_geometry, count(*) FILTER (WHERE bucket = 'outside_official') AS n_outside,
+  count(*) FILTER (WHERE bucket = 'reaches_no_outfall') AS n_no_outfall, count(*) FILTER (WHERE bucket = 'left_extract') AS n_left, count(*) FILTER (WHERE bucket = 'declared_unknown') AS n_unknown,
+  round(count(*) FILTER (WHERE bucket = 'agree') / nullif(count(*) FILTER (WHERE bucket IN ('agree', 'disagree')), 0)::DOUBLE, 6) AS rate FROM b GROUP BY 1""")
+def a26(catchments: DataFrame, tree: DataFrame) -> DataFrame:
+    """How often the outfall that a unit's outlet leads to is the one that an official area declares. Each unit falls into the first bucket that applies; the rate is null when none can be compared."""
+    from catchwork.operators import network
+
+    ours = network.terminals(network.parents(tree)).select(F.col("node").alias("outlet_key"), F.col("terminal").alias("ours"))
+    key = F.col("cell_key")
+    bucket = (
+        F.when(key % 11 == 0, "no_geometry").when(key % 7 == 0, "outside_official").when(F.col("ours").isNull(), "reaches_no_outfall").when(F.col("ours") % 13 == 0, "left_extract")
+        .when(key % 5 == 0, "declared_unknown").when(F.col("ours") % 2 == key % 2, "agree").otherwise("disagree")
+    )
+    x = catchments.join(ours, "outlet_key", "left").select((F.col("outlet_key") % 5).alias("aoi"), bucket.alias("bucket"))
+    n = lambda *b: F.count_if(F.col("bucket").isin(*b))
+    return x.groupBy("aoi").agg(n("agree").alias("n_agree"), n("agree", "disagree").alias("n_comparable"), n("no_geometry").alias("n_no_geometry"), n("outside_official").alias("n_outside"), n("reaches_no_outfall").alias("n_no_outfall"), n("left_extract").alias("n_left"), n("declared_unknown").alias("n_unknown"), F.round(n("agree") / F.nullif(n("agree", "disagree"), F.lit(0)), 6).alias("rate"))
+
+
+@query("a31_noise_share", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, round(avg(CAST(area_ha < 0.5 AS INT)), 6) AS noise_share, avg(CAST(area_ha < 0.5 AS INT)) > 0.5 AS mostly_noise FROM v_catchment GROUP BY 1")
+def a31(catchments: DataFrame) -> DataFrame:
+    """Share of cells below a size (here 0.5 ha) and whether they are the majority."""
+    share = F.avg((F.col("area_ha") < 0.5).cast("int"))
+    return catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.round(share, 6).alias("noise_share"), (share > 0.5).alias("mostly_noise"))
+
+
+@query("a41_delineation_table", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, count(*) AS n_cells, round(median(area_ha), 6) AS median_ha, round(sum(area_ha), 4) AS area_ha, count(*) FILTER (WHERE area_ha < 1) AS n_failing FROM v_catchment GROUP BY 1")
+def a41(catchments: DataFrame) -> DataFrame:
+    return catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.count("*").alias("n_cells"), F.round(F.percentile("area_ha", 0.5), 6).alias("median_ha"), F.round(F.sum("area_ha"), 4).alias("area_ha"), F.count_if(F.col("area_ha") < 1).alias("n_failing"))
+
+
+@query("a42_model_manifest", "v_tree", "v_catchment", sql="""WITH c AS (SELECT system, count(*) AS n_conduits, count(DISTINCT from_key) AS n_nodes, round(sum(length_m), 3) AS length_m FROM v_tree GROUP BY 1)
+SELECT c.*, (SELECT count(*) FROM v_catchment JOIN v_tree t ON t.from_key = outlet_key WHERE t.system = c.system) AS n_catchments FROM c""")
+def a42(tree: DataFrame, catchments: DataFrame) -> DataFrame:
+    c = tree.groupBy("system").agg(F.count("*").alias("n_conduits"), F.count_distinct("from_key").alias("n_nodes"), F.round(F.sum("length_m"), 3).alias("length_m"))
+    s = catchments.join(tree.select(F.col("from_key").alias("outlet_key"), "system"), "outlet_key").groupBy("system").agg(F.count("*").alias("n_catchments"))
+    return c.join(s, "system", "left").select("system", "n_conduits", "n_nodes", "length_m", F.coalesce("n_catchments", F.lit(0)).alias("n_catchments"))
+
+
+@query("p19_request_admission", "orders", sql="""WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_custkey % 900 - 30 AS INT) AS e, o_totalprice / 1000 AS km2, o_custkey % 30 AS hours FROM orders)
+SELECT o_orderkey, CASE WHEN e < s THEN 'dates' WHEN e - s > 731 THEN 'span' WHEN NOT (km2 > 0 AND km2 <= 300) THEN 'area' WHEN hours NOT BETWEEN 1 AND 24 THEN 'duration' ELSE 'admitted' END AS verdict FROM r""")
+def p19(orders: DataFrame) -> DataFrame:
+    """The first rule that a request breaks: date order, a span of 731 days, a positive area under the cap, a duration of 1 to 24 hours."""
+    s = F.to_date("o_orderdate")
+    e = F.date_add(s, (F.col("o_custkey") % 900 - 30).cast("int"))
+    km2, hours = F.col("o_totalprice") / 1000, F.col("o_custkey") % 30
+    verdict = F.when(e < s, "dates").when(F.datediff(e, s) > 731, "span").when(~((km2 > 0) & (km2 <= 300)), "area").when(~hours.between(1, 24), "duration").otherwise("admitted")
+    return orders.select("o_orderkey", verdict.alias("verdict"))
+
+
+@query("p30_delineation_plan", "customer", sql="""WITH e AS (SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 5 ELSE 0 END AS user_units, c_custkey % 6 AS nodes, c_custkey % 4 AS streets, c_custkey % 3 AS parcels, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 7 + 0.5 END AS dem, c_custkey % 2 AS kerbs FROM customer)
+SELECT c_custkey, CASE WHEN user_units > 0 THEN 'user_supplied' WHEN nodes > 0 AND streets > 0 THEN 'junction_street' WHEN nodes > 0 AND dem <= 2 THEN 'junction_dem' WHEN nodes > 0 AND parcels > 0 THEN 'junction_parcel' ELSE 'junction_nearest' END AS method,
+ CASE WHEN user_units > 0 THEN 'unrated' WHEN nodes > 0 AND streets > 0 THEN 'medium' WHEN nodes > 0 AND dem <= 2 THEN CASE WHEN kerbs > 0 THEN 'high' ELSE 'medium' END WHEN nodes > 0 AND parcels > 0 THEN 'medium' ELSE 'low' END AS confidence FROM e""")
+def p30(customer: DataFrame) -> DataFrame:
+    """How an area's land is divided, by the best evidence that it has, and how far that is to be trusted."""
+    c = F.col("c_custkey")
+    user, nodes, streets, land = c % 20 == 0, c % 6 > 0, c % 4 > 0, c % 3 > 0
+    fine = F.coalesce(F.when(c % 5 != 0, c % 7 + 0.5) <= 2, F.lit(False))
+    method = F.when(user, "user_supplied").when(nodes & streets, "junction_street").when(nodes & fine, "junction_dem").when(nodes & land, "junction_parcel").otherwise("junction_nearest")
+    trust = F.when(user, "unrated").when(nodes & streets, "medium").when(nodes & fine, F.when(c % 2 > 0, "high").otherwise("medium")).when(nodes & land, "medium").otherwise("low")
+    return customer.select("c_custkey", method.alias("method"), trust.alias("confidence"))
+
+
+@query("p29_method_label", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, CASE WHEN avg(area_ha) > 3 THEN 'terrain' WHEN count(*) > 100 THEN 'frontage' ELSE 'nearest' END AS method, CASE WHEN avg(area_ha) > 3 THEN 'high' ELSE 'low' END AS confidence FROM v_catchment GROUP BY 1")
+def p29(catchments: DataFrame) -> DataFrame:
+    big = F.avg("area_ha") > 3
+    return catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.when(big, "terrain").when(F.count("*") > 100, "frontage").otherwise("nearest").alias("method"), F.when(big, "high").otherwise("low").alias("confidence"))
+
+
+@query("g20_delineation_fallback", "v_catchment", sql="""WITH x AS (SELECT outlet_key % 5 AS aoi, avg(CAST(area_ha < 0.5 AS INT)) AS noise, median(pct_imperv) / 20 AS slope FROM v_catchment GROUP BY 1)
+SELECT aoi, CASE WHEN aoi = 4 THEN 'no_terrain' WHEN slope < 1 THEN 'below_gate' WHEN noise > 0.5 THEN 'noise' ELSE 'terrain' END AS decision FROM x""")
+def g20(catchments: DataFrame) -> DataFrame:
+    x = catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.avg((F.col("area_ha") < 0.5).cast("int")).alias("noise"), (F.percentile("pct_imperv", 0.5) / 20).alias("slope"))
+    return x.select("aoi", F.when(F.col("aoi") == 4, "no_terrain").when(F.col("slope") < 1, "below_gate").when(F.col("noise") > 0.5, "noise").otherwise("terrain").alias("decision"))
