@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,17 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, seed: int = 7, rou
 
     None when the sample lacks either class.
     """
-    rows = sorted(training_rows(docs, labels, most, seed).collect(), key=lambda r: (r.order, r.quality, len(r.at)))  # at most `most` rows
-    y = np.array([1.0 - r.quality for r in rows])
-    if len(rows) < 10 or y.min() == y.max():
+    table = training_rows(docs, labels, most, seed).toArrow()  # at most `most` rows
+    table = table.append_column("n", pc.list_value_length(table.column("at"))).sort_by([("order", "ascending"), ("quality", "ascending"), ("n", "ascending")]).combine_chunks()
+    y = 1.0 - table.column("quality").to_numpy()
+    if len(y) < 10 or y.min() == y.max():
         return None
-    held = np.arange(len(rows)) % 5 == 0
+    held = np.arange(len(y)) % 5 == 0
     if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
         held[:] = False
-    at = np.concatenate([np.asarray(r.at, dtype=np.int64) for r in rows])
-    value = np.concatenate([np.asarray(r.value, dtype=np.float64) for r in rows]) * SCALE
-    row = np.repeat(np.arange(len(rows)), [len(r.at) for r in rows])
-    del rows
+    at = pc.list_flatten(table.column("at")).to_numpy().astype(np.int32)
+    value = pc.list_flatten(table.column("value")).to_numpy().astype(np.float32) * np.float32(SCALE)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), table.column("n").to_numpy())
+    del table
     used = ~held[row]
     t_at, t_value, t_row = at[used], value[used], row[used]
     share = y[~held].mean()
