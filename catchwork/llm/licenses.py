@@ -127,7 +127,8 @@ def fit(docs: DataFrame, sample: int = 300, most: int = 1500, seed: int = 13, ro
     documents whose ids have the least hash, without those that hold a licence word. A fifth, never trained on, sets the
     temperature that calibrates probabilities and measures accuracy.
     """
-    picked = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id").alias("h")).orderBy("h", "doc_id", F.md5("text")).limit(sample)
+    ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(sample)
+    picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `sample` rows bound the broadcast
     lines = picked.select("h", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(~F.lower("line").rlike("licen|copyright|gpl|apache|creative commons|public domain|mozilla|rights reserved"))
     spare = lines.select(F.substring("line", 1, 2000).alias("line"), F.xxhash64("h", "i").alias("o")).orderBy("o").limit(most).collect()  # `most` rows, cut for training only
     r = np.random.default_rng(seed)
