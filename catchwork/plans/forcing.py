@@ -249,7 +249,7 @@ d AS (SELECT aoi_id, station_key, sqrt(pow((s.lon - a.lon) * 71.5, 2) + pow((s.l
 r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY km, station_key) AS n FROM d)
 SELECT aoi_id, station_key, round(km, 6) AS km, CAST(n AS INT) AS rank FROM r WHERE n <= 5""")
 def j11(idf: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The five nearest stations of each area. The join is a range join on latitude bands, each area's band and all others being few; stations are a small table."""
+    """The five nearest stations of each area. Stations are reference data, one row a station; every area's centre is measured against all of them."""
     a = nodes.groupBy("aoi_id").agg(F.avg("lon").alias("x"), F.avg("lat").alias("y"))
     s = idf.select("station_key", "lon", "lat").distinct()
     d = a.join(s, F.lit(True)).select("aoi_id", "station_key", v.flat_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("km"))

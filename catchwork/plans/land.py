@@ -1 +1,454 @@
-"""Queries."""
+"""Queries over pixels, points and rings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from catchwork import constants as k
+from catchwork.operators import grid as op
+from catchwork.plans.registry import query
+
+CELL = "aoi_id, ix // 10 + 10 * (iy // 10) AS cell"
+ZONE = f"z AS (SELECT {CELL}, ix, iy, z_m, landcover, hsg_code FROM v_px)"
+ZONES = ["aoi_id", "cell"]
+IMPERV = "CASE landcover WHEN 9 THEN 0.02 WHEN 10 THEN 0.02 WHEN 13 THEN 0.05 WHEN 15 THEN 0.02 WHEN 16 THEN 0.05 WHEN 17 THEN 0.7 ELSE 0 END::DOUBLE"
+
+
+def _zones(px: DataFrame) -> DataFrame:
+    return px.withColumn("cell", F.floor(F.col("ix") / 10) + 10 * F.floor(F.col("iy") / 10))
+
+
+@query("s10_pixel_scan", "v_px", sql="SELECT aoi_id, ix, iy, nullif(landcover, 18) AS landcover FROM v_px WHERE ix BETWEEN 10 AND 29 AND iy BETWEEN 5 AND 40")
+def s10(px: DataFrame) -> DataFrame:
+    return px.where("ix between 10 and 29 and iy between 5 and 40").select("aoi_id", "ix", "iy", F.nullif("landcover", F.lit(18)).alias("landcover"))
+
+
+@query("a08_zonal_imperviousness", "v_px", sql=f"WITH {ZONE} SELECT aoi_id, cell, round(100 * avg({IMPERV}), 6) AS pct_imperv FROM z GROUP BY ALL")
+def a08(px: DataFrame) -> DataFrame:
+    return op.impervious_pct(_zones(px), ZONES).withColumn("pct_imperv", F.round("pct_imperv", 6))
+
+
+MAJOR = "n AS (SELECT aoi_id, cell, hsg_code, count(*) AS n FROM z WHERE hsg_code IN (1, 2, 3, 4) GROUP BY ALL), m AS (SELECT aoi_id, cell, hsg_code, n FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, cell ORDER BY n DESC, hsg_code) AS r FROM n) WHERE r = 1)"
+
+
+@query("a09_zonal_majority", "v_px", sql=f"WITH {ZONE}, {MAJOR} SELECT aoi_id, cell, hsg_code, n FROM m")
+def a09(px: DataFrame) -> DataFrame:
+    return op.majority(_zones(px), ZONES, "hsg_code", F.col("hsg_code").isin(*k.GROUP_CODES))
+
+
+CAT = "CASE WHEN landcover <= 6 THEN 'forest' WHEN landcover IN (7, 8, 11) THEN 'shrub' WHEN landcover IN (9, 10, 12) THEN 'grass' WHEN landcover IN (13, 16, 19) THEN 'barren' WHEN landcover = 14 THEN 'wetland' WHEN landcover = 15 THEN 'crop' WHEN landcover = 17 THEN 'built' ELSE 'water' END"
+CN = f"CASE {CAT} " + " ".join(f"WHEN '{c}' THEN [{', '.join(str(row[g]) for g in 'ABCD')}]" for c, row in k.CURVE_NUMBERS.items()) + " END"
+
+
+@query("a10_zonal_curve_number", "v_px", sql=f"WITH {ZONE}, {MAJOR} SELECT aoi_id, cell, round(avg(({CN})[m.hsg_code]::DOUBLE), 3) AS cn FROM z JOIN m USING (aoi_id, cell) GROUP BY ALL")
+def a10(px: DataFrame) -> DataFrame:
+    """Area-weighted curve number of each cell's cover classes for its dominant soil group. The zone's group joins back on the zone key."""
+    z = _zones(px)
+    group = op.majority(z, ZONES, "hsg_code", F.col("hsg_code").isin(*k.GROUP_CODES)).select(*ZONES, k.lookup(k.GROUP_CODES, F.col("hsg_code").cast("int")).alias("letter"))
+    n = z.groupBy(*ZONES, F.col("landcover").cast("int").alias("landcover")).agg(F.count("*").alias("n"))
+    x = n.join(group, ZONES).withColumn("cn", op.curve_number(n, ZONES, F.col("letter")))
+    return x.groupBy(*ZONES).agg(F.round(F.sum(F.col("n") * F.col("cn")) / F.sum("n"), 3).alias("cn"))
+
+
+def _side(axis: str, across: str) -> str:
+    w = f"OVER (PARTITION BY aoi_id, {across} ORDER BY {axis})"
+    lo, hi = f"CASE WHEN lag({axis}) {w} = {axis} - 1 THEN lag(z_m) {w} END", f"CASE WHEN lead({axis}) {w} = {axis} + 1 THEN lead(z_m) {w} END"
+    return f"coalesce(({hi} - {lo}) / 2, {hi} - z_m, z_m - {lo})"
+
+
+SLOPE = f"s AS (SELECT aoi_id, ix, iy, 100 * sqrt(pow({_side('ix', 'iy')}, 2) + pow({_side('iy', 'ix')}, 2)) AS p FROM v_px)"
+
+
+@query("w08_pixel_gradient", "v_px", sql=f"WITH {SLOPE} SELECT aoi_id, ix, iy, round(p, 5) AS slope_pct FROM s")
+def w08(px: DataFrame) -> DataFrame:
+    return op.slope_pct(px).select("aoi_id", "ix", "iy", F.round("slope_pct", 5).alias("slope_pct"))
+
+
+@query("a11_zonal_median_slope", "v_px", sql=f"WITH {SLOPE} SELECT {CELL}, round(median(p), 5) AS slope_pct FROM s WHERE p IS NOT NULL GROUP BY ALL")
+def a11(px: DataFrame) -> DataFrame:
+    return _zones(op.slope_pct(px)).where("slope_pct is not null").groupBy(*ZONES).agg(F.round(F.percentile("slope_pct", 0.5), 5).alias("slope_pct"))
+
+
+@query("a32_slope_gate", "v_px", sql=f"WITH {SLOPE} SELECT aoi_id, round(median(p), 5) AS median_pct, median(p) < 90 AS flat FROM s WHERE p IS NOT NULL GROUP BY 1")
+def a32(px: DataFrame) -> DataFrame:
+    m = F.percentile("slope_pct", 0.5)
+    return op.slope_pct(px).where("slope_pct is not null").groupBy("aoi_id").agg(F.round(m, 5).alias("median_pct"), (m < 90).alias("flat"))
+
+
+@query("a39_terrain_coverage", "v_px", sql="SELECT aoi_id, round(avg(CAST(landcover % 5 <> 0 AS INT)), 6) AS valid_share, CASE WHEN avg(CAST(landcover % 5 <> 0 AS INT)) >= 0.99 THEN 'full' WHEN avg(CAST(landcover % 5 <> 0 AS INT)) >= 0.7 THEN 'fine' ELSE 'coarse' END AS choice FROM v_px GROUP BY 1")
+def a39(px: DataFrame) -> DataFrame:
+    q = F.avg((F.col("landcover") % 5 != 0).cast("int"))
+    return px.groupBy("aoi_id").agg(F.round(q, 6).alias("valid_share"), F.when(q >= 0.99, "full").when(q >= 0.7, "fine").otherwise("coarse").alias("choice"))
+
+
+FLAGS = "landcover IN (3, 7, 11) AS roof, iy % 7 = 0 AS road, landcover % 4 <> 0 AS parcel"
+
+
+def _flags(px: DataFrame) -> DataFrame:
+    return _zones(px).withColumn("roof", F.col("landcover").isin(3, 7, 11)).withColumn("road", F.col("iy") % 7 == 0).withColumn("parcel", F.col("landcover") % 4 != 0)
+
+
+@query("a12_parcel_imperviousness", "v_px", sql=f"""WITH {ZONE}, f AS (SELECT *, {FLAGS} FROM z), s AS (SELECT aoi_id, cell, count(*) AS n, count(*) FILTER (WHERE roof) AS r, count(*) FILTER (WHERE NOT parcel AND NOT roof) AS v FROM f GROUP BY ALL)
+SELECT aoi_id, cell, r / n::DOUBLE >= 0.02 AS parcel_based, CASE WHEN r / n::DOUBLE >= 0.02 THEN round(greatest(1, least(95, 100 * (r + 0.85::DOUBLE * v) / n)), 6) ELSE 95 END AS pct FROM s""")
+def a12(px: DataFrame) -> DataFrame:
+    """Roofs in full and the street reserve at its paved share; without mapped roofs (2 % of a cell) there is no evidence and the upper limit stands."""
+    n, r, v = F.count("*"), F.count_if("roof"), F.count_if(~F.col("parcel") & ~F.col("roof"))
+    seen = r / n >= 0.02
+    pct = F.round(F.greatest(F.lit(1.0), F.least(F.lit(95.0), 100 * (r + 0.85 * v) / n)), 6)
+    return _flags(px).groupBy(*ZONES).agg(seen.alias("parcel_based"), F.when(seen, pct).otherwise(95.0).alias("pct"))
+
+
+@query("a13_physical_imperviousness", "v_px", sql=f"""WITH {ZONE}, f AS (SELECT *, {FLAGS} FROM z), s AS (SELECT aoi_id, cell, count(*) AS n, count(*) FILTER (WHERE roof) AS r, count(*) FILTER (WHERE roof OR road) AS u, avg({IMPERV}) AS i FROM f GROUP BY ALL)
+SELECT aoi_id, cell, round(CASE WHEN r / n::DOUBLE >= 0.15 THEN least(90, 100 * u / n::DOUBLE + 10) ELSE 100 * i END, 6) AS pct FROM s""")
+def a13(px: DataFrame) -> DataFrame:
+    """Roofs or road band, each pixel once, plus 10 points, at most 90; cells with few mapped roofs (here 15 %) keep the land-cover value."""
+    n, r = F.count("*"), F.count_if("roof")
+    cover = 100 * F.avg(k.lookup(k.COVER_IMPERVIOUS, F.col("landcover").cast("int"), 0.0))
+    pct = F.when(r / n >= 0.15, F.least(F.lit(90.0), 100 * F.count_if(F.col("roof") | F.col("road")) / n + 10)).otherwise(cover)
+    return _flags(px).groupBy(*ZONES).agg(F.round(pct, 6).alias("pct"))
+
+
+@query("a17_dwellings_per_cell", "v_px", sql=f"WITH {ZONE}, f AS (SELECT *, {FLAGS} FROM z) SELECT aoi_id, cell, count(*) FILTER (WHERE roof) AS n FROM f GROUP BY ALL HAVING count(*) FILTER (WHERE roof) > 0")
+def a17(px: DataFrame) -> DataFrame:
+    return _flags(px).where("roof").groupBy(*ZONES).agg(F.count("*").alias("n"))
+
+
+@query("a18_service_area_dissolve", "v_px", sql=f"WITH {ZONE} SELECT aoi_id, cell % 6 AS node, count(*) AS pixels, count(DISTINCT cell) AS cells FROM z GROUP BY ALL")
+def a18(px: DataFrame) -> DataFrame:
+    return _zones(px).groupBy("aoi_id", (F.col("cell") % 6).alias("node")).agg(F.count("*").alias("pixels"), F.count_distinct("cell").alias("cells"))
+
+
+@query("a19_overlap_and_coverage", "v_px", sql="""WITH c AS (SELECT aoi_id, ix, iy, 1 AS cell FROM v_px WHERE landcover <= 12 UNION ALL SELECT aoi_id, ix, iy, 2 FROM v_px WHERE landcover BETWEEN 10 AND 17),
+u AS (SELECT aoi_id, count(*) AS total, count(DISTINCT (ix, iy)) AS covered FROM c GROUP BY 1), a AS (SELECT aoi_id, count(*) AS area FROM v_px GROUP BY 1)
+SELECT aoi_id, round((total - covered) / total::DOUBLE, 6) AS overlap, round((area - covered) / area::DOUBLE, 6) AS uncovered, round(abs(total - area) / area::DOUBLE, 6) AS conservation,
+ CASE WHEN (total - covered) / total::DOUBLE > 0.05 THEN 'error' WHEN (total - covered) / total::DOUBLE > 0.005 THEN 'warning' ELSE 'ok' END AS overlap_verdict FROM u JOIN a USING (aoi_id)""")
+def a19(px: DataFrame) -> DataFrame:
+    """Overlap, holes and conservation of two sets of cells against their area: distinct pixels against all pixels."""
+    cells = px.where("landcover <= 12").select(*op.PIXEL).unionByName(px.where("landcover between 10 and 17").select(*op.PIXEL))
+    once = cells.groupBy(*op.PIXEL).agg(F.count("*").alias("n"))
+    u = once.groupBy("aoi_id").agg(F.sum("n").alias("total"), F.count("*").alias("covered"))
+    x = u.join(px.groupBy("aoi_id").agg(F.count("*").alias("area")), "aoi_id")
+    over = (F.col("total") - F.col("covered")) / F.col("total")
+    return x.select("aoi_id", F.round(over, 6).alias("overlap"), F.round((F.col("area") - F.col("covered")) / F.col("area"), 6).alias("uncovered"), F.round(F.abs(F.col("total") - F.col("area")) / F.col("area"), 6).alias("conservation"), F.when(over > k.OVERLAP_ERROR, "error").when(over > k.OVERLAP_WARN, "warning").otherwise("ok").alias("overlap_verdict"))
+
+
+@query("u03_effective_area", "v_px", sql="SELECT aoi_id, count(*) AS pixels FROM v_px WHERE landcover <> 18 AND iy % 5 <> 0 GROUP BY 1")
+def u03(px: DataFrame) -> DataFrame:
+    """Pixels of the area that are served and no water."""
+    area, served, water = px.select(*op.PIXEL), px.where("iy % 5 <> 0").select(*op.PIXEL), px.where("landcover = 18").select(*op.PIXEL)
+    return area.join(served, op.PIXEL, "left_semi").join(water, op.PIXEL, "left_anti").groupBy("aoi_id").agg(F.count("*").alias("pixels"))
+
+
+@query("u04_right_of_way", "v_px", sql="SELECT aoi_id, ix, iy FROM v_px WHERE landcover % 4 = 0")
+def u04(px: DataFrame) -> DataFrame:
+    return px.select(*op.PIXEL).join(px.where("landcover % 4 <> 0").select(*op.PIXEL), op.PIXEL, "left_anti")
+
+
+@query("u05_water_removal", "v_px", sql=f"""WITH {ZONE}, s AS (SELECT aoi_id, cell, count(*) AS n, count(*) FILTER (WHERE landcover NOT IN (16, 17, 18)) AS land FROM z GROUP BY ALL)
+SELECT aoi_id, cell, land, round(30 * land / n::DOUBLE, 6) AS width_m FROM s WHERE land / n::DOUBLE >= 0.01 AND land >= 70""")
+def u05(px: DataFrame) -> DataFrame:
+    """Land pixels of each cell without water; cells that are nearly all water or under the least area go; width scales with the area left."""
+    z = _zones(px)
+    land = z.join(px.where("landcover in (16, 17, 18)").select(*op.PIXEL), op.PIXEL, "left_anti").groupBy(*ZONES).agg(F.count("*").alias("land"))
+    x = z.groupBy(*ZONES).agg(F.count("*").alias("n")).join(land, ZONES)
+    share = F.col("land") / F.col("n")
+    return x.where((share >= 0.01) & (F.col("land") >= 70)).select(*ZONES, "land", F.round(30 * F.col("land") / F.col("n"), 6).alias("width_m"))
+
+
+def _reach(test: str) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT aoi_id, ix, iy FROM v_px WHERE {test}),
+w(aoi_id, ix, iy, ox, oy) AS (SELECT aoi_id, ix, iy, ix, iy FROM p UNION SELECT w.aoi_id, w.ix, w.iy, q.ix, q.iy FROM w JOIN p q ON q.aoi_id = w.aoi_id AND abs(q.ix - w.ox) + abs(q.iy - w.oy) = 1),
+g AS (SELECT aoi_id, ix, iy, min((aoi_id * 1000000 + oy) * 1000000 + ox) AS part FROM w GROUP BY ALL)"""
+
+
+@query("g08_connected_parts", "v_px", sql=_reach("landcover IN (1, 2, 3, 4, 5, 6)") + " SELECT aoi_id, ix, iy, part FROM g")
+def g08(px: DataFrame) -> DataFrame:
+    return op.parts(px.where("landcover in (1, 2, 3, 4, 5, 6)").withColumn("kind", F.lit(1)), "kind").select("aoi_id", "ix", "iy", "part")
+
+
+@query("g14_water_blobs", "v_px", sql=_reach("landcover IN (14, 15, 16, 17, 18)") + ", n AS (SELECT part, count(*) AS pixels FROM g GROUP BY 1) SELECT aoi_id, part, pixels FROM n JOIN (SELECT DISTINCT aoi_id, part FROM g) USING (part) WHERE pixels >= 3")
+def g14(px: DataFrame) -> DataFrame:
+    """Connected water of a least size (here 3 pixels of a wider class set, so that blobs occur)."""
+    parts = op.parts(px.where("landcover in (14, 15, 16, 17, 18)").withColumn("kind", F.lit(1)), "kind")
+    return parts.groupBy("aoi_id", "part").agg(F.count("*").alias("pixels")).where("pixels >= 3")
+
+
+@query("t07_largest_part", "v_px", sql=_reach("landcover IN (1, 2, 3, 4, 5, 6)") + ", n AS (SELECT aoi_id, part, count(*) AS pixels FROM g GROUP BY ALL) SELECT aoi_id, part, pixels FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY pixels DESC, part) AS r FROM n) WHERE r = 1")
+def t07(px: DataFrame) -> DataFrame:
+    parts = op.parts(px.where("landcover in (1, 2, 3, 4, 5, 6)").withColumn("kind", F.lit(1)), "kind")
+    n = parts.groupBy("aoi_id", "part").agg(F.count("*").alias("pixels"))
+    return n.groupBy("aoi_id").agg(F.max(F.struct("pixels", (-F.col("part")).alias("p"))).alias("m")).select("aoi_id", (-F.col("m.p")).alias("part"), "m.pixels")
+
+
+@query("w11_piece_names", "v_px", sql=_reach("landcover IN (1, 2, 3, 4, 5, 6)") + ", n AS (SELECT aoi_id, part, count(*) AS pixels FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY pixels DESC, part) AS i FROM n) SELECT aoi_id, part, 'S_' || aoi_id || CASE WHEN i > 1 THEN '__' || i ELSE '' END AS name FROM r")
+def w11(px: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    parts = op.parts(px.where("landcover in (1, 2, 3, 4, 5, 6)").withColumn("kind", F.lit(1)), "kind")
+    n = parts.groupBy("aoi_id", "part").agg(F.count("*").alias("pixels"))
+    i = F.row_number().over(Window.partitionBy("aoi_id").orderBy(F.desc("pixels"), "part"))
+    return n.withColumn("i", i).select("aoi_id", "part", F.concat(F.lit("S_"), F.col("aoi_id").cast("string"), F.when(F.col("i") > 1, F.concat(F.lit("__"), F.col("i").cast("string"))).otherwise("")).alias("name"))
+
+
+EDGE = "e AS (SELECT z.aoi_id, z.cell AS a, q.cell AS b, count(*) AS edges FROM z JOIN z q ON q.aoi_id = z.aoi_id AND abs(q.ix - z.ix) + abs(q.iy - z.iy) = 1 WHERE z.cell <> q.cell GROUP BY ALL)"
+ODD = "z AS (SELECT aoi_id, ix, iy, CASE WHEN ix % 10 = 0 AND iy % 10 < 4 THEN 1000 ELSE 0 END + ix // 10 + 10 * (iy // 10) AS cell FROM v_px)"
+
+
+def _odd(px: DataFrame) -> DataFrame:
+    return _zones(px).withColumn("cell", F.when((F.col("ix") % 10 == 0) & (F.col("iy") % 10 < 4), 1000).otherwise(0) + F.col("cell")).select("aoi_id", "ix", "iy", "cell")
+
+
+@query("t06_sliver_merge", "v_px", sql=f"""WITH {ODD}, s AS (SELECT aoi_id, cell AS a, count(*) AS n FROM z GROUP BY ALL), {EDGE},
+t AS (SELECT e.aoi_id, e.a, e.b, row_number() OVER (PARTITION BY e.aoi_id, e.a ORDER BY edges DESC, e.b) AS r FROM e JOIN s x ON x.aoi_id = e.aoi_id AND x.a = e.a AND x.n < 20 JOIN s y ON y.aoi_id = e.aoi_id AND y.a = e.b AND y.n >= 20)
+SELECT z.aoi_id, coalesce(t.b, z.cell) AS cell, count(*) AS pixels FROM z LEFT JOIN t ON t.aoi_id = z.aoi_id AND t.a = z.cell AND t.r = 1 GROUP BY ALL""")
+def t06(px: DataFrame) -> DataFrame:
+    return op.merged_slivers(_odd(px), "cell", 20).groupBy("aoi_id", "cell").agg(F.count("*").alias("pixels"))
+
+
+@query("j19_parcel_to_cell", "v_px", sql=f"WITH {ZONE}, n AS (SELECT aoi_id, ix // 7 AS parcel, cell, count(*) AS n FROM z WHERE landcover % 4 <> 0 GROUP BY ALL) SELECT aoi_id, parcel, cell, n FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, parcel ORDER BY n DESC, cell) AS r FROM n) WHERE r = 1")
+def j19(px: DataFrame) -> DataFrame:
+    """Each parcel goes to the cell that it overlaps most."""
+    z = _flags(px).where("parcel").withColumn("parcel", F.floor(F.col("ix") / 7))
+    return op.majority(z, ["aoi_id", "parcel"], "cell", F.lit(True))
+
+
+@query("g11_parcel_snap", "v_px", sql=f"""WITH {ZONE}, f AS (SELECT *, {FLAGS}, ix // 7 AS pk FROM z), n AS (SELECT aoi_id, pk, cell, count(*) AS n FROM f WHERE parcel GROUP BY ALL),
+m AS (SELECT aoi_id, pk, cell FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, pk ORDER BY n DESC, cell) AS r FROM n) WHERE r = 1)
+SELECT f.aoi_id, coalesce(m.cell, f.cell) AS cell, count(*) AS pixels FROM f LEFT JOIN m ON f.parcel AND m.aoi_id = f.aoi_id AND m.pk = f.pk GROUP BY ALL""")
+def g11(px: DataFrame) -> DataFrame:
+    """Pixels of a parcel move to the parcel's cell, others keep theirs."""
+    z = _flags(px).withColumn("pk", F.when(F.col("parcel"), F.floor(F.col("ix") / 7)))
+    own = op.majority(z.where("pk is not null"), ["aoi_id", "pk"], "cell", F.lit(True)).select("aoi_id", "pk", F.col("cell").alias("to_cell"))
+    return z.join(own, ["aoi_id", "pk"], "left").groupBy("aoi_id", F.coalesce("to_cell", "cell").alias("cell")).agg(F.count("*").alias("pixels"))
+
+
+@query("j20_raster_sampling", "v_node", "v_px", sql="SELECT n.node_key, p.z_m FROM v_node n LEFT JOIN v_px p ON p.aoi_id = 0 AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50")
+def j20(nodes: DataFrame, px: DataFrame) -> DataFrame:
+    """Terrain at points by their pixel; null outside."""
+    at = nodes.select("node_key", F.lit(0).cast("long").alias("aoi_id"), (F.col("node_key") % 60).alias("ix"), (F.floor(F.col("node_key") / 10) % 50).alias("iy"))
+    return at.join(px.select(*op.PIXEL, "z_m"), op.PIXEL, "left").select("node_key", "z_m")
+
+
+@query("g15_street_burn", "v_px", sql="SELECT aoi_id, ix, iy, round(z_m + CASE WHEN landcover = 3 THEN 10 ELSE 0 END - CASE WHEN iy % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN iy % 7 = 1 AND ix % 9 <> 0 THEN 0.3 ELSE 0 END, 7) AS z_m FROM v_px")
+def g15(px: DataFrame) -> DataFrame:
+    """Streets go down 2 m, kerbs up 0.30 m except at gates, buildings up 10 m."""
+    lift = F.when(F.col("landcover") == 3, 10.0).otherwise(0.0) - F.when(F.col("iy") % 7 == 0, 2.0).otherwise(0.0) + F.when((F.col("iy") % 7 == 1) & (F.col("ix") % 9 != 0), 0.3).otherwise(0.0)
+    return px.select(*op.PIXEL, F.round(F.col("z_m") + lift, 7).alias("z_m"))
+
+
+@query("g16_local_low", "v_px", sql="""WITH p AS (SELECT * FROM v_px WHERE ix % 10 = 5 AND iy % 10 = 5)
+SELECT p.aoi_id, p.ix, p.iy, min_by((q.iy * 1000 + q.ix), (q.z_m, q.iy, q.ix)) AS low FROM p JOIN v_px q ON q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) <= 2 AND abs(q.iy - p.iy) <= 2 GROUP BY ALL""")
+def g16(px: DataFrame) -> DataFrame:
+    """Pour points move to the lowest pixel within two; each names its 25 candidates, which an equi-join looks up."""
+    p = px.where("ix % 10 = 5 and iy % 10 = 5").select(*op.PIXEL)
+    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    c = p.withColumn("a", around).withColumn("b", around).select(*op.PIXEL, (F.col("ix") + F.col("a")).alias("n_ix"), (F.col("iy") + F.col("b")).alias("n_iy"))
+    q = px.select("aoi_id", F.col("ix").alias("n_ix"), F.col("iy").alias("n_iy"), "z_m")
+    low = F.min_by(F.col("n_iy") * 1000 + F.col("n_ix"), F.struct("z_m", "n_iy", "n_ix"))
+    return c.join(q, ["aoi_id", "n_ix", "n_iy"]).groupBy(*op.PIXEL).agg(low.alias("low"))
+
+
+@query("g17_flow_directions", "v_px", sql="""WITH d AS (SELECT p.aoi_id, p.ix, p.iy, q.ix AS nx, q.iy AS ny, (p.z_m - q.z_m) / CASE WHEN p.ix <> q.ix AND p.iy <> q.iy THEN sqrt(2) ELSE 1 END AS dz FROM v_px p JOIN v_px q ON q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) <= 1 AND abs(q.iy - p.iy) <= 1 WHERE p.z_m > q.z_m),
+r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id, ix, iy ORDER BY dz DESC, ny, nx) AS i FROM d)
+SELECT p.aoi_id, p.ix, p.iy, r.nx AS d_ix, r.ny AS d_iy FROM v_px p LEFT JOIN r ON r.aoi_id = p.aoi_id AND r.ix = p.ix AND r.iy = p.iy AND r.i = 1""")
+def g17(px: DataFrame) -> DataFrame:
+    return op.flow_directions(px).select(*op.PIXEL, "d_ix", "d_iy")
+
+
+@query("g18_grown_labels", "v_px", sql="""WITH l0 AS (SELECT aoi_id, ix, iy, CASE WHEN landcover = 1 THEN ix * 100 + iy END AS lab FROM v_px),
+l1 AS (SELECT p.aoi_id, p.ix, p.iy, coalesce(any_value(p.lab), min(q.lab)) AS lab FROM l0 p LEFT JOIN l0 q ON p.lab IS NULL AND q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) + abs(q.iy - p.iy) = 1 GROUP BY ALL),
+l2 AS (SELECT p.aoi_id, p.ix, p.iy, coalesce(any_value(p.lab), min(q.lab)) AS lab FROM l1 p LEFT JOIN l1 q ON p.lab IS NULL AND q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) + abs(q.iy - p.iy) = 1 GROUP BY ALL)
+SELECT aoi_id, ix, iy, lab FROM l2""")
+def g18(px: DataFrame) -> DataFrame:
+    return op.grown_labels(px.select(*op.PIXEL, F.when(F.col("landcover") == 1, F.col("ix") * 100 + F.col("iy")).alias("lab")), "lab", 2)
+
+
+SEED = "seeds AS (SELECT aoi_id, ix * 100 + iy AS seed, ix AS sx, iy AS sy FROM v_px WHERE ix % 12 = 3 AND iy % 12 = 3)"
+
+
+@query("g05_nearest_seed_cells", "v_px", sql=f"""WITH {SEED}, d AS (SELECT p.aoi_id, p.ix, p.iy, s.seed, row_number() OVER (PARTITION BY p.aoi_id, p.ix, p.iy ORDER BY (p.ix - s.sx) * (p.ix - s.sx) + (p.iy - s.sy) * (p.iy - s.sy), s.seed) AS r FROM v_px p JOIN seeds s USING (aoi_id))
+SELECT aoi_id, seed, count(*) AS pixels FROM d WHERE r = 1 GROUP BY ALL""")
+def g05(px: DataFrame) -> DataFrame:
+    """Every pixel of an area goes to its nearest seed. Areas lie side by side on one plane, far enough apart for buckets to keep them separate."""
+    x = F.col("ix").cast("double") + F.col("aoi_id") * 10_000.0
+    points = px.select(op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("point_key"), x.alias("x"), F.col("iy").cast("double").alias("y"))
+    seeds = px.where("ix % 12 = 3 and iy % 12 = 3").select((F.col("aoi_id") * 1_000_000 + F.col("ix") * 100 + F.col("iy")).alias("seed_key"), x.alias("sx"), F.col("iy").cast("double").alias("sy"))
+    found = op.nearest(points, seeds, 12.0)
+    return found.groupBy(F.floor(F.col("seed_key") / 1_000_000).alias("aoi_id"), (F.col("seed_key") % 1_000_000).alias("seed")).agg(F.count("*").alias("pixels"))
+
+
+@query("g06_street_band", "v_px", sql="SELECT aoi_id, ix, iy FROM v_px p WHERE EXISTS (SELECT 1 FROM v_px q WHERE q.aoi_id = p.aoi_id AND q.iy = 20 AND q.ix % 5 = 0 AND sqrt(pow(q.ix - p.ix, 2) + pow(q.iy - p.iy, 2)) <= 4)")
+def g06(px: DataFrame) -> DataFrame:
+    """Pixels within 4 m of a street's samples."""
+    x = F.col("ix").cast("double") + F.col("aoi_id") * 10_000.0
+    points = px.select(op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("point_key"), x.alias("x"), F.col("iy").cast("double").alias("y"))
+    samples = px.where("iy = 20 and ix % 5 = 0").select((F.col("aoi_id") * 1_000_000 + F.col("ix")).alias("seed_key"), x.alias("sx"), F.col("iy").cast("double").alias("sy"))
+    p = F.col("point_key")
+    return op.nearest_within(points, samples, 4.0).select(F.floor(p / 1_000_000_000_000).alias("aoi_id"), (p % 1_000_000).alias("ix"), (F.floor(p / 1_000_000) % 1_000_000).alias("iy"))
+
+
+@query("u08_official_edge", "v_px", sql=f"""WITH {ZONE}, b AS (SELECT *, ix // 25 AS basin FROM z), own AS (SELECT aoi_id, cell, cell % 10 // 3 AS seed_basin FROM b GROUP BY ALL)
+SELECT b.aoi_id, b.cell, count(*) FILTER (WHERE b.basin = o.seed_basin) AS kept, count(*) FILTER (WHERE b.basin <> o.seed_basin) AS moved, count(*) FILTER (WHERE b.basin = o.seed_basin) / count(*)::DOUBLE < 0.2 AS refused FROM b JOIN own o USING (aoi_id, cell) GROUP BY ALL""")
+def u08(px: DataFrame) -> DataFrame:
+    """Pixels outside the official basin of a cell's seed leave it; a cell that would keep under a fifth is refused."""
+    b = _zones(px).withColumn("basin", F.floor(F.col("ix") / 25)).withColumn("own", F.floor(F.col("cell") % 10 / 3))
+    kept = F.count_if(F.col("basin") == F.col("own"))
+    return b.groupBy(*ZONES).agg(kept.alias("kept"), (F.count("*") - kept).alias("moved"), (kept / F.count("*") < 0.2).alias("refused"))
+
+
+@query("g13_nominal_catchments", "v_node", "v_catchment", sql="SELECT n.node_key, coalesce(sum(c.area_ha), 0.5) AS area_ha, count(c.cell_key) = 0 AS nominal FROM v_node n LEFT JOIN v_catchment c ON c.outlet_key = n.node_key AND c.cell_key % 9 = 0 GROUP BY 1")
+def g13(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
+    """Nodes for which nothing was measured get a nominal catchment, marked as such."""
+    area = catchments.where("cell_key % 9 = 0").groupBy(F.col("outlet_key").alias("node_key")).agg(F.sum("area_ha").alias("a"))
+    return nodes.join(area, "node_key", "left").select("node_key", F.coalesce("a", F.lit(0.5)).alias("area_ha"), F.col("a").isNull().alias("nominal"))
+
+
+METRIC = "m AS (SELECT node_key, radians(lon + 123.4) * 6371000 * cos(radians(48.4)) AS x, radians(lat - 48.4) * 6371000 AS y FROM v_node)"
+POINT = "p AS (SELECT cell_key, radians((cell_key % 10) * 1e-3 + (cell_key % 7) * 1e-5) * 6371000 * cos(radians(48.4)) AS x, radians(cell_key % 40 * 1e-3 + (cell_key % 3) * 1e-5) * 6371000 AS y FROM v_catchment)"
+
+
+def _metric(nodes: DataFrame) -> DataFrame:
+    x, y = op.metric(F.col("lon"), F.col("lat"), F.lit(-123.4), F.lit(48.4))
+    return nodes.select(F.col("node_key").alias("seed_key"), x.alias("sx"), y.alias("sy"))
+
+
+def _points(catchments: DataFrame) -> DataFrame:
+    c = F.col("cell_key")
+    x, y = op.metric((c % 10) * 1e-3 + (c % 7) * 1e-5, (c % 40) * 1e-3 + (c % 3) * 1e-5, F.lit(0.0), F.lit(0.0))
+    return catchments.select(c.alias("point_key"), (x * F.cos(F.radians(F.lit(48.4)))).alias("x"), y.alias("y"))
+
+
+@query("g01_metric_plane", "v_node", sql=f"WITH {METRIC} SELECT node_key, round(x, 4) AS x, round(y, 4) AS y FROM m")
+def g01(nodes: DataFrame) -> DataFrame:
+    return _metric(nodes).select(F.col("seed_key").alias("node_key"), F.round("sx", 4).alias("x"), F.round("sy", 4).alias("y"))
+
+
+def _nearest_sql(radius: float) -> str:
+    return f"WITH {METRIC}, {POINT}, d AS (SELECT p.cell_key, m.node_key, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d FROM p JOIN m ON abs(p.x - m.x) <= {radius} AND abs(p.y - m.y) <= {radius}) SELECT cell_key, min_by(node_key, (d, node_key)) AS node_key, round(min(d), 4) AS distance FROM d WHERE d <= {radius} GROUP BY 1"
+
+
+@query("j07_structure_within_5m", "v_node", "v_catchment", sql=_nearest_sql(5.0))
+def j07(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
+    return op.nearest_within(_points(catchments), _metric(nodes), 5.0).select(F.col("point_key").alias("cell_key"), F.col("seed_key").alias("node_key"), F.round("distance", 4).alias("distance"))
+
+
+@query("j08_ground_within_60m", "v_node", "v_catchment", sql=_nearest_sql(60.0))
+def j08(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
+    return op.nearest_within(_points(catchments), _metric(nodes), 60.0).select(F.col("point_key").alias("cell_key"), F.col("seed_key").alias("node_key"), F.round("distance", 4).alias("distance"))
+
+
+@query("j18_parcel_to_seed", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, d AS (SELECT p.cell_key, m.node_key, round(sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)), 5) AS d FROM p, m) SELECT cell_key, round(min(d), 1) AS distance FROM d GROUP BY 1")
+def j18(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
+    """Each parcel's nearest seed at any distance."""
+    return op.nearest(_points(catchments), _metric(nodes), 100.0).select(F.col("point_key").alias("cell_key"), F.round(F.round("distance", 5), 1).alias("distance"))
+
+
+@query("j16_lateral_seeds", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, d AS (SELECT m.node_key, count(*) FILTER (WHERE sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) <= 60) AS n FROM m LEFT JOIN p ON abs(p.x - m.x) <= 60 AND abs(p.y - m.y) <= 60 GROUP BY 1) SELECT node_key % 5 AS area, count(*) FILTER (WHERE n > 0) AS n_seeds, CASE WHEN count(*) FILTER (WHERE n > 0) >= 2 THEN 'laterals' ELSE 'manholes' END AS seeds FROM d GROUP BY 1")
+def j16(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
+    """Nodes with a lateral end within 60 m; an area needs two, else its manholes serve."""
+    seeds, ends = _metric(nodes), _points(catchments)
+    near = op.nearest_within(seeds.select(F.col("seed_key").alias("point_key"), F.col("sx").alias("x"), F.col("sy").alias("y")), ends.select(F.col("point_key").alias("seed_key"), F.col("x").alias("sx"), F.col("y").alias("sy")), 60.0)
+    x = seeds.join(near.select(F.col("point_key").alias("seed_key"), "distance"), "seed_key", "left").groupBy((F.col("seed_key") % 5).alias("area")).agg(F.count("distance").alias("n_seeds"))
+    return x.withColumn("seeds", F.when(F.col("n_seeds") >= 2, "laterals").otherwise("manholes"))
+
+
+def _rings(nation: DataFrame) -> DataFrame:
+    """An L-shaped ring with side s at (0, 0) for each nation; every seventh is a bow tie."""
+    s = (F.col("n_nationkey") % 5 + 2).cast("double")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    z = F.lit(0.0)
+    ell = F.array(pt(z, z), pt(s, z), pt(s, s / 2), pt(s / 2, s / 2), pt(s / 2, s), pt(z, s), pt(z, z))
+    bow = F.array(pt(z, z), pt(s, s), pt(s, z), pt(z, s), pt(z, z))
+    return nation.select("n_nationkey", s.alias("s"), F.when(F.col("n_nationkey") % 7 == 6, bow).otherwise(ell).alias("ring"))
+
+
+S = "(n_nationkey % 5 + 2)::DOUBLE"
+
+
+@query("g02_ring_measures", "nation", sql=f"SELECT n_nationkey, round({S} * {S} * 0.75, 6)::DOUBLE AS area, 4 * {S} AS perimeter, round({S} * 5 / 12, 6) AS cx, round({S} * 5 / 12, 6) AS cy FROM nation WHERE n_nationkey % 7 <> 6")
+def g02(nation: DataFrame) -> DataFrame:
+    x, y = op.ring_centroid(F.col("ring"))
+    return _rings(nation).where("n_nationkey % 7 <> 6").select("n_nationkey", F.round(op.ring_area(F.col("ring")), 6).alias("area"), op.ring_perimeter(F.col("ring")).alias("perimeter"), F.round(x, 6).alias("cx"), F.round(y, 6).alias("cy"))
+
+
+@query("g03_point_in_polygon", "nation", "part", sql=f"SELECT p_partkey, n_nationkey FROM part JOIN nation ON n_nationkey % 7 <> 6 AND p_size % 7 + 0.3 < {S} AND p_partkey % 7 + 0.4 < {S} AND NOT (p_size % 7 + 0.3 > {S} / 2 AND p_partkey % 7 + 0.4 > {S} / 2) WHERE p_partkey <= 400")
+def g03(nation: DataFrame, part: DataFrame) -> DataFrame:
+    """Points inside rings: the box test joins first, then the exact one. Points carry their unit square, rings the squares of their box, so it is an equi-join."""
+    rings = _rings(nation).where("n_nationkey % 7 <> 6")
+    rings = rings.withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("s").cast("int")))).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("s").cast("int"))))
+    points = part.where("p_partkey <= 400").select("p_partkey", (F.col("p_size") % 7 + 0.3).alias("x"), (F.col("p_partkey") % 7 + 0.4).alias("y"))
+    points = points.withColumn("bx", F.floor("x").cast("int")).withColumn("by", F.floor("y").cast("int"))
+    return points.join(rings, ["bx", "by"]).where(op.inside(F.col("ring"), F.col("x"), F.col("y"))).select("p_partkey", "n_nationkey")
+
+
+@query("g04_rasterised_rings", "nation", sql=f"SELECT n_nationkey, x AS ix, y AS iy FROM nation, (SELECT unnest(range(0, 12)) AS x) a, (SELECT unnest(range(0, 12)) AS y) b WHERE n_nationkey % 7 <> 6 AND (x + 0.5) / 2 < {S} AND (y + 0.5) / 2 < {S} AND NOT ((x + 0.5) / 2 >= {S} / 2 AND (y + 0.5) / 2 >= {S} / 2)")
+def g04(nation: DataFrame) -> DataFrame:
+    return op.rasterised(_rings(nation).where("n_nationkey % 7 <> 6"), "ring", "n_nationkey", 0.5)
+
+
+@query("g07_frontage", "nation", sql=f"SELECT n_nationkey, {S} AS long_m, {S} AS short_m FROM nation WHERE n_nationkey % 7 <> 6")
+def g07(nation: DataFrame) -> DataFrame:
+    x = op.frontage(_rings(nation).where("n_nationkey % 7 <> 6"), "ring", "n_nationkey")
+    return x.select("n_nationkey", F.round("long_m", 6).alias("long_m"), F.round("short_m", 6).alias("short_m"))
+
+
+@query("g22_ring_validity", "nation", sql="SELECT n_nationkey, n_nationkey % 7 <> 6 AS valid, CASE WHEN n_nationkey % 7 = 6 THEN 1 ELSE 0 END::BIGINT AS n_crossings FROM nation")
+def g22(nation: DataFrame) -> DataFrame:
+    """Closed, of four points or more, with area and without edges that cross."""
+    r = _rings(nation)
+    x = op.crossing_edges(r, "ring", "n_nationkey").join(r, "n_nationkey")
+    closed = F.col("ring")[0] == F.element_at("ring", -1)
+    ok = closed & (F.size("ring") >= 4) & (F.col("n_crossings") == 0) & (F.abs(op.ring_area(F.col("ring"))) > 0)
+    return x.select("n_nationkey", ok.alias("valid"), "n_crossings")
+
+
+@query("u07_remainder_parcels", "nation", sql=f"SELECT n_nationkey FROM nation WHERE NOT ((n_nationkey % 9) * 0.5 > 0.5 * {S} * {S} * 0.75) AND n_nationkey % 7 <> 6")
+def u07(nation: DataFrame) -> DataFrame:
+    """Polygons whose holes take over half of their outline are remainders and go."""
+    area = op.ring_area(F.col("ring"))
+    return _rings(nation).where("n_nationkey % 7 <> 6").where(~((F.col("n_nationkey") % 9) * 0.5 > 0.5 * area)).select("n_nationkey")
+
+
+@query("g21_area_checks", "nation", sql=f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 6 THEN 'no area' WHEN {S} * {S} * 0.75 > 20 THEN 'too large' ELSE 'ok' END AS verdict, 0::DOUBLE AS west, {S} AS east FROM nation")
+def g21(nation: DataFrame) -> DataFrame:
+    area, xs = op.ring_area(F.col("ring")), F.transform("ring", lambda p: p["x"])
+    verdict = F.when(F.abs(area) < 1e-9, "no area").when(area > 20, "too large").otherwise("ok")
+    return _rings(nation).select("n_nationkey", verdict.alias("verdict"), F.array_min(xs).alias("west"), F.array_max(xs).alias("east"))
+
+
+@query("m12_flow_length", "v_catchment", sql="SELECT cell_key, round(greatest(1, area_ha * 10000 / greatest(1, pct_imperv)), 4) AS flow_m, round(area_ha * 10000 / greatest(1, area_ha * 10000 / greatest(1, pct_imperv)), 4) AS width_m FROM v_catchment")
+def m12(catchments: DataFrame) -> DataFrame:
+    """Flow length from area and frontage, at least 1 m, and the width that follows."""
+    m2 = F.col("area_ha") * 10000
+    flow = F.greatest(F.lit(1.0), m2 / F.greatest(F.lit(1.0), F.col("pct_imperv")))
+    return catchments.select("cell_key", F.round(flow, 4).alias("flow_m"), F.round(m2 / flow, 4).alias("width_m"))
+
+
+@query("p18_city_of_point", "v_node", "nation", sql="SELECT node_key, min_by(n_nationkey, ((n_nationkey % 5 + 1), n_nationkey)) AS city FROM v_node JOIN nation ON lon BETWEEN -123.4 AND -123.4 + (n_nationkey % 5 + 1) * 0.002 AND lat BETWEEN 48.4 AND 48.4 + (n_nationkey % 5 + 1) * 0.002 GROUP BY 1")
+def p18(nodes: DataFrame, nation: DataFrame) -> DataFrame:
+    """The smallest coverage box around a point."""
+    return _boxed(nodes, nation).groupBy("node_key").agg(F.min_by("n_nationkey", F.struct("z", "n_nationkey")).alias("city"))
+
+
+def _boxed(nodes: DataFrame, nation: DataFrame) -> DataFrame:
+    """Points with the boxes that hold them: boxes name the grid squares that they touch, points theirs, so it is an equi-join."""
+    size = F.col("n_nationkey") % 5 + 1
+    boxes = nation.select("n_nationkey", size.alias("z")).withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("z").cast("int")))).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("z").cast("int"))))
+    p = nodes.withColumn("bx", F.floor((F.col("lon") + 123.4) / 0.002 + 1e-9).cast("int")).withColumn("by", F.floor((F.col("lat") - 48.4) / 0.002 + 1e-9).cast("int"))
+    edge = F.col("z") * 0.002
+    inside: Column = (F.col("lon") >= -123.4) & (F.col("lon") <= -123.4 + edge) & (F.col("lat") >= 48.4) & (F.col("lat") <= 48.4 + edge)
+    return p.join(boxes, ["bx", "by"]).where(inside)
+
+
+@query("j26_smallest_box", "v_node", "nation", sql="SELECT node_key, count(*) AS n_boxes FROM v_node JOIN nation ON lon BETWEEN -123.4 AND -123.4 + (n_nationkey % 5 + 1) * 0.002 AND lat BETWEEN 48.4 AND 48.4 + (n_nationkey % 5 + 1) * 0.002 GROUP BY 1")
+def j26(nodes: DataFrame, nation: DataFrame) -> DataFrame:
+    return _boxed(nodes, nation).groupBy("node_key").agg(F.count("*").alias("n_boxes"))
+
+
+@query("j10_points_in_area", "v_idf", sql="SELECT DISTINCT station_key FROM v_idf WHERE lon BETWEEN -100 AND -80 AND lat BETWEEN 44 AND 50")
+def j10(idf: DataFrame) -> DataFrame:
+    """Stations inside an area's ring: box first, then the ring."""
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-100.001, 43.999), (-79.999, 43.999), (-79.999, 50.001), (-100.001, 50.001), (-100.001, 43.999))))
+    box = idf.where("lon between -101 and -79 and lat between 43 and 51")
+    return box.where(op.inside(ring, F.col("lon"), F.col("lat"))).select("station_key").distinct()
