@@ -43,15 +43,13 @@ def prefix_sum(df: DataFrame, keys: list[str], order_hash: str, ties: list[str],
     summed first, so a key with a third of all rows is still dealt over many tasks. Rows equal in all of keys, order_hash
     and ties get their sums in any order.
     """
-    b, v, base = f"_{out}_bucket", f"_{out}_value", f"_{out}_base"
-    shift = 60 - bucket_bits(n_rows)
-    rows = df.withColumn(b, F.shiftright(order_hash, shift)).withColumn(v, value)
+    b, v, base, k1, k2 = (f"_{out}_{x}" for x in ("bucket", "value", "base", "k1", "k2"))
+    rows = df.withColumn(b, F.shiftright(order_hash, 60 - bucket_bits(n_rows))).withColumn(v, value)
     earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, b).agg(F.sum(v).alias("_t")).select(*keys, b, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias(base))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col(f"l.{b}") == F.col(f"r.{b}")]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    joined = rows.alias("l").join(totals.alias("r"), on).select("l.*", f"r.{base}")
-    within = Window.partitionBy(*keys, b).orderBy(order_hash, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col(base) + F.sum(v).over(within)).drop(b, v, base)
+    # the join and the window deal rows by a 128-bit hash of key and bucket, so that no earlier partitioning by key alone serves
+    part = [*keys, *(F.isnull(k) for k in keys), b]
+    named = lambda x: x.withColumn(k1, F.xxhash64(*part)).withColumn(k2, F.xxhash64(F.lit(1), *part))
+    joined = named(rows).join(named(totals).select(k1, k2, base), [k1, k2])
+    within = Window.partitionBy(k1, k2).orderBy(order_hash, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(out, F.col(base) + F.sum(v).over(within)).drop(b, v, base, k1, k2)
