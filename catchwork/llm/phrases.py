@@ -59,7 +59,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 b = _Block(texts(part, "text"), window)
                 at = np.unique(b.rarest)
                 doc = np.searchsorted(b.ends, at, side="right")
@@ -82,13 +82,13 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 def _located(docs: DataFrame, window: int) -> DataFrame:
     """Streams documents through automata of recurring phrases; gives each window whose selected phrase is found, with its 128-bit hash.
 
-    docs.spots holds where a document shows recurring phrases first. One automaton holds the phrases of a shard of documents (a
-    few MB of text), so its size is bounded and every document passes through one automaton, however large the corpus is.
+    docs.spots holds where a document shows recurring phrases first. One automaton holds the phrases of a shard of documents (1
+    MB of text, or one longer document), so its size is bounded and every document passes through one automaton, however large the corpus is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 b = _Block(texts(part, "text"), window)
                 spots = part.column("spots")
                 row = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch whose texts have about max_bytes together: one document at least, whole documents always."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     piece = np.cumsum(lengths) // max_bytes
