@@ -159,7 +159,7 @@ def ring_perimeter(ring: Column) -> Column:
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    six = 6 * ring_area(ring)
+    six = F.nullif(6 * ring_area(ring), F.lit(0.0))
     return _total(_edges(ring), lambda e: (e["x1"] + e["x2"]) * cross(e)) / six, _total(_edges(ring), lambda e: (e["y1"] + e["y2"]) * cross(e)) / six
 
 

@@ -452,3 +452,80 @@ def j10(idf: DataFrame) -> DataFrame:
     ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-100.001, 43.999), (-79.999, 43.999), (-79.999, 50.001), (-100.001, 50.001), (-100.001, 43.999))))
     box = idf.where("lon between -101 and -79 and lat between 43 and 51")
     return box.where(op.inside(ring, F.col("lon"), F.col("lat"))).select("station_key").distinct()
+
+
+LEADS = "l AS (SELECT t.from_key * 2 AS lead, a.x, a.y, t.to_key AS far FROM v_tree t JOIN m a ON a.node_key = t.from_key JOIN m b ON b.node_key = t.to_key UNION ALL SELECT t.from_key * 2 + 1, b.x, b.y, t.from_key FROM v_tree t JOIN m a ON a.node_key = t.from_key JOIN m b ON b.node_key = t.to_key)"
+
+
+@query("j15_lateral_relocation", "v_tree", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, {LEADS}, d AS (SELECT p.cell_key, l.far, l.lead, sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)) AS d FROM p JOIN l ON abs(p.x - l.x) <= 25 AND abs(p.y - l.y) <= 25) SELECT cell_key, min_by(far, (d, lead)) AS node_key FROM d WHERE d <= 25 GROUP BY 1")
+def j15(tree: DataFrame, nodes: DataFrame, catchments: DataFrame) -> DataFrame:
+    """An inlet moves to the far end of the lead whose nearer end is within 25 m; leads count in both directions."""
+    m = _metric(nodes)
+    a, b = (m.select(F.col("seed_key").alias(c), F.col("sx").alias(f"{s}x"), F.col("sy").alias(f"{s}y")) for c, s in (("from_key", "a"), ("to_key", "b")))
+    t = tree.join(a, "from_key").join(b, "to_key")
+    ends = t.select((F.col("from_key") * 2).alias("seed_key"), F.col("ax").alias("sx"), F.col("ay").alias("sy"), F.col("to_key").alias("far"))
+    ends = ends.union(t.select(F.col("from_key") * 2 + 1, "bx", "by", "from_key"))
+    found = op.nearest_within(_points(catchments), ends, 25.0)
+    return found.join(ends.select("seed_key", "far"), "seed_key").select(F.col("point_key").alias("cell_key"), F.col("far").alias("node_key"))
+
+
+BLOCK = "o AS (SELECT aoi_id, ix, iy, landcover FROM v_px WHERE ix % 9 <> 0 AND iy % 7 <> 0), b AS (SELECT o.*, aoi_id * 10000 + (ix // 9) * 100 + iy // 7 AS k FROM o)"
+
+
+@query("g19_block_service_mask", "v_px", sql=f"""WITH {BLOCK}, n AS (SELECT b.k, b.ix, b.iy, count(q.z_m) AS sides FROM b LEFT JOIN v_px q ON q.aoi_id = b.aoi_id AND abs(q.ix - b.ix) + abs(q.iy - b.iy) = 1 GROUP BY ALL),
+e AS (SELECT k, min(sides) = 4 AS enclosed FROM n GROUP BY 1), s AS (SELECT k, count(*) AS n, bool_or(landcover = 3) AS built, any_value(aoi_id) AS aoi_id FROM b GROUP BY 1)
+SELECT aoi_id, count(*) AS blocks, sum(n)::BIGINT AS pixels FROM s JOIN e USING (k) WHERE enclosed AND (n <= 40 OR built) GROUP BY 1""")
+def g19(px: DataFrame) -> DataFrame:
+    """Block interiors that streets enclose are served whole if they are small (here 40 pixels) or hold a building."""
+    street = (F.col("ix") % 9 == 0) | (F.col("iy") % 7 == 0)
+    inner = op.parts(px.where(~street).withColumn("kind", F.lit(1)), "kind")
+    there = px.select("aoi_id", F.col("ix").alias("n_ix"), F.col("iy").alias("n_iy"))
+    open_parts = op.neighbours(inner).join(there, ["aoi_id", "n_ix", "n_iy"], "left_anti").select("part").distinct()
+    s = inner.join(open_parts, "part", "left_anti").groupBy("aoi_id", "part").agg(F.count("*").alias("n"), F.bool_or(F.col("landcover") == 3).alias("built"))
+    return s.where((F.col("n") <= 40) | F.col("built")).groupBy("aoi_id").agg(F.count("*").alias("blocks"), F.sum("n").alias("pixels"))
+
+
+PARCELS = f"{SEED}, pc AS (SELECT aoi_id, ix // 7 AS pk, floor(avg(ix)) AS cx, floor(avg(iy)) AS cy, count(*) AS n FROM v_px WHERE landcover % 4 <> 0 GROUP BY ALL)"
+
+
+@query("g09_parcel_cells", "v_px", sql=f"""WITH {PARCELS}, a AS (SELECT aoi_id, seed, n, row_number() OVER (PARTITION BY aoi_id, pk ORDER BY (cx - sx) * (cx - sx) + (cy - sy) * (cy - sy), seed) AS r FROM pc JOIN seeds USING (aoi_id)),
+b AS (SELECT p.aoi_id, s.seed, row_number() OVER (PARTITION BY p.aoi_id, p.ix, p.iy ORDER BY (p.ix - s.sx) * (p.ix - s.sx) + (p.iy - s.sy) * (p.iy - s.sy), s.seed) AS r FROM v_px p JOIN seeds s USING (aoi_id) WHERE p.landcover % 4 = 0),
+u AS (SELECT aoi_id, seed, n FROM a WHERE r = 1 UNION ALL SELECT aoi_id, seed, 1 FROM b WHERE r = 1) SELECT aoi_id, seed, sum(n)::BIGINT AS pixels FROM u GROUP BY ALL""")
+def g09(px: DataFrame) -> DataFrame:
+    """Cells along lot lines: a whole parcel goes to the seed nearest to its centre, each street pixel to its own nearest seed."""
+    east = F.col("aoi_id") * 10_000.0
+    seeds = px.where("ix % 12 = 3 and iy % 12 = 3").select((F.col("aoi_id") * 1_000_000 + F.col("ix") * 100 + F.col("iy")).alias("seed_key"), (F.col("ix") + east).alias("sx"), F.col("iy").cast("double").alias("sy"))
+    lots = px.where("landcover % 4 <> 0").groupBy("aoi_id", F.floor(F.col("ix") / 7).alias("pk")).agg(F.floor(F.avg("ix")).alias("cx"), F.floor(F.avg("iy")).alias("cy"), F.count("*").alias("n"))
+    lots = lots.select((F.col("aoi_id") * 1000 + F.col("pk")).alias("point_key"), (F.col("cx") + east).alias("x"), F.col("cy").cast("double").alias("y"), "n")
+    street = px.where("landcover % 4 = 0").select(op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("point_key"), (F.col("ix") + east).alias("x"), F.col("iy").cast("double").alias("y"))
+    a = op.nearest(lots.drop("n"), seeds, 12.0).join(lots.select("point_key", "n"), "point_key").select("seed_key", "n")
+    every = a.union(op.nearest(street, seeds, 12.0).select("seed_key", F.lit(1)))
+    return every.groupBy(F.floor(F.col("seed_key") / 1_000_000).alias("aoi_id"), (F.col("seed_key") % 1_000_000).alias("seed")).agg(F.sum("n").alias("pixels"))
+
+
+@query("g10_frontage_cells", "v_px", sql="""WITH s AS (SELECT aoi_id, ix, iy, ix // 20 AS label FROM v_px WHERE iy = 20 AND ix % 5 = 0),
+d AS (SELECT p.aoi_id, p.ix, p.iy, s.label, row_number() OVER (PARTITION BY p.aoi_id, p.ix, p.iy ORDER BY (p.ix - s.ix) * (p.ix - s.ix) + (p.iy - s.iy) * (p.iy - s.iy), s.ix) AS r FROM v_px p JOIN s USING (aoi_id))
+SELECT aoi_id, label, count(*) AS pixels FROM d WHERE r = 1 GROUP BY ALL""")
+def g10(px: DataFrame) -> DataFrame:
+    """Pixels take the label of their nearest street sample; cells under 20 pixels then merge into a neighbour."""
+    x = F.col("ix") + F.col("aoi_id") * 10_000.0
+    samples = px.where("iy = 20 and ix % 5 = 0").select((F.col("aoi_id") * 1_000_000 + F.col("ix")).alias("seed_key"), x.alias("sx"), F.col("iy").cast("double").alias("sy"))
+    key = op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id"))
+    found = op.nearest(px.select(key.alias("point_key"), x.alias("x"), F.col("iy").cast("double").alias("y")), samples, 10.0)
+    cells = px.withColumn("point_key", key).join(found, "point_key").withColumn("label", F.floor(F.col("seed_key") % 1_000_000 / 20))
+    return op.merged_slivers(cells.select(*op.PIXEL, "label"), "label", 20).groupBy("aoi_id", "label").agg(F.count("*").alias("pixels"))
+
+
+@query("g12_user_layer", "nation", "v_node", sql=f"""WITH {METRIC}, u AS (SELECT n_nationkey, {S} * {S} * 0.75 AS area, (n_nationkey * 7) % 30 + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 100000 END AS declared, {S} * 5 / 12 * 100 AS cx, {S} * 5 / 12 * 100 AS cy FROM nation WHERE n_nationkey % 7 <> 6),
+d AS (SELECT n_nationkey, min_by(node_key, (sqrt(pow(x - cx, 2) + pow(y - cy, 2)), node_key)) AS near FROM u, m GROUP BY 1)
+SELECT u.n_nationkey, round(u.area, 6)::DOUBLE AS area, coalesce(m.node_key, d.near) AS outlet, m.node_key IS NOT NULL AS declared FROM u JOIN d USING (n_nationkey) LEFT JOIN m ON m.node_key = u.declared""")
+def g12(nation: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A user's catchments as drawn: the declared outlet where it is known, else the nearest node."""
+    k2 = F.col("n_nationkey")
+    cx, cy = op.ring_centroid(F.col("ring"))
+    u = _rings(nation).where("n_nationkey % 7 <> 6").select("n_nationkey", F.round(op.ring_area(F.col("ring")), 6).alias("area"), ((k2 * 7) % 30 + F.when(k2 % 2 == 0, 0).otherwise(100_000)).cast("long").alias("want"), (cx * 100).alias("x"), (cy * 100).alias("y"))
+    m = _metric(nodes)
+    near = op.nearest(u.select(k2.cast("long").alias("point_key"), "x", "y"), m, 500.0).select(F.col("point_key").alias("n_nationkey"), F.col("seed_key").alias("near"))
+    known = m.select(F.col("seed_key").alias("want"), F.lit(True).alias("known"))
+    x = u.join(near, "n_nationkey").join(known, "want", "left")
+    return x.select("n_nationkey", "area", F.when(F.col("known"), F.col("want")).otherwise(F.col("near")).alias("outlet"), F.coalesce("known", F.lit(False)).alias("declared"))
