@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="catchwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="catchwork-"))
+        found = context.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)  # with the scheme of Spark's own file system, which other readers need
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
