@@ -106,11 +106,11 @@ def _located(docs: DataFrame, window: int) -> DataFrame:
                 s = b.starts[found[b.rarest]]
                 h1, h2 = rolling(b.lo, window, BASES[0])[s], rolling(b.hi, window, BASES[1])[s]
                 of = np.searchsorted(b.ends, s, side="right")
-                columns = [part.column(c) for c in ("doc_id", "t1", "t2", "text")]
+                columns = [part.column(c) for c in ("num", "doc_id", "t1", "t2", "text")]
                 columns += [b.lists(s, s - b.begins[of], pa.int32()), b.lists(s, h1.view(np.int64), pa.int64()), b.lists(s, h2.view(np.int64), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "text", "starts", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays(columns, names=["num", "doc_id", "t1", "t2", "text", "starts", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, text string, starts array<int>, h1 array<long>, h2 array<long>")
+    return docs.mapInArrow(run, "num long, doc_id long, t1 long, t2 long, text string, starts array<int>, h1 array<long>, h2 array<long>")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -162,15 +162,16 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     recurring = written(recurring, "phrase_recurring")
     spots = selected.join(recurring, selected.anchors == recurring.anchor).groupBy("doc_id", "t1", "t2").agg(F.collect_list("places").alias("spots"))
     led = spots.join(copies, (spots.t1 == copies.c1) & (spots.t2 == copies.c2), "left")
-    led = written(led.where("n is null or doc_id <=> lead").select("doc_id", "t1", "t2", "spots"), "phrase_spots")
-    near = slim.join(led, _same(slim, led)).select(slim.doc_id, slim.t1, slim.t2, slim.text, led.spots)
+    led = led.where("n is null or doc_id <=> lead").select(F.monotonically_increasing_id().alias("num"), "doc_id", "t1", "t2", "spots")
+    led = written(led, "phrase_spots")  # num, once written, stands for a document in the window tables
+    near = slim.join(led, _same(slim, led)).select(led.num, slim.doc_id, slim.t1, slim.t2, slim.text, led.spots)
     located = written(_located(near, window), "phrase_located")
-    windows = located.select("doc_id", "t1", "t2", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("x")).select("doc_id", "t1", "t2", "x.*")
+    windows = located.select("num", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("x")).select("num", "x.*")
     twice = windows.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).count().where("count > 1").select("k1", "k2")
     twice = written(twice, "phrase_twice")
-    hits = windows.join(twice, (windows.h1 == twice.k1) & (windows.h2 == twice.k2)).groupBy("doc_id", "t1", "t2").agg(F.collect_list("starts").alias("hits"))
+    hits = windows.join(twice, (windows.h1 == twice.k1) & (windows.h2 == twice.k2)).groupBy("num").agg(F.collect_list("starts").alias("hits"))
     hits = written(hits, "phrase_hits")
-    cut = _cut(located.join(hits, _same(located, hits)).select(located.doc_id, located.t1, located.t2, located.text, hits.hits), window)
+    cut = _cut(located.join(hits, "num").select("doc_id", "t1", "t2", "text", "hits"), window)
     cut = written(cut if with_text else cut.drop("cut_text"), "phrase_cut").dropDuplicates(["doc_id", "t1", "t2"])
     rows = scan.select("doc_id", "t1", "t2", "n_words", "sha")
     rows = rows.join(copies, (rows.t1 == copies.c1) & (rows.t2 == copies.c2), "left")
