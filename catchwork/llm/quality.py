@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -136,21 +135,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, seed: int = 7, rou
     value = pc.list_flatten(table.column("value")).to_numpy().astype(np.float32) * np.float32(SCALE)
     row = np.repeat(np.arange(len(y), dtype=np.int32), table.column("n").to_numpy())
     del table
-    used = ~held[row]
-    t_at, t_value, t_row = at[used], value[used], row[used]
+    pieces = [slice(a, a + (1 << 19)) for a in range(0, len(at), 1 << 19)]  # temporary arrays stay small
     share = y[~held].mean()
-    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * ~held
+    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * ~held  # held-out rows weigh nothing
+
+    def scores() -> np.ndarray:
+        return sum(np.bincount(row[s], value[s] * w[at[s]], minlength=len(y)) for s in pieces) + bias
+
     w, bias = np.zeros(3 * SIZE), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for i in range(1, rounds + 1):
-        z = np.bincount(t_row, t_value * w[t_at], minlength=len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost / cost.sum()
-        g, gb = np.bincount(t_at, t_value * error[t_row], minlength=len(w)) + l2 * w, error.sum()
+        error = (1 / (1 + np.exp(-np.clip(scores(), -30, 30))) - y) * cost / cost.sum()
+        g, gb = sum(np.bincount(at[s], value[s] * error[row[s]], minlength=len(w)) for s in pieces) + l2 * w, error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.05 * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
         w -= step * m / (np.sqrt(v) + 1e-8)
         bias -= step * mb / (np.sqrt(vb) + 1e-8)
-    z = np.bincount(row, value * w[at], minlength=len(y)) + bias
+    z = scores()
     by = held if held.any() else ~held
     slope, shift = _calibrated(z[by], y[by])
     p = 1 / (1 + np.exp(-np.clip(slope * z[by] + shift, -30, 30)))
@@ -218,7 +219,3 @@ def quality_rules(docs: DataFrame, model: Model | None, reject_at: float = 0.9,
 def _continued(text: bytes) -> int:
     """Bytes that continue a code point."""
     return int((np.frombuffer(text, dtype=np.uint8) & 0xC0 == 0x80).sum())
-
-
-def described(model: Model | None) -> str:
-    return json.dumps(model.report if model else {"rows": 0})
