@@ -118,3 +118,20 @@ def lookup(table: dict, key: Column, default: object = None) -> Column:
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
     found = F.try_element_at(F.create_map(*pairs), key)
     return found if default is None else F.coalesce(found, F.lit(default))
+
+# Ingest rules by city. Sentinel policy of inverts, band of plausible inverts, band of plausible rims (None: no band), decimals to which ends snap.
+CITY_RULES = (
+    ("abbotsford", "below:0", None, None, 0.5, 700.0, 5), ("barrie", "zero", None, None, 150.0, 400.0, 5), ("burnaby", "zero", None, None, None, None, 5),
+    ("calgary", "zero", None, None, 900.0, 1400.0, 5), ("chilliwack", "zero", 0.5, 400.0, 0.5, 400.0, 5), ("coquitlam", "zero", None, None, 0.5, 450.0, 5),
+    ("delta", "below:-90", None, None, 0.0, None, 5), ("esquimalt", "zero", None, None, 0.5, 120.0, 5), ("greater_sudbury", "zero", 200.0, 420.0, 200.0, 420.0, 5),
+    ("kamloops", "none", 300.0, 900.0, 300.0, 900.0, 5), ("kelowna", "none", None, None, 300.0, 700.0, 5), ("kingston", "none", 60.0, 200.0, None, None, 5),
+    ("kitchener", "zero", None, None, None, None, 6), ("langley", "zero", None, None, 0.5, 200.0, 5), ("london", "none", None, None, 0.0, None, 6),
+    ("moncton", "zero", None, None, 0.5, 150.0, 5), ("nanaimo", "zero", None, None, 0.5, 350.0, 5), ("new_westminster", "zero", None, None, 0.5, 200.0, 5),
+    ("north_vancouver_district", "below:-90", None, None, None, None, 5), ("ottawa", "below:0", None, None, None, None, 5), ("penticton", "zero", None, None, None, None, 5),
+    ("peterborough", "zero", None, None, 150.0, 400.0, 5), ("port_coquitlam", "below:-90", None, None, 0.5, 250.0, 5), ("regina", "none", 500.0, 700.0, 500.0, 700.0, 5),
+    ("reykjavik", "none", None, None, None, None, 5), ("sarnia", "zero", 150.0, 250.0, None, None, 5), ("saskatoon", "zero", None, None, 400.0, 650.0, 5),
+    ("strathcona", "zero", None, None, 550.0, 850.0, 5), ("surrey", "none", None, None, 0.5, 200.0, 5), ("toronto", "zero", None, None, 60.0, 300.0, 5),
+    ("vancouver", "zero", -20.0, 300.0, -10.0, 300.0, 6), ("victoria", "none", None, None, None, None, 6), ("whitby", "zero", None, None, None, None, 5),
+    ("white_rock", "zero", None, None, 0.5, 200.0, 5), ("windsor", "zero", 150.0, 220.0, None, None, 5),
+)
+CITY_RULE_SCHEMA = "city string, policy string, invert_low double, invert_high double, rim_low double, rim_high double, snap_decimals int"

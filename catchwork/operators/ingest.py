@@ -64,3 +64,17 @@ def canonical(features: DataFrame, config: DataFrame) -> DataFrame:
     inverts = [v.without_sentinel(v.number(prop(c)), F.col("policy")).alias(c) for c in ("inv_up", "inv_dn")]
     size = v.number(prop("diameter"))
     return x.select("city", "file_seq", v.safe_name(name).alias("name"), *inverts, F.when(size > 0, size / F.col("divisor")).alias("diameter_m"), v.roughness(v.material_code(prop("material"))).alias("roughness_n"))
+
+
+def within(value: Column, low: Column, high: Column) -> Column:
+    """value inside a band whose ends may be open."""
+    return F.when((low.isNull() | (value >= low)) & (high.isNull() | (value <= high)), value)
+
+
+def by_city_rules(pipes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pipes of many cities with each city's sentinel policy and bands applied to inverts and rims: pipes (city, inv_up, inv_dn, rim_m, ...). A row of an unlisted city has no rule and is dropped; the rules are one row a city."""
+    x = pipes.join(rules, "city")
+    for c in ("inv_up", "inv_dn"):
+        x = x.withColumn(c, within(v.without_sentinel(F.col(c), F.col("policy")), F.col("invert_low"), F.col("invert_high")))
+    x = x.withColumn("rim_m", within(F.nullif("rim_m", F.lit(0.0)), F.col("rim_low"), F.col("rim_high")))
+    return x.drop("policy", "invert_low", "invert_high", "rim_low", "rim_high")

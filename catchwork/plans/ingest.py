@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchwork.constants import CITY_RULE_SCHEMA, CITY_RULES
 from catchwork.functions import values as v
 from catchwork.operators import ingest as op
 from catchwork.plans.registry import query
@@ -309,3 +310,26 @@ def u01(tree: DataFrame) -> DataFrame:
 def u02(pipes: DataFrame) -> DataFrame:
     x = pipes.select("file_seq", "name", "content")
     return x.where("content = 'Storm'").unionByName(x.where("content = 'Combined'"))
+
+
+def _literal(x: object) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+
+
+RULES = "r(city, policy, il, ih, rl, rh, snap) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in CITY_RULES) + ")"
+CITIES = "[" + ", ".join(f"'{row[0]}'" for row in CITY_RULES) + "]"
+
+
+def _kept(c: str) -> str:
+    clean = f"CASE WHEN policy = 'zero' THEN nullif({c}, 0) WHEN policy = 'below:0' THEN CASE WHEN {c} > 0 THEN {c} END WHEN policy = 'below:-90' THEN CASE WHEN {c} > -90 THEN {c} END ELSE {c} END"
+    return f"CASE WHEN ({clean}) >= coalesce(il, -1e9) AND ({clean}) <= coalesce(ih, 1e9) THEN {c} END AS {c}"
+
+
+@query("p_city_rules", "v_raw_pipe", "v_node", sql=f"""WITH {RULES}, p AS (SELECT p.*, n.rim_m, ({CITIES})[CAST(1 + up_key % 35 AS INT)] AS city FROM v_raw_pipe p JOIN v_node n ON n.node_key = p.up_key)
+SELECT city, file_seq, {_kept('inv_up')}, {_kept('inv_dn')}, CASE WHEN rim_m >= coalesce(rl, -1e9) AND rim_m <= coalesce(rh, 1e9) THEN rim_m END AS rim_m, snap AS snap_decimals FROM p JOIN r USING (city)""")
+def p_city_rules(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every city's ingest rules at once over the fleet's pipes."""
+    names = F.array(*(F.lit(row[0]) for row in CITY_RULES))
+    x = pipes.join(nodes.select(F.col("node_key").alias("up_key"), "rim_m"), "up_key").withColumn("city", F.get(names, (F.col("up_key") % 35).cast("int")))
+    rules = pipes.sparkSession.createDataFrame(CITY_RULES, CITY_RULE_SCHEMA)
+    return op.by_city_rules(x, rules).select("city", "file_seq", "inv_up", "inv_dn", "rim_m", "snap_decimals")
