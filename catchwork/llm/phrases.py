@@ -154,16 +154,16 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
-    scan = written(_scan(slim, window), "phrase_scan")
+    scan = written(_scan(slim, window).withColumn("num", F.monotonically_increasing_id()), "phrase_scan")  # num, once written, stands for a row
     copies = scan.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
     copies = written(copies.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "n", "lead"), "phrase_copies")
-    selected = scan.select("doc_id", "t1", "t2", F.explode(F.arrays_zip("anchors", "places", "times")).alias("x")).select("doc_id", "t1", "t2", "x.*")
+    selected = scan.select("num", F.explode(F.arrays_zip("anchors", "places", "times")).alias("x")).select("num", "x.*")
     recurring = selected.groupBy(F.col("anchors").alias("anchor")).agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     recurring = written(recurring, "phrase_recurring")
-    spots = selected.join(recurring, selected.anchors == recurring.anchor).groupBy("doc_id", "t1", "t2").agg(F.collect_list("places").alias("spots"))
-    led = spots.join(copies, (spots.t1 == copies.c1) & (spots.t2 == copies.c2), "left")
-    led = led.where("n is null or doc_id <=> lead").select(F.monotonically_increasing_id().alias("num"), "doc_id", "t1", "t2", "spots")
-    led = written(led, "phrase_spots")  # num, once written, stands for a document in the window tables
+    spots = selected.join(recurring, selected.anchors == recurring.anchor).groupBy("num").agg(F.collect_list("places").alias("spots"))
+    led = scan.select("num", "doc_id", "t1", "t2").join(spots, "num")
+    led = led.join(copies, (led.t1 == copies.c1) & (led.t2 == copies.c2), "left").where("n is null or doc_id <=> lead")
+    led = written(led.select("num", "doc_id", "t1", "t2", "spots").dropDuplicates(["doc_id", "t1", "t2"]), "phrase_spots")
     near = slim.join(led, _same(slim, led)).select(led.num, slim.doc_id, slim.t1, slim.t2, slim.text, led.spots)
     located = written(_located(near, window), "phrase_located")
     windows = located.select("num", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("x")).select("num", "x.*")
