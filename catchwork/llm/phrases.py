@@ -19,10 +19,10 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLACE_BITS = np.uint64(26)
 
 
-class _Block:
-    """Some documents' words in one row of numbers, with each window's rarest phrase (the least hash, the first of equals)."""
+class _Words:
+    """Some documents' words in one row of numbers, with their 128-bit hashes."""
 
-    def __init__(self, bodies: list[bytes], window: int) -> None:
+    def __init__(self, bodies: list[bytes]) -> None:
         self.words = [t.split() for t in bodies]
         self.table = Words()
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
@@ -31,6 +31,13 @@ class _Block:
         self.ids = np.concatenate([np.zeros(0, dtype=np.int64), *(self.table.ids(w) for w in self.words)])
         lo, hi = self.table.hashes()
         self.lo, self.hi = lo[self.ids], hi[self.ids]
+
+
+class _Block(_Words):
+    """Words with each window's rarest phrase: the least hash, the first of equals."""
+
+    def __init__(self, bodies: list[bytes], window: int) -> None:
+        super().__init__(bodies)
         self.phrases = spread(rolling(self.lo, PHRASE, BASES[0]))
         at = np.arange(max(0, len(self.ids) - window + 1))
         doc_end = np.repeat(self.ends, self.sizes)
@@ -80,7 +87,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _located(docs: DataFrame, window: int) -> DataFrame:
-    """Streams documents through automata of recurring phrases; gives each window whose selected phrase is found, with its 128-bit hash.
+    """Streams documents through automata of recurring phrases; gives the start of each window whose selected phrase is found.
 
     docs.spots holds where a document shows recurring phrases first. One automaton holds the phrases of a shard of documents (1
     MB of text, or one longer document), so its size is bounded and every document passes through one automaton, however large the corpus is.
@@ -104,13 +111,30 @@ def _located(docs: DataFrame, window: int) -> DataFrame:
                         for end, _ in automaton.iter(tuple(ids[a:z])):
                             found[a + end - PHRASE + 1] = True
                 s = b.starts[found[b.rarest]]
-                h1, h2 = rolling(b.lo, window, BASES[0])[s], rolling(b.hi, window, BASES[1])[s]
                 of = np.searchsorted(b.ends, s, side="right")
                 columns = [part.column(c) for c in ("num", "doc_id", "t1", "t2", "text")]
-                columns += [b.lists(s, s - b.begins[of], pa.int32()), b.lists(s, h1.view(np.int64), pa.int64()), b.lists(s, h2.view(np.int64), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["num", "doc_id", "t1", "t2", "text", "starts", "h1", "h2"])
+                columns.append(b.lists(s, s - b.begins[of], pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names=["num", "doc_id", "t1", "t2", "text", "starts"])
+
+    return docs.mapInArrow(run, "num long, doc_id long, t1 long, t2 long, text string, starts array<int>")
+
+
+def _windows(located: DataFrame, window: int) -> DataFrame:
+    """(num, start, h1, h2): the 128-bit hash of every located window. Hashes don't compress, so they are computed again where they are used instead of being stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                b = _Words(texts(part, "text"))
+                starts = part.column("starts")
+                row = np.repeat(np.arange(part.num_rows), starts.value_lengths().to_numpy(zero_copy_only=False))
+                start = starts.flatten().to_numpy(zero_copy_only=False)
+                at = start.astype(np.int64) + b.begins[row]
+                h1, h2 = (rolling(x, window, base)[at] for x, base in ((b.lo, BASES[0]), (b.hi, BASES[1])))
+                num = part.column("num").to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(start), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["num", "starts", "h1", "h2"])
 
-    return docs.mapInArrow(run, "num long, doc_id long, t1 long, t2 long, text string, starts array<int>, h1 array<long>, h2 array<long>")
+    return located.where("size(starts) > 0").select("num", "text", "starts").mapInArrow(run, "num long, starts int, h1 long, h2 long")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -166,7 +190,7 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     led = written(led.select("num", "doc_id", "t1", "t2", "spots").dropDuplicates(["doc_id", "t1", "t2"]), "phrase_spots")
     near = slim.join(led, _same(slim, led)).select(led.num, slim.doc_id, slim.t1, slim.t2, slim.text, led.spots)
     located = written(_located(near, window), "phrase_located")
-    windows = located.select("num", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("x")).select("num", "x.*")
+    windows = _windows(located, window)
     twice = windows.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).count().where("count > 1").select("k1", "k2")
     twice = written(twice, "phrase_twice")
     hits = windows.join(twice, (windows.h1 == twice.k1) & (windows.h2 == twice.k2)).groupBy("num").agg(F.collect_list("starts").alias("hits"))
