@@ -103,8 +103,8 @@ def _records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield header, reader.read(int(header["content-length"]))
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """One written row for each record of the archives that index names, an archive to a task: archive, record and what its headers and payload say. The payload of each response must have the digest that its header states."""
+def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+    """One written row for each record of the archives that index names, an archive to a task: archive, record, what its headers say and, if wanted, its payload. The payload of each response must have the digest that its header states."""
     schema = "archive string, record int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +124,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                             raise ValueError(f"{archive}, record {n}: the payload isn't what its header states")
                         refers = header.get("x-refers-to-page-id")
                         page = header["x-page-id"]
-                        rows.append((archive, n, int(page) if page else None, length, digest, kind, int(refers) if refers else None, header["warc-target-uri"], payload.decode()))
-                        held += len(payload)
+                        rows.append((archive, n, int(page) if page else None, length, digest, kind, int(refers) if refers else None, header["warc-target-uri"], payload.decode() if with_payload else None))
+                        held += len(payload) if with_payload else 256
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                             rows, held = [], 0
@@ -133,7 +133,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     archives = index.select("archive").distinct()
-    return written(archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, schema), "warc_read")
+    read = archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, schema)
+    return written(read if with_payload else read.drop("payload"), "warc_read")
 
 
 class LoserTree:
@@ -224,6 +225,6 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0, captured: Column | No
     rows = slim.join(same, (slim.sha1 == same.same_sha1) & (slim.size == same.same_size), "left")
     rows = rows.select("page_id", "url", "html", "sha1", "captured", "url_key", revisit.alias("revisit"), F.when(revisit, F.col("newest")).alias("refers_to"))
     index = write_archives(rows, folder)
-    read = read_archives(index, folder).drop("payload", "url")
+    read = read_archives(index, folder, with_payload=False).drop("url")
     merged = merge_index(index)
     return read.join(merged, ["archive", "record"])

@@ -47,6 +47,15 @@ def test_least_bytes_and_rotation(spark):
     assert all((r.record_type == "revisit") == (r.payload_bytes == 50 and r.page_id != 59) for r in rows) and len(rows) == 60
 
 
+def test_payloads_round_trip(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<p>é {i}\r\n\r\n</p>") for i in range(20)], "page_id long, url string, html string")
+    rows = pages.selectExpr("*", "sha1(html) as sha1", "false as revisit", "null as refers_to", "0L + page_id as captured", "'k' as url_key")
+    folder = warc.new_path(spark, "archives")
+    read = warc.read_archives(warc.write_archives(rows.coalesce(1), folder, archive_bytes=500), folder)
+    assert {(r.page_id, r.payload) for r in read.collect()} == {(r.page_id, r.html) for r in pages.collect()}
+    assert read.select("archive").distinct().count() > 1
+
+
 def test_no_pages(spark):
     assert warc.archived_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
