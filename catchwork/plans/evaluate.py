@@ -64,6 +64,6 @@ def a40(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     return p.groupBy("aoi_id").agg(n.alias("n_pipes"), F.count_distinct("name").alias("n_names"), F.count_if(F.col("up_key") == F.col("dn_key")).alias("n_loops"), F.round(100 * F.count_if(F.col("inv_up") == 0) / n, 4).alias("pct_missing"), F.when(n > 9000, "large").otherwise("ok").alias("status"))
 
 
-@query("s19_gauge_export", "v_flow_obs", sql="SELECT day, round(obs_cms, 4) AS obs_cms FROM v_flow_obs WHERE day BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'")
+@query("s19_gauge_export", "v_flow_obs", sql="SELECT day, round(obs_cms, 1) AS obs_cms FROM v_flow_obs WHERE day BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'")
 def s19(obs: DataFrame) -> DataFrame:
-    return obs.where("day between date'1996-01-01' and date'1997-06-30'").select("day", F.round("obs_cms", 4).alias("obs_cms")).orderBy("day")
+    return obs.where("day between date'1996-01-01' and date'1997-06-30'").select("day", F.round("obs_cms", 1).alias("obs_cms")).orderBy("day")
