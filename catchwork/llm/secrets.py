@@ -24,9 +24,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"(?:passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|session)", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "session")
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z]{3,}")
 REACH = 48  # code points after a sensitive word in which a string must begin
 AROUND = 96  # code points of surrounding text that a string is measured against
+PAD = b"\n" * 64
 
 
 def _base(text: str) -> list[tuple[int, int, int]]:
@@ -42,17 +42,33 @@ def _base(text: str) -> list[tuple[int, int, int]]:
 
 
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Strings with letters and digits that begin within REACH of a sensitive word and touch no base span."""
+    """Strings with letters and digits that begin within REACH of a sensitive word that touch no base span."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
+    free = lambda a, z, spans: not any(x < z and a < y for x, y in spans)
+    held = [(a, z) for a, _, z in base]
     found = set()
     for m in SENSITIVE.finditer(text):
         for near in STRING.finditer(text, m.end(), m.end() + REACH + 16):
             s = STRING.match(text, near.start())  # whole, also beyond the reach
-            if re.search("[0-9]", s[0]) and re.search("[A-Za-z]", s[0]) and not any(a < s.end() and s.start() < z for a, _, z in base):
+            if re.search("[0-9]", s[0]) and re.search("[A-Za-z]", s[0]) and free(*s.span(), held):
                 found.add((s.start(), s.end()))
-    return sorted(found)
+    whole: list[tuple[int, int]] = []
+    for a, z in sorted(found, key=lambda x: (x[0], -x[1])):  # a sensitive word may stand within a string; its rest is no string of its own
+        if not whole or z > whole[-1][1]:
+            whole.append((a, z))
+    return whole
+
+
+def _masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with spaces for the spans and for every other copy of what they hold, so that no string is measured against itself."""
+    values = {text[a:z] for a, z in spans}
+    for a, z in spans:
+        text = text[:a] + " " * (z - a) + text[z:]
+    for v in sorted(values, key=len, reverse=True):
+        text = text.replace(v, " " * len(v))
+    return text
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -70,7 +86,8 @@ def _scan(docs: DataFrame) -> DataFrame:
                     spans.append(base)
                     cands.append(cand)
                     values.append([text[a:z] for a, z in cand])
-                    around.append([text[max(0, a - AROUND) : a] + "\n" + text[z : z + AROUND] for a, z in cand])
+                    rest = _masked(text, cand + [(a, z) for a, _, z in base]) if cand else text
+                    around.append([re.sub(" +", " ", rest[max(0, a - AROUND) : a] + "\n" + rest[z : z + AROUND]) for a, z in cand])
                 columns = [part.column("doc_id"), part.column("text_key")]
                 columns += [pa.array([[s[i] for s in x] for x in spans], pa.list_(pa.int32())) for i in (0, 1, 2)]
                 columns += [pa.array([[c[i] for c in x] for x in cands], pa.list_(pa.int32())) for i in (0, 1)]
@@ -81,15 +98,23 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def identifier_dictionary(scan: DataFrame, most: int = 2000) -> bytes:
-    """Identifier parts next to candidates, over all rows, by number of rows: the most frequent last, where zstandard finds them cheapest. At most `most` of them, so the size is bounded."""
-    parts = scan.where("size(c_around) > 0").select(F.explode(F.array_distinct(F.expr("regexp_extract_all(concat_ws(' ', c_around), '[A-Za-z]{3,}', 0)"))).alias("part"))
-    top = parts.groupBy("part").count().where("count > 1").orderBy(F.desc("count"), "part").limit(most).collect()
+    """Identifier parts next to and in candidates by number of sources: the most frequent last, where zstandard finds them cheapest. At most `most` of them, so the size is bounded.
+
+    A source is a different text, or a different candidate; a part in a mixed run of letters and digits counts once for each
+    different run. So copies of a text or of a token, also behind another name, never make its own parts known.
+    """
+    parts = lambda c: F.explode(F.array_distinct(F.expr(f"regexp_extract_all({c}, '[A-Za-z]{{3,}}', 0)"))).alias("part")
+    near = scan.where("size(c_around) > 0").select(F.concat_ws(" ", "c_around").alias("around"), F.lit("text").alias("kind"), F.col("text_key").cast("string").alias("source"))
+    near = near.select(parts("around"), "kind", "source")
+    runs = scan.select(F.explode("c_text").alias("value")).distinct().select("value", F.explode(F.expr("regexp_extract_all(value, '[A-Za-z0-9+/]+', 0)")).alias("run"))
+    runs = runs.select(parts("run"), F.lit("run").alias("kind"), F.expr("if(run rlike '^[A-Za-z]+$', value, run)").alias("source"))
+    top = near.union(runs).distinct().groupBy("part").count().where("count > 1").orderBy(F.desc("count"), "part").limit(most).collect()
     return b" ".join(r.part[:64].encode() for r in reversed(top))
 
 
 def _marginal(around: bytes, value: bytes, squeeze: zstandard.ZstdCompressor) -> int:
-    """Compressed bytes that value adds to what surrounds it."""
-    return len(squeeze.compress(around + b"\n" + value)) - len(squeeze.compress(around + b"\n"))
+    """Compressed bytes that value adds to what surrounds it. zstandard matches nothing in the last 8 bytes of a block and stores one that hardly shrinks, so both texts begin and end in PAD."""
+    return len(squeeze.compress(PAD + around + b"\n" + value + PAD)) - len(squeeze.compress(PAD + around + b"\n" + PAD))
 
 
 def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,7 +122,8 @@ def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col
 
     Base spans are the leftmost matches of each kind that do not overlap others of the kind. The method adds `novel` ones: a
     string of 16 or more characters with letters and digits, within 48 characters after a sensitive word, whose marginal
-    zstandard size, primed with the identifier dictionary and its surrounding text, is at least `novelty` bytes a character.
+    zstandard size, primed with the identifier dictionary and its surrounding text, is at least `novelty` bytes a character. Other strings
+    and copies of it are blanked in that text.
     spans lists kind:start:end by start, then kind, comma-joined, in code points; cut is their union. text_key is
     xxhash64 of the text. A null text is an empty one; ids may be null or repeat; an empty table gives an empty one.
     """
