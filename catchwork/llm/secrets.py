@@ -21,12 +21,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more, as [0-9a-f]+
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # What makes a place sensitive for the novelty test.
-SENSITIVE = re.compile(r"(?:passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|session)", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"(?:passw|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential|session)", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "session")
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]{16,}?)\s*-----END ", re.ASCII)
 REACH = 48  # code points after a sensitive word in which a string must begin
 AROUND = 96  # code points of surrounding text that a string is measured against
 PAD = b"\n" * 64
+LONG = 40  # from this length on, zstandard's entropy coding reaches random strings, so their own entropy bounds what they can cost
+ALPHABETS = ((re.compile(r"[0-9A-F]+|[0-9a-f]+"), 4.0), (re.compile(r"[0-9A-Z]+|[0-9a-z]+"), 5.17), (re.compile(r".+", re.DOTALL), 6.0))  # bits a character
 
 
 def _base(text: str) -> list[tuple[int, int, int]]:
@@ -42,17 +45,18 @@ def _base(text: str) -> list[tuple[int, int, int]]:
 
 
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Strings with letters and digits that begin within REACH of a sensitive word that touch no base span."""
+    """Strings with letters and digits that begin within REACH of a sensitive word, and bodies of private key blocks, that touch no base span."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
     free = lambda a, z, spans: not any(x < z and a < y for x, y in spans)
     held = [(a, z) for a, _, z in base]
-    found = set()
+    blocks = [m.span(1) for m in PEM.finditer(text) if free(*m.span(1), held)]
+    found = set(blocks)
     for m in SENSITIVE.finditer(text):
         for near in STRING.finditer(text, m.end(), m.end() + REACH + 16):
             s = STRING.match(text, near.start())  # whole, also beyond the reach
-            if re.search("[0-9]", s[0]) and re.search("[A-Za-z]", s[0]) and free(*s.span(), held):
+            if re.search("[0-9]", s[0]) and re.search("[A-Za-z]", s[0]) and free(*s.span(), held + blocks):
                 found.add((s.start(), s.end()))
     whole: list[tuple[int, int]] = []
     for a, z in sorted(found, key=lambda x: (x[0], -x[1])):  # a sensitive word may stand within a string; its rest is no string of its own
@@ -117,13 +121,20 @@ def _marginal(around: bytes, value: bytes, squeeze: zstandard.ZstdCompressor) ->
     return len(squeeze.compress(PAD + around + b"\n" + value + PAD)) - len(squeeze.compress(PAD + around + b"\n" + PAD))
 
 
+def _needed(value: str, novelty: float) -> float:
+    """Marginal bytes that make value novel: novelty bytes a character, but for hex and long ones no more than 0.9 of what random characters of its alphabet hold."""
+    bits = next(b for kind, b in ALPHABETS if kind.fullmatch(value))
+    return len(value) * (min(novelty, 0.9 * bits / 8) if bits == 4 or len(value) >= LONG else novelty)
+
+
 def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_assign, n_access, n_hex, n_novel, base_sha256, spans, cut array<struct<start, end>>) for every row of docs.
 
     Base spans are the leftmost matches of each kind that do not overlap others of the kind. The method adds `novel` ones: a
     string of 16 or more characters with letters and digits, within 48 characters after a sensitive word, whose marginal
-    zstandard size, primed with the identifier dictionary and its surrounding text, is at least `novelty` bytes a character. Other strings
-    and copies of it are blanked in that text.
+    zstandard size, primed with the identifier dictionary and its surrounding text, is at least `novelty` bytes a character, or
+    0.9 of its alphabet's entropy for hex and for strings of 40 or more. Other strings and copies of it are blanked in that text. The
+    body of a private key block is one string.
     spans lists kind:start:end by start, then kind, comma-joined, in code points; cut is their union. text_key is
     xxhash64 of the text. A null text is an empty one; ids may be null or repeat; an empty table gives an empty one.
     """
@@ -141,7 +152,7 @@ def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col
                 base = list(zip(r["starts"], r["kinds"], r["ends"], strict=True))
                 every = list(base)
                 for a, z, value, around in zip(r["c_start"], r["c_end"], r["c_text"], r["c_around"], strict=True):
-                    if _marginal(around.encode(), value.encode(), squeeze) >= novelty * len(value):
+                    if _marginal(around.encode(), value.encode(), squeeze) >= _needed(value, novelty):
                         every.append((a, 3, z))
                 every.sort()
                 cut: list[list[int]] = []

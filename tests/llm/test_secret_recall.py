@@ -32,13 +32,28 @@ def test_a_token_stated_twice(spark):
 def test_neighbouring_tokens_of_copied_texts(spark):
     r = np.random.default_rng(2)
     cases = []
-    for n in (24, 40):
+    for n in (24, 40, 64):
         for _ in range(20):
             v, w = token(r, n), token(r, n)
             cases += [(f"auth user {v} and bearer {w} end", [v, w])] * 3
     assert share(spark, cases) > 0.98
 
 
+def test_long_tokens(spark):
+    r = np.random.default_rng(3)
+    for alphabet in (MIXED, LOWER, UPPER_HEX):
+        for n in (24, 40, 64, 88, 128, 256, 1024, 4000):
+            found = share(spark, [(f"The credential {v} is kept by the office for later use", [v]) for v in (token(r, n, alphabet) for _ in range(20))])
+            print(len(alphabet), n, found)
+            assert found >= 0.95
+
+
+def test_private_key_block(spark):
+    r = np.random.default_rng(4)
+    body = "\n".join([token(r, 64) for _ in range(12)] + ["Ab3+9w=="])
+    assert share(spark, [(f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----\nmore", [body]) for kind in ("", "RSA ")]) == 1
+
+
 def test_long_identifiers_are_not_novel(spark):
     names = [f"The session configuration_of_the_{w}_connection_manager_for_incoming_requests_{i}" for i, w in enumerate(("first", "second", "other", "remote"))]
     rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()
