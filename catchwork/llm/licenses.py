@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -69,6 +70,23 @@ def paragraphs(text: bytes) -> list[list[bytes]]:
     return [w for line in text.translate(_TABLE).split(b"\n") if (w := line.split())]
 
 
+_MARKS = re.compile(rb"^[ \t\r]*(?:(?://+!?|/\*+|\*+/?|#+|;+|--+|%+|<!--|(?i:rem|dnl)(?=[ \t]))[ \t\r]*)+|[ \t\r]*(?:\*+/|-->)[ \t\r]*$", re.MULTILINE)
+
+
+def blocks(text: bytes) -> list[list[tuple[int, list[bytes]]]]:
+    """Runs of two or more lines up to one without a word, comment marks dropped: (number of the line among paragraphs(text), words) of each."""
+    out: list[list[tuple[int, list[bytes]]]] = [[]]
+    n = 0
+    for whole, line in zip(text.translate(_TABLE).split(b"\n"), text.split(b"\n"), strict=True):
+        if not whole.split():
+            out.append([])
+            continue
+        if w := _MARKS.sub(b"", line).translate(_TABLE).split():
+            out[-1].append((n, w))
+        n += 1
+    return [b for b in out if len(b) > 1]
+
+
 def _pairs(words: list[bytes]) -> set[tuple[bytes, bytes]]:
     return set(zip(words, words[1:], strict=False)) or {(w, b"") for w in words}
 
@@ -109,6 +127,16 @@ def _spans(words: list[bytes]) -> list[list[bytes]]:
     return [words] if len(words) <= SPAN else [words[i : i + SPAN] for i in range(0, len(words) - STRIDE, STRIDE)]
 
 
+def _wrapped(block: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first line, last line, words) of overlapping spans over the joined lines of a block that reach over a line's end."""
+    words = [w for _, line in block for w in line]
+    line = [i for i, own in block for _ in own]
+    for a in range(0, max(1, len(words) - STRIDE), STRIDE):
+        z = min(len(words), a + SPAN) - 1
+        if line[a] != line[z]:
+            yield line[a], line[z], words[a : z + 1]
+
+
 def _variants(words: list[bytes], filler: list[bytes], r: np.random.Generator, n: int) -> Iterator[list[bytes]]:
     """The words themselves, then copies with words dropped, the ends cut or foreign words around."""
     yield words
@@ -192,7 +220,9 @@ def fit(docs: DataFrame, sample: int = 300, most: int = 1500, seed: int = 13, ro
 def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6, least_similarity: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_paragraphs, n_predicted, n_confirmed, families and hits.
 
-    A paragraph is a line with a word; longer ones are read in overlapping spans of 48 words, so whole texts are scored. A span is
+    A paragraph is a line with a word; longer ones are read in overlapping spans of 48 words, so whole texts are scored. Lines up to a blank one
+    are also read joined, comment marks dropped, in such spans, so wrapped notices count once, for the line in which
+    their span begins, unless one of its lines states the family alone. A span is
     predicted as a family whose calibrated probability is at least least_probability, else it is unknown. It is confirmed if
     it holds at least least_similarity of the word pairs of one of the family's templates. hits lists confirmed
     paragraph:family pairs (paragraphs from 0), each once, and families their names, both sorted and comma-joined. A null text is an
@@ -206,15 +236,21 @@ def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6,
         features, classes = _Features(model.words, model.codes), len(FAMILIES) + 1
         for batch in batches:
             for part in slices(batch, "text"):
-                bodies = [paragraphs(t) for t in texts(part, "text")]
+                raw = texts(part, "text")
+                bodies = [paragraphs(t) for t in raw]
                 spans, of = [], []
                 for d, body in enumerate(bodies):
                     for i, p in enumerate(body):
                         own = _spans(p)
                         spans += own
-                        of += [(d, i)] * len(own)
+                        of += [(d, i, i)] * len(own)
+                    for block in blocks(raw[d]):  # after the lines, so that what a line states alone counts for it
+                        for i, j, own in _wrapped(block):
+                            spans.append(own)
+                            of.append((d, i, j))
                 predicted = [0] * len(bodies)
                 found: list[set[tuple[int, str]]] = [set() for _ in bodies]
+                upto: dict[tuple[int, str], int] = {}  # last line of the latest wrapped notice of a family
                 if spans:
                     row, at = features(spans)
                     hit = model.weights[at].any(axis=1)
@@ -225,11 +261,16 @@ def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6,
                     p /= p.sum(axis=1, keepdims=True)
                     top = p[:, :-1].argmax(axis=1)
                     for s in np.flatnonzero(p[np.arange(len(p)), top] >= least_probability).tolist():
-                        d, i = of[s]
+                        d, i, j = of[s]
                         predicted[d] += 1
                         own = _pairs(spans[s])
                         if any(len(own & t) >= least_similarity * len(t) for t in shapes[top[s]]):
-                            found[d].add((i, FAMILIES[top[s]]))
+                            family = FAMILIES[top[s]]
+                            if i == j:
+                                found[d].add((i, family))
+                            elif upto.get((d, family), -1) < i and not any((x, family) in found[d] for x in range(i, j + 1)):
+                                found[d].add((i, family))
+                                upto[d, family] = j
                 names = [",".join(sorted({f for _, f in x})) for x in found]
                 hits = [",".join(f"{i}:{f}" for i, f in sorted(x)) for x in found]
                 columns = [part.column("doc_id"), pa.array([len(b) for b in bodies], pa.int64()), pa.array(predicted, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(names), pa.array(hits)]
