@@ -295,7 +295,7 @@ def spaced(points: DataFrame, least: float) -> DataFrame:
 
 @query("t05_greedy_spacing", "v_px")
 def t05(px: DataFrame) -> DataFrame:
-    x = px.where("ix % 3 = 0 and iy % 3 = 0").select("aoi_id", grid.pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("z_m").alias("z"))
+    x = px.select("aoi_id", grid.pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("z_m").alias("z"))
     return spaced(x, 9.0).select("aoi_id", "key")
 
 
@@ -305,7 +305,7 @@ def n13(px: DataFrame) -> DataFrame:
     from catchwork.operators.grid import nearest_within
 
     far = F.col("aoi_id") * 10_000.0
-    points = px.where("ix % 2 = 0 and iy % 2 = 0").withColumn("point_key", grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")))
+    points = px.withColumn("point_key", grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")))
     water = px.where("landcover = 18").select(grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("seed_key"), (F.col("ix") + far).alias("sx"), F.col("iy").cast("double").alias("sy"))
     near = nearest_within(points.select("point_key", (F.col("ix") + far).alias("x"), F.col("iy").cast("double").alias("y")), water, 3.0)
     close = points.join(near.select("point_key"), "point_key").select("aoi_id", F.col("point_key").alias("key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("z_m").alias("z"))
