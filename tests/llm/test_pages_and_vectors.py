@@ -8,6 +8,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catchwork.llm import vectors, warc
@@ -129,3 +130,36 @@ def test_collision_formula():
 
 def test_no_vectors(spark):
     assert vectors.vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_strangers_a_vector_do_not_grow(spark):
+    """Unrelated vectors: compared pairs a vector stay the same over a hundredfold table, and pairs in a bucket near what the key length aims at."""
+    r, shares = np.random.default_rng(4), []
+    for n in (1_000, 10_000, 100_000):
+        keys = vectors.key_length(n, 2.0, 4.0)
+        tables = 4
+        df = spark.createDataFrame(pa.table({"cell": np.arange(n), "v": pa.array(list(r.standard_normal((n, 32)).astype(np.float32)))}))
+        cells = vectors._sketched(df.selectExpr("cell", "0 as wide", "v"), 11).select("cell", "sketch", "wide", "v")
+        sizes = vectors._hashed(cells, keys, tables, 2.0, 11).groupBy("bucket").count().selectExpr("sum(count * (count - 1))").first()[0]
+        shares.append((sizes / n / tables, vectors.candidate_cells(cells, keys, tables, 2.0, 11).count() / n))
+    assert max(a for a, _ in shares) < 16 and max(a for a, _ in shares) < 2 * min(a for a, _ in shares)
+    assert all(b < 1 for _, b in shares)
+
+
+def test_vectors_of_extreme_length(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [1e300, -1e300])]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in vectors.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_recall_against_brute_force(spark, n):
+    """Clusters of all widths: nearly every brute-force link is found, and no other."""
+    r = np.random.default_rng(n)
+    centres = r.standard_normal((n // 6, 24))
+    x = (centres[r.integers(0, len(centres), n)] + r.standard_normal((n, 24)) * r.choice([0.05, 0.15, 0.2], (n, 1))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}))
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (y @ y.T >= 0.95).sum(axis=1) - 1
+    got = {row.vec_id: row.n_links for row in vectors.vector_groups(df).select("vec_id", "n_links").collect()}
+    assert all(got[i] <= want[i] for i in range(n)) and sum(got.values()) >= 0.995 * want.sum() > 0
