@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from catchwork.frames import written
 from catchwork.llm.words import slices
@@ -23,10 +26,10 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # What makes a place sensitive for the novelty test.
 SENSITIVE = re.compile(r"(?:passw|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential|session)", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "session")
+SHORT = 16
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]{16,}?)\s*-----END ", re.ASCII)
-REACH = 48  # code points after a sensitive word in which a string must begin
-AROUND = 96  # code points of surrounding text that a string is measured against
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END ", re.ASCII)
+PIECE = 512  # the longest pattern of an automaton
 PAD = b"\n" * 64
 LONG = 40  # from this length on, zstandard's entropy coding reaches random strings, so their own entropy bounds what they can cost
 ALPHABETS = ((re.compile(r"[0-9A-F]+|[0-9a-f]+"), 4.0), (re.compile(r"[0-9A-Z]+|[0-9a-z]+"), 5.17), (re.compile(r".+", re.DOTALL), 6.0))  # bits a character
@@ -44,38 +47,79 @@ def _base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Strings with letters and digits that begin within REACH of a sensitive word, and bodies of private key blocks, that touch no base span."""
+def _candidates(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]]:
+    """Strings with letters and digits that begin within reach of a sensitive word, and bodies of private key blocks, that touch no base span.
+
+    One sweep: a run of string characters gives one string at most. It begins at the run's start if a sensitive word ends shortly
+    before, else behind the first sensitive word within the run that leaves a string.
+    """
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    free = lambda a, z, spans: not any(x < z and a < y for x, y in spans)
-    held = [(a, z) for a, _, z in base]
-    blocks = [m.span(1) for m in PEM.finditer(text) if free(*m.span(1), held)]
-    found = set(blocks)
-    for m in SENSITIVE.finditer(text):
-        for near in STRING.finditer(text, m.end(), m.end() + REACH + 16):
-            s = STRING.match(text, near.start())  # whole, also beyond the reach
-            if re.search("[0-9]", s[0]) and re.search("[A-Za-z]", s[0]) and free(*s.span(), held + blocks):
-                found.add((s.start(), s.end()))
-    whole: list[tuple[int, int]] = []
-    for a, z in sorted(found, key=lambda x: (x[0], -x[1])):  # a sensitive word may stand within a string; its rest is no string of its own
-        if not whole or z > whole[-1][1]:
-            whole.append((a, z))
-    return whole
+    held = _union([(a, z) for a, _, z in base])
+    blocks = []
+    for m in PEM.finditer(text):
+        a, z = m.start(1) + len(m[1]) - len(m[1].lstrip()), m.start(1) + len(m[1].rstrip())
+        if z - a >= SHORT and _held_before(held, z) <= a:
+            blocks.append((a, z))
+    ends = [m.end() for m in SENSITIVE.finditer(text)]
+    held = _union(held + blocks)
+    out = list(blocks)
+    for run in STRING.finditer(text) if ends else ():
+        first, z = run.span()
+        at = bisect.bisect_left(ends, first - reach)
+        if at == len(ends) or ends[at] > z - SHORT:
+            continue
+        least = max(first, _held_before(held, z))
+        a = first if ends[at] <= first and least == first else ends[i] if (i := bisect.bisect_left(ends, max(least, first + 1))) < len(ends) else z
+        if z - a >= SHORT:
+            s = text[a:z]
+            if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
+                out.append((a, z))
+    return sorted(out)
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans' union as ascending spans apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], z)
+        else:
+            out.append((a, z))
+    return out
+
+
+def _held_before(held: list[tuple[int, int]], z: int) -> int:
+    """Where the last of the spans that begin before z ends."""
+    i = bisect.bisect_left(held, (z, -1))
+    return held[i - 1][1] if i else 0
+
+
+def _blanked(text: str, spans: Iterable[tuple[int, int]]) -> str:
+    parts, at = [], 0
+    for a, z in spans:
+        parts += [text[at:a], " " * (z - a)]
+        at = z
+    return "".join(parts) + text[at:]
 
 
 def _masked(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with spaces for the spans and for every other copy of what they hold, so that no string is measured against itself."""
-    values = {text[a:z] for a, z in spans}
+    """The text with spaces for the spans and for every other copy of what they hold, so that no string is measured against itself. One automaton finds the copies; long spans go into it in even pieces, which keeps it flat."""
+    if not spans:
+        return text
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for a, z in spans:
-        text = text[:a] + " " * (z - a) + text[z:]
-    for v in sorted(values, key=len, reverse=True):
-        text = text.replace(v, " " * len(v))
-    return text
+        pieces = -(-(z - a) // PIECE)
+        for i in range(pieces):
+            piece = text[a + (z - a) * i // pieces : a + (z - a) * (i + 1) // pieces]
+            automaton.add_word(piece, len(piece))
+    automaton.make_automaton()
+    text = _blanked(text, _union(spans))
+    return _blanked(text, ((end - n + 1, end + 1) for end, n in automaton.iter_long(text)))
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, reach: int, beside: int) -> DataFrame:
     """Base spans of every row, and its candidates with the text around them."""
     schema = "doc_id long, text_key long, starts array<int>, kinds array<int>, ends array<int>, c_start array<int>, c_end array<int>, c_text array<string>, c_around array<string>"
 
@@ -86,12 +130,12 @@ def _scan(docs: DataFrame) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     text = text or ""
                     base = _base(text)
-                    cand = _candidates(text, base)
+                    cand = _candidates(text, base, reach)
                     spans.append(base)
                     cands.append(cand)
                     values.append([text[a:z] for a, z in cand])
                     rest = _masked(text, cand + [(a, z) for a, _, z in base]) if cand else text
-                    around.append([re.sub(" +", " ", rest[max(0, a - AROUND) : a] + "\n" + rest[z : z + AROUND]) for a, z in cand])
+                    around.append([re.sub(" +", " ", rest[max(0, a - beside) : a] + "\n" + rest[z : z + beside]) for a, z in cand])
                 columns = [part.column("doc_id"), part.column("text_key")]
                 columns += [pa.array([[s[i] for s in x] for x in spans], pa.list_(pa.int32())) for i in (0, 1, 2)]
                 columns += [pa.array([[c[i] for c in x] for x in cands], pa.list_(pa.int32())) for i in (0, 1)]
@@ -101,19 +145,26 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def identifier_dictionary(scan: DataFrame, most: int = 2000) -> bytes:
-    """Identifier parts next to and in candidates by number of sources: the most frequent last, where zstandard finds them cheapest. At most `most` of them, so the size is bounded.
+def identifier_dictionary(scan: DataFrame, most_bytes: int = 32_768, longest: int = 256) -> bytes:
+    """Identifier parts next to and in candidates by number of sources: the most frequent last, where zstandard finds them cheapest, as many as most_bytes hold.
 
-    A source is a different text, or a different candidate; a part in a mixed run of letters and digits counts once for each
-    different run. So copies of a text or of a token, also behind another name, never make its own parts known.
+    A part is a run of 3 to `longest` letters. A source is a different text, or a different candidate; a part in a mixed run of
+    letters and digits counts once for each different run, and a part of one source only is not known yet. So copies of a text or of a token,
+    also behind another name, never make its own parts known.
     """
     parts = lambda c: F.explode(F.array_distinct(F.expr(f"regexp_extract_all({c}, '[A-Za-z]{{3,}}', 0)"))).alias("part")
     near = scan.where("size(c_around) > 0").select(F.concat_ws(" ", "c_around").alias("around"), F.lit("text").alias("kind"), F.col("text_key").cast("string").alias("source"))
     near = near.select(parts("around"), "kind", "source")
     runs = scan.select(F.explode("c_text").alias("value")).distinct().select("value", F.explode(F.expr("regexp_extract_all(value, '[A-Za-z0-9+/]+', 0)")).alias("run"))
-    runs = runs.select(parts("run"), F.lit("run").alias("kind"), F.expr("if(run rlike '^[A-Za-z]+$', value, run)").alias("source"))
-    top = near.union(runs).distinct().groupBy("part").count().where("count > 1").orderBy(F.desc("count"), "part").limit(most).collect()
-    return b" ".join(r.part[:64].encode() for r in reversed(top))
+    runs = runs.select(parts("run"), F.lit("run").alias("kind"), F.expr("md5(if(run rlike '^[A-Za-z]+$', value, run))").alias("source"))
+    every = near.union(runs).where(F.length("part") <= longest).distinct().groupBy("part").count().where("count > 1")
+    top = every.orderBy(F.desc("count"), "part").limit(most_bytes // 4).collect()  # a part and a space are 4 bytes or more
+    kept, size = [], 0
+    for r in top:
+        size += len(r.part) + 1
+        if size <= most_bytes:
+            kept.append(r.part.encode())
+    return b" ".join(reversed(kept))
 
 
 def _marginal(around: bytes, value: bytes, squeeze: zstandard.ZstdCompressor) -> int:
@@ -127,20 +178,20 @@ def _needed(value: str, novelty: float) -> float:
     return len(value) * (min(novelty, 0.9 * bits / 8) if bits == 4 or len(value) >= LONG else novelty)
 
 
-def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, novelty: float = 0.8, reach: int = 48, beside: int = 96, dictionary_bytes: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_assign, n_access, n_hex, n_novel, base_sha256, spans, cut array<struct<start, end>>) for every row of docs.
 
     Base spans are the leftmost matches of each kind that do not overlap others of the kind. The method adds `novel` ones: a
-    string of 16 or more characters with letters and digits, within 48 characters after a sensitive word, whose marginal
-    zstandard size, primed with the identifier dictionary and its surrounding text, is at least `novelty` bytes a character, or
+    string of 16 or more characters with letters and digits, within `reach` characters after a sensitive word, whose marginal
+    zstandard size, primed with the identifier dictionary (dictionary_bytes at most) and the `beside` characters on either side of it, is at least `novelty` bytes a character, or
     0.9 of its alphabet's entropy for hex and for strings of 40 or more. Other strings and copies of it are blanked in that text. The
     body of a private key block is one string.
     spans lists kind:start:end by start, then kind, comma-joined, in code points; cut is their union. text_key is
     xxhash64 of the text. A null text is an empty one; ids may be null or repeat; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scan = written(_scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))), "secret_scan")
-    primer = scan.sparkSession.sparkContext.broadcast(identifier_dictionary(scan, most))  # `most` words bound it
+    scan = written(_scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")), reach, beside), "secret_scan")
+    primer = scan.sparkSession.sparkContext.broadcast(identifier_dictionary(scan, dictionary_bytes))  # dictionary_bytes bounds it
     schema = "doc_id long, text_key long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, cut array<struct<start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +206,7 @@ def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col
                     if _marginal(around.encode(), value.encode(), squeeze) >= _needed(value, novelty):
                         every.append((a, 3, z))
                 every.sort()
-                cut: list[list[int]] = []
-                for a, _, z in every:
-                    if cut and a <= cut[-1][1]:
-                        cut[-1][1] = max(cut[-1][1], z)
-                    else:
-                        cut.append([a, z])
+                cut = _union([(a, z) for a, _, z in every])
                 listed = [",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in x) for x in (base, every)]
                 n = [sum(k == i for _, k, _ in every) for i in range(4)]
                 out.append((r["doc_id"], r["text_key"], *n, hashlib.sha256(listed[0].encode()).hexdigest(), listed[1], [{"start": a, "end": z} for a, z in cut]))
@@ -171,15 +217,30 @@ def find_secrets(docs: DataFrame, novelty: float = 0.8, most: int = 2000, id_col
     return scan.mapInArrow(run, schema)
 
 
+@F.arrow_udf(StringType())
+def _replaced(text: pa.Array, cut: pa.Array, mark: pa.Array) -> pa.Array:
+    """Each text with mark for its cuts, assembled in one pass; null where there is no cut."""
+    out = []
+    for t, spans, m in zip(text.to_pylist(), cut.to_pylist(), mark.to_pylist(), strict=True):
+        if t is None or spans is None:
+            out.append(None)
+            continue
+        parts, at = [], 0
+        for s in spans:
+            parts += [t[at : s["start"]], m]
+            at = s["end"]
+        out.append("".join(parts) + t[at:])
+    return pa.array(out, pa.string())
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """docs with every found span replaced by mark; n_chars, where there is such a column, follows the new text. All rows and columns stay."""
-    found = find_secrets(docs, **options).where("size(cut) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "cut")
-    found = written(found.dropDuplicates(["_id", "_key"]).withColumnRenamed("cut", "_cut"), "secret_cuts")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(found, keyed.doc_id.cast("long").eqNullSafe(found._id) & (keyed._text_key == found._key), "left")
-    cut = F.aggregate(F.reverse("_cut"), F.col("text"), lambda t, c: F.concat(F.substring(t, F.lit(1), c["start"]), F.lit(mark), F.substring(t, c["end"] + 1, F.length(t))))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(cut)
-    out = both.withColumn("text", text)
+    """docs with every found span replaced by mark; n_chars, where there is such a column, follows the new text. All rows and columns stay; other columns may have any name but those that begin with `_secret_`."""
+    found = find_secrets(docs, **options).where("size(cut) > 0").select(F.col("doc_id").alias("_secret_id"), F.col("text_key").alias("_secret_key"), "cut")
+    found = written(found.dropDuplicates(["_secret_id", "_secret_key"]).withColumnRenamed("cut", "_secret_cut"), "secret_cuts")
+    keyed = docs.withColumn("_secret_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = keyed.join(found, keyed.doc_id.cast("long").eqNullSafe(found._secret_id) & (keyed._secret_text == found._secret_key), "left")
+    cut = F.col("_secret_cut").isNotNull()
+    out = both.withColumn("_secret_new", _replaced(F.when(cut, F.col("text")), "_secret_cut", F.lit(mark))).withColumn("text", F.coalesce("_secret_new", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
