@@ -171,6 +171,14 @@ def candidate_cells(cells: DataFrame, keys: int, tables: int, width: float, seed
     return l.join(r, "bucket").where(near).select("cell_a", "cell_b").distinct()
 
 
+def _of_cell(rows: DataFrame, info: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with the columns of info, one row for each cell c. hot holds the numbers of cells with very many members: these have a broadcast join, so no task gets all rows of one."""
+    keyed = F.broadcast(hot)
+    few = rows.join(F.broadcast(info.join(keyed, "c")), F.col("cell") == F.col("c"))
+    rest = rows.join(keyed, F.col("cell") == F.col("c"), "left_anti").join(info, F.col("cell") == F.col("c"))
+    return few.unionByName(rest)
+
+
 def vector_groups(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.997, width: float = 2.0, partners: float = 4.0, seed: int = 11, block: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
@@ -205,12 +213,12 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.95, recall: float = 0
     size = cells.groupBy(F.col("cell").alias("c")).agg(F.sum("copies").alias("in_cell"), F.count("*").alias("members"), F.min("least_id").alias("cell_least"))
     size = written(size, "vector_sizes")
 
-    shared = size.where("members > 1").select("c", "members")
-    sized = cells.join(shared, cells.cell == shared.c, "left").select("cell", "sketch", F.when(F.col("members") > 1, WIDE).otherwise(0).alias("wide"), "v")
+    hot = size.where(F.col("members") > max(100, n // 100_000)).select("c")  # 100,000 rows at most
+    sized = _of_cell(cells, size.select("c", "members"), hot).select("cell", "sketch", F.when(F.col("members") > 1, WIDE).otherwise(0).alias("wide"), "v")
     keys = fitted_keys(cells.where("node = cell").select("cell", "sketch", F.lit(0).alias("wide"), "v"), n, width, partners, seed + 2)
     pairs = written(candidate_cells(sized, keys, table_count(keys, threshold, width, recall), width, seed), "vector_pairs")
     met = pairs.select(F.col("cell_a").alias("c")).union(pairs.select("cell_b")).distinct()
-    few = cells.join(size.join(met, "c"), cells.cell == F.col("c")).withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)))
+    few = _of_cell(cells.select("node", "copies", "cell", "v"), size.select("c", "members").join(met, "c"), hot).withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)))
     packed = few.groupBy("cell", "piece").agg(F.collect_list(F.struct("node", "copies", "v")).alias("m"))
     packed = written(packed.select("cell", F.col("m.node").alias("nodes"), F.col("m.copies").alias("copies"), F.flatten("m.v").alias("vs")), "vector_blocks")
     pa_, pb = (packed.select(F.col("cell").alias(f"cell_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in ("nodes", "copies", "vs"))) for s in "ab")
@@ -222,8 +230,8 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.95, recall: float = 0
     least = rooted.groupBy(F.col("root").alias("g")).agg(F.min("cell_least").alias("component_id"))
     by_cell = rooted.join(least, rooted.root == least.g).select("c", "in_cell", "component_id")
     extra = cross.groupBy(F.col("node").alias("e")).agg(F.sum("links").alias("extra"))
-    by_node = cells.join(by_cell, cells.cell == by_cell.c).join(extra, cells.node == extra.e, "left")
-    by_node = by_node.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), (F.col("in_cell") - 1 + F.coalesce("extra", F.lit(0))).alias("n_links"), "component_id")
+    by_node = _of_cell(cells.select("node", "cell", "t1", "t2"), by_cell, hot)
+    by_node = by_node.join(extra, by_node.node == extra.e, "left").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), (F.col("in_cell") - 1 + F.coalesce("extra", F.lit(0))).alias("n_links"), "component_id")
     keyed = written(by_node, "vector_result")
     flat = rows.drop("v")
     done = flat.join(keyed, flat.good & (flat.t1 == keyed.k1) & (flat.t2 == keyed.k2), "left")
