@@ -8,15 +8,17 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 from typing import Any, BinaryIO
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchwork.frames import new_path, written
+from catchwork.frames import new_path, prefix_sum, written
 
 INDEX = "url_key string, captured long, page_id long, archive string, record int, byte_at long, byte_len long, run_pos int"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -30,7 +32,13 @@ def url_key(url: Column) -> Column:
     return F.concat(F.concat_ws(",", F.reverse(F.split(host, r"\."))), F.lit(")"), rest)
 
 
+START, LAST = 1704067200, 253402300799  # 2024-01-01, and the last second of the year 9999
+
+
 def _date(seconds: int) -> str:
+    """Capture times that no four-digit year since 1970 can state are folded into the 2**32 seconds after 2024-01-01; the order of captures keeps the full number."""
+    if not 0 <= seconds <= LAST:
+        seconds = START + seconds % (1 << 32)
     return dt.datetime.fromtimestamp(seconds, dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
@@ -65,7 +73,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 16 << 20)
 
         def closed() -> pa.RecordBatch:
             out.close()
-            rows.sort(key=lambda r: (r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"], r["record"]))
+            rows.sort(key=lambda r: (r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"], r["record"]))
             for i, r in enumerate(rows):
                 r["run_pos"] = i
             schema = pa.schema([("url_key", pa.string()), ("captured", pa.int64()), ("page_id", pa.int64()), ("archive", pa.string()), ("record", pa.int32()), ("byte_at", pa.int64()), ("byte_len", pa.int64()), ("run_pos", pa.int32())])
@@ -104,7 +112,7 @@ def _records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """One written row for each record of the archives that index names, an archive to a task: archive, record, what its headers say and, if wanted, its payload. The payload of each response must have the digest that its header states."""
+    """One written row for each record of the archives that index names, dealt by their names over as many tasks: archive, record, what its headers say and, if wanted, its payload. The payload of each response must have the digest that its header states."""
     schema = "archive string, record int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,39 +179,71 @@ class LoserTree:
             self._play(i)
 
 
-def merge_index(index: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
-    """index with merge_pos, its place in the order of url_key, captured, page_id, archive, record over all runs.
+KEYS = ["url_key", "captured", "page", "archive", "record"]
+_MERGED = pa.schema([("run", pa.int64()), *((f, pa.string() if f in ("url_key", "archive") else pa.int32() if f == "record" else pa.int64()) for f in KEYS), ("part", pa.int32()), ("pos", pa.int64())])
 
-    The keys' ranges deal slices of every run over tasks; a task merges its slices with a loser tree, and the number of rows
-    before its range is added. The range keys include the archive and record, so a URL with a third of all captures spans many tasks.
-    """
-    parts = max(8, index.count() // rows_a_part + 1)
-    dealt = index.withColumn("_page", F.coalesce("page_id", F.lit(-1))).repartitionByRange(parts, "url_key", "captured", "_page", "archive", "record").drop("_page")
+
+def _merged_pass(runs: DataFrame, groups: int, parts: int) -> DataFrame:
+    """One pass: the runs of each of so many groups become one run, whose order is part, pos. A task merges the slices that a range of keys cuts from a group's runs."""
+
+    def merged(slices: dict[int, pa.Table], group: int, part: int) -> pa.RecordBatch:
+        columns = {r: [t.column(c).to_pylist() for c in KEYS] for r, t in slices.items()}
+        order = list(LoserTree([zip(zip(*columns[r], strict=True), zip(repeat(r), range(slices[r].num_rows)), strict=False) for r in sorted(columns)]))
+        picked = [[columns[r][k][i] for r, i in order] for k in range(len(KEYS))]
+        values = [[group] * len(order), *picked, [part] * len(order), range(len(order))]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _MERGED, strict=True)], schema=_MERGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                runs.setdefault(r["archive"], []).append(r)
-        slices = []
-        for name in sorted(runs):
-            rows = runs[name]
-            if any(a["run_pos"] > b["run_pos"] for a, b in zip(rows, rows[1:], strict=False)):  # a shuffle may reorder blocks
-                rows.sort(key=lambda r: r["run_pos"])
-            slices.append(((r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"], r["archive"], r["record"]), r) for r in rows)
         part = TaskContext.get().partitionId()
-        merged = [{"archive": r["archive"], "record": r["record"], "url_key": r["url_key"], "captured": r["captured"], "merge_part": part, "part_pos": i} for i, r in enumerate(LoserTree(slices))]
-        if merged:
-            yield pa.RecordBatch.from_pylist(merged, schema=pa.schema([("archive", pa.string()), ("record", pa.int32()), ("url_key", pa.string()), ("captured", pa.int64()), ("merge_part", pa.int32()), ("part_pos", pa.int64())]))
+        held: list[pa.RecordBatch] = []
+
+        def closed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            of = table.column("run").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            return merged({int(of[a]): table.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)}, table.column("grp")[0].as_py(), part)
+
+        for batch in batches:  # by group, run and order in the run
+            group = batch.column("grp").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                piece = batch.slice(a, z - a)
+                if held and held[0].column("grp")[0] != piece.column("grp")[0]:
+                    yield closed()
+                    held = []
+                if z > a:
+                    held.append(piece)
+        if held:
+            yield closed()
+
+    dealt = runs.withColumn("grp", F.pmod(F.xxhash64("run"), F.lit(groups))).repartitionByRange(parts, "grp", *KEYS).sortWithinPartitions("grp", "run", "part", "pos")
+    return dealt.mapInArrow(run, "run long, url_key string, captured long, page long, archive string, record int, part int, pos long")
 
-    merged = written(dealt.mapInArrow(run, "archive string, record int, url_key string, captured long, merge_part int, part_pos long"), "warc_merged")
-    counts = {r["merge_part"]: r["count"] for r in merged.groupBy("merge_part").count().collect()}  # one row for each range
-    before, total = [], 0
-    for p in range(max(counts, default=0) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    base = F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in before)), F.col("merge_part") + 1)
-    return merged.withColumn("merge_pos", base + F.col("part_pos")).drop("part_pos")
+
+def merge_index(index: DataFrame, rows_a_part: int = 100_000, width: int = 64) -> DataFrame:
+    """(archive, record, url_key, captured, merge_part, merge_pos) of index; merge_pos is the place in the order of url_key, captured, page_id, archive, record over all runs.
+
+    Passes merge about `width` runs into one, from files to files, until one run is left: each archive's sorted index is a run of the first
+    pass. In a pass the runs of a group are cut at common keys into ranges of about rows_a_part rows, and a task merges its slices of
+    these runs with a loser tree, so tasks stay bounded and slices have many rows however many runs there are. The range keys
+    include the archive and record, so a URL with a third of all captures spans many tasks. A null page_id is below all others.
+    """
+    n = index.count()
+    parts = max(8, n // rows_a_part + 1)
+    page = F.coalesce("page_id", F.lit(-(1 << 63)).cast("long")).alias("page")
+    runs = index.select(F.xxhash64("archive").alias("run"), "url_key", "captured", page, "archive", "record", F.lit(0).alias("part"), F.col("run_pos").cast("long").alias("pos"))
+    left = index.select("archive").distinct().count()
+    while True:
+        groups = -(-left // width) or 1
+        runs = written(_merged_pass(runs, groups, parts), "warc_merged")
+        if groups == 1:
+            break
+        left = groups
+    step = (1 << 60) // (runs.agg(F.max("part")).first()[0] + 1) if n else 1  # parts, spread over the range that prefix_sum cuts
+    counts = runs.groupBy(F.col("part").alias("merge_part")).agg(F.count("*").alias("rows")).withColumn("all", F.lit(0)).withColumn("at", F.col("merge_part").cast("long") * step)
+    ends = prefix_sum(counts, ["all"], "at", [], F.col("rows"), "upto", parts)
+    base = written(ends.select("merge_part", (F.col("upto") - F.col("rows")).alias("before")), "warc_bases")
+    return runs.withColumnRenamed("part", "merge_part").join(base, "merge_part").select("archive", "record", "url_key", "captured", "merge_part", (F.col("before") + F.col("pos")).alias("merge_pos"))
 
 
 def archived_pages(pages: DataFrame, least_bytes: int = 0, captured: Column | None = None, folder: str | None = None) -> DataFrame:
@@ -212,11 +252,12 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0, captured: Column | No
     Of records with equal payloads of least_bytes or more, that with the largest page_id is the response and the others revisit it
     (further rows with that same page_id are responses too); smaller ones are all responses. A null html is an empty payload;
     a null url is an empty one; a null page_id is below all others. captured is the capture time in epoch seconds, by default page_id
-    seconds after 2024-01-01. An empty table gives an empty one. Gives page_id, payload_bytes, payload_digest, record_type,
+    seconds after 2024-01-01 (page_id itself where that sum leaves 64 bits, 2024-01-01 where it is null); a null captured is 0. An empty table gives an empty one. Gives page_id, payload_bytes, payload_digest, record_type,
     refers_to, url_key, captured, archive, record and merge_pos, the place of the capture in the merged index.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
-    when = captured if captured is not None else F.lit(1704067200).cast("long") + F.coalesce("page_id", F.lit(0))
+    own = F.col("page_id").cast("long")
+    when = F.coalesce(captured.cast("long"), F.lit(0)) if captured is not None else F.coalesce(F.try_add(F.lit(START).cast("long"), own), own, F.lit(START).cast("long"))
     body = F.coalesce("html", F.lit(""))
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(body).alias("sha1"), F.octet_length(body).alias("size"), when.alias("captured"), url_key(F.col("url")).alias("url_key"))
     same = slim.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("newest")).where("n > 1")

@@ -57,6 +57,30 @@ def test_payloads_round_trip(spark):
     assert read.select("archive").distinct().count() > 1
 
 
+def test_ids_of_64_bits(spark):
+    ids = [10**15, 1 << 60, (1 << 63) - 1, -(1 << 63), -5, None, 253402300799]
+    pages = spark.createDataFrame([(i, "http://a.org/", f"p{n}") for n, i in enumerate(ids)], "page_id long, url string, html string")
+    rows = sorted(warc.archived_pages(pages).collect(), key=lambda r: r.merge_pos)
+    assert sorted(map(str, ids)) == sorted(str(r.page_id) for r in rows) and {r.record_type for r in rows} == {"response"}
+    keys = [(r.captured, r.page_id is not None, r.page_id) for r in rows]
+    assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("width", [2, 3, 64])
+def test_merge_in_passes(spark, width):
+    """Many small runs, merged in several passes, against one sort; a third of the captures are of one URL."""
+    r = random.Random(width)
+    rows = []
+    for a in range(23):
+        own = sorted((("hot)/" if r.random() < 0.34 else f"h{r.randrange(40)})/"), r.randrange(50), r.randrange(9)) for _ in range(r.randrange(1, 60)))
+        rows += [(u, c, p or None, f"a{a}", i, i) for i, (u, c, p) in enumerate(own)]
+    index = spark.createDataFrame(rows, "url_key string, captured long, page_id long, archive string, record int, run_pos int")
+    got = sorted(warc.merge_index(index, rows_a_part=20, width=width).collect(), key=lambda x: x.merge_pos)
+    assert [x.merge_pos for x in got] == list(range(len(rows)))
+    want = sorted((u, c, p is not None, p or 0, a, i) for u, c, p, a, i, _ in rows)
+    assert [(x.url_key, x.captured, x.archive, x.record) for x in got] == [(w[0], w[1], w[4], w[5]) for w in want]
+
+
 def test_no_pages(spark):
     assert warc.archived_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
