@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catchwork.frames import written
 from catchwork.llm.words import Words, rolling, slices, spread, texts
 
 BITS = 15
@@ -102,7 +103,7 @@ def _dup_lines(text: bytes) -> int:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """Features of at most `most` labelled documents: those whose ids have the least hash. Labels that are neither 0 nor 1, and null ids, don't count; of several labels of an id the least holds."""
+    """Features of at most `most` labelled documents, one row an id: those whose ids have the least hash. Labels that are neither 0 nor 1, and null ids, don't count; of several labels of an id the least holds, of several texts the least."""
     picked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = picked.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).orderBy("order", "doc_id").limit(most)
 
@@ -111,52 +112,65 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> D
             for part in slices(batch, "text"):
                 grams = _Grams(texts(part, "text"))
                 pairs = [grams.counts(i) for i in range(part.num_rows)]
-                columns = [part.column("order"), part.column("quality"), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["order", "quality", "at", "value"])
+                columns = [part.column("order"), part.column("quality"), pa.array([len(p[0]) for p in pairs], pa.int32()), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["order", "quality", "n", "at", "value"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # `most` rows bound the broadcast
-    return rows.select("order", "quality", "text").mapInArrow(run, "order long, quality int, at array<int>, value array<float>")
+    rows = rows.groupBy("doc_id", "order", "quality").agg(F.min("text").alias("text"))  # each task sends one text an id at most
+    return rows.select("order", "quality", "text").mapInArrow(run, "order long, quality int, n int, at array<int>, value array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, seed: int = 7, rounds: int = 160, l2: float = 1e-4) -> Model | None:
-    """Logistic regression on the bounded sample; a fifth of it, never trained on, calibrates and measures it.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, most_features: int = 8_000_000, seed: int = 7, rounds: int = 160, l2: float = 1e-4) -> Model | None:
+    """Logistic regression on a bounded sample: labelled documents in hashed order, `most` rows and most_features features (8 bytes each) at most.
 
-    None when the sample lacks either class.
+    A fifth of them, never trained on, is held out: one half calibrates, the other one measures. None when the sample lacks either class.
     """
-    table = training_rows(docs, labels, most, seed).toArrow()  # at most `most` rows
-    table = table.append_column("n", pc.list_value_length(table.column("at"))).sort_by([("order", "ascending"), ("quality", "ascending"), ("n", "ascending")]).combine_chunks()
+    rows = written(training_rows(docs, labels, most, seed).where("n > 0"), "quality_sample")
+    sizes = rows.select("order", "n").toArrow().sort_by("order")  # `most` pairs of numbers
+    fits = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy().astype(np.int64)) <= most_features)
+    if len(fits) < 10:
+        return None
+    table = rows.where(F.col("order") <= sizes.column("order")[int(fits[-1])].as_py()).toArrow()  # most_features bounds it
+    table = table.sort_by([("order", "ascending"), ("quality", "ascending"), ("n", "ascending")]).combine_chunks()
     y = 1.0 - table.column("quality").to_numpy()
-    if len(y) < 10 or y.min() == y.max():
+    if y.min() == y.max():
         return None
     held = np.arange(len(y)) % 5 == 0
     if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
         held[:] = False
+    n = table.column("n").to_numpy().astype(np.int64)
     at = pc.list_flatten(table.column("at")).to_numpy().astype(np.int32)
     value = pc.list_flatten(table.column("value")).to_numpy().astype(np.float32) * np.float32(SCALE)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), table.column("n").to_numpy())
     del table
-    pieces = [slice(a, a + (1 << 19)) for a in range(0, len(at), 1 << 19)]  # temporary arrays stay small
+    begins = np.cumsum(n) - n
+    by_feature = np.argsort(at, kind="stable").astype(np.int32)
+    features, starts = np.unique(at[by_feature], return_index=True)
+    row_of = np.repeat(np.arange(len(y), dtype=np.int32), n)[by_feature]
+    value_of = value[by_feature]
+    del by_feature
     share = y[~held].mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * ~held  # held-out rows weigh nothing
 
     def scores() -> np.ndarray:
-        return sum(np.bincount(row[s], value[s] * w[at[s]], minlength=len(y)) for s in pieces) + bias
+        return np.add.reduceat(value * w.astype(np.float32)[at], begins).astype(np.float64) + bias
 
     w, bias = np.zeros(3 * SIZE), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for i in range(1, rounds + 1):
         error = (1 / (1 + np.exp(-np.clip(scores(), -30, 30))) - y) * cost / cost.sum()
-        g, gb = sum(np.bincount(at[s], value[s] * error[row[s]], minlength=len(w)) for s in pieces) + l2 * w, error.sum()
+        g, gb = l2 * w, error.sum()
+        g[features] += np.add.reduceat(value_of * error.astype(np.float32)[row_of], starts)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.05 * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
         w -= step * m / (np.sqrt(v) + 1e-8)
         bias -= step * mb / (np.sqrt(vb) + 1e-8)
     z = scores()
-    by = held if held.any() else ~held
+    first = held & (np.arange(len(y)) % 10 == 0)
+    apart = held.any() and all(y[x].min() < y[x].max() for x in (first, held & ~first))
+    by, on = (first, held & ~first) if apart else (~held, ~held) if not held.any() else (held, held)
     slope, shift = _calibrated(z[by], y[by])
-    p = 1 / (1 + np.exp(-np.clip(slope * z[by] + shift, -30, 30)))
-    bad = p >= 0.5
-    report = {"rows": len(y), "held_out": int(held.sum()), "accuracy": float((bad == (y[by] == 1)).mean()), "low_found": float(bad[y[by] == 1].mean()), "high_lost": float(bad[y[by] == 0].mean())}
+    bad = 1 / (1 + np.exp(-np.clip(slope * z[on] + shift, -30, 30))) >= 0.5
+    report = {"rows": len(y), "measured": int(on.sum()), "apart": bool(apart), "accuracy": float((bad == (y[on] == 1)).mean()), "low_found": float(bad[y[on] == 1].mean()), "high_lost": float(bad[y[on] == 0].mean())}
     return Model((w * SCALE).astype(np.float32), float(bias), slope, shift, report)
 
 
@@ -183,7 +197,8 @@ def quality_rules(docs: DataFrame, model: Model | None, reject_at: float = 0.9,
     Words are maximal runs without ASCII white space. base_failed: under 10 words, or over a fifth of the words in 5-word
     windows that occur twice in the text. kept is false if base_failed, else p_low < reject_at; without a model (no labels of
     both classes) p_low is null and the rules alone decide. A null text is an empty one and fails; ids may be null or
-    repeat; an empty table gives an empty one. With keep_columns the columns of docs come first, ours follow with a leading `q_`.
+    repeat; an empty table gives an empty one. With keep_columns the columns of docs come first, ours follow with a leading `q_`; a
+    column of docs that has such a name, in any case, gives way.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_low", "kept"]
@@ -211,11 +226,19 @@ def quality_rules(docs: DataFrame, model: Model | None, reject_at: float = 0.9,
                 head = part.schema.names if keep_columns else ["doc_id"]
                 yield pa.RecordBatch.from_arrays(columns, names=head + [("q_" if keep_columns else "") + x for x in names])
 
-    rows = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ours = {f"q_{x}" for x in names}
+    rows = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in ours)) if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) if keep_columns else "doc_id long"
     return rows.mapInArrow(run, f"{head}, " + ", ".join(("q_" if keep_columns else "") + f"{a} {b}" for a, b in zip(names, types, strict=True)))
 
 
+def kept_documents(docs: DataFrame, model: Model | None, **options) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns, whatever these are called."""
+    names = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = quality_rules(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in names.items())), model, keep_columns=True, **options).where("q_kept")
+    return kept.select(*(F.col(x).alias(c) for c, x in names.items()))
+
+
 def _continued(text: bytes) -> int:
     """Bytes that continue a code point."""
     return int((np.frombuffer(text, dtype=np.uint8) & 0xC0 == 0x80).sum())

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from catchwork.llm import licenses, mixing, packing, phrases, quality, secrets, sharding, simhash
 
@@ -142,6 +143,25 @@ def test_quality_without_labels(spark, docs):
 def test_quality_keeps_columns(spark, docs):
     out = quality.quality_rules(docs, None, keep_columns=True)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
+    clash = docs.withColumn("q_kept", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("Q_n_words", F.lit(None))
+    given = quality.quality_rules(clash, None, keep_columns=True)
+    assert sorted(given.columns) == sorted([*docs.columns, "row", *(c for c in out.columns if c.startswith("q_"))])
+    kept = quality.kept_documents(clash, None)
+    assert kept.columns == clash.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in out.where("q_kept").collect())
+
+
+def test_training_sample_is_bounded(spark):
+    """One id on a third of all rows, and texts with many features: the sample has one row an id and the stated number of features."""
+    rows = [(7, f"repeated text number {i} of the same id with words") for i in range(400)] + [(i, " ".join(f"w{i * 31 + j}" for j in range(40))) for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [7, *range(100, 900)]] + [(7, 0)] * 5, "doc_id long, quality int")
+    sample = quality.training_rows(docs, labels, 10_000, 7).collect()
+    assert len(sample) == 801
+    model = quality.fit(docs, labels, most_features=20_000)
+    sizes = [r.n for r in sorted(sample, key=lambda r: r.order)]
+    assert 0 < model.report["rows"] < 801 and sum(sizes[: model.report["rows"]]) <= 20_000 < sum(sizes[: model.report["rows"] + 1])
+    assert quality.fit(docs, labels, most_features=10) is None
 
 
 def base_spans(t):
