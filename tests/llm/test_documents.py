@@ -290,11 +290,52 @@ def test_mixed_rows(spark, docs):
     assert Counter({(i, hashlib.md5(t.encode()).hexdigest()): c for (i, t), c in n.items()}) == chosen
 
 
+def fitted(sizes, capacities, overhead):
+    """Packed by the least-cost plan without a square term."""
+    cost = {c: packing.bin_cost(c, overhead, 1 << 40) for c in capacities}
+    return packing.best_fit(sizes, capacities, packing.planned(sizes, capacities, cost))
+
+
 def test_best_fit_rule():
-    where, capacity = packing.best_fit([7, 5, 5, 3, 2, 1], [4, 8], 1)
+    where, capacity = fitted([7, 5, 5, 3, 2, 1], [4, 8], 1)
     assert where == [0, 1, 2, 1, 2, 0] and capacity == [8, 8, 8]
-    assert packing.best_fit([3, 3], [4, 8], 100)[1] == [8]  # one long bin costs less than two short ones
-    assert packing.best_fit([2], [4, 8], 1)[1] == [4]
+    assert fitted([3, 3], [4, 8], 100)[1] == [8]  # one long bin costs less than two short ones
+    assert fitted([2], [4, 8], 1)[1] == [4]
+
+
+def test_plan_is_joint():
+    """On mixed lengths the plan uses several capacities, costs less than any single one and never more than any plan that opens each class at one least capacity."""
+    r = np.random.default_rng(2)
+    caps = [512, 1024, 2048, 4096]
+    cost = {c: packing.bin_cost(c, 256, 8192) for c in caps}
+    sizes = sorted((int(x) for x in np.clip(r.lognormal(5.5, 1.2, 3000), 1, 4096)), reverse=True)
+    total = lambda plan: sum(cost[c] for c in packing.best_fit(sizes, caps, plan)[1])
+    plan = packing.planned(sizes, caps, cost)
+    assert len(set(packing.best_fit(sizes, caps, plan)[1])) > 1
+    assert total(plan) < total([4096] * 4)
+    for i in range(4):
+        assert all(total(plan) <= total(plan[:i] + [c] + plan[i + 1 :]) for c in caps[i:])
+
+
+def test_plan_against_every_plan():
+    r = np.random.default_rng(6)
+    caps = [4, 8, 16]
+    for _ in range(60):
+        cost = {c: packing.bin_cost(c, int(r.integers(0, 8)), int(r.integers(4, 64))) for c in caps}
+        sizes = sorted((int(x) for x in r.integers(1, 17, int(r.integers(1, 40)))), reverse=True)
+        total = lambda plan: sum(cost[c] for c in packing.best_fit(sizes, caps, plan)[1])  # noqa: B023, E731
+        every = [total([a, b, 16]) for a in caps for b in caps[1:]]
+        got = total(packing.planned(sizes, caps, cost))
+        assert min(every) <= got <= min(total([max(least, c) for c in caps]) for least in caps)
+
+
+def test_packs_do_not_depend_on_files(spark):
+    rows = [(i % 50, "w " * (i * 37 % 90 + 1)) for i in range(3000)] + [(None, "same text")] * 2500
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    other = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)
+    a, b = (Counter(packing.pack_documents(x, capacities=(64, 128), rows_a_pack=700).collect()) for x in (one, other))
+    assert a == b and sum(a.values()) == 5500
+    assert max(Counter(r.pack for r in a.elements()).values()) < 1500  # a third of all rows is one row, dealt over all packs
 
 
 def test_packing(spark, docs, texts):
