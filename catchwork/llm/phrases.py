@@ -1,4 +1,4 @@
-"""Repeated passages removed with Aho-Corasick automata over recurring phrases."""
+"""Repeated passages removed: recurrence is confirmed by counts, then Aho-Corasick automata of the confirmed passages locate every occurrence."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork.frames import written
@@ -17,6 +18,8 @@ from catchwork.llm.words import Words, rolling, slices, spread, texts
 PHRASE = 8
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLACE_BITS = np.uint64(26)
+SHARD = 20_000  # passages in one automaton
+LONGEST = 256  # consecutive windows in one passage of a run that stands once
 
 
 class _Words:
@@ -54,6 +57,21 @@ class _Block(_Words):
         else:
             self.rarest = self.starts
 
+    def runs(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of windows, phrase, key) of each run of windows that select the same place; phrase and key together are a 128-bit hash of the run's words."""
+        new = np.ones(len(self.rarest), dtype=bool)
+        new[1:] = self.rarest[1:] != self.rarest[:-1]
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(self.rarest)))
+        start = self.starts[first]
+        with np.errstate(over="ignore"):
+            base = np.uint64(BASES[1])
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.hi), base)]), dtype=np.uint64)
+            inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.hi), np.uint64(pow(BASES[1], -1, 1 << 64)))]), dtype=np.uint64)
+            before = np.concatenate([[np.uint64(0)], np.cumsum(self.hi * power[:-1], dtype=np.uint64)])
+            key = spread((before[start + n - 1 + window] - before[start]) * inverse[start] + n.astype(np.uint64))
+        return start, n, self.phrases[self.rarest[first]], key
+
     def lists(self, at: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
         """values, which lie at the ascending places at, as one list for each document."""
         cuts = np.searchsorted(at, np.concatenate([self.begins, self.ends[-1:]]))
@@ -61,117 +79,97 @@ class _Block(_Words):
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """For each row: number of words, SHA-256 of the whole text's words, and the phrases that any of its windows selects."""
-    schema = "doc_id long, t1 long, t2 long, n_words long, sha string, anchors array<long>, places array<int>, times array<int>"
+    """For each row: its text, number of words, and the runs of windows that select one phrase."""
+    schema = "doc_id long, t1 long, t2 long, text string, n_words long, starts array<int>, counts array<int>, phrases array<long>, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 b = _Block(texts(part, "text"), window)
-                at = np.unique(b.rarest)
-                doc = np.searchsorted(b.ends, at, side="right")
-                order = np.lexsort((at, b.phrases[at], doc))
-                at, doc = at[order], doc[order]
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (b.phrases[at[1:]] != b.phrases[at[:-1]])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(at)))
-                keep = np.argsort(at[first], kind="stable")
-                at, times = at[first][keep], times[keep]
-                shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in b.words]
-                columns = [part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(b.sizes), pa.array(shas)]
-                columns += [b.lists(at, b.phrases[at].view(np.int64), pa.int64()), b.lists(at, at - b.begins[np.searchsorted(b.ends, at, side="right")], pa.int32()), b.lists(at, times, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "n_words", "sha", "anchors", "places", "times"])
+                start, n, phrase, key = b.runs(window)
+                doc = np.searchsorted(b.ends, start, side="right")
+                columns = [part.column(c) for c in ("doc_id", "t1", "t2", "text")] + [pa.array(b.sizes)]
+                columns += [b.lists(start, start - b.begins[doc], pa.int32()), b.lists(start, n, pa.int32()), b.lists(start, phrase.view(np.int64), pa.int64()), b.lists(start, key.view(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "text", "n_words", "starts", "counts", "phrases", "keys"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _located(docs: DataFrame, window: int) -> DataFrame:
-    """Streams documents through automata of recurring phrases; gives the start of each window whose selected phrase is found.
-
-    docs.spots holds where a document shows recurring phrases first. One automaton holds the phrases of a shard of documents (1
-    MB of text, or one longer document), so its size is bounded and every document passes through one automaton, however large the corpus is.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                b = _Block(texts(part, "text"), window)
-                spots = part.column("spots")
-                row = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))
-                row_at = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + b.begins[row]
-                ids = b.ids.tolist()
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                for p in row_at.tolist():
-                    automaton.add_word(tuple(ids[p : p + PHRASE]), 1)
-                found = np.zeros(len(ids) + 1, dtype=bool)
-                if len(row_at):
-                    automaton.make_automaton()
-                    for a, z in zip(b.begins.tolist(), b.ends.tolist(), strict=True):
-                        for end, _ in automaton.iter(tuple(ids[a:z])):
-                            found[a + end - PHRASE + 1] = True
-                s = b.starts[found[b.rarest]]
-                of = np.searchsorted(b.ends, s, side="right")
-                columns = [part.column(c) for c in ("num", "doc_id", "t1", "t2", "text")]
-                columns.append(b.lists(s, s - b.begins[of], pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, names=["num", "doc_id", "t1", "t2", "text", "starts"])
-
-    return docs.mapInArrow(run, "num long, doc_id long, t1 long, t2 long, text string, starts array<int>")
-
-
-def _windows(located: DataFrame, window: int) -> DataFrame:
-    """(num, start, h1, h2): the 128-bit hash of every located window. Hashes don't compress, so they are computed again where they are used instead of being stored."""
+def _windows(spans: DataFrame, window: int) -> DataFrame:
+    """(num, start, h1, h2, times): the 128-bit hash of every window of the runs in spans (num, text, starts, counts, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 b = _Words(texts(part, "text"))
-                starts = part.column("starts")
-                row = np.repeat(np.arange(part.num_rows), starts.value_lengths().to_numpy(zero_copy_only=False))
-                start = starts.flatten().to_numpy(zero_copy_only=False)
-                at = start.astype(np.int64) + b.begins[row]
+                start, n, times = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("starts", "counts", "times"))
+                row = np.repeat(np.arange(part.num_rows), part.column("starts").value_lengths().to_numpy(zero_copy_only=False))
+                own = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                row, times = np.repeat(row, n), np.repeat(times, n)
+                at = own + b.begins[row]
                 h1, h2 = (rolling(x, window, base)[at] for x, base in ((b.lo, BASES[0]), (b.hi, BASES[1])))
-                num = part.column("num").to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(start), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["num", "starts", "h1", "h2"])
+                columns = [part.column("num").to_numpy(zero_copy_only=False)[row], own.astype(np.int32), h1.view(np.int64), h2.view(np.int64), times]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["num", "start", "h1", "h2", "times"])
 
-    return located.where("size(starts) > 0").select("num", "text", "starts").mapInArrow(run, "num long, starts int, h1 long, h2 long")
+    return spans.select("num", "text", "starts", "counts", "times").mapInArrow(run, "num long, start int, h1 long, h2 long, times long")
 
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """Texts without the words that the windows at docs.hits cover: kept text, number of removed words, SHA-256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                out = []
-                for text, hits in zip(texts(part, "text"), part.column("hits").to_pylist(), strict=True):
-                    words = text.split()
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edge, hits, 1)
-                    np.add.at(edge, np.array(hits) + window, -1)
-                    covered = np.cumsum(edge)[:-1] > 0
-                    kept = b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
-                    out.append((int(covered.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-                removed, shas, kept_texts = zip(*out, strict=True) if out else ((), (), ())
-                columns = [*(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "cut_words", "cut_sha", "cut_text"])
-
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, cut_words long, cut_sha string, cut_text string")
-
-
-def _same(a: DataFrame, b: DataFrame):
-    return a.doc_id.eqNullSafe(b.doc_id) & (a.t1 == b.t1) & (a.t2 == b.t2)
+def _located(docs: DataFrame, passages: DataFrame, with_text: bool) -> DataFrame:
+    """(num, n_removed, kept_sha256[, kept_text]): each document without the words that passages cover. docs and passages are dealt by block.
 
+    passages says where each passage that recurs anywhere stands first in a block, and which documents of it are copies to leave
+    out. The passages of a block, SHARD at a time, become an automaton, and all documents of the block are streamed through each.
+    """
 
-def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
+        nums = docs.column("num").to_pylist()
+        b = _Words(texts(docs.combine_chunks().to_batches()[0], "text")) if nums else _Words([])
+        place = {n: i for i, n in enumerate(nums)}
+        radix = int(len(b.table) ** 0.5) + 1  # a word is two signs of small alphabets, the first one's its own: nodes stay narrow, and matches begin with a word
+        signs = np.stack([0x10000 + b.ids // radix, 0x20000 + b.ids % radix], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        begin, end = b.begins.tolist(), b.ends.tolist()
+        out = pc.is_null(passages.column("start"))
+        copies = set(passages.filter(out).column("num").to_pylist())
+        given = passages.filter(pc.invert(out))
+        where = [(begin[place[n]] + s, size) for n, s, size in zip(*(given.column(c).to_pylist() for c in ("num", "start", "size")), strict=True)]
+        edge = np.zeros(len(b.ids) + 1, dtype=np.int64)
+        streams = [(a, signs[2 * a : 2 * z]) for i, (a, z) in enumerate(zip(begin, end, strict=True)) if nums[i] not in copies] if where else []
+        for i in range(0, len(where), SHARD):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for at, size in where[i : i + SHARD]:
+                automaton.add_word(signs[2 * at : 2 * (at + size)], size)
+            automaton.make_automaton()
+            for a, stream in streams:
+                for last, size in automaton.iter(stream):
+                    z = a + last // 2 + 1
+                    edge[z - size] += 1
+                    edge[z] -= 1
+        covered = (np.cumsum(edge)[:-1] > 0).tolist()
+        rows = []
+        for i, words in enumerate(b.words):
+            if nums[i] not in copies:
+                gone = covered[begin[i] : end[i]]
+                kept = b" ".join([w for w, c in zip(words, gone, strict=True) if not c] if any(gone) else words)
+                rows.append((nums[i], sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + with_text]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=False)], names=["num", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text])
+
+    schema = "num long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return docs.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for every row of docs.
 
     A word goes if a window of that many consecutive words covers it whose word sequence starts anywhere else too, in
-    another row or in the same one. Words are maximal runs without ASCII white space, compared as bytes. Method: each window
-    selects its phrase of 8 words with the least hash, equal windows the same one; phrases selected twice or more are the recurring
-    ones. Automata of those phrases locate every occurrence, and windows around them are counted by 128-bit hash, which
-    is the exact check. Rows with equal texts are recognised first: from window words on they lose all their words, and one
-    of them stands for all in the search.
+    another row or in the same one. Words are maximal runs without ASCII white space, compared as bytes. Passages are confirmed
+    first. Each window selects its phrase of 8 words with the least hash, equal windows the same one, so consecutive windows that select
+    one place form a run. Runs are counted by a 128-bit hash of their words; one that stands twice is a passage. Where a
+    phrase heads several different runs, the windows of these are counted too; of runs that stand once, those that stand twice, consecutive ones
+    together, are passages. Then documents are dealt into blocks of about block_bytes, automata of the passages that occur in a block
+    locate all their occurrences in all documents of the block, and the words that these cover go. Of rows with equal texts one
+    is searched, counting for all, and all of them get its result.
 
     A null or empty text has no words; a text under window words loses none; repeated rows are copies of each other; a null
     doc_id stays. An empty table gives an empty one. Needs window >= 8. Further columns of docs are not read.
@@ -179,34 +177,43 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
     scan = written(_scan(slim, window).withColumn("num", F.monotonically_increasing_id()), "phrase_scan")  # num, once written, stands for a row
-    copies = scan.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    copies = written(copies.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "n", "lead"), "phrase_copies")
-    selected = scan.select("num", F.explode(F.arrays_zip("anchors", "places", "times")).alias("x")).select("num", "x.*")
-    recurring = selected.groupBy(F.col("anchors").alias("anchor")).agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    recurring = written(recurring, "phrase_recurring")
-    spots = selected.join(recurring, selected.anchors == recurring.anchor).groupBy("num").agg(F.collect_list("places").alias("spots"))
-    led = scan.select("num", "doc_id", "t1", "t2").join(spots, "num")
-    led = led.join(copies, (led.t1 == copies.c1) & (led.t2 == copies.c2), "left").where("n is null or doc_id <=> lead")
-    led = written(led.select("num", "doc_id", "t1", "t2", "spots").dropDuplicates(["doc_id", "t1", "t2"]), "phrase_spots")
-    near = slim.join(led, _same(slim, led)).select(led.num, slim.doc_id, slim.t1, slim.t2, slim.text, led.spots)
-    located = written(_located(near, window), "phrase_located")
-    windows = _windows(located, window)
-    twice = windows.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).count().where("count > 1").select("k1", "k2")
-    twice = written(twice, "phrase_twice")
-    hits = windows.join(twice, (windows.h1 == twice.k1) & (windows.h2 == twice.k2)).groupBy("num").agg(F.collect_list("starts").alias("hits"))
-    hits = written(hits, "phrase_hits")
-    cut = _cut(located.join(hits, "num").select("doc_id", "t1", "t2", "text", "hits"), window)
-    cut = written(cut if with_text else cut.drop("cut_text"), "phrase_cut").dropDuplicates(["doc_id", "t1", "t2"])
-    rows = scan.select("doc_id", "t1", "t2", "n_words", "sha")
-    rows = rows.join(copies, (rows.t1 == copies.c1) & (rows.t2 == copies.c2), "left")
-    gone = F.col("n").isNotNull() & (F.col("n_words") >= window)
-    rows = rows.join(cut, _same(rows, cut), "left").select(rows.doc_id, "n_words", rows.t1, rows.t2,
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("cut_words", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-        *([F.when(gone, F.lit("")).otherwise(F.col("cut_text")).alias("kept_text")] if with_text else []))
-    if not with_text:
-        return rows.drop("t1", "t2")
-    full = slim.dropDuplicates(["doc_id", "t1", "t2"])
-    joined = rows.join(full, _same(rows, full))
-    whole = F.concat_ws(" ", F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
-    return joined.select(rows.doc_id, "n_words", "n_removed", "kept_sha256", F.coalesce("kept_text", whole).alias("kept_text"))
+    total, size = scan.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    copies = scan.groupBy(F.col("t1").alias("c1"), F.col("t2").alias("c2")).agg(F.count("*").alias("n"), F.min("num").alias("lead")).where("n > 1")
+    copies = written(copies, "phrase_copies")
+    hot = copies.where(F.col("n") > max(100, total // 100_000))  # 100,000 rows at most
+    same = (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))
+    keyed = scan.select("num", "doc_id", "t1", "t2", "n_words")
+    cold = copies.join(F.broadcast(hot.select("c1", "c2")), ["c1", "c2"], "left_anti")
+    rest = keyed.join(F.broadcast(hot.select("c1", "c2")), same, "left_anti")
+    roles = keyed.join(F.broadcast(hot), same).unionByName(rest.join(cold, same)).select("num", "lead", "n")
+    roles = written(roles, "phrase_roles")
+
+    runs = scan.join(roles, "num", "left").where("lead is null or lead = num")
+    runs = runs.select("num", F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.arrays_zip("starts", "counts", "phrases", "keys")).alias("r"))
+    runs = runs.select("num", "n", F.col("r.starts").alias("start"), F.col("r.counts").alias("count"), F.col("r.phrases").alias("phrase"), F.col("r.keys").alias("key"))
+    known = written(runs.groupBy("phrase", "key").agg(F.sum("n").alias("times"), F.min("num").alias("first")), "phrase_runs")
+    several = known.groupBy("phrase").agg(F.count("*").alias("d")).where("d > 1").select("phrase", F.lit(True).alias("several"))
+    known = known.join(several, "phrase", "left").where("times > 1 or several").select("phrase", "key", "times", "first", F.col("several").isNotNull().alias("several"))
+    marked = written(runs.drop("n").join(known, ["phrase", "key"]), "phrase_marked")
+
+    spans = marked.where("several and num = first").groupBy("num").agg(F.collect_list(F.struct("start", "count", "times")).alias("r"))
+    spans = scan.select("num", "text").join(spans, "num").select("num", "text", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.times").alias("times"))
+    windows = written(_windows(spans, window), "phrase_windows")
+    twice = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).where("all > 1").select("h1", "h2")
+    single = windows.where("times = 1").join(twice, ["h1", "h2"]).select("num", "start")
+    single = single.withColumn("range", F.col("start") - F.row_number().over(Window.partitionBy("num").orderBy("start")))  # windows of one document
+    single = single.groupBy("num", "range", F.floor(F.col("start") / LONGEST).alias("part")).agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + window).alias("size"))
+    single = single.select("num", "start", "size", F.col("num").alias("h1"), F.col("start").cast("long").alias("h2"))
+    whole = marked.where("times > 1").select("num", "start", (F.col("count") + window - 1).alias("size"), F.col("phrase").alias("h1"), F.col("key").alias("h2"))
+    blocks = max(1, -(-(size or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("num"), F.lit(blocks)).cast("int").alias("block")
+    passages = single.union(whole).select(block, "num", "start", "size", "h1", "h2")
+    passages = passages.groupBy("block", "h1", "h2").agg(F.min(F.struct("num", "start", "size")).alias("p")).select("block", "p.*")
+    out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"))
+    cut = written(_located(scan.select("num", "text", block), passages.unionByName(out), with_text), "phrase_cut")
+
+    results = ["n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    of_copies = copies.join(cut, copies.lead == cut.num).select("c1", "c2", *results)
+    far = keyed.join(F.broadcast(of_copies.join(F.broadcast(hot.select("c1", "c2")), ["c1", "c2"])), same).select("doc_id", "n_words", *results)
+    rest = rest.join(of_copies.select("c1", "c2", *(F.col(x).alias(f"_{x}") for x in results)), same, "left").join(cut, "num", "left")
+    return far.unionByName(rest.select("doc_id", "n_words", *(F.coalesce(f"_{x}", x).alias(x) for x in results)))
