@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,6 +16,10 @@ from catchwork.llm.words import slices, texts
 
 # Short notices by which works state their licence, by family. They are training seeds and confirmation templates.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the AGPL version 3.",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -25,25 +30,50 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Distributed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "Released under the 2-clause BSD license.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software.",
     ),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain."),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, version 1.0."),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GPL version 2 or any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ),
-    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the LGPL version 3 or later."),
+    "isc": ("Licensed under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the LGPL version 3 or later."),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "This software is licensed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "mpl-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "proprietary": ("Copyright. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.", "Licensed under the zlib license."),
+}
+# Words by which a notice of a family states its variant, the first that fits.
+VARIANTS: dict[str, tuple[tuple[str, str], ...]] = {
+    "agpl": ((r"\b(?:version|v) ?3\b|agplv?3", "agpl-3.0"),),
+    "bsd": ((r"\b3 clause\b|neither the name of", "bsd-3-clause"), (r"\b2 clause\b|simplified bsd", "bsd-2-clause")),
+    "cc-by": ((r"\b4 0\b", "cc-by-4.0"), (r"\b3 0\b", "cc-by-3.0")),
+    "cc-by-nc": ((r"\b4 0\b", "cc-by-nc-4.0"), (r"\b3 0\b", "cc-by-nc-3.0")),
+    "cc-by-sa": ((r"\b4 0\b", "cc-by-sa-4.0"), (r"\b3 0\b", "cc-by-sa-3.0")),
+    "epl": ((r"\b2 0\b", "epl-2.0"), (r"\b1 0\b", "epl-1.0")),
+    "gpl": ((r"\b(?:version|v) ?3\b|gplv?3", "gpl-3.0"), (r"\b(?:version|v) ?2\b|gplv?2", "gpl-2.0")),
+    "lgpl": ((r"\b(?:version|v) ?3\b|lgplv?3", "lgpl-3.0"), (r"\b(?:version|v) ?2 1\b|lgplv?2", "lgpl-2.1")),
 }
 # Sentences that use the same words and state no licence.
 OTHERS = (
@@ -60,6 +90,7 @@ OTHERS = (
     "The restaurant lost its license to sell wine.",
     "This work is done under the guidance of the foundation.",
 )
+STATES = re.compile(rb"licen|copyright|gpl|apache|creative commons|public domain|mozilla|rights reserved|redistribut|permission")  # spans with these are no negatives
 FAMILIES = tuple(TEMPLATES)
 SPAN, STRIDE = 48, 24  # a paragraph longer than SPAN words is read in overlapping spans
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b in b"\n+" else 32 for b in range(256))
@@ -87,6 +118,12 @@ def blocks(text: bytes) -> list[list[tuple[int, list[bytes]]]]:
     return [b for b in out if len(b) > 1]
 
 
+def variant(family: str, words: list[bytes]) -> str:
+    """The family's variant that the words state, else the family."""
+    text = b" ".join(words).decode(errors="replace")
+    return next((name for rule, name in VARIANTS.get(family, ()) if re.search(rule, text)), family)
+
+
 def _pairs(words: list[bytes]) -> set[tuple[bytes, bytes]]:
     return set(zip(words, words[1:], strict=False)) or {(w, b"") for w in words}
 
@@ -148,63 +185,95 @@ def _variants(words: list[bytes], filler: list[bytes], r: np.random.Generator, n
         yield [filler[i] for i in r.integers(0, len(filler), before)] + part + [filler[i] for i in r.integers(0, len(filler), after)]
 
 
-def fit(docs: DataFrame, sample: int = 300, most: int = 1500, seed: int = 13, rounds: int = 250) -> Model:
-    """Softmax regression over the families and an unknown class.
-
-    Positives are variants of the templates. Negatives are the fixed other sentences and at most `most` paragraphs of the `sample`
-    documents whose ids have the least hash, without those that hold a licence word. A fifth, never trained on, sets the
-    temperature that calibrates probabilities and measures accuracy.
-    """
+def negative_spans(docs: DataFrame, sample: int, most: int, longest: int, seed: int) -> list[list[bytes]]:
+    """At most `most` spans of words, none over `longest` bytes, without a licence word, of the `sample` documents whose ids have the least hash. Equal ids count once, with their least text."""
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(sample)
     picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `sample` rows bound the broadcast
-    lines = picked.select("h", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(~F.lower("line").rlike("licen|copyright|gpl|apache|creative commons|public domain|mozilla|rights reserved"))
-    spare = lines.select(F.substring("line", 1, 2000).alias("line"), F.xxhash64("h", "i").alias("o")).orderBy("o").limit(most).collect()  # `most` rows, cut for training only
-    r = np.random.default_rng(seed)
-    negatives = [s for row in spare for p in paragraphs(row.line.encode()) for s in _spans(p)][: 2 * most]
-    filler = sorted({w for s in negatives[:200] for w in s}) or [b"text"]
-    rows: list[tuple[list[bytes], int]] = []
-    for k, family in enumerate(FAMILIES):
-        for t in TEMPLATES[family]:
-            rows += [(v, k) for v in _variants(paragraphs(t.encode())[0], filler, r, 40)]
-    unknown = len(FAMILIES)
-    for t in OTHERS:
-        rows += [(v, unknown) for v in _variants(paragraphs(t.encode())[0], filler, r, 15)]
-    rows += [(s, unknown) for s in negatives]
-    seen: dict[bytes, int] = {}
-    pair_seen: dict[tuple[bytes, bytes], int] = {}
-    for w, k in rows:
-        if k != unknown or len(seen) < 1 << 16:
-            for x in set(w):
-                seen[x] = seen.get(x, 0) + 1
-            for x in set(zip(w, w[1:], strict=False)):
-                pair_seen[x] = pair_seen.get(x, 0) + 1
+    picked = picked.groupBy("doc_id", "h").agg(F.min("text").alias("text")).select("h", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch.column("h").to_pylist(), texts(batch, "text"), strict=True):
+                spans = [b" ".join(s) for p in paragraphs(text) for s in _spans(p)]
+                spans = [s.decode(errors="replace") for s in spans if len(s) <= longest and not STATES.search(s)]
+                if spans:
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(spans)), pa.array(range(len(spans)), pa.int32()), pa.array(spans, pa.string())], names=["h", "i", "span"])
+
+    spans = picked.mapInArrow(run, "h long, i int, span string").withColumn("o", F.xxhash64("h", "i"))
+    return [r.span.encode().split() for r in spans.orderBy("o", "h", "i").limit(most).collect()]  # most * longest bytes
+
+
+def _features(rows: list[tuple[list[bytes], int]]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Numbers of the words, and codes of the word pairs, that stand in 5 or more of the rows."""
+    seen: Counter[bytes] = Counter()
+    pairs: Counter[tuple[bytes, bytes]] = Counter()
+    for w, _ in rows:
+        seen.update(set(w))
+        pairs.update(set(zip(w, w[1:], strict=False)))
     words = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= 5))}
-    codes = np.array(sorted(words[a] * len(words) + words[b] for (a, b), n in pair_seen.items() if n >= 5 and a in words and b in words), dtype=np.int64)
-    row, at = _Features(words, codes)([w for w, _ in rows])
-    y = np.array([k for _, k in rows])
-    n, size, classes = len(rows), len(words) + len(codes), unknown + 1
-    held = r.random(n) < 0.2
-    used = ~held[row]
+    return words, np.array(sorted(words[a] * len(words) + words[b] for (a, b), n in pairs.items() if n >= 5), dtype=np.int64)
+
+
+def _regression(row: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax regression on sparse rows; each class counts alike."""
+    n, classes = len(y), len(FAMILIES) + 1
     target = np.eye(classes)[y]
-    cost = np.where(held, 0.0, 1.0 / np.bincount(y[~held], minlength=classes).clip(1)[y])
+    cost = 1.0 / np.bincount(y, minlength=classes).clip(1)[y]
     cost /= cost.sum()
     w, bias = np.zeros((size, classes)), np.zeros(classes)
     m, v = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
-
-    def scores(rr: np.ndarray, aa: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(rr, w[aa, c], minlength=n) for c in range(classes)], axis=1) + bias
-
     for i in range(1, rounds + 1):
-        z = scores(row[used], at[used])
+        z = _scores(row, at, w, bias, n)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         e = (p / p.sum(axis=1, keepdims=True) - target) * cost[:, None]
-        g = np.stack([np.bincount(at[used], e[row[used], c], minlength=size) for c in range(classes)], axis=1) + 1e-5 * w
+        g = np.stack([np.bincount(at, e[row, c], minlength=size) for c in range(classes)], axis=1) + 1e-5 * w
         g = np.vstack([g, e.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * np.sqrt(1 - 0.999**i) / (1 - 0.9**i) * m / (np.sqrt(v) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
-    z = scores(row, at)[held]
+    return w, bias
+
+
+def _scores(row: np.ndarray, at: np.ndarray, w: np.ndarray, bias: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(row, w[at, c], minlength=n) for c in range(w.shape[1])], axis=1) + bias
+
+
+def fit(docs: DataFrame, sample: int = 300, most: int = 1500, longest: int = 2000, seed: int = 13, rounds: int = 250) -> Model:
+    """Softmax regression over the families and an unknown class.
+
+    Positives are variants of the templates. Negatives are the fixed other sentences and at most `most` spans, none over `longest`
+    bytes, of the `sample` documents whose ids have the least hash, without those that hold a licence word. A fifth is held out
+    from a first fit, which sets the temperature that calibrates probabilities and measures accuracy. The report also has
+    `new_templates`: the accuracy on the last template of each family with three or more, when no variant of it is in the training rows. The final
+    weights come from all rows.
+    """
+    r = np.random.default_rng(seed)
+    negatives = negative_spans(docs, sample, most, longest, seed)
+    filler = sorted({w for s in negatives for w in s}) or [b"text"]
+    rows: list[tuple[list[bytes], int]] = []
+    fresh = []  # of the last template of a family with several
+    unknown = len(FAMILIES)
+    for k, family in enumerate(FAMILIES):
+        for j, t in enumerate(TEMPLATES[family]):
+            own = [(v, k) for v in _variants(paragraphs(t.encode())[0], filler, r, 40)]
+            fresh += [j > 1 and j == len(TEMPLATES[family]) - 1] * len(own)
+            rows += own
+    for t in OTHERS:
+        rows += [(v, unknown) for v in _variants(paragraphs(t.encode())[0], filler, r, 15)]
+    rows += [(s, unknown) for s in negatives]
+    new = np.array(fresh + [False] * (len(rows) - len(fresh)))
+    words, codes = _features(rows)
+    row, at = _Features(words, codes)([w for w, _ in rows])
+    y, n, size = np.array([k for _, k in rows]), len(rows), len(words) + len(codes)
+
+    def without(out: np.ndarray) -> np.ndarray:
+        number = np.cumsum(~out) - 1
+        used = ~out[row]
+        return _scores(row, at, *_regression(number[row[used]], at[used], y[~out], size, rounds), n)[out]
+
+    held = r.random(n) < 0.2
+    z = without(held)
     best = None
     for heat in np.geomspace(0.25, 8, 41):
         q = z / heat
@@ -213,19 +282,21 @@ def fit(docs: DataFrame, sample: int = 300, most: int = 1500, seed: int = 13, ro
             best = loss, float(heat)
     guess = z.argmax(axis=1)
     report = {"rows": n, "held_out": int(held.sum()), "accuracy": float((guess == y[held]).mean()), "unknown_kept": float((guess == y[held])[y[held] == unknown].mean())}
+    report["new_templates"] = float((without(new).argmax(axis=1) == y[new]).mean())
+    w, bias = _regression(row, at, y, size, rounds)
     w[np.abs(w) < 1e-3] = 0
     return Model(words, codes, w.astype(np.float32), bias, best[1], report)
 
 
 def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6, least_similarity: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_paragraphs, n_predicted, n_confirmed, families and hits.
+    """One row for each row of docs: doc_id, n_paragraphs, n_predicted, n_confirmed, families, hits and variants.
 
     A paragraph is a line with a word; longer ones are read in overlapping spans of 48 words, so whole texts are scored. Lines up to a blank one
     are also read joined, comment marks dropped, in such spans, so wrapped notices count once, for the line in which
     their span begins, unless one of its lines states the family alone. A span is
     predicted as a family whose calibrated probability is at least least_probability, else it is unknown. It is confirmed if
     it holds at least least_similarity of the word pairs of one of the family's templates. hits lists confirmed
-    paragraph:family pairs (paragraphs from 0), each once, and families their names, both sorted and comma-joined. A null text is an
+    paragraph:family pairs (paragraphs from 0), each once, and families their names, both sorted and comma-joined; variants lists the versions or clauses that confirmed spans state (bsd-3-clause, gpl-2.0), or the family. A null text is an
     empty one; ids may be null or repeat; an empty table gives an empty one. Further columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary of a bounded training set
@@ -250,6 +321,7 @@ def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6,
                             of.append((d, i, j))
                 predicted = [0] * len(bodies)
                 found: list[set[tuple[int, str]]] = [set() for _ in bodies]
+                stated: list[set[tuple[str, str]]] = [set() for _ in bodies]
                 upto: dict[tuple[int, str], int] = {}  # last line of the latest wrapped notice of a family
                 if spans:
                     row, at = features(spans)
@@ -266,6 +338,7 @@ def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6,
                         own = _pairs(spans[s])
                         if any(len(own & t) >= least_similarity * len(t) for t in shapes[top[s]]):
                             family = FAMILIES[top[s]]
+                            stated[d].add((family, variant(family, spans[s])))
                             if i == j:
                                 found[d].add((i, family))
                             elif upto.get((d, family), -1) < i and not any((x, family) in found[d] for x in range(i, j + 1)):
@@ -273,8 +346,10 @@ def license_scan(docs: DataFrame, model: Model, least_probability: float = 0.6,
                                 upto[d, family] = j
                 names = [",".join(sorted({f for _, f in x})) for x in found]
                 hits = [",".join(f"{i}:{f}" for i, f in sorted(x)) for x in found]
-                columns = [part.column("doc_id"), pa.array([len(b) for b in bodies], pa.int64()), pa.array(predicted, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(names), pa.array(hits)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "families", "hits"])
+                told = [{f for f, v in x if v != f} for x in stated]  # a notice that names no version says nothing beside one that does
+                variants = [",".join(sorted({v for f, v in x if v != f or f not in t})) for x, t in zip(stated, told, strict=True)]
+                columns = [part.column("doc_id"), pa.array([len(b) for b in bodies], pa.int64()), pa.array(predicted, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(names), pa.array(hits), pa.array(variants)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "families", "hits", "variants"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_paragraphs long, n_predicted long, n_confirmed long, families string, hits string")
+    return slim.mapInArrow(run, "doc_id long, n_paragraphs long, n_predicted long, n_confirmed long, families string, hits string, variants string")
