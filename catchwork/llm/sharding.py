@@ -61,9 +61,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.05, roun
     items = written(items.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "t1").bitwiseAND(F.lit(MASK))), "shard_items")
     total = items.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    linked = written(items.groupBy(*GROUP).count().where("count > 1").select(F.col("t1").alias("g1"), F.col("t2").alias("g2")), "shard_groups")
-    on = (items.t1 == linked.g1) & (items.t2 == linked.g2)
-    members = items.join(linked, on, "left_semi")
+    linked = written(items.groupBy(*GROUP).count().where("count > 1"), "shard_groups")
+    large = F.broadcast(linked.where(F.col("count") > max(100, total // 100_000)).select(*GROUP))  # 100,000 rows at most
+    rest = items.join(large, GROUP, "left_anti")  # joins by text deal no group larger than that into one task
+    members = items.join(large, GROUP, "left_semi").unionByName(rest.join(linked, GROUP, "left_semi"))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(shards)).cast("int")
     blocks = written(members.groupBy(*GROUP, start.alias("shard")).agg(F.count("*").alias("n")), "shard_blocks")
     n_blocks, cap = blocks.count(), -(-total // shards) + int(slack * total / shards)
@@ -87,14 +88,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.05, roun
     refit = given.select(*GROUP, F.explode(_placed(free, F.col("_upto") - F.col("out"), F.col("_upto"))).alias("x")).select(*GROUP, "x.shard", "x.n")
     final = queued.select(*GROUP, "shard", (F.col("n") - F.col("out")).alias("n")).where("n > 0").union(refit).groupBy(*GROUP, "shard").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*GROUP).orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ends = final.withColumn("upto", F.sum("n").over(upto)).groupBy(F.col("t1").alias("g1"), F.col("t2").alias("g2")).agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
+    ends = final.withColumn("upto", F.sum("n").over(upto)).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
     ends = written(ends, "shard_ends")
     ranked = prefix_sum(members, GROUP, "h", ["doc_id"], F.lit(1), "_rank", total)
     first = F.get(F.filter("ends", lambda x: x["upto"] >= F.col("_rank")), 0)["shard"]
     ranked = written(ranked, "shard_ranked")
-    placed = ranked.join(ends, (ranked.t1 == ends.g1) & (ranked.t2 == ends.g2)).select("doc_id", "size", "text_crc32", "h", first.alias("shard"))
+    placed = ranked.join(F.broadcast(ends.join(large, GROUP, "left_semi")), GROUP).unionByName(ranked.join(large, GROUP, "left_anti").join(ends, GROUP))
+    placed = placed.select("doc_id", "size", "text_crc32", "h", first.alias("shard"))
     used = sum(surplus)
-    alone = prefix_sum(items.join(linked, on, "left_anti").withColumn("_k", F.lit(0)), ["_k"], "h", ["doc_id", "t1"], F.lit(1), "_rank", total)
+    alone = prefix_sum(rest.join(linked, GROUP, "left_anti").withColumn("_k", F.lit(0)), ["_k"], "h", ["doc_id", "t1"], F.lit(1), "_rank", total)
     spot = F.col("_rank") - 1 + used
     rest = alone.select("doc_id", "size", "text_crc32", "h", F.get(_placed(free, spot, spot + 1), 0)["shard"].alias("shard"))
     slotted = prefix_sum(written(placed.union(rest), "shard_placed"), ["shard"], "h", ["doc_id"], F.lit(1), "_slot", total)
