@@ -25,29 +25,50 @@ def node_table(ends: DataFrame, grounds: DataFrame) -> DataFrame:
 
 
 def filled_inverts(nodes: DataFrame, edges: DataFrame, rounds: int = 1) -> DataFrame:
-    """(node_key, invert_m, source): published inverts, then tiers: neighbours' least, own ground less 2.5 m, neighbours, terrain less 2.5 m, neighbours, the least of all.
+    """(node_key, invert_m, source, ground_m): published inverts, then tiers: neighbours' least, own ground less 2.5 m, neighbours, terrain less 2.5 m, neighbours, the least of all.
 
     nodes: (node_key, invert_m, ground_m, dem_m); edges: (a, b). A neighbour sweep is synchronous: values found in a round reach
-    further nodes in the next one (`rounds` a sweep), so the result depends on no order.
+    further nodes in the next one, for `rounds` rounds or until none is found, so the result depends on no order. Terrain that gives an invert is the node's
+    ground too, where it has none. Every round is a written table, so each reads the edges and the state once.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("n", "o").distinct()
-    state = nodes.withColumn("source", F.when(F.col("invert_m").isNotNull(), "data"))
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("n", "o").distinct(), "fill_edges")
+    state = nodes.select("node_key", "invert_m", "ground_m", "dem_m", F.when(F.col("invert_m").isNotNull(), "data").alias("source"))
+    state = written(state, "fill_state")
 
     def sweep(s: DataFrame) -> DataFrame:
         for _ in range(rounds):
             have = s.where("invert_m is not null").select(F.col("node_key").alias("o"), F.col("invert_m").alias("i"))
             near = both.join(have, "o").groupBy(F.col("n").alias("node_key")).agg(F.min("i").alias("near"))
-            s = s.join(near, "node_key", "left")
-            s = s.withColumn("source", F.coalesce("source", F.when(F.col("near").isNotNull(), "neighbour"))).withColumn("invert_m", F.coalesce("invert_m", "near")).drop("near")
-        return s
+            found = F.col("invert_m").isNull() & F.col("near").isNotNull()
+            s = s.join(near, "node_key", "left").withColumn("found", found)
+            s = s.withColumn("source", F.when(F.col("found"), "neighbour").otherwise(F.col("source"))).withColumn("invert_m", F.coalesce("invert_m", "near")).drop("near")
+            s = written(s, "fill_state")
+            if s.where("found").isEmpty():
+                break
+            s = s.drop("found")
+        return s.select("node_key", "invert_m", "ground_m", "dem_m", "source")
 
     def tier(s: DataFrame, ground: str, name: str) -> DataFrame:
         value = F.col(ground) - k.FALLBACK_NODE_DEPTH_M
-        return s.withColumn("source", F.coalesce("source", F.when(value.isNotNull(), name))).withColumn("invert_m", F.coalesce("invert_m", value))
+        s = s.withColumn("source", F.coalesce("source", F.when(value.isNotNull(), name))).withColumn("invert_m", F.coalesce("invert_m", value))
+        return written(s.withColumn("ground_m", F.coalesce("ground_m", F.when(F.col("source") == "dem", F.col("dem_m")))), "fill_state")
 
     state = sweep(tier(sweep(tier(sweep(state), "ground_m", "rim")), "dem_m", "dem"))
     lowest = state.agg(F.coalesce(F.min("invert_m"), F.lit(0.0)).alias("lowest"))
-    return state.join(F.broadcast(lowest)).select("node_key", F.coalesce("invert_m", "lowest").alias("invert_m"), F.coalesce("source", F.lit("global_min")).alias("source"))  # one row
+    return state.join(F.broadcast(lowest)).select("node_key", F.coalesce("invert_m", "lowest").alias("invert_m"), F.coalesce("source", F.lit("global_min")).alias("source"), "ground_m")  # one row
+
+
+def fill_counts(filled: DataFrame) -> DataFrame:
+    """(source, n): how many inverts each tier gave, with a row for every tier."""
+    tiers = filled.sparkSession.createDataFrame([(s,) for s in ("data", "neighbour", "rim", "dem", "global_min")], "source string")
+    return tiers.join(filled.groupBy("source").agg(F.count("*").alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def inlet_side(pipes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node_key, inlet_side): whether a candidate outfall is the high end of every pipe with both inverts at it. pipes: (a, b, inv_a, inv_b)."""
+    p = pipes.where("inv_a is not null and inv_b is not null")
+    e = p.select(F.col("a").alias("node_key"), (F.col("inv_a") >= F.col("inv_b")).alias("high")).union(p.select("b", F.col("inv_b") >= F.col("inv_a")))
+    return e.join(candidates.select("node_key").distinct(), "node_key", "left_semi").groupBy("node_key").agg(F.bool_and("high").alias("inlet_side"))
 
 
 def parents(edges: DataFrame, child: str = "from_key", parent: str = "to_key", order: str = "name") -> DataFrame:

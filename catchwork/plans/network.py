@@ -14,13 +14,47 @@ from catchwork.plans.registry import query
 WALK = """WITH RECURSIVE walk(node, reached, hops) AS (
     SELECT from_key, from_key, 0 FROM v_tree UNION SELECT to_key, to_key, 0 FROM v_tree
     UNION ALL SELECT w.node, t.to_key, w.hops + 1 FROM walk w JOIN v_tree t ON t.from_key = w.reached)"""
-CLEAN = """pp AS (SELECT file_seq, name, up_key AS a, dn_key AS b, nullif(inv_up, 0) AS inv_a, CASE WHEN inv_dn > -90 THEN inv_dn END AS inv_b FROM v_raw_pipe
-    WHERE up_key <> dn_key AND file_seq % 50 = 1)"""
+CLEAN = """pp AS (SELECT file_seq, name, up_key AS a, dn_key AS b, nullif(inv_up, 0) AS inv_a, CASE WHEN inv_dn > -90 THEN inv_dn END AS inv_b, rim_m, dem_m FROM v_reach WHERE up_key <> dn_key)"""
+SWEEPS = 2  # rounds of a neighbour sweep that the SQL spells out
 
 
 def _clean(pipes: DataFrame) -> DataFrame:
-    x = pipes.where("up_key <> dn_key and file_seq % 50 = 1")  # part of the view's definition in both engines: a sparse network
-    return x.select("file_seq", "name", F.col("up_key").alias("a"), F.col("dn_key").alias("b"), v.number(F.col("inv_up"), True).alias("inv_a"), v.without_sentinel(F.col("inv_dn"), F.lit("below:-90")).alias("inv_b"))
+    """Pipes between two different nodes with their levels, sentinels as null."""
+    x = pipes.where("up_key <> dn_key")
+    return x.select("file_seq", "name", F.col("up_key").alias("a"), F.col("dn_key").alias("b"), v.number(F.col("inv_up"), True).alias("inv_a"), v.without_sentinel(F.col("inv_dn"), F.lit("below:-90")).alias("inv_b"), "rim_m", "dem_m")
+
+
+def _nodes_of(p: DataFrame) -> DataFrame:
+    """Ends of the pipes with their least level, and ground and terrain where the pipe that begins there has them."""
+    e = p.select(F.col("a").alias("node_key"), F.col("inv_a").alias("i"), "rim_m", "dem_m").unionByName(p.select(F.col("b").alias("node_key"), F.col("inv_b").alias("i")), allowMissingColumns=True)
+    return e.groupBy("node_key").agg(F.min("i").alias("invert_m"), F.max("rim_m").alias("ground_m"), F.max("dem_m").alias("dem_m"))
+
+
+def _fill_sql() -> str:
+    """The tiers as SQL, a step a table: neighbour rounds, rim, rounds, terrain, rounds."""
+    steps, at = [], 0
+
+    def sweeps() -> None:
+        nonlocal at
+        for _ in range(SWEEPS):
+            steps.append(f"""t{at + 1} AS (SELECT t.n, any_value(t.g) AS g, any_value(t.d) AS d, coalesce(any_value(t.i), min(x.i)) AS i,
+              CASE WHEN any_value(t.i) IS NOT NULL THEN any_value(t.s) WHEN min(x.i) IS NOT NULL THEN 'neighbour' END AS s FROM t{at} t LEFT JOIN e ON e.n = t.n LEFT JOIN t{at} x ON x.n = e.o GROUP BY t.n)""")
+            at += 1
+
+    def tier(column: str, name: str) -> None:
+        nonlocal at
+        ground = "CASE WHEN i IS NULL THEN coalesce(g, d) ELSE g END" if name == "dem" else "g"
+        steps.append(f"t{at + 1} AS (SELECT n, {ground} AS g, d, coalesce(i, {column} - 2.5) AS i, coalesce(s, CASE WHEN {column} IS NOT NULL THEN '{name}' END) AS s FROM t{at})")
+        at += 1
+
+    sweeps()
+    tier("g", "rim")
+    sweeps()
+    tier("d", "dem")
+    sweeps()
+    return f"""WITH {CLEAN}, h AS (SELECT a AS n, b AS o, inv_a AS i, rim_m, dem_m FROM pp UNION ALL SELECT b, a, inv_b, NULL, NULL FROM pp), e AS (SELECT DISTINCT n, o FROM h),
+t0 AS (SELECT n, max(rim_m) AS g, max(dem_m) AS d, min(i) AS i, CASE WHEN min(i) IS NOT NULL THEN 'data' END AS s FROM h GROUP BY n),
+{", ".join(steps)}, filled AS (SELECT n AS node_key, coalesce(i, (SELECT min(i) FROM t{at}), 0) AS invert_m, coalesce(s, 'global_min') AS source, g AS ground_m FROM t{at}) """
 
 
 @query("n01_snap_ends", "v_raw_pipe", "v_node", sql="""
@@ -41,26 +75,16 @@ def n02(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     return op.node_table(e, e.select("node_key", "file_seq", (F.col("rim_m") + F.col("file_seq") % 3).alias("ground_m")))
 
 
-@query("n03_invert_gap_fill", "v_raw_pipe", "v_node", sql=f"""
-WITH {CLEAN}, e AS (SELECT a AS n, b AS o, inv_a AS i FROM pp UNION ALL SELECT b, a, inv_b FROM pp),
-n0 AS (SELECT e.n, CASE WHEN e.n % 4 <> 0 THEN min(e.i) END AS i, max(CASE WHEN e.n % 3 = 0 THEN v.rim_m END) AS g, max(CASE WHEN e.n % 5 = 0 THEN v.rim_m - 1 END) AS d
-       FROM e LEFT JOIN v_node v ON v.node_key = e.n GROUP BY e.n),
-s1 AS (SELECT n0.n, any_value(g) AS g, any_value(d) AS d, coalesce(any_value(n0.i), min(x.i)) AS i, CASE WHEN any_value(n0.i) IS NOT NULL THEN 'data' WHEN min(x.i) IS NOT NULL THEN 'neighbour' END AS s
-       FROM n0 LEFT JOIN e ON e.n = n0.n LEFT JOIN (SELECT n AS m, i FROM n0) x ON x.m = e.o GROUP BY n0.n),
-r1 AS (SELECT n, g, d, coalesce(i, g - 2.5) AS i, coalesce(s, CASE WHEN g IS NOT NULL THEN 'rim' END) AS s FROM s1),
-s2 AS (SELECT r1.n, any_value(d) AS d, coalesce(any_value(r1.i), min(x.i)) AS i, coalesce(any_value(r1.s), CASE WHEN min(x.i) IS NOT NULL THEN 'neighbour' END) AS s
-       FROM r1 LEFT JOIN e ON e.n = r1.n LEFT JOIN (SELECT n AS m, i FROM r1) x ON x.m = e.o GROUP BY r1.n),
-r2 AS (SELECT n, coalesce(i, d - 2.5) AS i, coalesce(s, CASE WHEN d IS NOT NULL THEN 'dem' END) AS s FROM s2),
-s3 AS (SELECT r2.n, coalesce(any_value(r2.i), min(x.i)) AS i, coalesce(any_value(r2.s), CASE WHEN min(x.i) IS NOT NULL THEN 'neighbour' END) AS s
-       FROM r2 LEFT JOIN e ON e.n = r2.n LEFT JOIN (SELECT n AS m, i FROM r2) x ON x.m = e.o GROUP BY r2.n)
-SELECT n AS node_key, coalesce(i, (SELECT min(i) FROM s3), 0) AS invert_m, coalesce(s, 'global_min') AS source FROM s3""")
-def n03(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+@query("n03_invert_gap_fill", "v_reach", sql=_fill_sql() + "SELECT * FROM filled")
+def n03(pipes: DataFrame) -> DataFrame:
+    p = _clean(pipes)
+    return op.filled_inverts(_nodes_of(p), p, SWEEPS)
+
+
+@query("n03_fill_counts", "v_reach", sql=_fill_sql() + "SELECT s.source, count(f.source) AS n FROM (VALUES ('data'), ('neighbour'), ('rim'), ('dem'), ('global_min')) s(source) LEFT JOIN filled f USING (source) GROUP BY 1")
+def n03_counts(pipes: DataFrame) -> DataFrame:
     p = _clean(pipes)
-    e = p.select(F.col("a").alias("node_key"), F.col("inv_a").alias("i")).union(p.select("b", "inv_b"))
-    known = e.groupBy("node_key").agg(F.min("i").alias("i")).join(nodes.select("node_key", "rim_m"), "node_key", "left")
-    key = F.col("node_key")
-    known = known.select("node_key", F.when(key % 4 != 0, F.col("i")).alias("invert_m"), F.when(key % 3 == 0, F.col("rim_m")).alias("ground_m"), F.when(key % 5 == 0, F.col("rim_m") - 1).alias("dem_m"))
-    return op.filled_inverts(known, p)
+    return op.fill_counts(op.filled_inverts(_nodes_of(p), p, SWEEPS))
 
 
 @query("n04_components", "v_tree", sql=WALK + " SELECT node, min(reached) AS component FROM walk GROUP BY node")
@@ -80,16 +104,19 @@ def n05(tree: DataFrame) -> DataFrame:
     return op.outfalls(edges, inverts, inverts.where("node_key % 40 = 0").select("node_key"))
 
 
-@query("n06_conduit_orientation", "v_raw_pipe", "v_node", sql=f"""
-WITH {CLEAN}, x AS (SELECT p.*, u.rim_m - 30 AS na, d.rim_m - 30 AS nb, p.a % 25 = 0 AS oa, p.b % 25 = 0 AS ob FROM pp p JOIN v_node u ON u.node_key = p.a JOIN v_node d ON d.node_key = p.b),
+@query("n06_conduit_orientation", "v_reach", sql=f"""
+WITH {CLEAN}, n AS (SELECT a AS node_key, coalesce(dem_m, 40) - 12.5 AS i FROM pp), x AS (SELECT p.*, u.i AS na, coalesce(d.i, 20) AS nb, p.a % 25 = 0 AS oa, p.b % 25 = 0 AS ob FROM pp p JOIN n u ON u.node_key = p.a LEFT JOIN n d ON d.node_key = p.b),
 y AS (SELECT *, CASE WHEN ob THEN true WHEN oa THEN false ELSE
    CASE WHEN inv_a IS NULL OR inv_a - na > 10 THEN na ELSE inv_a END >= CASE WHEN inv_b IS NULL OR inv_b - nb > 10 THEN nb ELSE inv_b END END AS down,
    coalesce(greatest(0, inv_a - na), 0) AS fa, coalesce(greatest(0, inv_b - nb), 0) AS fb FROM x),
 z AS (SELECT name, file_seq, CASE WHEN down THEN a ELSE b END AS from_key, CASE WHEN down THEN b ELSE a END AS to_key, CASE WHEN down THEN fa ELSE fb END AS i, CASE WHEN down THEN fb ELSE fa END AS o FROM y)
 SELECT name, from_key, to_key, round(CASE WHEN i > 10 THEN 0 ELSE i END, 3) AS inlet_offset_m, round(CASE WHEN o > 10 THEN 0 ELSE o END, 3) AS outlet_offset_m, CAST(i > 10 AS INT) + CAST(o > 10 AS INT) AS rejected FROM z""")
-def n06(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
-    inverts = nodes.select("node_key", (F.col("rim_m") - 30).alias("invert_m"))
-    return op.oriented(_clean(pipes), inverts, nodes.where("node_key % 25 = 0").select("node_key"))
+def n06(pipes: DataFrame) -> DataFrame:
+    p = _clean(pipes)
+    begins = p.select(F.col("a").alias("node_key"), (F.coalesce("dem_m", F.lit(40.0)) - 12.5).alias("invert_m"))
+    ends = p.select(F.col("b").alias("node_key")).join(begins.select("node_key"), "node_key", "left_anti").select("node_key", F.lit(20.0).alias("invert_m"))
+    inverts = begins.unionByName(ends)
+    return op.oriented(p, inverts, inverts.where("node_key % 25 = 0").select("node_key"))
 
 
 @query("n07_assembly_invariants", "v_tree", "v_node", sql="""
@@ -106,14 +133,12 @@ def n07(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.unionByName(ends.withColumn("rule", F.lit("ends_known"))).unionByName(last.withColumn("rule", F.lit("outfall_one_link")))
 
 
-@query("n08_inlet_side_outfalls", "v_raw_pipe", sql=f"""
+@query("n08_inlet_side_outfalls", "v_reach", sql=f"""
 WITH {CLEAN}, e AS (SELECT a AS node_key, inv_a >= inv_b AS high FROM pp WHERE inv_a IS NOT NULL AND inv_b IS NOT NULL UNION ALL SELECT b, inv_b >= inv_a FROM pp WHERE inv_a IS NOT NULL AND inv_b IS NOT NULL)
 SELECT node_key, bool_and(high) AS inlet_side FROM e WHERE node_key % 4 = 0 GROUP BY node_key""")
 def n08(pipes: DataFrame) -> DataFrame:
-    """A candidate outfall is at the inlet side if every pipe with both inverts says that it is the high end."""
-    p = _clean(pipes).where("inv_a is not null and inv_b is not null")
-    e = p.select(F.col("a").alias("node_key"), (F.col("inv_a") >= F.col("inv_b")).alias("high")).union(p.select("b", F.col("inv_b") >= F.col("inv_a")))
-    return e.where("node_key % 4 = 0").groupBy("node_key").agg(F.bool_and("high").alias("inlet_side"))
+    p = _clean(pipes)
+    return op.inlet_side(p, p.select(F.col("a").alias("node_key")).union(p.select("b")).where("node_key % 4 = 0"))
 
 
 @query("n09_view_damage", "v_tree", sql="""

@@ -34,6 +34,17 @@ SELECT l_orderkey * 10 + l_linenumber AS file_seq,
 FROM l CROSS JOIN n
 """
 
+# Pipes of many small networks, one for each order; published levels, rims and terrain are missing for some nodes.
+VIEWS["v_reach"] = """
+SELECT l_orderkey * 10 + l_linenumber AS file_seq, concat('R', CAST(l_orderkey * 10 + l_linenumber AS STRING)) AS name,
+       l_orderkey * 10 + l_linenumber AS up_key, l_orderkey * 10 + l_linenumber - 1 AS dn_key,
+       CASE WHEN min(l_discount) < 8e-2 THEN 0e0 ELSE round(min(l_extendedprice) / 1000, 5) END AS inv_up,
+       CASE WHEN min(l_tax) < 7e-2 THEN -99e0 ELSE round(min(l_extendedprice) / 1000 - 5e-1, 5) END AS inv_dn,
+       CASE WHEN min(l_quantity) > 40 THEN round(min(l_extendedprice) / 1000 + 3, 5) END AS rim_m,
+       CASE WHEN min(l_quantity) > 20 THEN round(min(l_extendedprice) / 1000 + 28e-1, 5) END AS dem_m
+FROM lineitem GROUP BY l_orderkey, l_linenumber
+"""
+
 VIEWS["v_obs_hourly"] = """
 SELECT concat('ST', CAST(user_id % 5 AS STRING)) AS climate_id, event_id AS file_seq,
        date_trunc('hour', ts) AS ts,
