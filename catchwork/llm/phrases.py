@@ -96,22 +96,21 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(spans: DataFrame, window: int) -> DataFrame:
-    """(num, start, h1, h2, times): the 128-bit hash of every window of the runs in spans (num, text, starts, counts, times)."""
+    """(num, start, phrase, hash, times): every window of the runs in spans (num, text, starts, counts, phrases, times). Phrase and hash together are 128 bits of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 b = _Words(texts(part, "text"))
-                start, n, times = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("starts", "counts", "times"))
+                start, n, phrase, times = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("starts", "counts", "phrases", "times"))
                 row = np.repeat(np.arange(part.num_rows), part.column("starts").value_lengths().to_numpy(zero_copy_only=False))
                 own = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                row, times = np.repeat(row, n), np.repeat(times, n)
-                at = own + b.begins[row]
-                h1, h2 = (rolling(x, window, base)[at] for x, base in ((b.lo, BASES[0]), (b.hi, BASES[1])))
-                columns = [part.column("num").to_numpy(zero_copy_only=False)[row], own.astype(np.int32), h1.view(np.int64), h2.view(np.int64), times]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["num", "start", "h1", "h2", "times"])
+                row, phrase, times = np.repeat(row, n), np.repeat(phrase, n), np.repeat(times, n)
+                h = rolling(b.hi, window, BASES[1])[own + b.begins[row]]
+                columns = [part.column("num").to_numpy(zero_copy_only=False)[row], own.astype(np.int32), phrase, h.view(np.int64), times]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["num", "start", "phrase", "hash", "times"])
 
-    return spans.select("num", "text", "starts", "counts", "times").mapInArrow(run, "num long, start int, h1 long, h2 long, times long")
+    return spans.select("num", "text", "starts", "counts", "phrases", "times").mapInArrow(run, "num long, start int, phrase long, hash long, times long")
 
 
 def _located(docs: DataFrame, passages: DataFrame, with_text: bool) -> DataFrame:
@@ -191,16 +190,16 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     runs = scan.join(roles, "num", "left").where("lead is null or lead = num")
     runs = runs.select("num", F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.arrays_zip("starts", "counts", "phrases", "keys")).alias("r"))
     runs = runs.select("num", "n", F.col("r.starts").alias("start"), F.col("r.counts").alias("count"), F.col("r.phrases").alias("phrase"), F.col("r.keys").alias("key"))
-    known = written(runs.groupBy("phrase", "key").agg(F.sum("n").alias("times"), F.min("num").alias("first")), "phrase_runs")
+    known = runs.groupBy("phrase", "key").agg(F.sum("n").alias("times"), F.min("num").alias("first"))
     several = known.groupBy("phrase").agg(F.count("*").alias("d")).where("d > 1").select("phrase", F.lit(True).alias("several"))
     known = known.join(several, "phrase", "left").where("times > 1 or several").select("phrase", "key", "times", "first", F.col("several").isNotNull().alias("several"))
     marked = written(runs.drop("n").join(known, ["phrase", "key"]), "phrase_marked")
 
-    spans = marked.where("several and num = first").groupBy("num").agg(F.collect_list(F.struct("start", "count", "times")).alias("r"))
-    spans = scan.select("num", "text").join(spans, "num").select("num", "text", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.times").alias("times"))
+    spans = marked.where("several and num = first").groupBy("num").agg(F.collect_list(F.struct("start", "count", "phrase", "times")).alias("r"))
+    spans = scan.select("num", "text").join(spans, "num").select("num", "text", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.phrase").alias("phrases"), F.col("r.times").alias("times"))
     windows = written(_windows(spans, window), "phrase_windows")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).where("all > 1").select("h1", "h2")
-    single = windows.where("times = 1").join(twice, ["h1", "h2"]).select("num", "start")
+    twice = windows.groupBy("phrase", "hash").agg(F.sum("times").alias("all")).where("all > 1").select("phrase", "hash")
+    single = windows.where("times = 1").join(twice, ["phrase", "hash"]).select("num", "start")
     single = single.withColumn("range", F.col("start") - F.row_number().over(Window.partitionBy("num").orderBy("start")))  # windows of one document
     single = single.groupBy("num", "range", F.floor(F.col("start") / LONGEST).alias("part")).agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + window).alias("size"))
     single = single.select("num", "start", "size", F.col("num").alias("h1"), F.col("start").cast("long").alias("h2"))
