@@ -16,33 +16,64 @@ def metric(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column
     return F.radians(lon - lon0) * k.EARTH_RADIUS_M * F.cos(F.radians(lat0)), F.radians(lat - lat0) * k.EARTH_RADIUS_M
 
 
-def nearest_within(points: DataFrame, seeds: DataFrame, radius: float, key: str = "point_key") -> DataFrame:
-    """(point, seed_key, distance): the nearest seed within a radius, ties to the lesser key. points (key, x, y), seeds (seed_key, sx, sy), in metres.
+def nearest_within(points: DataFrame, seeds: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = ()) -> DataFrame:
+    """(*area, point, seed_key, distance): the nearest seed of the point's area within a radius, ties to the lesser key. points (*area, key, x, y), seeds (*area, seed_key, sx, sy), in metres; keys are unique in an area.
 
     Seeds stand in their bucket of that width and the eight around it, so one equi-join finds all in reach.
     """
     b = lambda c: F.floor(F.col(c) / radius)
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    s = seeds.select("seed_key", "sx", "sy", near.alias("i")).select("*", near.alias("j")).select("seed_key", "sx", "sy", (b("sx") + F.col("i")).alias("bx"), (b("sy") + F.col("j")).alias("by"))
+    s = seeds.select(*area, "seed_key", "sx", "sy", near.alias("i")).select("*", near.alias("j")).select(*area, "seed_key", "sx", "sy", (b("sx") + F.col("i")).alias("bx"), (b("sy") + F.col("j")).alias("by"))
     d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
-    met = points.withColumn("bx", b("x")).withColumn("by", b("y")).join(s, ["bx", "by"]).withColumn("distance", d).where(F.col("distance") <= radius)
-    best = met.groupBy(key).agg(F.min(F.struct("distance", "seed_key")).alias("m"))
-    return best.select(key, F.col("m.seed_key").alias("seed_key"), F.col("m.distance").alias("distance"))
+    met = points.withColumn("bx", b("x")).withColumn("by", b("y")).join(s, [*area, "bx", "by"]).withColumn("distance", d).where(F.col("distance") <= radius)
+    best = met.groupBy(*area, key).agg(F.min(F.struct("distance", "seed_key")).alias("m"))
+    return best.select(*area, key, F.col("m.seed_key").alias("seed_key"), F.col("m.distance").alias("distance"))
 
 
-def nearest(points: DataFrame, seeds: DataFrame, radius: float, key: str = "point_key", max_rounds: int = 30) -> DataFrame:
-    """The nearest seed at any distance: points without one in reach try again with twice the radius."""
+def nearest(points: DataFrame, seeds: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = (), farthest: float = 1e6) -> DataFrame:
+    """As nearest_within, at any distance up to farthest: points without a seed in reach try again with twice the radius. Points without one at all, or of an area without seeds, have null."""
     from catchwork.frames import written
 
-    done, rest = None, points
-    for _ in range(max_rounds):
-        found = written(nearest_within(rest, seeds, radius, key), "nearest")
+    head = [*area, key]
+    tried = points.join(seeds.select(*area).distinct(), list(area), "left_semi") if area else points
+    done, rest = None, tried
+    while True:
+        found = written(nearest_within(rest, seeds, min(radius, farthest), key, area), "nearest")
         done = found if done is None else done.unionByName(found)
-        rest = written(rest.join(found.select(key), key, "left_anti"), "nearest_rest")
-        if rest.isEmpty() or seeds.isEmpty():
-            return done
+        rest = written(rest.join(found.select(*head), head, "left_anti"), "nearest_rest")
+        if radius >= farthest or rest.isEmpty():
+            return points.select(*head).join(done, head, "left")
         radius *= 2
-    raise RuntimeError("a seed lies beyond every radius")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = ()) -> DataFrame:
+    """(*area, point, name, end_key, distance): the nearest segment of the point's area within a radius, ties to the lesser name, and which of its ends is nearer to the point, ties to the first.
+
+    points (*area, key, x, y); segments (*area, name, a_key, ax, ay, b_key, bx, by). A segment stands in every bucket that its box touches,
+    widened by the radius, a point in its own.
+    """
+    span = lambda p, q: F.explode(F.sequence(F.floor((F.least(p, q) - radius) / radius), F.floor((F.greatest(p, q) + radius) / radius)))
+    g = segments.withColumn("_i", span("ax", "bx")).withColumn("_j", span("ay", "by"))
+    p = points.select(*area, key, "x", "y").withColumn("_i", F.floor(F.col("x") / radius)).withColumn("_j", F.floor(F.col("y") / radius))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
+    far = lambda x, y: F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))
+    d = p.join(g, [*area, "_i", "_j"]).withColumn("_u", F.coalesce(u, F.lit(0.0)))
+    d = d.withColumn("distance", far(F.col("ax") + F.col("_u") * dx, F.col("ay") + F.col("_u") * dy)).where(F.col("distance") <= radius)
+    end = F.when(far(F.col("ax"), F.col("ay")) <= far(F.col("bx"), F.col("by")), F.col("a_key")).otherwise(F.col("b_key"))
+    best = d.withColumn("end_key", end).groupBy(*area, key).agg(F.min(F.struct(F.round("distance", 6).alias("r"), "name", "end_key", "distance")).alias("m"))
+    return best.select(*area, key, "m.name", "m.end_key", "m.distance")
+
+
+def resolved_outlets(points: DataFrame, segments: DataFrame, nodes: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = (), farthest: float = 1e6) -> DataFrame:
+    """(*area, point, conduit, node_key, distance, by): a point drains to the nearer end of its nearest conduit within the radius, else to the nearest node up to farthest. by is conduit, node or none. nodes (*area, seed_key, sx, sy)."""
+    head = [*area, key]
+    pipes = nearest_segment(points, segments, radius, key, area).withColumnRenamed("distance", "pipe_m")
+    rest = points.join(pipes.select(*head), head, "left_anti")
+    other = nearest(rest, nodes, radius, key, area, farthest).withColumnRenamed("distance", "node_m")
+    x = points.select(*head).join(pipes, head, "left").join(other, head, "left")
+    by = F.when(F.col("name").isNotNull(), "conduit").when(F.col("seed_key").isNotNull(), "node").otherwise("none")
+    return x.select(*head, F.col("name").alias("conduit"), F.coalesce("end_key", "seed_key").alias("node_key"), F.coalesce("pipe_m", "node_m").alias("distance"), by.alias("by"))
 
 
 def majority(px: DataFrame, by: list[str], code: str, allowed: Column) -> DataFrame:

@@ -304,10 +304,9 @@ def n13(px: DataFrame) -> DataFrame:
     """Sinks: points near water (class 18), thinned; an area without any takes its lowest point."""
     from catchwork.operators.grid import nearest_within
 
-    far = F.col("aoi_id") * 10_000.0
     points = px.withColumn("point_key", grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")))
-    water = px.where("landcover = 18").select(grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("seed_key"), (F.col("ix") + far).alias("sx"), F.col("iy").cast("double").alias("sy"))
-    near = nearest_within(points.select("point_key", (F.col("ix") + far).alias("x"), F.col("iy").cast("double").alias("y")), water, 3.0)
+    water = px.where("landcover = 18").select("aoi_id", grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("seed_key"), F.col("ix").cast("double").alias("sx"), F.col("iy").cast("double").alias("sy"))
+    near = nearest_within(points.select("aoi_id", "point_key", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y")), water, 3.0, area=("aoi_id",))
     close = points.join(near.select("point_key"), "point_key").select("aoi_id", F.col("point_key").alias("key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("z_m").alias("z"))
     thin = spaced(close, 12.0).select("aoi_id", "key")
     lowest = points.join(thin.select("aoi_id").distinct(), "aoi_id", "left_anti").groupBy("aoi_id").agg(F.min(F.struct("z_m", "point_key")).alias("m")).select("aoi_id", F.col("m.point_key").alias("key"))
@@ -315,28 +314,27 @@ def n13(px: DataFrame) -> DataFrame:
 
 
 SEG = "m AS (SELECT node_key, radians(lon + 123.4) * 6371000 * cos(radians(48.4)) AS x, radians(lat - 48.4) * 6371000 AS y FROM v_node), g AS (SELECT t.name, t.from_key, t.to_key, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM v_tree t JOIN m a ON a.node_key = t.from_key JOIN m b ON b.node_key = t.to_key)"
-PTS = "p AS (SELECT cell_key, radians((cell_key % 10) * 1e-3 + (cell_key % 7) * 1e-5) * 6371000 * cos(radians(48.4)) AS x, radians(cell_key % 40 * 1e-3 + (cell_key % 3) * 1e-5) * 6371000 AS y FROM v_catchment WHERE cell_key <= 300)"
+PTS = "p AS (SELECT cell_key, radians((cell_key % 10) * 1e-3 + (cell_key % 7) * 1e-5) * 6371000 * cos(radians(48.4)) AS x, radians(cell_key % 40 * 1e-3 + (cell_key % 3) * 1e-5) * 6371000 AS y FROM v_catchment)"
 
 
-@query("j14_nearest_conduit_end", "v_tree", "v_node", "v_catchment", sql=f"""WITH {SEG}, {PTS}, t AS (SELECT p.cell_key, p.x, p.y, g.*, greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay)) / nullif((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay), 0))) AS u FROM p, g),
-d AS (SELECT cell_key, name, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (b_y - ay), 2)) AS dist FROM t)
-SELECT cell_key, round(min(dist), 2) AS distance FROM d GROUP BY 1 HAVING min(dist) <= 500""")
+@query("j14_nearest_conduit_end", "v_tree", "v_node", "v_catchment", sql=f"""WITH {SEG}, {PTS}, t AS (SELECT p.cell_key, p.x, p.y, g.*, coalesce(greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay)) / nullif((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay), 0))), 0) AS u
+  FROM p JOIN g ON p.x BETWEEN least(ax, bx) - 200 AND greatest(ax, bx) + 200 AND p.y BETWEEN least(ay, b_y) - 200 AND greatest(ay, b_y) + 200),
+d AS (SELECT cell_key, name, round(sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (b_y - ay), 2)), 6) AS dist,
+  CASE WHEN sqrt(pow(x - ax, 2) + pow(y - ay, 2)) <= sqrt(pow(x - bx, 2) + pow(y - b_y, 2)) THEN from_key ELSE to_key END AS near FROM t),
+c AS (SELECT cell_key, arg_min(name, (dist, name)) AS conduit, arg_min(near, (dist, name)) AS node_key, min(dist) AS dist FROM d WHERE dist <= 200 GROUP BY 1),
+n AS (SELECT p.cell_key, arg_min(m.node_key, (round(sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)), 6), m.node_key)) AS node_key, min(sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2))) AS dist FROM p, m WHERE p.cell_key NOT IN (SELECT cell_key FROM c) GROUP BY 1)
+SELECT p.cell_key, c.conduit, coalesce(c.node_key, n.node_key) AS node_key, round(coalesce(c.dist, n.dist), 2) AS distance, CASE WHEN c.cell_key IS NOT NULL THEN 'conduit' ELSE 'node' END AS "by" FROM p LEFT JOIN c USING (cell_key) LEFT JOIN n USING (cell_key)""")
 def j14(tree: DataFrame, nodes: DataFrame, catchments: DataFrame) -> DataFrame:
-    """Distance of the nearest conduit within 500 m. A segment stands in every bucket that its box touches, widened by the radius, a point in its own."""
-    radius = 500.0
+    """Each catchment's outlet: the nearer end of its nearest conduit within 200 m, else the nearest node."""
     x, y = grid.metric(F.col("lon"), F.col("lat"), F.lit(-123.4), F.lit(48.4))
     m = nodes.select("node_key", x.alias("x"), y.alias("y"))
     a, b = (m.select(F.col("node_key").alias(c), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for c, s in (("from_key", "a"), ("to_key", "b")))
-    g = tree.join(a, "from_key").join(b, "to_key").select("name", "ax", "ay", "bx", "by")
-    span = lambda p, q: F.explode(F.sequence(F.floor((F.least(p, q) - radius) / radius), F.floor((F.greatest(p, q) + radius) / radius)))
-    g = g.withColumn("i", span("ax", "bx")).withColumn("j", span("ay", "by"))
+    g = tree.join(a, "from_key").join(b, "to_key").select("name", F.col("from_key").alias("a_key"), "ax", "ay", F.col("to_key").alias("b_key"), "bx", "by")
     c = F.col("cell_key")
     px_, py_ = grid.metric((c % 10) * 1e-3 + (c % 7) * 1e-5, (c % 40) * 1e-3 + (c % 3) * 1e-5, F.lit(0.0), F.lit(0.0))
-    p = catchments.where("cell_key <= 300").select("cell_key", (px_ * F.cos(F.radians(F.lit(48.4)))).alias("x"), py_.alias("y")).withColumn("i", F.floor(F.col("x") / radius)).withColumn("j", F.floor(F.col("y") / radius))
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
-    d = p.join(g, ["i", "j"]).withColumn("u", F.coalesce(u, F.lit(0.0))).withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("ax") - F.col("u") * dx, 2) + F.pow(F.col("y") - F.col("ay") - F.col("u") * dy, 2)))
-    return d.where(F.col("d") <= radius).groupBy("cell_key").agg(F.round(F.min("d"), 2).alias("distance"))
+    p = catchments.select("cell_key", (px_ * F.cos(F.radians(F.lit(48.4)))).alias("x"), py_.alias("y"))
+    seeds = m.select(F.col("node_key").alias("seed_key"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return grid.resolved_outlets(p, g, seeds, 200.0, "cell_key").withColumn("distance", F.round("distance", 2))
 
 
 @query("j17_street_sample_labels", "v_tree", sql="""WITH s AS (SELECT name, from_key, to_key, length_m, unnest(range(0, CAST(floor(length_m / 10) AS BIGINT) + 1)) AS i FROM v_tree)

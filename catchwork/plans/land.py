@@ -270,22 +270,34 @@ SEED = "seeds AS (SELECT aoi_id, ix * 100 + iy AS seed, ix AS sx, iy AS sy FROM
 @query("g05_nearest_seed_cells", "v_px", sql=f"""WITH {SEED}, d AS (SELECT p.aoi_id, p.ix, p.iy, s.seed, row_number() OVER (PARTITION BY p.aoi_id, p.ix, p.iy ORDER BY (p.ix - s.sx) * (p.ix - s.sx) + (p.iy - s.sy) * (p.iy - s.sy), s.seed) AS r FROM v_px p JOIN seeds s USING (aoi_id))
 SELECT aoi_id, seed, count(*) AS pixels FROM d WHERE r = 1 GROUP BY ALL""")
 def g05(px: DataFrame) -> DataFrame:
-    """Every pixel of an area goes to its nearest seed. Areas lie side by side on one plane, far enough apart for buckets to keep them separate."""
-    x = F.col("ix").cast("double") + F.col("aoi_id") * 10_000.0
-    points = px.select(op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("point_key"), x.alias("x"), F.col("iy").cast("double").alias("y"))
-    seeds = px.where("ix % 12 = 3 and iy % 12 = 3").select((F.col("aoi_id") * 1_000_000 + F.col("ix") * 100 + F.col("iy")).alias("seed_key"), x.alias("sx"), F.col("iy").cast("double").alias("sy"))
-    found = op.nearest(points, seeds, 12.0)
-    return found.groupBy(F.floor(F.col("seed_key") / 1_000_000).alias("aoi_id"), (F.col("seed_key") % 1_000_000).alias("seed")).agg(F.count("*").alias("pixels"))
+    """Every pixel of an area goes to its nearest seed."""
+    found = op.nearest(_centres(px), _grid_seeds(px), 12.0, area=AREA)
+    return found.where("seed_key is not null").groupBy("aoi_id", F.col("seed_key").alias("seed")).agg(F.count("*").alias("pixels"))
+
+
+AREA = ("aoi_id",)
+
+
+def _centres(px: DataFrame) -> DataFrame:
+    """Pixels as points of their area's plane."""
+    return px.select("aoi_id", op.pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("point_key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
+
+
+def _grid_seeds(px: DataFrame) -> DataFrame:
+    seeds = px.where("ix % 12 = 3 and iy % 12 = 3")
+    return seeds.select("aoi_id", (F.col("ix") * 100 + F.col("iy")).alias("seed_key"), F.col("ix").cast("double").alias("sx"), F.col("iy").cast("double").alias("sy"))
+
+
+def _street_samples(px: DataFrame) -> DataFrame:
+    return px.where("iy = 20 and ix % 5 = 0").select("aoi_id", F.col("ix").alias("seed_key"), F.col("ix").cast("double").alias("sx"), F.col("iy").cast("double").alias("sy"))
 
 
 @query("g06_street_band", "v_px", sql="SELECT aoi_id, ix, iy FROM v_px p WHERE EXISTS (SELECT 1 FROM v_px q WHERE q.aoi_id = p.aoi_id AND q.iy = 20 AND q.ix % 5 = 0 AND sqrt(pow(q.ix - p.ix, 2) + pow(q.iy - p.iy, 2)) <= 4)")
 def g06(px: DataFrame) -> DataFrame:
     """Pixels within 4 m of a street's samples."""
-    x = F.col("ix").cast("double") + F.col("aoi_id") * 10_000.0
-    points = px.select(op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("point_key"), x.alias("x"), F.col("iy").cast("double").alias("y"))
-    samples = px.where("iy = 20 and ix % 5 = 0").select((F.col("aoi_id") * 1_000_000 + F.col("ix")).alias("seed_key"), x.alias("sx"), F.col("iy").cast("double").alias("sy"))
-    p = F.col("point_key")
-    return op.nearest_within(points, samples, 4.0).select(F.floor(p / 1_000_000_000_000).alias("aoi_id"), (p % 1_000_000).alias("ix"), (F.floor(p / 1_000_000) % 1_000_000).alias("iy"))
+    near = op.nearest_within(_centres(px), _street_samples(px), 4.0, area=AREA)
+    at = px.select(*op.PIXEL, op.pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("point_key"))
+    return at.join(near.select("aoi_id", "point_key"), ["aoi_id", "point_key"]).select(*op.PIXEL)
 
 
 @query("u08_official_edge", "v_px", sql=f"""WITH {ZONE}, b AS (SELECT *, ix // 25 AS basin FROM z), own AS (SELECT aoi_id, cell, cell % 10 // 3 AS seed_basin FROM b GROUP BY ALL)
@@ -297,10 +309,10 @@ def u08(px: DataFrame) -> DataFrame:
     return b.groupBy(*ZONES).agg(kept.alias("kept"), (F.count("*") - kept).alias("moved"), (kept / F.count("*") < 0.2).alias("refused"))
 
 
-@query("g13_nominal_catchments", "v_node", "v_catchment", sql="SELECT n.node_key, coalesce(sum(c.area_ha), 0.5) AS area_ha, count(c.cell_key) = 0 AS nominal FROM v_node n LEFT JOIN v_catchment c ON c.outlet_key = n.node_key AND c.cell_key % 9 = 0 GROUP BY 1")
+@query("g13_nominal_catchments", "v_node", "v_catchment", sql="SELECT n.node_key, coalesce(sum(c.area_ha), 0.5) AS area_ha, count(c.cell_key) = 0 AS nominal FROM v_node n LEFT JOIN v_catchment c ON c.outlet_key = n.node_key GROUP BY 1")
 def g13(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     """Nodes for which nothing was measured get a nominal catchment, marked as such."""
-    area = catchments.where("cell_key % 9 = 0").groupBy(F.col("outlet_key").alias("node_key")).agg(F.sum("area_ha").alias("a"))
+    area = catchments.groupBy(F.col("outlet_key").alias("node_key")).agg(F.sum("area_ha").alias("a"))
     return nodes.join(area, "node_key", "left").select("node_key", F.coalesce("a", F.lit(0.5)).alias("area_ha"), F.col("a").isNull().alias("nominal"))
 
 
@@ -338,10 +350,11 @@ def j08(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     return op.nearest_within(_points(catchments), _metric(nodes), 60.0).select(F.col("point_key").alias("cell_key"), F.col("seed_key").alias("node_key"), F.round("distance", 4).alias("distance"))
 
 
-@query("j18_parcel_to_seed", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, d AS (SELECT p.cell_key, m.node_key, round(sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)), 5) AS d FROM p, m) SELECT cell_key, round(min(d), 1) AS distance FROM d GROUP BY 1")
+@query("j18_parcel_to_seed", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, d AS (SELECT p.cell_key, m.node_key, round(sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)), 5) AS d FROM p, m) SELECT cell_key, min_by(node_key, (d, node_key)) AS seed, round(min(d), 1) AS distance FROM d GROUP BY 1")
 def j18(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     """Each parcel's nearest seed at any distance."""
-    return op.nearest(_points(catchments), _metric(nodes), 100.0).select(F.col("point_key").alias("cell_key"), F.round(F.round("distance", 5), 1).alias("distance"))
+    found = op.nearest(_points(catchments), _metric(nodes), 100.0)
+    return found.select(F.col("point_key").alias("cell_key"), F.col("seed_key").alias("seed"), F.round(F.round("distance", 5), 1).alias("distance"))
 
 
 @query("j16_lateral_seeds", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, d AS (SELECT m.node_key, count(*) FILTER (WHERE sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) <= 60) AS n FROM m LEFT JOIN p ON abs(p.x - m.x) <= 60 AND abs(p.y - m.y) <= 60 GROUP BY 1) SELECT node_key % 5 AS area, count(*) FILTER (WHERE n > 0) AS n_seeds, CASE WHEN count(*) FILTER (WHERE n > 0) >= 2 THEN 'laterals' ELSE 'manholes' END AS seeds FROM d GROUP BY 1")
@@ -493,14 +506,11 @@ b AS (SELECT p.aoi_id, s.seed, row_number() OVER (PARTITION BY p.aoi_id, p.ix, p
 u AS (SELECT aoi_id, seed, n FROM a WHERE r = 1 UNION ALL SELECT aoi_id, seed, 1 FROM b WHERE r = 1) SELECT aoi_id, seed, sum(n)::BIGINT AS pixels FROM u GROUP BY ALL""")
 def g09(px: DataFrame) -> DataFrame:
     """Cells along lot lines: a whole parcel goes to the seed nearest to its centre, each street pixel to its own nearest seed."""
-    east = F.col("aoi_id") * 10_000.0
-    seeds = px.where("ix % 12 = 3 and iy % 12 = 3").select((F.col("aoi_id") * 1_000_000 + F.col("ix") * 100 + F.col("iy")).alias("seed_key"), (F.col("ix") + east).alias("sx"), F.col("iy").cast("double").alias("sy"))
-    lots = px.where("landcover % 4 <> 0").groupBy("aoi_id", F.floor(F.col("ix") / 7).alias("pk")).agg(F.floor(F.avg("ix")).alias("cx"), F.floor(F.avg("iy")).alias("cy"), F.count("*").alias("n"))
-    lots = lots.select((F.col("aoi_id") * 1000 + F.col("pk")).alias("point_key"), (F.col("cx") + east).alias("x"), F.col("cy").cast("double").alias("y"), "n")
-    street = px.where("landcover % 4 = 0").select(op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("point_key"), (F.col("ix") + east).alias("x"), F.col("iy").cast("double").alias("y"))
-    a = op.nearest(lots.drop("n"), seeds, 12.0).join(lots.select("point_key", "n"), "point_key").select("seed_key", "n")
-    every = a.union(op.nearest(street, seeds, 12.0).select("seed_key", F.lit(1)))
-    return every.groupBy(F.floor(F.col("seed_key") / 1_000_000).alias("aoi_id"), (F.col("seed_key") % 1_000_000).alias("seed")).agg(F.sum("n").alias("pixels"))
+    seeds = _grid_seeds(px)
+    lots = px.where("landcover % 4 <> 0").groupBy("aoi_id", F.floor(F.col("ix") / 7).alias("point_key")).agg(F.floor(F.avg("ix")).cast("double").alias("x"), F.floor(F.avg("iy")).cast("double").alias("y"), F.count("*").alias("n"))
+    a = op.nearest(lots.drop("n"), seeds, 12.0, area=AREA).join(lots.select("aoi_id", "point_key", "n"), ["aoi_id", "point_key"]).select("aoi_id", "seed_key", "n")
+    every = a.union(op.nearest(_centres(px.where("landcover % 4 = 0")), seeds, 12.0, area=AREA).select("aoi_id", "seed_key", F.lit(1)))
+    return every.where("seed_key is not null").groupBy("aoi_id", F.col("seed_key").alias("seed")).agg(F.sum("n").alias("pixels"))
 
 
 @query("g10_frontage_cells", "v_px", sql="""WITH s AS (SELECT aoi_id, ix, iy, ix // 20 AS label FROM v_px WHERE iy = 20 AND ix % 5 = 0),
@@ -508,11 +518,9 @@ d AS (SELECT p.aoi_id, p.ix, p.iy, s.label, row_number() OVER (PARTITION BY p.ao
 SELECT aoi_id, label, count(*) AS pixels FROM d WHERE r = 1 GROUP BY ALL""")
 def g10(px: DataFrame) -> DataFrame:
     """Pixels take the label of their nearest street sample; cells under 20 pixels then merge into a neighbour."""
-    x = F.col("ix") + F.col("aoi_id") * 10_000.0
-    samples = px.where("iy = 20 and ix % 5 = 0").select((F.col("aoi_id") * 1_000_000 + F.col("ix")).alias("seed_key"), x.alias("sx"), F.col("iy").cast("double").alias("sy"))
-    key = op.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id"))
-    found = op.nearest(px.select(key.alias("point_key"), x.alias("x"), F.col("iy").cast("double").alias("y")), samples, 10.0)
-    cells = px.withColumn("point_key", key).join(found, "point_key").withColumn("label", F.floor(F.col("seed_key") % 1_000_000 / 20))
+    found = op.nearest(_centres(px), _street_samples(px), 10.0, area=AREA).where("seed_key is not null")
+    key = op.pixel_id(F.col("ix"), F.col("iy"), F.lit(0))
+    cells = px.withColumn("point_key", key).join(found, ["aoi_id", "point_key"]).withColumn("label", F.floor(F.col("seed_key") / 20))
     return op.merged_slivers(cells.select(*op.PIXEL, "label"), "label", 20).groupBy("aoi_id", "label").agg(F.count("*").alias("pixels"))
 
 
