@@ -74,6 +74,7 @@ CURVE_NUMBERS = {
 INVERT_RISE_TOL_M = 0.01
 OUTLET_WARN_M, OUTLET_HIGH_M = 20.0, 50.0
 SHAPE_AREA_FACTOR, SHAPE_THINNESS = 20.0, 8.0
+SLOPE_GATE_PCT, SLOPE_GATE_FINE_PCT, FINE_POSTING_M = 4.0, 1.0, 10.0
 OVERLAP_WARN, OVERLAP_ERROR, CONSERVATION_TOL, UNCOVERED_WARN, UNCOVERED_ERROR = 0.005, 0.05, 0.05, 0.02, 0.10
 RATIO_LEVEL_2, RATIO_CANDIDATE, AGREEMENT, AGREEMENT_SAMPLE = 0.05, 0.5, 0.95, 30
 

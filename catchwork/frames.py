@@ -59,3 +59,20 @@ def prefix_sum(df: DataFrame, keys: list[str], order_hash: str, ties: list[str],
     joined = named(rows).join(named(totals).select(k1, k2, base), [k1, k2])
     within = Window.partitionBy(k1, k2).orderBy(order_hash, *ties).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col(base) + F.sum(v).over(within)).drop(b, v, base, k1, k2)
+
+
+def ranked(df: DataFrame, keys: list[Column], order: list[str], out: str) -> DataFrame:
+    """df with out = 1, 2 ... within keys in the order of the named columns, nulls first. Equal rows get their numbers in any order.
+
+    Ranges of keys and order are dealt over tasks, numbered each by itself, and moved up by what the earlier ranges of their key hold, so a key
+    with a third of all rows spans many tasks.
+    """
+    k1, k2, p, base = (f"_{out}_{x}" for x in ("key1", "key2", "part", "base"))
+    both = [*keys, *(F.isnull(k) for k in keys)]
+    keyed = df.withColumn(k1, F.xxhash64(*both)).withColumn(k2, F.xxhash64(F.lit(1), *both))
+    rows = written(keyed.repartitionByRange(k1, k2, *order).withColumn(p, F.spark_partition_id()), "ranked")
+    earlier = Window.partitionBy(k1, k2).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = rows.groupBy(k1, k2, p).agg(F.count("*").alias("_n"))
+    bases = counts.select(k1, k2, p, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(base))
+    within = F.row_number().over(Window.partitionBy(k1, k2, p).orderBy(*order))
+    return rows.join(bases, [k1, k2, p]).withColumn(out, F.col(base) + within).drop(k1, k2, p, base)

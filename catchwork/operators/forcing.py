@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchwork.frames import written
+
 from catchwork import constants as k
 
 
@@ -116,3 +118,32 @@ def design_intensity(idf: DataFrame, wanted: DataFrame, power: DataFrame | None
         return out.select("station_key", "minutes", F.col("table").alias("mm_h"))
     law = F.col("a") * F.pow(F.col("t") / 60, F.col("b"))
     return out.join(power, "station_key", "left").select("station_key", "minutes", F.coalesce(law, "table").alias("mm_h"))
+
+
+def ranked_stations(places: DataFrame, stations: DataFrame, n: int, distance: Column, east: float, north: float, start: float, key: str = "aoi_id") -> DataFrame:
+    """(key, station_key, distance, rank): the n nearest stations of each place, ties to the lesser key; all of them where there are fewer.
+
+    places: (key, x, y); stations: (station_key, lon, lat); distance is a column of x, y, lon and lat. A station at distance d is at most
+    d * east degrees away in longitude and d * north in latitude, so those within a radius meet by an equi-join of boxes of that
+    size; places with fewer than n in the radius try again with twice as much, until it spans the globe.
+    """
+    rest, done, radius = written(places.select(key, "x", "y"), "station_places"), None, start
+    stations = written(stations.select("station_key", "lon", "lat").distinct(), "stations")
+    side = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    while True:
+        last = radius * min(east, north) >= 360
+        box = lambda c, step: F.floor(F.col(c) / F.lit(radius * step))  # noqa: B023, E731
+        s = stations.withColumn("_i", side).withColumn("_j", side).withColumn("_bx", box("lon", east) + F.col("_i")).withColumn("_by", box("lat", north) + F.col("_j")).drop("_i", "_j")
+        met = rest.withColumn("_bx", box("x", east)).withColumn("_by", box("y", north)).join(s, ["_bx", "_by"]).withColumn("distance", distance)
+        near = met.where(F.col("distance") <= radius).select(key, "station_key", "distance")
+        order = Window.partitionBy(key).orderBy("distance", "station_key")
+        best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        best = written(best.withColumn("_all", F.count("*").over(Window.partitionBy(key))), "stations_near")
+        full = best if last else best.where(F.col("_all") >= n)
+        done = full if done is None else done.unionByName(full)
+        if last:
+            return done.drop("_all")
+        rest = written(rest.join(full.select(key).distinct(), key, "left_anti"), "station_places")
+        if rest.isEmpty():
+            return done.drop("_all")
+        radius *= 2

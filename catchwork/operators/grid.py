@@ -76,6 +76,25 @@ def resolved_outlets(points: DataFrame, segments: DataFrame, nodes: DataFrame, r
     return x.select(*head, F.col("name").alias("conduit"), F.coalesce("end_key", "seed_key").alias("node_key"), F.coalesce("pipe_m", "node_m").alias("distance"), by.alias("by"))
 
 
+def sampled(points: DataFrame, px: DataFrame, value: str) -> DataFrame:
+    """points (aoi_id, ix, iy, ...) with the value of their pixel; null outside."""
+    return points.join(px.select(*PIXEL, value), PIXEL, "left")
+
+
+def physical_imperviousness(px: DataFrame, by: list[str], evidence: float = 0.02, code: str = "landcover") -> DataFrame:
+    """(*by, pct): roofs or road band, each pixel once, plus 10 points, at most 90; zones with a smaller share of mapped roofs than evidence keep the land-cover value. px has roof and road flags."""
+    n, r = F.count("*"), F.count_if("roof")
+    cover = 100 * F.avg(k.lookup(k.COVER_IMPERVIOUS, F.col(code).cast("int"), 0.0))
+    return px.groupBy(*by).agg(F.when(r / n >= evidence, F.least(F.lit(90.0), 100 * F.count_if(F.col("roof") | F.col("road")) / n + 10)).otherwise(cover).alias("pct"))
+
+
+def slope_gate(px: DataFrame, posting_m: Column, by: str = "aoi_id") -> DataFrame:
+    """(area, median_pct, gate_pct, flat): the median slope of an area's pixels against the gate for its posting; posting_m is a column of px, the same within an area. Pixels without a slope don't count."""
+    gate = F.when(F.min(posting_m) < k.FINE_POSTING_M, k.SLOPE_GATE_FINE_PCT).otherwise(k.SLOPE_GATE_PCT)
+    x = px.where("slope_pct is not null").groupBy(by).agg(F.percentile("slope_pct", 0.5).alias("median_pct"), gate.alias("gate_pct"))
+    return x.withColumn("flat", F.col("median_pct") < F.col("gate_pct"))
+
+
 def majority(px: DataFrame, by: list[str], code: str, allowed: Column) -> DataFrame:
     """The most frequent allowed code of each zone, the lowest of equals. Counting first keeps a zone's rows few."""
     n = px.where(allowed).groupBy(*by, code).agg(F.count("*").alias("n"))
@@ -137,12 +156,17 @@ def shared_edges(px: DataFrame, label: str) -> DataFrame:
 
 
 def merged_slivers(px: DataFrame, label: str, least: int) -> DataFrame:
-    """px with label replaced in cells under `least` pixels by the larger neighbour with the longest shared border; slivers without one stay. One simultaneous round."""
+    """px with label replaced in cells under `least` pixels by the larger neighbour with the longest shared border, else by the nearest larger cell of the area; without one they stay. One simultaneous round."""
     size = px.groupBy("aoi_id", F.col(label).alias("a")).agg(F.count("*").alias("n"))
     big = size.where(F.col("n") >= least).select("aoi_id", F.col("a").alias("b"))
     small = size.where(F.col("n") < least).select("aoi_id", "a")
     target = shared_edges(px, label).join(small, ["aoi_id", "a"]).join(big, ["aoi_id", "b"])
     target = target.groupBy("aoi_id", "a").agg(F.max(F.struct("edges", (-F.col("b")).alias("t"))).alias("m")).select("aoi_id", F.col("a").alias(label), (-F.col("m.t")).alias("_to"))
+    lone = px.join(small.select("aoi_id", F.col("a").alias(label)), ["aoi_id", label]).join(target, ["aoi_id", label], "left_anti")
+    lone = lone.select("aoi_id", label, pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("point_key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
+    seeds = px.join(big.withColumnRenamed("b", label), ["aoi_id", label]).select("aoi_id", F.col(label).alias("seed_key"), F.col("ix").cast("double").alias("sx"), F.col("iy").cast("double").alias("sy"))
+    far = lone.join(nearest(lone.drop(label), seeds, 8.0, area=("aoi_id",)), ["aoi_id", "point_key"]).where("seed_key is not null")
+    target = target.unionByName(far.groupBy("aoi_id", label).agg(F.min(F.struct("distance", "seed_key")).alias("m")).select("aoi_id", label, F.col("m.seed_key").alias("_to")))
     return px.join(target, ["aoi_id", label], "left").withColumn(label, F.coalesce("_to", label)).drop("_to")
 
 

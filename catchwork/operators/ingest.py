@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchwork.frames import ranked
 from catchwork.functions import values as v
 
 
@@ -16,14 +17,18 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Repeated names get `_2`, `_3` ... in arrival order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("unique_name", F.when(n > 1, F.concat_ws("_", F.col(name), n.cast("string"))).otherwise(F.col(name)))
+    return _suffixed(df, name, F.col(name), order)
 
 
 def unique_folded(df: DataFrame, name: str, order: str) -> DataFrame:
     """Names that differ only by case count as repeated too."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
-    return df.withColumn("unique_name", F.when(n > 1, F.concat_ws("_", F.col(name), n.cast("string"))).otherwise(F.col(name)))
+    return _suffixed(df, name, F.lower(name), order)
+
+
+def _suffixed(df: DataFrame, name: str, same: Column, order: str) -> DataFrame:
+    x = ranked(df, [same], [order], "_number")
+    n = F.col("_number")
+    return x.withColumn("unique_name", F.when(n > 1, F.concat_ws("_", F.col(name), n.cast("string"))).otherwise(F.col(name))).drop("_number")
 
 
 def ends(pipes: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
-from catchwork.frames import written
+from catchwork.frames import ranked, written
 from catchwork.operators.components import connected_components
 
 
@@ -218,5 +218,5 @@ def propagated_inverts(forest: DataFrame, nodes: DataFrame, slope: float = 0.005
 
 def numbered(nodes: DataFrame, label: str) -> DataFrame:
     """Names for all nodes: the label, or `N1`, `N2` ... by place for those without one, numbered within an area."""
-    n = F.row_number().over(Window.partitionBy("aoi_id", F.col(label).isNull()).orderBy("lon", "lat", "node_key"))
-    return nodes.withColumn("name", F.coalesce(F.col(label), F.concat(F.lit("N"), n.cast("string"))))
+    x = ranked(nodes, [F.col("aoi_id"), F.col(label).isNull()], ["lon", "lat", "node_key"], "_number")
+    return x.withColumn("name", F.coalesce(F.col(label), F.concat(F.lit("N"), F.col("_number").cast("string")))).drop("_number")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.operators import checks
 from catchwork.plans.registry import query
 
 
@@ -89,24 +90,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY m) - 1 AS i, cou
 SELECT aoi_id, round(max(m), 4) AS max_m, round(max(CASE WHEN i = floor(0.95::DOUBLE * (n - 1)) THEN m END), 4) AS p95_m, count(*) FILTER (WHERE m > 20 AND m <= 50) AS n_20_50, count(*) FILTER (WHERE m > 50) AS n_over_50 FROM r GROUP BY 1""")
 def a20(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
     d = catchments.join(nodes.select(F.col("node_key").alias("outlet_key"), "aoi_id"), "outlet_key").select("aoi_id", (F.col("area_ha") * 12).alias("m"))
-    w = Window.partitionBy("aoi_id")
-    r = d.withColumn("i", F.row_number().over(w.orderBy("m")) - 1).withColumn("n", F.count("*").over(w))
-    p95 = F.max(F.when(F.col("i") == F.floor(0.95 * (F.col("n") - 1)), F.col("m")))
-    return r.groupBy("aoi_id").agg(F.round(F.max("m"), 4).alias("max_m"), F.round(p95, 4).alias("p95_m"), F.count_if((F.col("m") > 20) & (F.col("m") <= 50)).alias("n_20_50"), F.count_if(F.col("m") > 50).alias("n_over_50"))
-
-
-@query("a21_shape_outliers", "v_catchment", sql="""
-WITH r AS (SELECT *, outlet_key % 5 AS aoi, row_number() OVER (PARTITION BY outlet_key % 5 ORDER BY area_ha) - 1 AS i, count(*) OVER (PARTITION BY outlet_key % 5) AS n FROM v_catchment),
-m AS (SELECT aoi, max(CASE WHEN i = n // 2 THEN area_ha END) AS med FROM r GROUP BY 1)
-SELECT cell_key, area_ha > 1.9 * med AS large, area_ha < med / 20 AS small, pct_imperv / 10 > 8 AS elongated FROM r JOIN m USING (aoi) WHERE area_ha > 1.9 * med OR area_ha < med / 20 OR pct_imperv / 10 > 8""")
-def a21(catchments: DataFrame) -> DataFrame:
-    """Cells far larger or smaller than the upper median (here 1.9 times as a factor that the table meets) or very elongated."""
-    x = catchments.withColumn("aoi", F.col("outlet_key") % 5)
-    w = Window.partitionBy("aoi")
-    r = x.withColumn("i", F.row_number().over(w.orderBy("area_ha")) - 1).withColumn("n", F.count("*").over(w))
-    med = r.where("i = floor(n / 2)").select("aoi", F.col("area_ha").alias("med"))
-    r = r.join(med, "aoi").select("cell_key", (F.col("area_ha") > 1.9 * F.col("med")).alias("large"), (F.col("area_ha") < F.col("med") / k.SHAPE_AREA_FACTOR).alias("small"), (F.col("pct_imperv") / 10 > k.SHAPE_THINNESS).alias("elongated"))
-    return r.where("large or small or elongated")
+    x = checks.distance_summary(d, "m", "aoi_id")
+    return x.withColumn("max_m", F.round("max_m", 4)).withColumn("p95_m", F.round("p95_m", 4))
+
+
+@query("a21_shape_outliers", "v_cell_shape", sql="""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY area_ha) - 1 AS i, count(*) OVER (PARTITION BY aoi_id) AS n FROM v_cell_shape),
+m AS (SELECT aoi_id, max(CASE WHEN i = n // 2 THEN area_ha END) AS med FROM r GROUP BY 1)
+SELECT cell_key, area_ha > 20 * med AS large, area_ha < med / 20 AS small, thinness > 8 AS elongated FROM r JOIN m USING (aoi_id) WHERE area_ha > 20 * med OR area_ha < med / 20 OR thinness > 8""")
+def a21(cells: DataFrame) -> DataFrame:
+    return checks.shape_outliers(cells, "aoi_id").select("cell_key", "large", "small", "elongated")
 
 
 @query("a25_verdict_rollup", "v_catchment", "v_raw_pipe", "v_node", sql=f"""WITH {RISE},

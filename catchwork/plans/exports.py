@@ -82,9 +82,10 @@ def s13(obs: DataFrame, flows: DataFrame) -> DataFrame:
     return x.groupBy("variable", "unit").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-@query("s14_rain_csv", "v_obs_hourly", sql="SELECT strftime(ts, '%Y-%m-%d %H:%M') AS datetime, round(sum(precip_raw), 5) AS depth_mm FROM v_obs_hourly WHERE climate_id = 'ST1' AND precip_raw IS NOT NULL GROUP BY 1")
+@query("s14_rain_csv", "v_obs_hourly", sql="SELECT climate_id, strftime(ts, '%Y-%m-%d %H:%M') AS datetime, round(sum(precip_raw), 5) AS depth_mm FROM v_obs_hourly WHERE precip_raw IS NOT NULL GROUP BY 1, 2")
 def s14(obs: DataFrame) -> DataFrame:
-    return _csv(obs.where("climate_id = 'ST1' and precip_raw is not null").groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("datetime")).agg(F.round(F.sum("precip_raw"), 5).alias("depth_mm")), "datetime string, depth_mm double")
+    """A folder of CSV files for each station, read back."""
+    return _csv(obs.where("precip_raw is not null").groupBy("climate_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("datetime")).agg(F.round(F.sum("precip_raw"), 5).alias("depth_mm")), "datetime string, depth_mm double, climate_id string", "climate_id")
 
 
 @query("s21_stage_csv", "v_flow_obs", sql="SELECT strftime(day, '%Y-%m-%d') AS datetime, round(obs_cms / 100, 3) AS level_m FROM v_flow_obs")
@@ -92,9 +93,10 @@ def s21(flows: DataFrame) -> DataFrame:
     return _csv(flows.select(F.date_format("day", "yyyy-MM-dd").alias("datetime"), F.round(F.col("obs_cms") / 100, 3).alias("level_m")), "datetime string, level_m double")
 
 
-def _csv(df: DataFrame, schema: str) -> DataFrame:
+def _csv(df: DataFrame, schema: str, *by: str) -> DataFrame:
+    """The series as CSV files in the order of time, one folder for each value of by, read back."""
     path = new_path(df.sparkSession, "series")
-    df.orderBy("datetime").write.option("header", True).csv(path)
+    df.orderBy(*by, "datetime").write.partitionBy(*by).option("header", True).csv(path)
     return df.sparkSession.read.schema(schema).option("header", True).csv(path)
 
 
@@ -119,11 +121,11 @@ def s16(layers: DataFrame) -> DataFrame:
 REQUIRED = ("model", "nodes", "conduits", "catchments", "forcing", "manifest")
 
 
-@query("s17_required_members", "orders", sql="WITH p AS (SELECT DISTINCT o_custkey AS package FROM orders WHERE o_custkey <= 300), h AS (SELECT DISTINCT o_custkey AS package, ['model', 'nodes', 'conduits', 'catchments', 'forcing', 'manifest'][1 + o_orderkey % 6] AS member FROM orders), r AS (SELECT unnest(['model', 'nodes', 'conduits', 'catchments', 'forcing', 'manifest']) AS member) SELECT package, member FROM p, r WHERE (package, member) NOT IN (SELECT (package, member) FROM h)")
+@query("s17_required_members", "orders", sql="WITH p AS (SELECT DISTINCT o_custkey AS package FROM orders), h AS (SELECT DISTINCT o_custkey AS package, ['model', 'nodes', 'conduits', 'catchments', 'forcing', 'manifest'][1 + o_orderkey % 6] AS member FROM orders), r AS (SELECT unnest(['model', 'nodes', 'conduits', 'catchments', 'forcing', 'manifest']) AS member) SELECT package, member FROM p, r WHERE (package, member) NOT IN (SELECT (package, member) FROM h)")
 def s17(orders: DataFrame) -> DataFrame:
     """Members that packages should have and lack."""
     have = orders.select(F.col("o_custkey").alias("package"), F.get(F.array(*map(F.lit, REQUIRED)), (F.col("o_orderkey") % 6).cast("int")).alias("member")).distinct()
-    want = orders.where("o_custkey <= 300").select(F.col("o_custkey").alias("package")).distinct().withColumn("member", F.explode(F.array(*map(F.lit, REQUIRED))))
+    want = orders.select(F.col("o_custkey").alias("package")).distinct().withColumn("member", F.explode(F.array(*map(F.lit, REQUIRED))))
     return want.join(have, ["package", "member"], "left_anti")
 
 
@@ -158,11 +160,11 @@ def p24(tree: DataFrame) -> DataFrame:
     return tree.select("name", F.when(n > 0, 1 / F.nullif(n, F.lit(0.0))).otherwise(75.0).alias("manning_m"), (n <= 0).alias("defaulted"), F.round(F.lit(k.HORTON["B"][1]) / 3.6e6, 12).alias("ksat_ms"))
 
 
-@query("p25_node_supplement", "v_node", "v_catchment", "v_px", sql="""WITH d AS (SELECT n.*, p.z_m AS dem FROM v_node n LEFT JOIN v_px p ON p.aoi_id = 0 AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50), c AS (SELECT outlet_key, count(*) AS n, sum(area_ha) AS a FROM v_catchment GROUP BY 1)
+@query("p25_node_supplement", "v_node", "v_catchment", "v_px", sql="""WITH d AS (SELECT n.*, p.z_m AS dem FROM v_node n LEFT JOIN v_px p ON p.aoi_id = n.aoi_id AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50), c AS (SELECT outlet_key, count(*) AS n, sum(area_ha) AS a FROM v_catchment GROUP BY 1)
 SELECT node, round(rim_m - dem, 3) AS rim_minus_dem_m, rim_m - 2 >= dem AS invert_ge_dem, coalesce(c.n, 0) AS n_catchments, round(coalesce(c.a, 0), 4)::DOUBLE AS drained_ha, coalesce(c.n, 0) > 0 AS drop_inlet FROM d LEFT JOIN c ON c.outlet_key = d.node_key""")
 def p25(nodes: DataFrame, catchments: DataFrame, px: DataFrame) -> DataFrame:
     """Rim, difference to terrain, drained area and drop-inlet flag for each node."""
-    at = nodes.withColumn("aoi", F.lit(0).cast("long")).withColumn("ix", F.col("node_key") % 60).withColumn("iy", F.floor(F.col("node_key") / 10) % 50)
+    at = nodes.withColumn("aoi", F.col("aoi_id")).withColumn("ix", F.col("node_key") % 60).withColumn("iy", F.floor(F.col("node_key") / 10) % 50)
     dem = px.select(F.col("aoi_id").alias("aoi"), "ix", "iy", F.col("z_m").alias("dem"))
     c = catchments.groupBy(F.col("outlet_key").alias("node_key")).agg(F.count("*").alias("n"), F.sum("area_ha").alias("a"))
     x = at.join(dem, ["aoi", "ix", "iy"], "left").join(c, "node_key", "left")
@@ -219,10 +221,10 @@ def p42(catchments: DataFrame) -> DataFrame:
     return catchments.select("name", F.round(grid.ring_perimeter(ring) / 4, 4).alias("side_m"), (F.col("cell_key") % 3 == 0).alias("stand_in"))
 
 
-@query("m22_rim_elevation", "v_node", "v_px", sql="SELECT n.node_key, round(n.rim_m - 2 + 2, 4) AS rim_m, round(n.rim_m - p.z_m, 4) AS above_dem_m FROM v_node n LEFT JOIN v_px p ON p.aoi_id = 0 AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50")
+@query("m22_rim_elevation", "v_node", "v_px", sql="SELECT n.node_key, round(n.rim_m - 2 + 2, 4) AS rim_m, round(n.rim_m - p.z_m, 4) AS above_dem_m FROM v_node n LEFT JOIN v_px p ON p.aoi_id = n.aoi_id AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50")
 def m22(nodes: DataFrame, px: DataFrame) -> DataFrame:
-    at = nodes.select("node_key", "rim_m", F.lit(0).cast("long").alias("aoi_id"), (F.col("node_key") % 60).alias("ix"), (F.floor(F.col("node_key") / 10) % 50).alias("iy"))
-    x = at.join(px.select(*grid.PIXEL, "z_m"), grid.PIXEL, "left")
+    at = nodes.select("node_key", "rim_m", "aoi_id", (F.col("node_key") % 60).alias("ix"), (F.floor(F.col("node_key") / 10) % 50).alias("iy"))
+    x = grid.sampled(at, px, "z_m")
     return x.select("node_key", F.round(F.col("rim_m") - 2 + 2, 4).alias("rim_m"), F.round(F.col("rim_m") - F.col("z_m"), 4).alias("above_dem_m"))
 
 

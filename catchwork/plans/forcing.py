@@ -64,10 +64,10 @@ def s05(idf: DataFrame) -> DataFrame:
 
 @query("s06_wide_months_to_days", "orders", sql="""
 WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS q FROM orders GROUP BY 1)
-SELECT day, round(q, 4) AS flow FROM d WHERE q > 0 AND extract(month FROM day) IN (1, 2, 6)""")
+SELECT day, round(q, 4) AS flow FROM d WHERE q > 0""")
 def s06(orders: DataFrame) -> DataFrame:
     """Month rows with 31 value columns become day rows; nulls and days that a month lacks are dropped."""
-    days = orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("q")).where(F.month("d").isin(1, 2, 6))
+    days = orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("q"))
     wide = days.groupBy(F.year("d").alias("y"), F.month("d").alias("m")).agg(*(F.max(F.when(F.dayofmonth("d") == i, F.col("q"))).alias(f"flow{i}") for i in range(1, 32)))
     long = wide.unpivot(["y", "m"], [f"flow{i}" for i in range(1, 32)], "which", "q").where("q is not null")
     number = F.substring("which", 5, 2).cast("int")
@@ -249,22 +249,21 @@ d AS (SELECT aoi_id, station_key, sqrt(pow((s.lon - a.lon) * 71.5, 2) + pow((s.l
 r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY km, station_key) AS n FROM d)
 SELECT aoi_id, station_key, round(km, 6) AS km, CAST(n AS INT) AS rank FROM r WHERE n <= 5""")
 def j11(idf: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The five nearest stations of each area. Stations are reference data, one row a station; every area's centre is measured against all of them."""
+    """The five nearest stations of each area."""
     a = nodes.groupBy("aoi_id").agg(F.avg("lon").alias("x"), F.avg("lat").alias("y"))
-    s = idf.select("station_key", "lon", "lat").distinct()
-    d = a.join(s, F.lit(True)).select("aoi_id", "station_key", v.flat_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("km"))
-    n = F.row_number().over(Window.partitionBy("aoi_id").orderBy("km", "station_key"))
-    return d.withColumn("rank", n).where("rank <= 5").select("aoi_id", "station_key", F.round("km", 6).alias("km"), "rank")
+    km = v.flat_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+    found = op.ranked_stations(a, idf, 5, km, 1 / 71.5, 1 / 111.32, 100.0)
+    return found.select("aoi_id", "station_key", F.round("distance", 6).alias("km"), "rank")
 
 
 @query("j12_nearest_idf_station", "v_idf", "v_node", sql="""
 WITH a AS (SELECT aoi_id, avg(lon) AS lon, avg(lat) AS lat FROM v_node GROUP BY 1), s AS (SELECT DISTINCT station_key, lon, lat FROM v_idf)
 SELECT aoi_id, min_by(station_key, ((s.lon - a.lon) * cos(radians(a.lat))) * ((s.lon - a.lon) * cos(radians(a.lat))) + (s.lat - a.lat) * (s.lat - a.lat)) AS station_key FROM a, s GROUP BY 1""")
 def j12(idf: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nearest station in degrees, longitude shrunk by the area's latitude (up to 75 degrees)."""
     a = nodes.groupBy("aoi_id").agg(F.avg("lon").alias("x"), F.avg("lat").alias("y"))
-    s = idf.select("station_key", "lon", "lat").distinct()
-    d2 = F.pow((F.col("lon") - F.col("x")) * F.cos(F.radians("y")), 2) + F.pow(F.col("lat") - F.col("y"), 2)
-    return a.join(s, F.lit(True)).groupBy("aoi_id").agg(F.min_by("station_key", F.struct(d2, "station_key")).alias("station_key"))
+    degrees = F.sqrt(F.pow((F.col("lon") - F.col("x")) * F.cos(F.radians("y")), 2) + F.pow(F.col("lat") - F.col("y"), 2))
+    return op.ranked_stations(a, idf, 1, degrees, 4.0, 1.0, 1.0).select("aoi_id", "station_key")
 
 
 @query("j13_nearest_tide_station", "v_idf", "v_node", sql="""

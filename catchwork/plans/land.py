@@ -70,10 +70,12 @@ def a11(px: DataFrame) -> DataFrame:
     return _zones(op.slope_pct(px)).where("slope_pct is not null").groupBy(*ZONES).agg(F.round(F.percentile("slope_pct", 0.5), 5).alias("slope_pct"))
 
 
-@query("a32_slope_gate", "v_px", sql=f"WITH {SLOPE} SELECT aoi_id, round(median(p), 5) AS median_pct, median(p) < 90 AS flat FROM s WHERE p IS NOT NULL GROUP BY 1")
+@query("a32_slope_gate", "v_px", sql=f"WITH {SLOPE}, t AS (SELECT aoi_id, CASE WHEN aoi_id % 3 = 0 THEN p / 100 ELSE p END AS p, CASE WHEN aoi_id % 2 = 0 THEN 1.0 ELSE 4.0 END::DOUBLE AS gate FROM s WHERE p IS NOT NULL) SELECT aoi_id, round(median(p), 5) AS median_pct, min(gate) AS gate_pct, median(p) < min(gate) AS flat FROM t GROUP BY 1")
 def a32(px: DataFrame) -> DataFrame:
-    m = F.percentile("slope_pct", 0.5)
-    return op.slope_pct(px).where("slope_pct is not null").groupBy("aoi_id").agg(F.round(m, 5).alias("median_pct"), (m < 90).alias("flat"))
+    """Every third area is flat; even areas have terrain of 1 m posting, the others of 30 m."""
+    area = F.col("aoi_id")
+    x = op.slope_pct(px).withColumn("slope_pct", F.when(area % 3 == 0, F.col("slope_pct") / 100).otherwise(F.col("slope_pct")))
+    return op.slope_gate(x, F.when(area % 2 == 0, 1.0).otherwise(30.0)).withColumn("median_pct", F.round("median_pct", 5))
 
 
 @query("a39_terrain_coverage", "v_px", sql="SELECT aoi_id, round(avg(CAST(landcover % 5 <> 0 AS INT)), 6) AS valid_share, CASE WHEN avg(CAST(landcover % 5 <> 0 AS INT)) >= 0.99 THEN 'full' WHEN avg(CAST(landcover % 5 <> 0 AS INT)) >= 0.7 THEN 'fine' ELSE 'coarse' END AS choice FROM v_px GROUP BY 1")
@@ -99,14 +101,12 @@ def a12(px: DataFrame) -> DataFrame:
     return _flags(px).groupBy(*ZONES).agg(seen.alias("parcel_based"), F.when(seen, pct).otherwise(95.0).alias("pct"))
 
 
-@query("a13_physical_imperviousness", "v_px", sql=f"""WITH {ZONE}, f AS (SELECT *, {FLAGS} FROM z), s AS (SELECT aoi_id, cell, count(*) AS n, count(*) FILTER (WHERE roof) AS r, count(*) FILTER (WHERE roof OR road) AS u, avg({IMPERV}) AS i FROM f GROUP BY ALL)
-SELECT aoi_id, cell, round(CASE WHEN r / n::DOUBLE >= 0.15 THEN least(90, 100 * u / n::DOUBLE + 10) ELSE 100 * i END, 6) AS pct FROM s""")
+@query("a13_physical_imperviousness", "v_px", sql=f"""WITH {ZONE}, f AS (SELECT *, {FLAGS} FROM z), s AS (SELECT aoi_id, cell, count(*) AS n, count(*) FILTER (WHERE roof AND cell % 3 <> 0) AS r, count(*) FILTER (WHERE roof AND cell % 3 <> 0 OR road) AS u, avg({IMPERV}) AS i FROM f GROUP BY ALL)
+SELECT aoi_id, cell, round(CASE WHEN r / n::DOUBLE >= 0.02 THEN least(90, 100 * u / n::DOUBLE + 10) ELSE 100 * i END, 6) AS pct FROM s""")
 def a13(px: DataFrame) -> DataFrame:
-    """Roofs or road band, each pixel once, plus 10 points, at most 90; cells with few mapped roofs (here 15 %) keep the land-cover value."""
-    n, r = F.count("*"), F.count_if("roof")
-    cover = 100 * F.avg(k.lookup(k.COVER_IMPERVIOUS, F.col("landcover").cast("int"), 0.0))
-    pct = F.when(r / n >= 0.15, F.least(F.lit(90.0), 100 * F.count_if(F.col("roof") | F.col("road")) / n + 10)).otherwise(cover)
-    return _flags(px).groupBy(*ZONES).agg(F.round(pct, 6).alias("pct"))
+    """Roofs are mapped in two of three cells only."""
+    mapped = _flags(px).withColumn("roof", F.col("roof") & (F.col("cell") % 3 != 0))
+    return op.physical_imperviousness(mapped, ZONES).withColumn("pct", F.round("pct", 6))
 
 
 @query("a17_dwellings_per_cell", "v_px", sql=f"WITH {ZONE}, f AS (SELECT *, {FLAGS} FROM z) SELECT aoi_id, cell, count(*) FILTER (WHERE roof) AS n FROM f GROUP BY ALL HAVING count(*) FILTER (WHERE roof) > 0")
@@ -200,8 +200,10 @@ def _odd(px: DataFrame) -> DataFrame:
 
 
 @query("t06_sliver_merge", "v_px", sql=f"""WITH {ODD}, s AS (SELECT aoi_id, cell AS a, count(*) AS n FROM z GROUP BY ALL), {EDGE},
-t AS (SELECT e.aoi_id, e.a, e.b, row_number() OVER (PARTITION BY e.aoi_id, e.a ORDER BY edges DESC, e.b) AS r FROM e JOIN s x ON x.aoi_id = e.aoi_id AND x.a = e.a AND x.n < 20 JOIN s y ON y.aoi_id = e.aoi_id AND y.a = e.b AND y.n >= 20)
-SELECT z.aoi_id, coalesce(t.b, z.cell) AS cell, count(*) AS pixels FROM z LEFT JOIN t ON t.aoi_id = z.aoi_id AND t.a = z.cell AND t.r = 1 GROUP BY ALL""")
+t AS (SELECT e.aoi_id, e.a, e.b, row_number() OVER (PARTITION BY e.aoi_id, e.a ORDER BY edges DESC, e.b) AS r FROM e JOIN s x ON x.aoi_id = e.aoi_id AND x.a = e.a AND x.n < 20 JOIN s y ON y.aoi_id = e.aoi_id AND y.a = e.b AND y.n >= 20),
+lone AS (SELECT s.aoi_id, s.a FROM s LEFT JOIN t ON t.aoi_id = s.aoi_id AND t.a = s.a WHERE s.n < 20 AND t.a IS NULL),
+far AS (SELECT l.aoi_id, l.a, arg_min(q.cell, (sqrt(pow(z.ix - q.ix, 2) + pow(z.iy - q.iy, 2)), q.cell)) AS b FROM lone l JOIN z ON z.aoi_id = l.aoi_id AND z.cell = l.a JOIN z q ON q.aoi_id = l.aoi_id JOIN s y ON y.aoi_id = q.aoi_id AND y.a = q.cell AND y.n >= 20 GROUP BY ALL)
+SELECT z.aoi_id, coalesce(t.b, far.b, z.cell) AS cell, count(*) AS pixels FROM z LEFT JOIN t ON t.aoi_id = z.aoi_id AND t.a = z.cell AND t.r = 1 LEFT JOIN far ON far.aoi_id = z.aoi_id AND far.a = z.cell GROUP BY ALL""")
 def t06(px: DataFrame) -> DataFrame:
     return op.merged_slivers(_odd(px), "cell", 20).groupBy("aoi_id", "cell").agg(F.count("*").alias("pixels"))
 
@@ -223,11 +225,11 @@ def g11(px: DataFrame) -> DataFrame:
     return z.join(own, ["aoi_id", "pk"], "left").groupBy("aoi_id", F.coalesce("to_cell", "cell").alias("cell")).agg(F.count("*").alias("pixels"))
 
 
-@query("j20_raster_sampling", "v_node", "v_px", sql="SELECT n.node_key, p.z_m FROM v_node n LEFT JOIN v_px p ON p.aoi_id = 0 AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50")
+@query("j20_raster_sampling", "v_node", "v_px", sql="SELECT n.node_key, p.z_m FROM v_node n LEFT JOIN v_px p ON p.aoi_id = n.aoi_id AND p.ix = n.node_key % 60 AND p.iy = n.node_key // 10 % 50")
 def j20(nodes: DataFrame, px: DataFrame) -> DataFrame:
     """Terrain at points by their pixel; null outside."""
-    at = nodes.select("node_key", F.lit(0).cast("long").alias("aoi_id"), (F.col("node_key") % 60).alias("ix"), (F.floor(F.col("node_key") / 10) % 50).alias("iy"))
-    return at.join(px.select(*op.PIXEL, "z_m"), op.PIXEL, "left").select("node_key", "z_m")
+    at = nodes.select("node_key", "aoi_id", (F.col("node_key") % 60).alias("ix"), (F.floor(F.col("node_key") / 10) % 50).alias("iy"))
+    return op.sampled(at, px, "z_m").select("node_key", "z_m")
 
 
 @query("g15_street_burn", "v_px", sql="SELECT aoi_id, ix, iy, round(z_m + CASE WHEN landcover = 3 THEN 10 ELSE 0 END - CASE WHEN iy % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN iy % 7 = 1 AND ix % 9 <> 0 THEN 0.3 ELSE 0 END, 7) AS z_m FROM v_px")
@@ -379,34 +381,34 @@ def _rings(nation: DataFrame) -> DataFrame:
 S = "(n_nationkey % 5 + 2)::DOUBLE"
 
 
-@query("g02_ring_measures", "nation", sql=f"SELECT n_nationkey, round({S} * {S} * 0.75, 6)::DOUBLE AS area, 4 * {S} AS perimeter, round({S} * 5 / 12, 6) AS cx, round({S} * 5 / 12, 6) AS cy FROM nation WHERE n_nationkey % 7 <> 6")
+@query("g02_ring_measures", "v_lot", sql=f"SELECT n_nationkey, round({S} * {S} * 0.75, 6)::DOUBLE AS area, 4 * {S} AS perimeter, round({S} * 5 / 12, 6) AS cx, round({S} * 5 / 12, 6) AS cy FROM v_lot WHERE n_nationkey % 7 <> 6")
 def g02(nation: DataFrame) -> DataFrame:
     x, y = op.ring_centroid(F.col("ring"))
     return _rings(nation).where("n_nationkey % 7 <> 6").select("n_nationkey", F.round(op.ring_area(F.col("ring")), 6).alias("area"), op.ring_perimeter(F.col("ring")).alias("perimeter"), F.round(x, 6).alias("cx"), F.round(y, 6).alias("cy"))
 
 
-@query("g03_point_in_polygon", "nation", "part", sql=f"SELECT p_partkey, n_nationkey FROM part JOIN nation ON n_nationkey % 7 <> 6 AND p_size % 7 + 0.3 < {S} AND p_partkey % 7 + 0.4 < {S} AND NOT (p_size % 7 + 0.3 > {S} / 2 AND p_partkey % 7 + 0.4 > {S} / 2) WHERE p_partkey <= 400")
+@query("g03_point_in_polygon", "nation", "part", sql=f"SELECT p_partkey, n_nationkey FROM part JOIN nation ON n_nationkey % 7 <> 6 AND p_size % 7 + 0.3 < {S} AND p_partkey % 7 + 0.4 < {S} AND NOT (p_size % 7 + 0.3 > {S} / 2 AND p_partkey % 7 + 0.4 > {S} / 2)")
 def g03(nation: DataFrame, part: DataFrame) -> DataFrame:
     """Points inside rings: the box test joins first, then the exact one. Points carry their unit square, rings the squares of their box, so it is an equi-join."""
     rings = _rings(nation).where("n_nationkey % 7 <> 6")
     rings = rings.withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("s").cast("int")))).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("s").cast("int"))))
-    points = part.where("p_partkey <= 400").select("p_partkey", (F.col("p_size") % 7 + 0.3).alias("x"), (F.col("p_partkey") % 7 + 0.4).alias("y"))
+    points = part.select("p_partkey", (F.col("p_size") % 7 + 0.3).alias("x"), (F.col("p_partkey") % 7 + 0.4).alias("y"))
     points = points.withColumn("bx", F.floor("x").cast("int")).withColumn("by", F.floor("y").cast("int"))
     return points.join(rings, ["bx", "by"]).where(op.inside(F.col("ring"), F.col("x"), F.col("y"))).select("p_partkey", "n_nationkey")
 
 
-@query("g04_rasterised_rings", "nation", sql=f"SELECT n_nationkey, x AS ix, y AS iy FROM nation, (SELECT unnest(range(0, 12)) AS x) a, (SELECT unnest(range(0, 12)) AS y) b WHERE n_nationkey % 7 <> 6 AND (x + 0.5) / 2 < {S} AND (y + 0.5) / 2 < {S} AND NOT ((x + 0.5) / 2 >= {S} / 2 AND (y + 0.5) / 2 >= {S} / 2)")
+@query("g04_rasterised_rings", "v_lot", sql=f"SELECT n_nationkey, x AS ix, y AS iy FROM v_lot, (SELECT unnest(range(0, 12)) AS x) a, (SELECT unnest(range(0, 12)) AS y) b WHERE n_nationkey % 7 <> 6 AND (x + 0.5) / 2 < {S} AND (y + 0.5) / 2 < {S} AND NOT ((x + 0.5) / 2 >= {S} / 2 AND (y + 0.5) / 2 >= {S} / 2)")
 def g04(nation: DataFrame) -> DataFrame:
     return op.rasterised(_rings(nation).where("n_nationkey % 7 <> 6"), "ring", "n_nationkey", 0.5)
 
 
-@query("g07_frontage", "nation", sql=f"SELECT n_nationkey, {S} AS long_m, {S} AS short_m FROM nation WHERE n_nationkey % 7 <> 6")
+@query("g07_frontage", "v_lot", sql=f"SELECT n_nationkey, {S} AS long_m, {S} AS short_m FROM v_lot WHERE n_nationkey % 7 <> 6")
 def g07(nation: DataFrame) -> DataFrame:
     x = op.frontage(_rings(nation).where("n_nationkey % 7 <> 6"), "ring", "n_nationkey")
     return x.select("n_nationkey", F.round("long_m", 6).alias("long_m"), F.round("short_m", 6).alias("short_m"))
 
 
-@query("g22_ring_validity", "nation", sql="SELECT n_nationkey, n_nationkey % 7 <> 6 AS valid, CASE WHEN n_nationkey % 7 = 6 THEN 1 ELSE 0 END::BIGINT AS n_crossings FROM nation")
+@query("g22_ring_validity", "v_lot", sql="SELECT n_nationkey, n_nationkey % 7 <> 6 AS valid, CASE WHEN n_nationkey % 7 = 6 THEN 1 ELSE 0 END::BIGINT AS n_crossings FROM v_lot")
 def g22(nation: DataFrame) -> DataFrame:
     """Closed, of four points or more, with area and without edges that cross."""
     r = _rings(nation)
@@ -416,14 +418,14 @@ def g22(nation: DataFrame) -> DataFrame:
     return x.select("n_nationkey", ok.alias("valid"), "n_crossings")
 
 
-@query("u07_remainder_parcels", "nation", sql=f"SELECT n_nationkey FROM nation WHERE NOT ((n_nationkey % 9) * 0.5 > 0.5 * {S} * {S} * 0.75) AND n_nationkey % 7 <> 6")
+@query("u07_remainder_parcels", "v_lot", sql=f"SELECT n_nationkey FROM v_lot WHERE NOT ((n_nationkey % 9) * 0.5 > 0.5 * {S} * {S} * 0.75) AND n_nationkey % 7 <> 6")
 def u07(nation: DataFrame) -> DataFrame:
     """Polygons whose holes take over half of their outline are remainders and go."""
     area = op.ring_area(F.col("ring"))
     return _rings(nation).where("n_nationkey % 7 <> 6").where(~((F.col("n_nationkey") % 9) * 0.5 > 0.5 * area)).select("n_nationkey")
 
 
-@query("g21_area_checks", "nation", sql=f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 6 THEN 'no area' WHEN {S} * {S} * 0.75 > 20 THEN 'too large' ELSE 'ok' END AS verdict, 0::DOUBLE AS west, {S} AS east FROM nation")
+@query("g21_area_checks", "v_lot", sql=f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 6 THEN 'no area' WHEN {S} * {S} * 0.75 > 20 THEN 'too large' ELSE 'ok' END AS verdict, 0::DOUBLE AS west, {S} AS east FROM v_lot")
 def g21(nation: DataFrame) -> DataFrame:
     area, xs = op.ring_area(F.col("ring")), F.transform("ring", lambda p: p["x"])
     verdict = F.when(F.abs(area) < 1e-9, "no area").when(area > 20, "too large").otherwise("ok")
@@ -524,7 +526,7 @@ def g10(px: DataFrame) -> DataFrame:
     return op.merged_slivers(cells.select(*op.PIXEL, "label"), "label", 20).groupBy("aoi_id", "label").agg(F.count("*").alias("pixels"))
 
 
-@query("g12_user_layer", "nation", "v_node", sql=f"""WITH {METRIC}, u AS (SELECT n_nationkey, {S} * {S} * 0.75 AS area, (n_nationkey * 7) % 30 + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 100000 END AS declared, {S} * 5 / 12 * 100 AS cx, {S} * 5 / 12 * 100 AS cy FROM nation WHERE n_nationkey % 7 <> 6),
+@query("g12_user_layer", "v_lot", "v_node", sql=f"""WITH {METRIC}, u AS (SELECT n_nationkey, {S} * {S} * 0.75 AS area, (n_nationkey * 7) % 30 + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 100000 END AS declared, {S} * 5 / 12 * 100 AS cx, {S} * 5 / 12 * 100 AS cy FROM v_lot WHERE n_nationkey % 7 <> 6),
 d AS (SELECT n_nationkey, min_by(node_key, (sqrt(pow(x - cx, 2) + pow(y - cy, 2)), node_key)) AS near FROM u, m GROUP BY 1)
 SELECT u.n_nationkey, round(u.area, 6)::DOUBLE AS area, coalesce(m.node_key, d.near) AS outlet, m.node_key IS NOT NULL AS declared FROM u JOIN d USING (n_nationkey) LEFT JOIN m ON m.node_key = u.declared""")
 def g12(nation: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -97,9 +97,19 @@ FROM part
 """
 
 VIEWS["v_idf"] = """
-SELECT n_nationkey AS station_key, -125e0 + n_nationkey * 25e-1 AS lon, 44e0 + (n_nationkey % 10) AS lat,
-       d.duration_min, round((20 + n_nationkey) * pow(d.duration_min / 60e0, -65e-2), 6) AS mm_h
-FROM nation CROSS JOIN (VALUES (5),(10),(15),(30),(60),(120),(360),(720),(1440)) AS d(duration_min)
+SELECT s_suppkey AS station_key, -125e0 + (s_suppkey % 25) * 25e-1 + s_suppkey * 1e-5 AS lon, 44e0 + (s_suppkey % 10) + s_suppkey * 1e-5 AS lat,
+       d.duration_min, round((20 + s_suppkey % 25) * pow(d.duration_min / 60e0, -65e-2), 6) AS mm_h
+FROM supplier CROSS JOIN (VALUES (5),(10),(15),(30),(60),(120),(360),(720),(1440)) AS d(duration_min)
+"""
+
+# Lots: ring number, side and a key for the cases that rings must cover.
+VIEWS["v_lot"] = "SELECT p_partkey AS n_nationkey FROM part"
+
+# Cells of all shapes: every 97th is far larger than its area's median, every 89th far smaller.
+VIEWS["v_cell_shape"] = """
+SELECT p_partkey AS cell_key, p_partkey % 5 AS aoi_id, round(p_retailprice % 100, 2) / 10 AS thinness,
+       CASE WHEN p_partkey % 97 = 0 THEN p_size * 10e0 + 50 WHEN p_partkey % 89 = 0 THEN p_size * 1e-3 ELSE p_size / 10e0 + 1 END AS area_ha
+FROM part
 """
 
 VIEWS["v_tree"] = """
