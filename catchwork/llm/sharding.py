@@ -99,5 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.05, roun
     alone = prefix_sum(rest.join(linked, GROUP, "left_anti").withColumn("_k", F.lit(0)), ["_k"], "h", ["doc_id", "t1"], F.lit(1), "_rank", total)
     spot = F.col("_rank") - 1 + used
     rest = alone.select("doc_id", "size", "text_crc32", "h", F.get(_placed(free, spot, spot + 1), 0)["shard"].alias("shard"))
-    slotted = prefix_sum(written(placed.union(rest), "shard_placed"), ["shard"], "h", ["doc_id"], F.lit(1), "_slot", total)
+    order = F.xxhash64(F.lit(seed + 2), "h").bitwiseAND(F.lit(MASK)).alias("_order")  # unlinked documents fill shards by ranges of h, so slots need a hash of their own
+    placed = written(placed.union(rest).select("*", order), "shard_placed")
+    slotted = prefix_sum(placed, ["shard"], "_order", ["h", "doc_id"], F.lit(1), "_slot", total)
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
