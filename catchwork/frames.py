@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of jobs that are done: it does so when the driver's garbage collector finds them unused, which may be long after a step that shuffles whole texts."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_bits(n_rows: int, rows_per_bucket: int = 1000, least: int = 4, most: int = 20) -> int:
     """How many leading hash bits cut n_rows into buckets of about rows_per_bucket."""
     return max(least, min(most, math.ceil(math.log2(max(1, n_rows) / rows_per_bucket + 1))))
