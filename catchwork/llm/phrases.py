@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchwork.frames import written
+from catchwork.frames import release_shuffles, written
 from catchwork.llm.words import Words, rolling, slices, spread, texts
 
 PHRASE = 8
@@ -194,10 +194,12 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     several = known.groupBy("phrase").agg(F.count("*").alias("d")).where("d > 1").select("phrase", F.lit(True).alias("several"))
     known = known.join(several, "phrase", "left").where("times > 1 or several").select("phrase", "key", "times", "first", F.col("several").isNotNull().alias("several"))
     marked = written(runs.drop("n").join(known, ["phrase", "key"]), "phrase_marked")
+    release_shuffles(docs.sparkSession)
 
     spans = marked.where("several and num = first").groupBy("num").agg(F.collect_list(F.struct("start", "count", "phrase", "times")).alias("r"))
     spans = scan.select("num", "text").join(spans, "num").select("num", "text", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.phrase").alias("phrases"), F.col("r.times").alias("times"))
     windows = written(_windows(spans, window), "phrase_windows")
+    release_shuffles(docs.sparkSession)
     twice = windows.groupBy("phrase", "hash").agg(F.sum("times").alias("all")).where("all > 1").select("phrase", "hash")
     single = windows.where("times = 1").join(twice, ["phrase", "hash"]).select("num", "start")
     single = single.withColumn("range", F.col("start") - F.row_number().over(Window.partitionBy("num").orderBy("start")))  # windows of one document
@@ -209,7 +211,10 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     passages = single.union(whole).select(block, "num", "start", "size", "h1", "h2")
     passages = passages.groupBy("block", "h1", "h2").agg(F.min(F.struct("num", "start", "size")).alias("p")).select("block", "p.*")
     out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"))
-    cut = written(_located(scan.select("num", "text", block), passages.unionByName(out), with_text), "phrase_cut")
+    passages = written(passages.unionByName(out), "phrase_passages")
+    release_shuffles(docs.sparkSession)
+    cut = written(_located(scan.select("num", "text", block), passages, with_text), "phrase_cut")
+    release_shuffles(docs.sparkSession)
 
     results = ["n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     of_copies = copies.join(cut, copies.lead == cut.num).select("c1", "c2", *results)
