@@ -70,6 +70,30 @@ CURVE_NUMBERS = {
     "built": {"A": 49.0, "B": 69.0, "C": 79.0, "D": 84.0}, "water": {"A": 98.0, "B": 98.0, "C": 98.0, "D": 98.0},
 }
 
+# The published texture triangle (percent of clay, sand and silt). A row is a region of a class: bounds that quantities keep,
+# from the first number on and below the second one; sand's are beyond the first and up to the second.
+TEXTURES = (
+    ("sand", {"silt + 1.5 * clay": (None, 15)}),
+    ("loamy sand", {"silt + 1.5 * clay": (15, None), "silt + 2 * clay": (None, 30)}),
+    ("sandy loam", {"silt + 2 * clay": (30, None), "clay": (7, 20), "sand": (52, None)}),
+    ("sandy loam", {"silt + 2 * clay": (30, None), "clay": (None, 7), "silt": (None, 50)}),
+    ("loam", {"clay": (7, 27), "silt": (28, 50), "sand": (None, 52)}),
+    ("silt loam", {"clay": (12, 27), "silt": (50, None)}),
+    ("silt loam", {"clay": (None, 12), "silt": (50, 80)}),
+    ("silt", {"clay": (None, 12), "silt": (80, None)}),
+    ("sandy clay loam", {"clay": (20, 35), "silt": (None, 28), "sand": (45, None)}),
+    ("clay loam", {"clay": (27, 40), "sand": (20, 45)}),
+    ("silty clay loam", {"clay": (27, 40), "sand": (None, 20)}),
+    ("sandy clay", {"clay": (35, None), "sand": (45, None)}),
+    ("silty clay", {"clay": (40, None), "silt": (40, None)}),
+    ("clay", {"clay": (40, None), "sand": (None, 45), "silt": (None, 40)}),
+)
+TEXTURE_UNKNOWN = "loam"
+TEXTURE_SLACK = 0.5  # percent that clay and sand may exceed 100 together
+
+# Clay and sand percents that set soil groups C and D, and A.
+GROUP_C_CLAY, GROUP_D_CLAY, GROUP_A_SAND, GROUP_A_CLAY = 27, 40, 50, 10
+
 # Validation and capability thresholds.
 INVERT_RISE_TOL_M = 0.01
 OUTLET_WARN_M, OUTLET_HIGH_M = 20.0, 50.0

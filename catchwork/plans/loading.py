@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.functions import soil
 from catchwork.operators import loading as op
 from catchwork.plans.registry import query
 
@@ -63,39 +64,14 @@ def _soil(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", ((F.col("p_size") * 37 % 1000).cast("double") / 10).alias("clay"), ((F.col("p_partkey") * 53 % 1000).cast("double") / 10).alias("sand"))
 
 
-def texture(clay: Column, sand: Column) -> Column:
-    """Texture class of the soil triangle from clay and sand percent; impossible mixtures are loam."""
-    raw = 100 - clay - sand
-    silt = F.greatest(raw, F.lit(0.0))
-    chain = (
-        F.when((clay < 0) | (sand < 0) | (raw < -0.5), "loam").when(silt + 1.5 * clay < 15, "sand").when(silt + 2 * clay < 30, "loamy sand")
-        .when(clay >= 40, F.when(sand > 45, "sandy clay").when(silt >= 40, "silty clay").otherwise("clay"))
-        .when((clay >= 35) & (sand > 45), "sandy clay")
-        .when(clay >= 27, F.when(sand <= 20, "silty clay loam").when(sand <= 45, "clay loam").otherwise("sandy clay loam"))
-        .when((clay >= 20) & (silt < 28) & (sand > 45), "sandy clay loam").when((silt >= 80) & (clay < 12), "silt").when(silt >= 50, "silt loam")
-        .when(((clay >= 7) & (sand > 52)) | ((clay < 7) & (silt < 50)), "sandy loam").otherwise("loam")
-    )
-    return chain
-
-
-def soil_group(clay: Column, sand: Column) -> Column:
-    """Soil group code 1 to 4 from clay and sand percent; later rules win; 255 without data."""
-    return F.when((clay <= 0) & (sand <= 0), 255).when(clay >= 40, 4).when(clay >= 27, 3).when((sand >= 50) & (clay < 10), 1).otherwise(2)
-
-
-@query("m09_soil_texture", "part", sql=f"""WITH s AS ({SOIL}), x AS (SELECT *, 100 - clay - sand AS raw, greatest(0, 100 - clay - sand) AS silt FROM s)
-SELECT p_partkey, CASE WHEN raw < -0.5 THEN 'loam' WHEN silt + 1.5 * clay < 15 THEN 'sand' WHEN silt + 2 * clay < 30 THEN 'loamy sand'
- WHEN clay >= 40 AND sand > 45 THEN 'sandy clay' WHEN clay >= 40 AND silt >= 40 THEN 'silty clay' WHEN clay >= 40 THEN 'clay' WHEN clay >= 35 AND sand > 45 THEN 'sandy clay'
- WHEN clay >= 27 AND sand <= 20 THEN 'silty clay loam' WHEN clay >= 27 AND sand <= 45 THEN 'clay loam' WHEN clay >= 27 THEN 'sandy clay loam'
- WHEN clay >= 20 AND silt < 28 AND sand > 45 THEN 'sandy clay loam' WHEN silt >= 80 AND clay < 12 THEN 'silt' WHEN silt >= 50 THEN 'silt loam'
- WHEN clay >= 7 AND sand > 52 THEN 'sandy loam' WHEN clay < 7 AND silt < 50 THEN 'sandy loam' ELSE 'loam' END AS texture FROM x""")
+@query("m09_soil_texture", "part", sql=f"WITH s AS ({SOIL}), x AS (SELECT *, 100 - clay - sand AS raw, greatest(0, 100 - clay - sand) AS silt FROM s) SELECT p_partkey, {soil.texture_sql()} AS texture FROM x")
 def m09(part: DataFrame) -> DataFrame:
-    return _soil(part).select("p_partkey", texture(F.col("clay"), F.col("sand")).alias("texture"))
+    return _soil(part).select("p_partkey", soil.texture(F.col("clay"), F.col("sand")).alias("texture"))
 
 
 @query("m10_soil_group", "part", sql=f"""WITH s AS ({SOIL}) SELECT p_partkey, CASE WHEN clay <= 0 AND sand <= 0 THEN 255 WHEN clay >= 40 THEN 4 WHEN clay >= 27 THEN 3 WHEN sand >= 50 AND clay < 10 THEN 1 ELSE 2 END AS code FROM s""")
 def m10(part: DataFrame) -> DataFrame:
-    return _soil(part).select("p_partkey", soil_group(F.col("clay"), F.col("sand")).alias("code"))
+    return _soil(part).select("p_partkey", soil.soil_group(F.col("clay"), F.col("sand")).alias("code"))
 
 
 @query("m11_infiltration_lookup", "part", sql="""WITH x AS (SELECT p_partkey, CASE p_size % 16 WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D' WHEN 11 THEN 'A' WHEN 12 THEN 'B' WHEN 13 THEN 'C' WHEN 14 THEN 'D' END AS g FROM part)
