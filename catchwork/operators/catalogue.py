@@ -81,3 +81,11 @@ def confirmed(level: Column, rate: Column, n: Column) -> Column:
     """A candidate after outlet agreement was measured: too few units say nothing, too low a rate demotes it."""
     measured = rate.isNotNull() & (n > 0)
     return F.when((level != "level_1_candidate") | ~measured, level).when(n < k.AGREEMENT_SAMPLE, "level_2_review").when(rate < k.AGREEMENT, "level_2").otherwise("level_1")
+
+
+def coverage_summary(counts: DataFrame, facts: DataFrame) -> DataFrame:
+    """(city_key, systems, n_features, has_sanitary, west, south, east, north, typical_error_m, tier) of each city with layers. counts: (city_key, system, n); facts: (city_key, west, south, east, north, typical_error_m, filled), filled being the share of inverts that had to be filled; cities without facts have null."""
+    x = counts.groupBy("city_key").agg(F.array_sort(F.collect_set("system")).alias("s"), F.sum("n").alias("n_features"))
+    x = x.select("city_key", F.array_join("s", ",").alias("systems"), "n_features", F.exists("s", lambda v: v.contains("sanitary")).alias("has_sanitary")).join(facts, "city_key", "left")
+    tier = F.when(F.col("filled") <= 0.10, "A").when(F.col("filled") <= 0.35, "B").when(F.col("filled").isNotNull(), "C")
+    return x.withColumn("tier", tier).drop("filled")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.operators.grid import inside
 
 
 def order_statistic(rows: DataFrame, value: str, by: str, share: float, upper: bool = False) -> DataFrame:
@@ -28,3 +29,34 @@ def shape_outliers(cells: DataFrame, by: str, factor: float = k.SHAPE_AREA_FACTO
     med = order_statistic(cells, "area_ha", by, 0.5, upper=True).withColumnRenamed("q", "_med")
     x = cells.join(med, by).withColumn("large", F.col("area_ha") > factor * F.col("_med")).withColumn("small", F.col("area_ha") < F.col("_med") / factor)
     return x.withColumn("elongated", F.col("thinness") > thinness).where("large or small or elongated").drop("_med")
+
+
+def outlet_agreement(units: DataFrame, areas: DataFrame, outfalls: DataFrame, square: float = 100.0) -> DataFrame:
+    """(unit, bucket): how the outfall that a unit's outlet leads to compares with the one that the official area around the unit declares.
+
+    units: (aoi_id, unit, x, y, ours), x and y null without a geometry, ours null where no outfall is reached; areas: (aoi_id, ring, declared), the
+    lesser declared one where areas overlap; outfalls: (aoi_id, name, synthesised). Points and areas meet in squares, so it is an equi-join. The
+    first bucket that applies: no_geometry, outside_official, reaches_no_outfall, left_extract (ours was made up at the border), declared_unknown, agree, disagree.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / square), F.floor(F.array_max(v) / square)))
+    a = areas.where("declared is not null").withColumn("_i", span(xs)).withColumn("_j", span(ys))
+    p = units.withColumn("_i", F.floor(F.col("x") / square)).withColumn("_j", F.floor(F.col("y") / square))
+    match = p.join(a, ["aoi_id", "_i", "_j"]).where(inside(F.col("ring"), F.col("x"), F.col("y"))).groupBy("aoi_id", "unit").agg(F.min("declared").alias("declared"))
+    known = outfalls.select("aoi_id", F.col("name").alias("declared"), F.lit(True).alias("_known"))
+    made = outfalls.where("synthesised").select("aoi_id", F.col("name").alias("ours"), F.lit(True).alias("_made"))
+    x = units.join(match, ["aoi_id", "unit"], "left").join(known, ["aoi_id", "declared"], "left").join(made, ["aoi_id", "ours"], "left")
+    bucket = (
+        F.when(F.col("x").isNull() | F.col("y").isNull(), "no_geometry").when(F.col("declared").isNull(), "outside_official").when(F.col("ours").isNull(), "reaches_no_outfall")
+        .when(F.col("_made"), "left_extract").when(F.col("_known").isNull(), "declared_unknown").when(F.col("ours") == F.col("declared"), "agree").otherwise("disagree")
+    )
+    return x.select("aoi_id", "unit", bucket.alias("bucket"))
+
+
+def agreement_rate(buckets: DataFrame) -> DataFrame:
+    """Counts of each bucket by area, the rate over comparable units (null without any) and their share of all units in percent."""
+    n = lambda *b: F.count_if(F.col("bucket").isin(*b))
+    both = n("agree", "disagree")
+    out = {"n_agree": "agree", "n_no_geometry": "no_geometry", "n_outside": "outside_official", "n_no_outfall": "reaches_no_outfall", "n_left": "left_extract", "n_unknown": "declared_unknown"}
+    counts = [n(b).alias(name) for name, b in out.items()]
+    return buckets.groupBy("aoi_id").agg(*counts, both.alias("n_comparable"), F.round(n("agree") / F.nullif(both, F.lit(0)), 6).alias("rate"), F.round(100 * both / F.count("*"), 1).alias("pct_scored"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork.frames import written
+from catchwork.operators.grid import inside
 
 from catchwork import constants as k
 
@@ -147,3 +148,9 @@ def ranked_stations(places: DataFrame, stations: DataFrame, n: int, distance: Co
         if rest.isEmpty():
             return done.drop("_all")
         radius *= 2
+
+
+def gauge_days(days: DataFrame, stations: DataFrame, ring: Column, first: str, last: str) -> DataFrame:
+    """days (station_key, day, ...) of the stations (station_key, x, y) that lie in a ring, from the first to the last day."""
+    inside_area = stations.where(inside(ring, F.col("x"), F.col("y"))).select("station_key")
+    return days.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).join(inside_area, "station_key", "left_semi")

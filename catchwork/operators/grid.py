@@ -258,3 +258,18 @@ def frontage(shapes: DataFrame, ring: str, key: str) -> DataFrame:
     x = e.select(key, (F.array_max(u) - F.array_min(u)).alias("a"), (F.array_max(v) - F.array_min(v)).alias("b"))
     best = x.groupBy(key).agg(F.min(F.struct((F.col("a") * F.col("b")).alias("area"), F.greatest("a", "b").alias("long_m"), F.least("a", "b").alias("short_m"))).alias("m"))
     return best.select(key, "m.long_m", "m.short_m")
+
+
+def street_labels(samples: DataFrame, streets: DataFrame, inlets: DataFrame) -> DataFrame:
+    """(name, t, node_key): the node that a street sample drains to. samples: (name, t), t from 0 to 1; streets: (name, crest, a_key, b_key); inlets: (name, t, node_key), few a street.
+
+    Water runs away from the crest. The first inlet on the way takes it, else the end of the street. Without a known crest the nearer
+    end takes it.
+    """
+    held = inlets.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("t", "node_key"))).alias("inlets"))
+    x = samples.join(streets, "name").join(held, "name", "left")
+    back = F.col("t") < F.col("crest")
+    before = F.filter("inlets", lambda i: i["t"] <= F.col("t"))
+    first = F.when(back, F.try_element_at(before, F.lit(-1))).otherwise(F.get(F.filter("inlets", lambda i: i["t"] >= F.col("t")), 0))
+    end = F.when(F.coalesce(back, F.col("t") <= 0.5), F.col("a_key")).otherwise(F.col("b_key"))
+    return x.select("name", "t", F.coalesce(F.when(F.col("crest").isNotNull(), first["node_key"]), end).alias("node_key"))

@@ -93,10 +93,15 @@ def p40(layers: DataFrame) -> DataFrame:
     return layers.select("layer_id", (polygon & some).alias("admitted"), F.when(~polygon, "not polygonal").when(~some, "no features").alias("reason"))
 
 
-@query("s18_coverage_summary", "v_layer", sql=f"WITH {COUNTS} SELECT city_key, array_to_string(list_sort(list(DISTINCT system)), ',') AS systems, sum(n)::BIGINT AS n_features, CASE WHEN sum(n) > 300 THEN 'A' WHEN sum(n) > 100 THEN 'B' ELSE 'C' END AS tier FROM n GROUP BY 1")
-def s18(layers: DataFrame) -> DataFrame:
-    x = op.counts(op.classified(layers)).groupBy("city_key").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"), F.sum("n").alias("n_features"))
-    return x.withColumn("tier", F.when(F.col("n_features") > 300, "A").when(F.col("n_features") > 100, "B").otherwise("C"))
+@query("s18_coverage_summary", "v_layer", "v_node", sql=f"""WITH {COUNTS}, cs AS (SELECT city_key, array_to_string(list_sort(list(DISTINCT system)), ',') AS systems, sum(n)::BIGINT AS n_features FROM n GROUP BY 1),
+bs AS (SELECT node_key % 25 AS city_key, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, round(stddev_pop(rim_m), 4) AS typical_error_m, count(CASE WHEN node_key % 3 <> 0 THEN rim_m END) / count(*)::DOUBLE AS share FROM v_node GROUP BY 1)
+SELECT cs.*, contains(systems, 'sanitary') AS has_sanitary, west, south, east, north, typical_error_m, CASE WHEN 1 - share <= 0.10 THEN 'A' WHEN 1 - share <= 0.35 THEN 'B' WHEN share IS NOT NULL THEN 'C' END AS tier FROM cs LEFT JOIN bs USING (city_key)""")
+def s18(layers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Systems, box, typical error (here the spread of rims) and data tier of each city."""
+    city = F.col("node_key") % 25
+    share = F.count(F.when(F.col("node_key") % 3 != 0, F.col("rim_m"))) / F.count("*")
+    facts = nodes.groupBy(city.alias("city_key")).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.round(F.stddev_pop("rim_m"), 4).alias("typical_error_m"), (1 - share).alias("filled"))
+    return op.coverage_summary(op.counts(op.classified(layers)), facts)
 
 
 @query("s09_truncated_sources", "v_layer", sql="WITH t AS (SELECT city_key, count(*) AS n FROM v_layer GROUP BY 1) SELECT v.city_key, CASE WHEN t.n >= 85 THEN 'truncated' WHEN t.n = 0 THEN 'not_applicable' ELSE 'ok' END AS status, CASE WHEN t.n < 85 THEN count(v.layer_id) ELSE 0 END AS n_rows FROM v_layer v JOIN t USING (city_key) GROUP BY v.city_key, t.n")

@@ -115,27 +115,31 @@ def a25(catchments: DataFrame, pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     return inverts.unionByName(sizes).groupBy("aoi_id").agg(failed("error").alias("n_errors"), failed("warning").alias("n_warnings"), (failed("error") == 0).alias("ok"))
 
 
-@query("a26_outlet_agreement", "v_catchment", "v_tree", sql="""
+@query("a26_outlet_agreement", "v_catchment", "v_tree", "v_node", sql="""
 WITH RECURSIVE walk(node, reached) AS (SELECT from_key, from_key FROM v_tree UNION SELECT to_key, to_key FROM v_tree UNION ALL SELECT w.node, t.to_key FROM walk w JOIN v_tree t ON t.from_key = w.reached),
-term AS (SELECT node, min(reached) AS ours FROM walk GROUP BY 1),
-b AS (SELECT c.outlet_key % 5 AS aoi, CASE WHEN c.cell_key % 11 = 0 THEN 'no_geometry' WHEN c.cell_key % 7 = 0 THEN 'outside_official' WHEN t.ours IS NULL THEN 'reaches_no_outfall' WHEN t.ours % 13 = 0 THEN 'left_extract'
-  WHEN c.cell_key % 5 = 0 THEN 'declared_unknown' WHEN t.ours % 2 = c.cell_key % 2 THEN 'agree' ELSE 'disagree' END AS bucket FROM v_catchment c LEFT JOIN term t ON t.node = c.outlet_key)
-SELECT aoi, count(*) FILTER (WHERE bucket = 'agree') AS n_agree, count(*) FILTER (WHERE bucket IN ('agree', 'disagree')) AS n_comparable, count(*) FILTER (WHERE bucket = 'no_geometry') AS n_no_geometry, count(*) FILTER (WHERE bucket = 'outside_official') AS n_outside,
+term AS (SELECT node, min(reached) AS ours FROM walk GROUP BY 1), outfalls AS (SELECT DISTINCT ours AS name FROM term),
+u AS (SELECT c.outlet_key % 5 AS aoi_id, c.cell_key AS unit, CASE WHEN c.cell_key % 11 <> 0 THEN (c.cell_key * 37 % 1200) + 0.5 END AS x, (c.cell_key * 53 % 600) + 0.5 AS y, t.ours FROM v_catchment c LEFT JOIN term t ON t.node = c.outlet_key),
+a AS (SELECT DISTINCT aoi_id, node_key % 10 AS gx, node_key // 10 % 5 AS gy, 1 + (node_key % 10 + node_key // 10 % 5 + aoi_id) % 3 AS declared FROM v_node),
+b AS (SELECT u.*, CASE WHEN u.x IS NULL THEN 'no_geometry' WHEN a.declared IS NULL THEN 'outside_official' WHEN u.ours IS NULL THEN 'reaches_no_outfall' WHEN u.ours % 13 = 0 THEN 'left_extract'
+  WHEN a.declared NOT IN (SELECT name FROM outfalls) THEN 'declared_unknown' WHEN u.ours = a.declared THEN 'agree' ELSE 'disagree' END AS bucket
+  FROM u LEFT JOIN a ON a.aoi_id = u.aoi_id AND a.gx = floor(u.x / 100) AND a.gy = floor(u.y / 100))
+SELECT aoi_id, count(*) FILTER (WHERE bucket = 'agree') AS n_agree, count(*) FILTER (WHERE bucket IN ('agree', 'disagree')) AS n_comparable, count(*) FILTER (WHERE bucket = 'no_geometry') AS n_no_geometry, count(*) FILTER (WHERE bucket = 'outside_official') AS n_outside,
   count(*) FILTER (WHERE bucket = 'reaches_no_outfall') AS n_no_outfall, count(*) FILTER (WHERE bucket = 'left_extract') AS n_left, count(*) FILTER (WHERE bucket = 'declared_unknown') AS n_unknown,
-  round(count(*) FILTER (WHERE bucket = 'agree') / nullif(count(*) FILTER (WHERE bucket IN ('agree', 'disagree')), 0)::DOUBLE, 6) AS rate FROM b GROUP BY 1""")
-def a26(catchments: DataFrame, tree: DataFrame) -> DataFrame:
-    """How often the outfall that a unit's outlet leads to is the one that an official area declares. Each unit falls into the first bucket that applies; the rate is null when none can be compared."""
+  round(count(*) FILTER (WHERE bucket = 'agree') / nullif(count(*) FILTER (WHERE bucket IN ('agree', 'disagree')), 0)::DOUBLE, 6) AS rate, round(100.0::DOUBLE * count(*) FILTER (WHERE bucket IN ('agree', 'disagree')) / count(*), 1) AS pct_scored FROM b GROUP BY 1""")
+def a26(catchments: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Official areas are squares of 100 m that declare one of three outfalls; outfalls divisible by 13 were made up at the border."""
     from catchwork.operators import network
 
     ours = network.terminals(network.parents(tree)).select(F.col("node").alias("outlet_key"), F.col("terminal").alias("ours"))
     key = F.col("cell_key")
-    bucket = (
-        F.when(key % 11 == 0, "no_geometry").when(key % 7 == 0, "outside_official").when(F.col("ours").isNull(), "reaches_no_outfall").when(F.col("ours") % 13 == 0, "left_extract")
-        .when(key % 5 == 0, "declared_unknown").when(F.col("ours") % 2 == key % 2, "agree").otherwise("disagree")
-    )
-    x = catchments.join(ours, "outlet_key", "left").select((F.col("outlet_key") % 5).alias("aoi"), bucket.alias("bucket"))
-    n = lambda *b: F.count_if(F.col("bucket").isin(*b))
-    return x.groupBy("aoi").agg(n("agree").alias("n_agree"), n("agree", "disagree").alias("n_comparable"), n("no_geometry").alias("n_no_geometry"), n("outside_official").alias("n_outside"), n("reaches_no_outfall").alias("n_no_outfall"), n("left_extract").alias("n_left"), n("declared_unknown").alias("n_unknown"), F.round(n("agree") / F.nullif(n("agree", "disagree"), F.lit(0)), 6).alias("rate"))
+    units = catchments.join(ours, "outlet_key", "left").select((F.col("outlet_key") % 5).alias("aoi_id"), key.alias("unit"), F.when(key % 11 != 0, key * 37 % 1200 + 0.5).alias("x"), (key * 53 % 600 + 0.5).alias("y"), "ours")
+    gx, gy = F.col("node_key") % 10, F.floor(F.col("node_key") / 10) % 5
+    corner = lambda i, j: F.struct(((F.col("gx") + i) * 100.0).alias("x"), ((F.col("gy") + j) * 100.0).alias("y"))
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
+    areas = nodes.select("aoi_id", gx.alias("gx"), gy.alias("gy"), (1 + (gx + gy + F.col("aoi_id")) % 3).alias("declared")).distinct().select("aoi_id", ring.alias("ring"), "declared")
+    every = nodes.select("aoi_id").distinct().join(F.broadcast(ours.select(F.col("ours").alias("name")).where("name is not null").distinct().withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    outfalls = every.select("aoi_id", "name", (F.col("name") % 13 == 0).alias("synthesised"))
+    return checks.agreement_rate(checks.outlet_agreement(units, areas, outfalls))
 
 
 @query("a31_noise_share", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, round(avg(CAST(area_ha < 0.5 AS INT)), 6) AS noise_share, avg(CAST(area_ha < 0.5 AS INT)) > 0.5 AS mostly_noise FROM v_catchment GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catchwork.operators import forcing as op
 from catchwork.plans.registry import query
 
 DAYS = "d AS (SELECT day, obs_cms AS o, sim_cms AS s FROM v_flow_obs JOIN v_flow_sim USING (day))"
@@ -64,6 +65,10 @@ def a40(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     return p.groupBy("aoi_id").agg(n.alias("n_pipes"), F.count_distinct("name").alias("n_names"), F.count_if(F.col("up_key") == F.col("dn_key")).alias("n_loops"), F.round(100 * F.count_if(F.col("inv_up") == 0) / n, 4).alias("pct_missing"), F.when(n > 9000, "large").otherwise("ok").alias("status"))
 
 
-@query("s19_gauge_export", "v_flow_obs", sql="SELECT day, round(obs_cms, 1) AS obs_cms FROM v_flow_obs WHERE day BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'")
+@query("s19_gauge_export", "v_gauge", sql="SELECT station_key, day, round(obs_cms, 1) AS obs_cms FROM v_gauge WHERE lon BETWEEN -110 AND -90 AND lat BETWEEN 45 AND 50 AND day BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'")
 def s19(obs: DataFrame) -> DataFrame:
-    return obs.where("day between date'1996-01-01' and date'1997-06-30'").select("day", F.round("obs_cms", 1).alias("obs_cms")).orderBy("day")
+    """Days of the gauges inside an area."""
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-110.001, 44.999), (-89.999, 44.999), (-89.999, 50.001), (-110.001, 50.001), (-110.001, 44.999))))
+    stations = obs.select("station_key", F.col("lon").alias("x"), F.col("lat").alias("y")).distinct()
+    found = op.gauge_days(obs, stations, ring, "1996-01-01", "1997-06-30")
+    return found.select("station_key", "day", F.round("obs_cms", 1).alias("obs_cms"))

@@ -25,6 +25,24 @@ def s01(nodes: DataFrame) -> DataFrame:
     return src.features(page).select(F.col("props")["name"].alias("name"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "kind")
 
 
+@query("s01_polygon_scan", "v_lot", sql="SELECT n_nationkey AS lot, CASE n_nationkey % 3 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'MultiPolygon' ELSE 'rings' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END AS n_rings, round(0.75::DOUBLE * (n_nationkey % 50 + 2) * (n_nationkey % 50 + 2), 6) AS area FROM v_lot")
+def s01_polygons(lots: DataFrame) -> DataFrame:
+    """Polygons of both feature dialects, of one or two rings, read back; the area of the first ring."""
+    s = (F.col("n_nationkey") % 50 + 2).cast("double")
+    pt = lambda x, y: F.array(x, y)
+    z, half = s * 0.0, s / 2
+    ring = F.array(pt(z, z), pt(s, z), pt(s, half), pt(half, half), pt(half, s), pt(z, s), pt(z, z))
+    small = F.array(pt(z, z), pt(z + 0.1, z), pt(z, z + 0.1), pt(z, z))
+    name = F.create_map(F.lit("lot"), F.col("n_nationkey").cast("string"))
+    one = F.to_json(F.struct(name.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry")))
+    two = F.to_json(F.struct(name.alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring), F.array(small)).alias("coordinates")).alias("geometry")))
+    esri = F.to_json(F.struct(name.alias("attributes"), F.struct(F.array(ring, small).alias("rings")).alias("geometry")))
+    item = F.when(F.col("n_nationkey") % 3 == 0, one).when(F.col("n_nationkey") % 3 == 1, two).otherwise(esri)
+    page = lots.select(F.floor(F.col("n_nationkey") / 20).alias("page"), item.alias("item")).groupBy("page").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value"))  # 20 features a page
+    first = F.transform(F.get("rings", 0), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return src.features(page).select(F.col("props")["lot"].cast("long").alias("lot"), "kind", F.size("rings").alias("n_rings"), F.round(F.abs(grid.ring_area(first)), 6).alias("area"))
+
+
 @query("s02_line_ends", "v_tree", sql="SELECT name, CASE WHEN from_key % 6 <> 0 THEN from_key::DOUBLE END AS ax, CASE WHEN from_key % 6 <> 0 THEN to_key::DOUBLE END AS bx FROM v_tree")
 def s02(tree: DataFrame) -> DataFrame:
     """Ends of lines of one or several parts; a line of one point has none."""
@@ -47,6 +65,16 @@ def s07(idf: DataFrame) -> DataFrame:
     return src.idf_tables(files)
 
 
+@query("s07_idf_coefficients", "v_idf", sql="SELECT 'station' || station_key AS path, CAST(y AS INT) AS years, round(max(mm_h) * f, 2) AS a, -0.65::DOUBLE AS b FROM v_idf, (VALUES (2, 1.0::DOUBLE), (5, 1.5::DOUBLE), (10, 2.0::DOUBLE), (25, 2.5::DOUBLE), (50, 3.0::DOUBLE), (100, 3.5::DOUBLE)) AS v(y, f) GROUP BY station_key, y, f")
+def s07_coefficients(idf: DataFrame) -> DataFrame:
+    """The coefficients of station texts."""
+    top = F.max("mm_h")
+    a = F.concat_ws("  ", F.lit("Coefficient (A)"), *(F.round(top * f, 2).cast("string") for f in (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)))
+    b = F.concat_ws("  ", F.lit("Exponent    (B)"), *(F.lit("-0.65"),) * 6)
+    files = idf.groupBy("station_key").agg(F.concat_ws("\n", F.lit("Table 3 : Interpolation Equation R = A*T^B"), F.lit("Mean of RR 1.0 2.0"), a, b).alias("value"))
+    return src.idf_coefficients(files.select(F.concat(F.lit("station"), F.col("station_key").cast("string")).alias("path"), "value"))
+
+
 @query("s20_idf_index", "v_idf", sql="SELECT DISTINCT station_key, lon, lat FROM v_idf")
 def s20(idf: DataFrame) -> DataFrame:
     """The station index as CSV with a schema, written and read."""
@@ -63,6 +91,17 @@ def s11(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     return src.read_store(nodes.sparkSession, folder, "nodes", "node_key long, node string, rim_m double, system string, aoi_id long", {"system": "storm_minor"}).select("aoi_id", "node_key", "node", "rim_m", "system")
 
 
+@query("s11_store_settings", "v_catchment", sql="SELECT 'catchments' AS name, outlet_key % 5 AS aoi_id, count(*)::VARCHAR AS value FROM v_catchment GROUP BY 2 UNION ALL SELECT v.name, NULL, v.value FROM (VALUES ('config.infiltration', 'horton'), ('provenance.source', 'published')) v(name, value)")
+def s11_settings(catchments: DataFrame) -> DataFrame:
+    """A store's catchments, counted, with its configuration and provenance; the build folder is no part of it."""
+    spark, folder = catchments.sparkSession, new_path(catchments.sparkSession, "store")
+    src.write_store({"catchments": catchments.withColumn("aoi_id", F.col("outlet_key") % 5)}, folder, {"infiltration": "horton", "out_dir": folder}, {"source": "published"})
+    back = src.read_store(spark, folder, "catchments", "cell_key long, name string, outlet_key long, area_ha double, pct_imperv double, aoi_id long")
+    rows = back.groupBy("aoi_id").agg(F.count("*").cast("string").alias("value")).select(F.lit("catchments").alias("name"), "aoi_id", "value")
+    settings = src.store_settings(spark, folder)
+    return rows.unionByName(settings.select(F.concat_ws(".", "part", "name").alias("name"), F.lit(None).cast("long").alias("aoi_id"), "value"))
+
+
 @query("s12_store_pruned_read", "v_node", "v_catchment", sql="SELECT outlet_key % 5 AS aoi_id, cell_key, area_ha FROM v_catchment WHERE outlet_key % 5 = 2")
 def s12(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     """One area of a store: the partition column prunes the scan."""
@@ -71,15 +110,25 @@ def s12(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     return src.read_store(nodes.sparkSession, folder, "catchments", "cell_key long, area_ha double, aoi_id long").where("aoi_id = 2").select("aoi_id", "cell_key", "area_ha")
 
 
-@query("s13_forcing_sink", "v_obs_hourly", "v_flow_obs", sql="SELECT 'rain' AS variable, 'mm' AS unit, count(precip_raw) AS n, min(ts) AS first_ts FROM v_obs_hourly WHERE precip_raw IS NOT NULL UNION ALL SELECT 'flow', 'm3/s', count(*), min(day)::TIMESTAMP FROM v_flow_obs")
+@query("s13_forcing_sink", "v_obs_hourly", "v_flow_obs", sql="""SELECT 'rain' AS variable, 'mm' AS unit, 'precipitation depth per interval' AS long_name, 'observed' AS provenance, count(precip_raw) AS n, min(ts) AS first_ts FROM v_obs_hourly WHERE precip_raw IS NOT NULL
+UNION ALL SELECT 'flow', 'm3/s', 'observed discharge', 'observed', count(*), min(day)::TIMESTAMP FROM v_flow_obs
+UNION ALL SELECT 'temperature', 'degC', 'daily mean air temperature', 'observed', count(*), min(day)::TIMESTAMP FROM v_flow_obs WHERE extract(month FROM day) <> 2
+UNION ALL SELECT 'evaporation', 'mm/day', 'potential evaporation', 'computed from temperature', count(*), min(day)::TIMESTAMP FROM v_flow_obs WHERE extract(month FROM day) <> 2
+UNION ALL SELECT 'tide', 'm', 'predicted water level', 'predicted', count(*), min(day)::TIMESTAMP FROM v_flow_obs WHERE extract(day FROM day) = 1""")
 def s13(obs: DataFrame, flows: DataFrame) -> DataFrame:
-    """Series on their own axes in one long table with units, written and read."""
-    rain = obs.where("precip_raw is not null").select(F.lit("rain").alias("variable"), F.lit("mm").alias("unit"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("precip_raw").alias("value"))
-    flow = flows.select(F.lit("flow").alias("variable"), F.lit("m3/s").alias("unit"), F.col("day").cast("timestamp_ntz").alias("ts"), F.col("obs_cms").alias("value"))
+    """Series on their own axes in one long table with units, names and provenance, written and read."""
+    day, winter = F.col("day").cast("timestamp_ntz"), F.month("day") != 2
+    series = {
+        "rain": (obs.where("precip_raw is not null").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("precip_raw").alias("value")), "observed"),
+        "flow": (flows.select(day.alias("ts"), F.col("obs_cms").alias("value")), "observed"),
+        "temperature": (flows.where(winter).select(day.alias("ts"), (F.col("obs_cms") / 10).alias("value")), "observed"),
+        "evaporation": (flows.where(winter).select(day.alias("ts"), (F.col("obs_cms") / 100).alias("value")), "computed from temperature"),
+        "tide": (flows.where(F.dayofmonth("day") == 1).select(day.alias("ts"), (F.col("obs_cms") / 50).alias("value")), "predicted"),
+    }
     path = new_path(obs.sparkSession, "forcing")
-    rain.unionByName(flow).write.partitionBy("variable").parquet(path)
+    src.write_forcing(series, path)
     x = obs.sparkSession.read.parquet(path)
-    return x.groupBy("variable", "unit").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+    return x.groupBy("variable", "unit", "long_name", "provenance").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
 @query("s14_rain_csv", "v_obs_hourly", sql="SELECT climate_id, strftime(ts, '%Y-%m-%d %H:%M') AS datetime, round(sum(precip_raw), 5) AS depth_mm FROM v_obs_hourly WHERE precip_raw IS NOT NULL GROUP BY 1, 2")
@@ -339,13 +388,18 @@ def j14(tree: DataFrame, nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     return grid.resolved_outlets(p, g, seeds, 200.0, "cell_key").withColumn("distance", F.round("distance", 2))
 
 
-@query("j17_street_sample_labels", "v_tree", sql="""WITH s AS (SELECT name, from_key, to_key, length_m, unnest(range(0, CAST(floor(length_m / 10) AS BIGINT) + 1)) AS i FROM v_tree)
-SELECT name, i * 10::DOUBLE AS at_m, CASE WHEN i * 10 <= length_m / 2 THEN from_key ELSE to_key END AS node_key FROM s""")
+@query("j17_street_sample_labels", "v_tree", sql="""WITH st AS (SELECT name, from_key, to_key, CASE WHEN from_key % 3 <> 0 THEN (from_key % 5) / 4.0::DOUBLE END AS crest, greatest(2, CAST(floor(length_m / 10) AS BIGINT)) AS n FROM v_tree),
+s AS (SELECT *, unnest(range(0, n + 1)) AS i FROM st), i AS (SELECT name, (from_key * 7 % 10) / 10.0::DOUBLE AS t, from_key * 10 + 5 AS node_key FROM v_tree WHERE from_key % 4 <> 0),
+x AS (SELECT s.*, s.i / s.n::DOUBLE AS t, i.t AS it, i.node_key AS ik FROM s LEFT JOIN i USING (name))
+SELECT name, round(t, 6) AS t, CASE WHEN crest IS NULL THEN CASE WHEN t <= 0.5 THEN from_key ELSE to_key END WHEN t < crest THEN CASE WHEN it <= t THEN ik ELSE from_key END ELSE CASE WHEN it >= t THEN ik ELSE to_key END END AS node_key FROM x""")
 def j17(tree: DataFrame) -> DataFrame:
-    """Samples of each street every 10 m, labelled with the nearer end."""
-    s = tree.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length_m") / 10))))
-    at = F.col("i") * 10.0
-    return s.select("name", at.alias("at_m"), F.when(at <= F.col("length_m") / 2, F.col("from_key")).otherwise(F.col("to_key")).alias("node_key"))
+    """Samples of each street every 10 m, labelled by its crest, its inlet or its nearer end."""
+    key = F.col("from_key")
+    streets = tree.select("name", F.when(key % 3 != 0, (key % 5) / 4.0).alias("crest"), key.alias("a_key"), F.col("to_key").alias("b_key"))
+    n = F.greatest(F.lit(2).cast("long"), F.floor(F.col("length_m") / 10))
+    samples = tree.withColumn("n", n).select("name", "n", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("i")).select("name", (F.col("i") / F.col("n")).alias("t"))
+    inlets = tree.where("from_key % 4 <> 0").select("name", (key * 7 % 10 / 10.0).alias("t"), (key * 10 + 5).alias("node_key"))
+    return grid.street_labels(samples, streets, inlets).withColumn("t", F.round("t", 6))
 
 
 @query("p_rises_of_conduits", "v_raw_pipe", "v_node", sql="SELECT p.file_seq, round(d.rim_m - u.rim_m, 4) AS rise FROM v_raw_pipe p JOIN v_node u ON u.node_key = p.up_key JOIN v_node d ON d.node_key = p.dn_key")

@@ -61,6 +61,11 @@ VIEWS["v_flow_sim"] = """
 SELECT CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice) / 100, 6) AS sim_cms FROM lineitem GROUP BY 1
 """
 
+VIEWS["v_gauge"] = """
+SELECT o_custkey % 40 AS station_key, -125e0 + (o_custkey % 40) * 1e0 AS lon, 44e0 + (o_custkey % 40) % 8 AS lat, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 6) AS obs_cms
+FROM orders GROUP BY o_custkey % 40, CAST(o_orderdate AS DATE)
+"""
+
 VIEWS["v_px"] = """
 SELECT CAST(floor(o_orderkey / 2500) AS BIGINT) AS aoi_id,
        o_orderkey % 50 AS ix, CAST(floor((o_orderkey % 2500) / 50) AS BIGINT) AS iy,

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 POINT = "struct<x:double,y:double>"
 FEATURE = "struct<properties:map<string,string>,attributes:map<string,string>,geometry:struct<type:string,coordinates:string,paths:array<array<array<double>>>,rings:array<array<array<double>>>,x:double,y:double>>"
 STORE_VERSION = 1
+STORE_ROW = "major int, minor int, config map<string,string>, provenance map<string,string>"
 
 
 def features(pages: DataFrame, text: str = "value") -> DataFrame:
-    """Rows of (props, kind, line, x, y) from pages of either feature dialect; an unreadable or empty geometry is null.
+    """Rows of (props, kind, line, rings, x, y) from pages of either feature dialect; an unreadable or empty geometry is null.
 
-    Lines, also of several parts, become one array of [x, y] in order; other axes are dropped.
+    Lines, also of several parts, become one array of [x, y] in order; polygons, also of several parts, one array of rings. Other
+    axes stay in the vertices.
     """
     parsed = F.from_json(text, f"struct<features:array<{FEATURE}>>")
     f = pages.select(F.explode(parsed["features"]).alias("f")).select("f.*")
     single = F.from_json("geometry.coordinates", "array<array<double>>")
     several = F.flatten(F.from_json("geometry.coordinates", "array<array<array<double>>>"))
     line = F.when(F.col("geometry.type") == "LineString", single).when(F.col("geometry.type") == "MultiLineString", several).otherwise(F.flatten("geometry.paths"))
+    outline = F.from_json("geometry.coordinates", "array<array<array<double>>>")
+    outlines = F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"))
+    rings = F.when(F.col("geometry.type") == "Polygon", outline).when(F.col("geometry.type") == "MultiPolygon", outlines).otherwise(F.col("geometry.rings"))
     point = F.when(F.col("geometry.type") == "Point", F.from_json("geometry.coordinates", "array<double>"))
-    return f.select(F.coalesce("properties", "attributes").alias("props"), F.coalesce(F.col("geometry.type"), F.when(F.col("geometry.paths").isNotNull(), "paths")).alias("kind"), line.alias("line"), F.coalesce(F.get(point, 0), "geometry.x").alias("x"), F.coalesce(F.get(point, 1), "geometry.y").alias("y"))
+    return f.select(F.coalesce("properties", "attributes").alias("props"), F.coalesce(F.col("geometry.type"), F.when(F.col("geometry.paths").isNotNull(), "paths").when(F.col("geometry.rings").isNotNull(), "rings")).alias("kind"), line.alias("line"), rings.alias("rings"), F.coalesce(F.get(point, 0), "geometry.x").alias("x"), F.coalesce(F.get(point, 1), "geometry.y").alias("y"))
 
 
 def line_ends(line: Column) -> tuple[Column, Column]:
@@ -43,12 +48,31 @@ def idf_tables(files: DataFrame, name: str = "path", text: str = "value") -> Dat
     return long.where("at < 6").select(name, F.get(years, F.col("at")).alias("years"), "duration_min", F.col("v").try_cast("double").alias("mm_h")).where("mm_h > 0")
 
 
-def write_store(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes each table by area, and the store's version."""
+def idf_coefficients(files: DataFrame, name: str = "path", text: str = "value") -> DataFrame:
+    """(path, years, a, b) from station texts: the line `Coefficient (A)` and the line with `Exponent` and `(B)` hold six numbers each, for 2, 5, 10, 25, 50 and 100 years; other counts give nothing, and an a of 0 or less is missing."""
+    lines = files.select(name, F.explode(F.split(text, r"\r?\n")).alias("line"))
+    numbers = lambda mark: F.transform(F.expr(f"regexp_extract_all(substring_index(line, '{mark}', -1), '-?[0-9]+([.][0-9]+)?', 0)"), lambda v: v.cast("double"))
+    a = F.max(F.when(F.col("line").contains("Coefficient (A)"), numbers("(A)")))
+    b = F.max(F.when(F.col("line").contains("Exponent") & F.col("line").contains("(B)"), numbers("(B)")))
+    six = lines.groupBy(name).agg(a.alias("a"), b.alias("b")).where("size(a) = 6 and size(b) = 6")
+    years = F.array(*(F.lit(y) for y in (2, 5, 10, 25, 50, 100)))
+    return six.select(name, F.explode(F.arrays_zip(years.alias("years"), "a", "b")).alias("x")).select(name, "x.*").where("a > 0")
+
+
+def write_store(tables: dict[str, DataFrame], folder: str, config: dict[str, str] | None = None, provenance: dict[str, str] | None = None) -> None:
+    """Writes each table by area, and the store's version with its configuration and provenance. Where the store was built is no part of it: `out_dir` is left out."""
     for name, df in tables.items():
         df.write.partitionBy("aoi_id").mode("overwrite").parquet(f"{folder}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(STORE_VERSION, 0)], "major int, minor int").write.mode("overwrite").json(f"{folder}/version")
+    shared = {c: v for c, v in (config or {}).items() if c != "out_dir"}
+    spark.createDataFrame([(STORE_VERSION, 0, shared, provenance or {})], STORE_ROW).write.mode("overwrite").json(f"{folder}/version")
+
+
+def store_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, name, value): configuration and provenance of a store."""
+    row = spark.read.schema(STORE_ROW).json(f"{folder}/version")
+    both = [row.select(F.lit(part).alias("part"), F.explode(part).alias("name", "value")) for part in ("config", "provenance")]
+    return both[0].unionByName(both[1])
 
 
 def read_store(spark: SparkSession, folder: str, name: str, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -62,6 +86,21 @@ def read_store(spark: SparkSession, folder: str, name: str, schema: str, default
     return df
 
 
+#: Unit and name of each forcing series.
+FORCING = {
+    "rain": ("mm", "precipitation depth per interval"), "flow": ("m3/s", "observed discharge"), "temperature": ("degC", "daily mean air temperature"),
+    "evaporation": ("mm/day", "potential evaporation"), "tide": ("m", "predicted water level"),
+}
+
+
+def write_forcing(series: dict[str, tuple[DataFrame, str]], folder: str) -> None:
+    """Writes series (ts, value), each on its own times, as one table by variable, with unit, long_name and the stated provenance."""
+    for name, (df, provenance) in series.items():
+        unit, title = FORCING[name]
+        rows = df.select("ts", "value", F.lit(unit).alias("unit"), F.lit(title).alias("long_name"), F.lit(provenance).alias("provenance"), F.lit(name).alias("variable"))
+        rows.write.mode("append").partitionBy("variable").parquet(folder)
+
+
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """(member, size, sha256) of a package's files, without its manifest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
