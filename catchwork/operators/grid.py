@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.frames import written
 from catchwork.operators.components import connected_components
 
 PIXEL = ["aoi_id", "ix", "iy"]
@@ -32,8 +33,6 @@ def nearest_within(points: DataFrame, seeds: DataFrame, radius: float, key: str
 
 def nearest(points: DataFrame, seeds: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = (), farthest: float = 1e6) -> DataFrame:
     """As nearest_within, at any distance up to farthest: points without a seed in reach try again with twice the radius. Points without one at all, or of an area without seeds, have null."""
-    from catchwork.frames import written
-
     head = [*area, key]
     tried = points.join(seeds.select(*area).distinct(), list(area), "left_semi") if area else points
     done, rest = None, tried
@@ -273,3 +272,38 @@ def street_labels(samples: DataFrame, streets: DataFrame, inlets: DataFrame) ->
     first = F.when(back, F.try_element_at(before, F.lit(-1))).otherwise(F.get(F.filter("inlets", lambda i: i["t"] >= F.col("t")), 0))
     end = F.when(F.coalesce(back, F.col("t") <= 0.5), F.col("a_key")).otherwise(F.col("b_key"))
     return x.select("name", "t", F.coalesce(F.when(F.col("crest").isNotNull(), first["node_key"]), end).alias("node_key"))
+
+
+def spaced(points: DataFrame, least: float) -> DataFrame:
+    """Points kept greedily from the lowest up, each at least so far from all kept before; ties by key. points: (aoi_id, key, x, y, z).
+
+    The rule is sequential within an area. A round keeps every candidate that is the lowest within its reach and drops those in
+    reach of a kept one; lower points never depend on higher ones, so the rounds give the greedy result without one task a group.
+    """
+    spark = points.sparkSession
+    rest, done = written(points, "spaced_all"), None
+    edge = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    box = lambda c: F.floor(F.col(c) / least)
+    while not rest.isEmpty():
+        b = rest.withColumn("bx", box("x")).withColumn("by", box("y"))
+        other = rest.select("aoi_id", F.col("key").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), edge.alias("i")).select("*", edge.alias("j"))
+        other = other.withColumn("bx", F.floor(F.col("x2") / least) + F.col("i")).withColumn("by", F.floor(F.col("y2") / least) + F.col("j"))
+        near = b.join(other, ["aoi_id", "bx", "by"]).where("key <> k2").where(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) < least * least)
+        near = written(near.select("aoi_id", "key", "k2", (F.struct("z2", "k2") < F.struct("z", "key")).alias("lower")), "spaced_near")
+        keep = rest.join(near.where("lower").select("aoi_id", "key").distinct(), ["aoi_id", "key"], "left_anti")
+        keep = written(keep, "spaced_keep")
+        done = keep if done is None else done.unionByName(keep)
+        gone = near.join(keep.select("aoi_id", F.col("key").alias("k2")), ["aoi_id", "k2"], "left_semi").select("aoi_id", "key").union(keep.select("aoi_id", "key"))
+        rest = written(rest.join(gone.distinct(), ["aoi_id", "key"], "left_anti"), "spaced_rest")
+    return done if done is not None else spark.createDataFrame([], points.schema)
+
+
+def sinks(px: DataFrame, water: Column, reach: float, least: float) -> DataFrame:
+    """(aoi_id, key): where an area's water leaves: its pixels within reach of water, thinned from the lowest up to at least `least` apart; an area without any takes its lowest pixel, ties by key."""
+    points = px.withColumn("point_key", pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id"))).withColumn("x", F.col("ix").cast("double")).withColumn("y", F.col("iy").cast("double"))
+    seeds = points.where(water).select("aoi_id", F.col("point_key").alias("seed_key"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    near = nearest_within(points.select("aoi_id", "point_key", "x", "y"), seeds, reach, area=("aoi_id",))
+    close = points.join(near.select("aoi_id", "point_key"), ["aoi_id", "point_key"]).select("aoi_id", F.col("point_key").alias("key"), "x", "y", F.col("z_m").alias("z"))
+    thin = written(spaced(close, least).select("aoi_id", "key"), "sinks")
+    lowest = points.join(thin.select("aoi_id").distinct(), "aoi_id", "left_anti").groupBy("aoi_id").agg(F.min(F.struct("z_m", "point_key")).alias("m"))
+    return thin.unionByName(lowest.select("aoi_id", F.col("m.point_key").alias("key")))

@@ -318,50 +318,16 @@ def a37(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     return x.groupBy("aoi_id").agg(F.count("*").alias("n_hidden"), F.round(F.avg(F.abs(F.col("near") - F.col("truth"))), 4).alias("mae_m"))
 
 
-def spaced(points: DataFrame, least: float) -> DataFrame:
-    """Points kept greedily from the lowest up, each at least so far from all kept before; ties by key. points: (aoi_id, key, x, y, z).
-
-    The rule is sequential within an area. A round keeps every candidate that is the lowest within its reach and drops those in
-    reach of a kept one; lower points never depend on higher ones, so the rounds give the greedy result without one task a group.
-    """
-    from catchwork.frames import written
-
-    spark = points.sparkSession
-    rest, done = written(points, "spaced_all"), None
-    edge = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    box = lambda c: F.floor(F.col(c) / least)
-    while not rest.isEmpty():
-        b = rest.withColumn("bx", box("x")).withColumn("by", box("y"))
-        other = rest.select("aoi_id", F.col("key").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), edge.alias("i")).select("*", edge.alias("j"))
-        other = other.withColumn("bx", F.floor(F.col("x2") / least) + F.col("i")).withColumn("by", F.floor(F.col("y2") / least) + F.col("j"))
-        near = b.join(other, ["aoi_id", "bx", "by"]).where("key <> k2").where(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) < least * least)
-        near = written(near.select("aoi_id", "key", "k2", (F.struct("z2", "k2") < F.struct("z", "key")).alias("lower")), "spaced_near")
-        keep = rest.join(near.where("lower").select("aoi_id", "key").distinct(), ["aoi_id", "key"], "left_anti")
-        keep = written(keep, "spaced_keep")
-        done = keep if done is None else done.unionByName(keep)
-        gone = near.join(keep.select("aoi_id", F.col("key").alias("k2")), ["aoi_id", "k2"], "left_semi").select("aoi_id", "key").union(keep.select("aoi_id", "key"))
-        rest = written(rest.join(gone.distinct(), ["aoi_id", "key"], "left_anti"), "spaced_rest")
-    return done if done is not None else spark.createDataFrame([], points.schema)
-
-
 @query("t05_greedy_spacing", "v_px")
 def t05(px: DataFrame) -> DataFrame:
     x = px.select("aoi_id", grid.pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("z_m").alias("z"))
-    return spaced(x, 9.0).select("aoi_id", "key")
+    return grid.spaced(x, 9.0).select("aoi_id", "key")
 
 
 @query("n13_sink_choice", "v_px")
 def n13(px: DataFrame) -> DataFrame:
-    """Sinks: points near water (class 18), thinned; an area without any takes its lowest point."""
-    from catchwork.operators.grid import nearest_within
-
-    points = px.withColumn("point_key", grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")))
-    water = px.where("landcover = 18").select("aoi_id", grid.pixel_id(F.col("ix"), F.col("iy"), F.col("aoi_id")).alias("seed_key"), F.col("ix").cast("double").alias("sx"), F.col("iy").cast("double").alias("sy"))
-    near = nearest_within(points.select("aoi_id", "point_key", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y")), water, 3.0, area=("aoi_id",))
-    close = points.join(near.select("point_key"), "point_key").select("aoi_id", F.col("point_key").alias("key"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("z_m").alias("z"))
-    thin = spaced(close, 12.0).select("aoi_id", "key")
-    lowest = points.join(thin.select("aoi_id").distinct(), "aoi_id", "left_anti").groupBy("aoi_id").agg(F.min(F.struct("z_m", "point_key")).alias("m")).select("aoi_id", F.col("m.point_key").alias("key"))
-    return thin.unionByName(lowest)
+    """Sinks near water, which is class 18."""
+    return grid.sinks(px, F.col("landcover") == 18, 3.0, 12.0)
 
 
 SEG = "m AS (SELECT node_key, radians(lon + 123.4) * 6371000 * cos(radians(48.4)) AS x, radians(lat - 48.4) * 6371000 AS y FROM v_node), g AS (SELECT t.name, t.from_key, t.to_key, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM v_tree t JOIN m a ON a.node_key = t.from_key JOIN m b ON b.node_key = t.to_key)"
