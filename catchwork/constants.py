@@ -94,6 +94,17 @@ TEXTURE_SLACK = 0.5  # percent that clay and sand may exceed 100 together
 # Clay and sand percents that set soil groups C and D, and A.
 GROUP_C_CLAY, GROUP_D_CLAY, GROUP_A_SAND, GROUP_A_CLAY = 27, 40, 50, 10
 
+# Symbol types that carry rims and those that seed inlets, labels and confidence of delineation methods, and their decisions.
+RIM_TYPES = ("CB/MH", "MANHOLE", "MANHOLE, DUMMY", "SETTLING CHAMBER")
+SEED_TYPES = ("CATCHBASIN", "CB/MH", "LAWN BASIN")
+METHODS = {
+    "street": ("junction_street_segment", "medium"), "inlets_kerbed": ("catchbasin_dem", "high"), "inlets": ("catchbasin_dem", "medium"), "parcel": ("catchbasin_parcel", "medium"),
+    "voronoi": ("fallback_voronoi_catchbasin", "low"), "terrain": ("junction_dem", "medium"), "nearest": ("fallback_voronoi_junction", "low"),
+}
+DECISIONS = ("corridor_frontage", "corridor_voronoi", "no_dem", "no_dem_overlap", "below_slope_gate", "dem_degenerate", "posterior_fallback", "noise_cell_fallback", "dem")
+NOISE_SHARE = 0.5  # over this share of cells under the least size, a delineation is noise
+INFILTRATION_DRY_DAYS, CURVE_NUMBER_KSAT, DEFAULT_CN = 7.0, 0.5, 61.0
+
 # Validation and capability thresholds.
 INVERT_RISE_TOL_M = 0.01
 OUTLET_WARN_M, OUTLET_HIGH_M = 20.0, 50.0

@@ -60,3 +60,25 @@ def agreement_rate(buckets: DataFrame) -> DataFrame:
     out = {"n_agree": "agree", "n_no_geometry": "no_geometry", "n_outside": "outside_official", "n_no_outfall": "reaches_no_outfall", "n_left": "left_extract", "n_unknown": "declared_unknown"}
     counts = [n(b).alias(name) for name, b in out.items()]
     return buckets.groupBy("aoi_id").agg(*counts, both.alias("n_comparable"), F.round(n("agree") / F.nullif(both, F.lit(0)), 6).alias("rate"), F.round(100 * both / F.count("*"), 1).alias("pct_scored"))
+
+
+def method_labels(runs: DataFrame) -> DataFrame:
+    """runs with label and confidence of their delineation, from the table of methods. They have method (the delineator's own name), seeded_on and kerbed; what no row fits is the nearest-node method."""
+    m, inlets = F.col("method"), (F.col("method") == "junction_dem") & (F.col("seeded_on") == "catch_basin")
+    rules = {"street": m == "junction_street_segment", "inlets_kerbed": inlets & F.col("kerbed"), "inlets": inlets, "parcel": m.contains("parcel-shaped"), "voronoi": m.contains("voronoi-shaped"), "terrain": m == "junction_dem"}
+    key = F.coalesce(*(F.when(rule, name) for name, rule in rules.items()), F.lit("nearest"))
+    return runs.withColumn("label", k.lookup({n: v[0] for n, v in k.METHODS.items()}, key)).withColumn("confidence", k.lookup({n: v[1] for n, v in k.METHODS.items()}, key))
+
+
+def delineation_decisions(areas: DataFrame) -> DataFrame:
+    """areas with the decision on their delineation, the first that applies. They have corridor (a service mask is given), streets, has_dem, overlaps, slope_pct, gate_pct, n_cells, n_errors and noise_share; null counts as not met.
+
+    Along a corridor, streets give frontage cells unless these are mostly noise, else nearest-node cells. Elsewhere terrain decides if there is any, it reaches the area, is
+    steep enough, gives cells, passes its checks and is not mostly noise.
+    """
+    noise = F.col("noise_share") > k.NOISE_SHARE
+    rules = {
+        "corridor_voronoi": F.col("corridor") & ~F.coalesce("streets", F.lit(False)), "noise_cell_fallback": F.col("corridor") & noise, "corridor_frontage": F.col("corridor"), "no_dem": ~F.coalesce("has_dem", F.lit(False)), "no_dem_overlap": ~F.coalesce("overlaps", F.lit(False)),
+        "below_slope_gate": F.col("slope_pct") < F.col("gate_pct"), "dem_degenerate": F.coalesce("n_cells", F.lit(0)) == 0, "posterior_fallback": F.col("n_errors") > 0,
+    }
+    return areas.withColumn("decision", F.coalesce(*(F.when(rule, name) for name, rule in rules.items()), F.when(noise, "noise_cell_fallback"), F.lit("dem")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchwork import constants as k
 from catchwork.frames import ranked
 from catchwork.functions import values as v
 
@@ -83,3 +84,10 @@ def by_city_rules(pipes: DataFrame, rules: DataFrame) -> DataFrame:
         x = x.withColumn(c, within(v.without_sentinel(F.col(c), F.col("policy")), F.col("invert_low"), F.col("invert_high")))
     x = x.withColumn("rim_m", within(F.nullif("rim_m", F.lit(0.0)), F.col("rim_low"), F.col("rim_high")))
     return x.drop("policy", "invert_low", "invert_high", "rim_low", "rim_high")
+
+
+def carriers(symbols: DataFrame, kind: str = "symbol_type") -> DataFrame:
+    """symbols with `carries`: rim or seed by their type, a row for each where a type does both; types of neither, and null, go. Types compare without case and outer blanks."""
+    name = F.upper(F.trim(F.col(kind)))
+    both = F.array_compact(F.array(F.when(name.isin(*k.RIM_TYPES), "rim"), F.when(name.isin(*k.SEED_TYPES), "seed")))
+    return symbols.withColumn("carries", F.explode(both))

@@ -38,3 +38,18 @@ def totals(areas: DataFrame, by: list[str]) -> DataFrame:
     n = F.count("*")
     tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("measured", "dwellings", "area_density")]
     return x.groupBy(*by).agg(n.alias("n_areas"), F.round(F.sum("people"), 3).alias("people"), F.round(F.sum(dwf_lps(F.col("people"))), 4).alias("lps"), *tiers, F.round(100 * F.count_if(F.col("tier") == "area_density") / n, 4).alias("pct_assumed"))
+
+
+def infiltration_rows(catchments: DataFrame) -> DataFrame:
+    """catchments with the parameters p1 to p5 of their own method. They have method (HORTON, GREEN_AMPT or CURVE_NUMBER), soil_group (a letter), texture and cn.
+
+    HORTON: first and last rate, decay, dry days, greatest volume (0: none), by soil group; GREEN_AMPT: suction, conductivity, deficit, by texture,
+    else that of the group; CURVE_NUMBER: number, conductivity, dry days. An unknown group counts as B.
+    """
+    group = F.coalesce(F.when(F.col("soil_group").isin(*k.HORTON), F.col("soil_group")), F.lit("B"))
+    texture = F.coalesce(F.when(F.col("texture").isin(*k.GREEN_AMPT), F.col("texture")), k.lookup(k.GROUP_TEXTURE, group))
+    horton = [k.lookup({g: v[i] for g, v in k.HORTON.items()}, group) for i in range(3)] + [F.lit(k.INFILTRATION_DRY_DAYS), F.lit(0.0)]
+    green = [k.lookup({t: v[i] for t, v in k.GREEN_AMPT.items()}, texture) for i in range(3)] + [F.lit(None)] * 2
+    curve = [F.coalesce("cn", F.lit(k.DEFAULT_CN)), F.lit(k.CURVE_NUMBER_KSAT), F.lit(k.INFILTRATION_DRY_DAYS)] + [F.lit(None)] * 2
+    own = lambda i: F.when(F.col("method") == "HORTON", horton[i]).when(F.col("method") == "GREEN_AMPT", green[i]).otherwise(curve[i])
+    return catchments.select("*", *(own(i).cast("double").alias(f"p{i + 1}") for i in range(5)))

@@ -186,14 +186,23 @@ def p30(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", method.alias("method"), trust.alias("confidence"))
 
 
-@query("p29_method_label", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, CASE WHEN avg(area_ha) > 3 THEN 'terrain' WHEN count(*) > 100 THEN 'frontage' ELSE 'nearest' END AS method, CASE WHEN avg(area_ha) > 3 THEN 'high' ELSE 'low' END AS confidence FROM v_catchment GROUP BY 1")
-def p29(catchments: DataFrame) -> DataFrame:
-    big = F.avg("area_ha") > 3
-    return catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.when(big, "terrain").when(F.count("*") > 100, "frontage").otherwise("nearest").alias("method"), F.when(big, "high").otherwise("low").alias("confidence"))
+@query("p29_method_label", "customer", sql="""WITH r AS (SELECT c_custkey, ['junction_street_segment', 'junction_dem', 'nearest (parcel-shaped)', 'nearest (voronoi-shaped)', 'other'][1 + c_custkey % 5] AS m, c_custkey % 2 = 0 AS basins, c_custkey % 4 = 0 AS kerbed FROM customer)
+SELECT c_custkey, CASE WHEN m = 'junction_street_segment' THEN m WHEN m = 'junction_dem' AND basins THEN 'catchbasin_dem' WHEN m = 'junction_dem' THEN m WHEN m LIKE '%parcel%' THEN 'catchbasin_parcel' WHEN m LIKE '%voronoi%' THEN 'fallback_voronoi_catchbasin' ELSE 'fallback_voronoi_junction' END AS label,
+  CASE WHEN m = 'junction_dem' AND basins AND kerbed THEN 'high' WHEN m IN ('junction_dem', 'junction_street_segment') OR m LIKE '%parcel%' THEN 'medium' ELSE 'low' END AS confidence FROM r""")
+def p29(customer: DataFrame) -> DataFrame:
+    """Label and confidence of each run."""
+    c = F.col("c_custkey")
+    names = F.array(*map(F.lit, ("junction_street_segment", "junction_dem", "nearest (parcel-shaped)", "nearest (voronoi-shaped)", "other")))
+    runs = customer.select("c_custkey", F.get(names, (c % 5).cast("int")).alias("method"), F.when(c % 2 == 0, "catch_basin").otherwise("manhole").alias("seeded_on"), (c % 4 == 0).alias("kerbed"))
+    return checks.method_labels(runs).select("c_custkey", "label", "confidence")
 
 
-@query("g20_delineation_fallback", "v_catchment", sql="""WITH x AS (SELECT outlet_key % 5 AS aoi, avg(CAST(area_ha < 0.5 AS INT)) AS noise, median(pct_imperv) / 20 AS slope FROM v_catchment GROUP BY 1)
-SELECT aoi, CASE WHEN aoi = 4 THEN 'no_terrain' WHEN slope < 1 THEN 'below_gate' WHEN noise > 0.5 THEN 'noise' ELSE 'terrain' END AS decision FROM x""")
+@query("g20_delineation_fallback", "v_catchment", sql="""WITH x AS (SELECT outlet_key AS area, avg(CAST(area_ha < 0.5 AS INT)) AS noise, median(pct_imperv) / 20 AS slope, count(*) AS n, count(*) FILTER (WHERE area_ha < 0.15) AS errors FROM v_catchment GROUP BY 1)
+SELECT area, CASE WHEN area % 6 = 0 AND area % 4 <> 0 THEN 'corridor_voronoi' WHEN area % 6 = 0 AND noise > 0.5 THEN 'noise_cell_fallback' WHEN area % 6 = 0 THEN 'corridor_frontage' WHEN area % 7 = 0 THEN 'no_dem' WHEN area % 11 = 0 THEN 'no_dem_overlap' WHEN slope < CASE WHEN area % 2 = 0 THEN 1 ELSE 4 END THEN 'below_slope_gate'
+  WHEN area % 13 = 0 THEN 'dem_degenerate' WHEN errors > 0 THEN 'posterior_fallback' WHEN noise > 0.5 THEN 'noise_cell_fallback' ELSE 'dem' END AS decision FROM x""")
 def g20(catchments: DataFrame) -> DataFrame:
-    x = catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.avg((F.col("area_ha") < 0.5).cast("int")).alias("noise"), (F.percentile("pct_imperv", 0.5) / 20).alias("slope"))
-    return x.select("aoi", F.when(F.col("aoi") == 4, "no_terrain").when(F.col("slope") < 1, "below_gate").when(F.col("noise") > 0.5, "noise").otherwise("terrain").alias("decision"))
+    """The chain for the drainage area of each node; the view states which areas have a corridor, streets and terrain."""
+    a = F.col("area")
+    x = catchments.groupBy(F.col("outlet_key").alias("area")).agg(F.avg((F.col("area_ha") < 0.5).cast("int")).alias("noise_share"), (F.percentile("pct_imperv", 0.5) / 20).alias("slope_pct"), F.count("*").alias("n"), F.count_if(F.col("area_ha") < 0.15).alias("n_errors"))
+    x = x.select("*", (a % 6 == 0).alias("corridor"), (a % 4 == 0).alias("streets"), (a % 7 != 0).alias("has_dem"), (a % 11 != 0).alias("overlaps"), F.when(a % 2 == 0, 1.0).otherwise(4.0).alias("gate_pct"), F.when(a % 13 != 0, F.col("n")).otherwise(0).alias("n_cells"))
+    return checks.delineation_decisions(x).select("area", "decision")

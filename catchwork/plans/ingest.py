@@ -110,11 +110,10 @@ def p12(pipes: DataFrame) -> DataFrame:
     return x.select("file_seq", "system", F.col("system").isin("storm_minor", "combined").alias("joins_storm"))
 
 
-@query("p13_symbol_split", "part", sql="""
-SELECT p_partkey, 'rim' AS carries FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'seed' FROM part WHERE p_size % 5 = 0""")
-def p13(part: DataFrame) -> DataFrame:
-    rims = part.where("p_size % 3 = 0").select("p_partkey", F.lit("rim").alias("carries"))
-    return rims.unionByName(part.where("p_size % 5 = 0").select("p_partkey", F.lit("seed").alias("carries")))
+@query("p13_symbol_split", "v_symbol", sql="""SELECT symbol_key, 'rim' AS carries FROM v_symbol WHERE symbol_type IN ('MANHOLE', 'CB/MH', 'MANHOLE, DUMMY', 'SETTLING CHAMBER')
+UNION ALL SELECT symbol_key, 'seed' FROM v_symbol WHERE symbol_type IN ('CATCHBASIN', 'CB/MH', 'LAWN BASIN')""")
+def p13(symbols: DataFrame) -> DataFrame:
+    return op.carriers(symbols).select("symbol_key", "carries")
 
 
 @query("p14_outfall_tokens", "v_layer", sql="""

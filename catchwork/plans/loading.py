@@ -86,14 +86,30 @@ def m11(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", letter.alias("letter"), *horton, ksat.alias("ksat"))
 
 
-@query("p20_infiltration_rows", "v_catchment", sql="""SELECT cell_key, CASE cell_key % 3 WHEN 0 THEN 'HORTON' WHEN 1 THEN 'GREEN_AMPT' ELSE 'CURVE_NUMBER' END AS method,
-  CASE cell_key % 3 WHEN 0 THEN 101.6 WHEN 1 THEN 88.9 ELSE 61 END::DOUBLE AS p1, CASE cell_key % 3 WHEN 0 THEN 5.7 WHEN 1 THEN 6.6 ELSE NULL END::DOUBLE AS p2 FROM v_catchment""")
+def _case(key: str, values: dict, at: int | None = None) -> str:
+    """A SQL lookup of fixed values."""
+    rows = " ".join(f"WHEN '{name}' THEN {v if at is None else v[at]}" for name, v in values.items())
+    return f"CASE {key} {rows} END"
+
+
+TEXTURE_NAMES = tuple(k.GREEN_AMPT)
+
+
+@query("p20_infiltration_rows", "v_catchment", sql=f"""WITH c AS (SELECT cell_key, CASE cell_key % 3 WHEN 0 THEN 'HORTON' WHEN 1 THEN 'GREEN_AMPT' ELSE 'CURVE_NUMBER' END AS method, coalesce(['A', 'B', 'C', 'D'][1 + cell_key % 5], 'B') AS g,
+  CASE WHEN cell_key % 13 < 12 THEN {list(TEXTURE_NAMES)}[1 + cell_key % 13] END AS t, CASE WHEN cell_key % 7 <> 0 THEN 40 + cell_key % 50 END AS cn FROM v_catchment),
+x AS (SELECT *, coalesce(t, {_case("g", {g: f"'{t}'" for g, t in k.GROUP_TEXTURE.items()})}) AS tt FROM c)
+SELECT cell_key, method, CASE method WHEN 'HORTON' THEN {_case("g", k.HORTON, 0)} WHEN 'GREEN_AMPT' THEN {_case("tt", k.GREEN_AMPT, 0)} ELSE coalesce(cn, 61) END::DOUBLE AS p1,
+  CASE method WHEN 'HORTON' THEN {_case("g", k.HORTON, 1)} WHEN 'GREEN_AMPT' THEN {_case("tt", k.GREEN_AMPT, 1)} ELSE 0.5 END::DOUBLE AS p2,
+  CASE method WHEN 'HORTON' THEN {_case("g", k.HORTON, 2)} WHEN 'GREEN_AMPT' THEN {_case("tt", k.GREEN_AMPT, 2)} ELSE 7 END::DOUBLE AS p3, CASE method WHEN 'HORTON' THEN 7 END::DOUBLE AS p4, CASE method WHEN 'HORTON' THEN 0 END::DOUBLE AS p5 FROM x""")
 def p20(catchments: DataFrame) -> DataFrame:
     """The parameters of each catchment's own method."""
-    m = F.col("cell_key") % 3
-    h, g = k.HORTON["B"], k.GREEN_AMPT["loam"]
-    pick = lambda a, b, c: F.when(m == 0, a).when(m == 1, b).otherwise(c)
-    return catchments.select("cell_key", pick("HORTON", "GREEN_AMPT", "CURVE_NUMBER").alias("method"), pick(h[0], g[0], 61.0).alias("p1"), pick(h[1], g[1], None).alias("p2"))
+    c = F.col("cell_key")
+    letters, names = (F.array(*map(F.lit, x)) for x in (("A", "B", "C", "D"), TEXTURE_NAMES))
+    x = catchments.select(
+        "cell_key", F.when(c % 3 == 0, "HORTON").when(c % 3 == 1, "GREEN_AMPT").otherwise("CURVE_NUMBER").alias("method"), F.get(letters, (c % 5).cast("int")).alias("soil_group"),
+        F.get(names, (c % 13).cast("int")).alias("texture"), F.when(c % 7 != 0, 40.0 + c % 50).alias("cn"),
+    )
+    return op.infiltration_rows(x).select("cell_key", "method", "p1", "p2", "p3", "p4", "p5")
 
 
 @query("p39_soil_tier", "v_px", sql="SELECT aoi_id, ix, iy, coalesce(CASE WHEN hsg_code <> 4 THEN hsg_code END, CASE WHEN landcover % 2 = 0 THEN 3 END, 2)::BIGINT AS code, CASE WHEN hsg_code <> 4 THEN 'published' WHEN landcover % 2 = 0 THEN 'texture' ELSE 'constant' END AS tier FROM v_px")

@@ -61,6 +61,12 @@ VIEWS["v_flow_sim"] = """
 SELECT CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice) / 100, 6) AS sim_cms FROM lineitem GROUP BY 1
 """
 
+VIEWS["v_symbol"] = """
+SELECT p_partkey AS symbol_key, CASE p_size % 8 WHEN 0 THEN 'MANHOLE' WHEN 1 THEN 'CB/MH' WHEN 2 THEN 'MANHOLE, DUMMY' WHEN 3 THEN 'SETTLING CHAMBER'
+       WHEN 4 THEN 'CATCHBASIN' WHEN 5 THEN 'LAWN BASIN' WHEN 6 THEN 'VALVE' END AS symbol_type
+FROM part
+"""
+
 VIEWS["v_gauge"] = """
 SELECT o_custkey % 40 AS station_key, -125e0 + (o_custkey % 40) * 1e0 AS lon, 44e0 + (o_custkey % 40) % 8 AS lat, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 6) AS obs_cms
 FROM orders GROUP BY o_custkey % 40, CAST(o_orderdate AS DATE)
