@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.frames import written
 
 
 def spaced(name: Column) -> Column:
@@ -69,7 +70,8 @@ def anchors(roles: DataFrame) -> DataFrame:
 
 
 def verdicts(roles: DataFrame) -> DataFrame:
-    """(city_key, system, polygon_role, n_polygons, n_anchors, anchor_role, ratio, level): how fine a city's own polygons are against its anchors."""
+    """(city_key, system, polygon_role, n_polygons, n_anchors, anchor_role, ratio, level): how fine a city's own polygons are against its anchors. The counts, a few rows a city, are written once, so that layers are classified once."""
+    roles = written(roles, "layer_counts")
     area = roles.where("role in ('subcatchment', 'catchment')").groupBy("city_key", "system").agg(F.max(F.struct(F.col("role"), F.col("n"))).alias("p"))  # subcatchment sorts last
     x = area.join(anchors(roles), ["city_key", "system"], "left").select("city_key", "system", F.col("p.role").alias("polygon_role"), F.col("p.n").alias("n_polygons"), "n_anchors", "anchor_role", F.round(F.col("p.n") / F.col("n_anchors"), 5).alias("ratio"))
     exact = F.col("n_polygons") / F.col("n_anchors")
