@@ -30,16 +30,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/catchwork/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and gives Spark exact sizes for its join choices."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of jobs that are done: it does so when the driver's garbage collector finds them unused, which may be long after a step that shuffles whole texts."""
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and gives Spark exact sizes for its join choices. Shuffle files of the job go when it is done, not when the driver next collects garbage."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucket_bits(n_rows: int, rows_per_bucket: int = 1000, least: int = 4, most: int = 20) -> int:
