@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucket_bits(n_rows: int, rows_per_bucket: int = 1000, least: int = 4, most: int = 20) -> int:
+def bucket_bits(n_rows: int, rows_per_bucket: int = 200, least: int = 4, most: int = 20) -> int:
     """How many leading hash bits cut n_rows into buckets of about rows_per_bucket."""
     return max(least, min(most, math.ceil(math.log2(max(1, n_rows) / rows_per_bucket + 1))))
 
