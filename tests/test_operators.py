@@ -12,7 +12,7 @@ from catchwork.frames import bucket_bits, prefix_sum
 from catchwork.functions import values as v
 from catchwork.operators import forcing, grid, ingest, loading, network
 from catchwork.operators.components import connected_components
-from catchwork.plans.exports import spaced
+from catchwork.operators.grid import spaced
 from catchwork.sources import features
 
 
