@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catchwork.llm.alignment import token_alignment
 from catchwork.llm.licenses import fit as fit_licenses
 from catchwork.llm.licenses import license_scan
 from catchwork.llm.mixing import mix_sources
@@ -68,3 +69,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return license_scan(docs, fit_licenses(docs))
+
+
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(_table(spark, sf_dir, "documents"))
