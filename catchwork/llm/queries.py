@@ -8,12 +8,14 @@ from catchwork.llm.alignment import token_alignment
 from catchwork.llm.licenses import fit as fit_licenses
 from catchwork.llm.licenses import license_scan
 from catchwork.llm.mixing import mix_sources
+from catchwork.llm.negatives import hard_negatives
 from catchwork.llm.packing import pack_documents
 from catchwork.llm.phrases import repeated_passages
 from catchwork.llm.quality import fit, quality_rules
 from catchwork.llm.secrets import find_secrets
 from catchwork.llm.sharding import shard_documents
 from catchwork.llm.simhash import simhash_groups
+from catchwork.llm.topk import top_k
 from catchwork.llm.vectors import vector_groups
 from catchwork.llm.warc import archived_pages
 
@@ -71,5 +73,13 @@ def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs, fit_licenses(docs))
 
 
+def op11_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(_table(spark, sf_dir, "documents"))
