@@ -463,8 +463,8 @@ def j26(nodes: DataFrame, nation: DataFrame) -> DataFrame:
 
 @query("j10_points_in_area", "v_idf", sql="SELECT DISTINCT station_key FROM v_idf WHERE lon BETWEEN -100 AND -80 AND lat BETWEEN 44 AND 50")
 def j10(idf: DataFrame) -> DataFrame:
-    """Stations inside an area's ring: box first, then the ring."""
-    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-100.001, 43.999), (-79.999, 43.999), (-79.999, 50.001), (-100.001, 50.001), (-100.001, 43.999))))
+    """Stations inside an area's ring: box first, then the ring. No station lies on its edge."""
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-100.0, 44.0), (-80.0, 44.0), (-80.0, 50.0), (-100.0, 50.0), (-100.0, 44.0))))
     box = idf.where("lon between -101 and -79 and lat between 43 and 51")
     return box.where(op.inside(ring, F.col("lon"), F.col("lat"))).select("station_key").distinct()
 

@@ -68,7 +68,7 @@ FROM part
 """
 
 VIEWS["v_gauge"] = """
-SELECT o_custkey % 40 AS station_key, -125e0 + (o_custkey % 40) * 1e0 AS lon, 44e0 + (o_custkey % 40) % 8 AS lat, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 6) AS obs_cms
+SELECT o_custkey % 40 AS station_key, -124.95e0 + (o_custkey % 40) * 1e0 AS lon, 44.05e0 + (o_custkey % 40) % 8 AS lat, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 6) AS obs_cms
 FROM orders GROUP BY o_custkey % 40, CAST(o_orderdate AS DATE)
 """
 
