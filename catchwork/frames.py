@@ -34,7 +34,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and gives Spark exact sizes for its join choices. Shuffle files of the job go when it is done, not when the driver next collects garbage."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and gives Spark exact sizes for its join choices.
+
+    Shuffle files of the job go when it is done, not when the driver next collects garbage. The setting for that belongs to the session, so
+    queries that other threads run in it meanwhile lose their own shuffle files at their own end, too; no result depends on it.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -42,7 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made and that nothing reads any more, such as the last round but one of a loop. Others are left alone."""
+    for table in tables:
+        path = getattr(table, "written_path", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # new_path gives each table a folder of its own
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def bucket_bits(n_rows: int, rows_per_bucket: int = 200, least: int = 4, most: int = 20) -> int:
