@@ -83,10 +83,15 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.6, epochs: int = 2, wei
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that mix_sources chooses, once for each epoch that chooses them. All columns stay."""
-    chosen = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "lang", "source").agg(F.count("*").cast("int").alias("_times"))
-    chosen = written(chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "_times"), "mix_chosen")
-    keyed = docs.withColumn("_text_hash", F.md5(F.coalesce("text", F.lit("")))).withColumn("_lang", F.coalesce("lang", F.lit("(null)"))).withColumn("_source", F.coalesce("source", F.lit("(null)")))
-    same = keyed.doc_id.cast("long").eqNullSafe(chosen._id) & (keyed._text_hash == chosen._th) & (keyed._lang == chosen._l) & (keyed._source == chosen._s)
-    once = keyed.join(chosen, same).dropDuplicates(["_id", "_th", "_l", "_s"])
-    return once.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The rows of docs that mix_sources chooses, once for each epoch that chooses them. All columns stay, whatever they are called.
+
+    Rows equal in doc_id, text, lang and source are one choice: the first of them stands for all. Null ids, texts, langs and sources are treated
+    as in mix_sources.
+    """
+    chosen = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "lang", "source").agg(F.count("*").cast("int").alias("times"))
+    chosen = written(chosen.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("lang").alias("l"), F.col("source").alias("s"), "times"), "mix_chosen")
+    none = F.lit("(null)")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"))
+    same = keyed.own.eqNullSafe(chosen.id) & (keyed.text_hash == chosen.hash) & (keyed.lang == chosen.l) & (keyed.source == chosen.s)
+    once = keyed.join(chosen, same).dropDuplicates(["id", "hash", "l", "s"])
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -118,3 +118,16 @@ def test_query(spark, duck, name):
         names = [d[0] for d in rel.description]
         assert sorted(names) == columns
         assert got == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in rel.fetchall())
+
+
+def test_columns_of_any_name_survive_every_stage(spark, docs):
+    """Names that stages might use themselves keep their values through all stages that return documents."""
+    clash = ["_id", "_times", "_text_key", "_text_hash", "_lang", "_source", "_th", "_l", "_s", "row", "own", "key", "id", "of", "times", "set_key", "group_key"]
+    path = folder(spark, docs.selectExpr("*", *(f"concat('{c} of ', coalesce(doc_id, 0)) as {c}" for c in clash)))
+    rows = spark.read.parquet(f"{path}/documents.parquet")
+    columns = rows.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = written(stage(spark, rows, path), "test_stage")
+        assert rows.columns == columns, name
+    found = rows.collect()
+    assert found and all(r[c] == f"{c} of {r.doc_id or 0}" for r in found for c in clash)
