@@ -109,21 +109,6 @@ def from_upstream(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> D
     raise RuntimeError("the edges hold a cycle")
 
 
-def shortest_forest(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, dist, source, parent): shortest paths from several sources over undirected edges (a, b, length); ties go to the lesser source, then parent. Each round relaxes every edge of nodes that changed."""
-    both = written(edges.select("a", "b", "length").union(edges.select("b", "a", "length")), "forest_edges")
-    state = written(sources.select("node", F.lit(0.0).alias("dist"), F.col("node").alias("source"), F.lit(None).cast(sources.schema["node"].dataType).alias("parent"), F.lit(True).alias("new")), "forest_0")
-    for i in range(max_rounds):
-        front = state.where("new")
-        reach = both.join(front, both.a == front.node).select(F.col("b").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), "source", F.col("a").alias("parent"), F.lit(True).alias("new"))
-        best = F.min(F.struct("dist", "source", F.coalesce(F.col("parent"), F.col("node")).alias("p"), "parent", "new")).alias("s")
-        every = state.withColumn("new", F.lit(False)).unionByName(reach)
-        state = written(every.groupBy("node").agg(best).select("node", "s.dist", "s.source", "s.parent", "s.new"), f"forest_{i + 1}")
-        if state.where("new").isEmpty():
-            return state.drop("new")
-    raise RuntimeError("paths did not settle")
-
-
 def lowest_of_components(groups: DataFrame, inverts: DataFrame) -> DataFrame:
     """(component, node_key, invert_m): the lowest node of each component, ties by key."""
     x = groups.join(inverts.withColumnRenamed("node_key", "node"), "node")
@@ -199,23 +184,6 @@ def system_view(nodes: DataFrame, conduits: DataFrame, systems: list[str]) -> tu
     return kept, c
 
 
-def propagated_inverts(forest: DataFrame, nodes: DataFrame, slope: float = 0.005, depth: float = 1.5, least_slope: float = 1e-4, max_rounds: int = 1000) -> DataFrame:
-    """(node, invert_m, violated): outwards along parents: the lesser of parent + length * slope and ground - depth, but at least parent + length * least_slope (then it is violated). One level of the forest a round. nodes: (node, ground, outfall_invert); forest: (node, parent, length)."""
-    rows = forest.join(nodes, "node")
-    state = written(rows.where("parent is null").select("node", F.col("outfall_invert").alias("invert_m"), F.lit(False).alias("violated"), F.lit(0).alias("level")), "inverts_0")
-    rest = rows.where("parent is not null")
-    done = state
-    for i in range(max_rounds):
-        if state.isEmpty():
-            return done
-        up = state.select(F.col("node").alias("parent"), F.col("invert_m").alias("p"))
-        low = F.col("p") + F.col("length") * least_slope
-        want = F.least(F.col("p") + F.col("length") * slope, F.col("ground") - depth)
-        state = written(rest.join(up, "parent").select("node", F.greatest(low, want).alias("invert_m"), (want < low).alias("violated"), F.lit(i + 1).alias("level")), f"inverts_{i + 1}")
-        done = done.unionByName(state)
-    raise RuntimeError("the forest is deeper than max_rounds")
-
-
 def numbered(nodes: DataFrame, label: str) -> DataFrame:
     """Names for all nodes: the label, or `N1`, `N2` ... by place for those without one, numbered within an area."""
     x = ranked(nodes, [F.col("aoi_id"), F.col(label).isNull()], ["lon", "lat", "node_key"], "_number")

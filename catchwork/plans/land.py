@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.operators import flow
 from catchwork.operators import grid as op
 from catchwork.plans.registry import query
 
@@ -258,6 +259,29 @@ def g17(px: DataFrame) -> DataFrame:
     return op.flow_directions(px).select(*op.PIXEL, "d_ix", "d_iy")
 
 
+POURS = "pour AS (SELECT aoi_id, ix, iy, iy * 1000 + ix AS label FROM v_px WHERE ix % 9 = 4 AND iy % 9 = 4)"
+STEEPEST = """d AS (SELECT p.aoi_id, p.ix, p.iy, q.ix AS nx, q.iy AS ny, CASE WHEN p.ix <> q.ix AND p.iy <> q.iy THEN sqrt(2) ELSE 1 END AS w, p.z_m - q.z_m AS dz FROM v_px p JOIN v_px q ON q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) <= 1 AND abs(q.iy - p.iy) <= 1 WHERE p.z_m > q.z_m),
+r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY aoi_id, ix, iy ORDER BY dz / w DESC, ny, nx) = 1)"""
+BASINS = f"""WITH RECURSIVE {STEEPEST}, {POURS},
+up AS (SELECT r.* FROM r ANTI JOIN pour USING (aoi_id, ix, iy)),
+walk(aoi_id, ix, iy, label, length) AS (SELECT aoi_id, ix, iy, label, 0::DOUBLE FROM pour UNION ALL SELECT w.aoi_id, u.ix, u.iy, w.label, w.length + u.w FROM walk w JOIN up u ON u.aoi_id = w.aoi_id AND u.nx = w.ix AND u.ny = w.iy)"""
+
+
+def _basins(px: DataFrame) -> DataFrame:
+    return flow.basins(op.flow_directions(px), px.where("ix % 9 = 4 and iy % 9 = 4").select(*op.PIXEL, (F.col("iy") * 1000 + F.col("ix")).alias("label")))
+
+
+@query("g17_basins", "v_px", sql=BASINS + " SELECT p.aoi_id, p.ix, p.iy, w.label, round(w.length, 6) AS length FROM v_px p LEFT JOIN walk w USING (aoi_id, ix, iy)")
+def g17_basins(px: DataFrame) -> DataFrame:
+    """Every pixel's pour point (here one in 81 pixels) and the way there."""
+    return _basins(px).withColumn("length", F.round("length", 6))
+
+
+@query("g17_flow_lengths", "v_px", sql=BASINS + " SELECT aoi_id, label, count(*) AS pixels, CASE WHEN max(length) > 1 THEN round(max(length), 6) END AS flow_m FROM walk GROUP BY ALL")
+def g17_lengths(px: DataFrame) -> DataFrame:
+    return flow.flow_lengths(_basins(px)).withColumn("flow_m", F.round("flow_m", 6))
+
+
 @query("g18_grown_labels", "v_px", sql="""WITH l0 AS (SELECT aoi_id, ix, iy, CASE WHEN landcover = 1 THEN ix * 100 + iy END AS lab FROM v_px),
 l1 AS (SELECT p.aoi_id, p.ix, p.iy, coalesce(any_value(p.lab), min(q.lab)) AS lab FROM l0 p LEFT JOIN l0 q ON p.lab IS NULL AND q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) + abs(q.iy - p.iy) = 1 GROUP BY ALL),
 l2 AS (SELECT p.aoi_id, p.ix, p.iy, coalesce(any_value(p.lab), min(q.lab)) AS lab FROM l1 p LEFT JOIN l1 q ON p.lab IS NULL AND q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) + abs(q.iy - p.iy) = 1 GROUP BY ALL)

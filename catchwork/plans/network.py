@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from catchwork import constants as k
 from catchwork.functions import values as v
-from catchwork.operators import ingest, network as op
+from catchwork.operators import flow, ingest
+from catchwork.operators import network as op
 from catchwork.operators.components import connected_components
 from catchwork.plans.registry import query
 
@@ -158,6 +159,17 @@ def n10(tree: DataFrame) -> DataFrame:
     return op.terminals(op.parents(tree))
 
 
+@query("n10_branching_outfalls", "v_web", sql="""
+WITH RECURSIVE nodes AS (SELECT from_key AS n FROM v_web UNION SELECT to_key FROM v_web),
+walk(node, reached, hops) AS (SELECT n, n, 0 FROM nodes UNION SELECT w.node, e.to_key, w.hops + 1 FROM walk w JOIN v_web e ON e.from_key = w.reached WHERE w.reached >= 3 AND w.reached % 13 <> 0 AND w.hops < 60),
+ends AS (SELECT node, min_by(reached, (hops, reached)) AS outfall, min(hops)::BIGINT AS hops FROM walk WHERE reached < 3 OR reached % 13 = 0 GROUP BY node)
+SELECT n AS node, outfall, hops FROM nodes LEFT JOIN ends ON node = n""")
+def n10_branching(web: DataFrame) -> DataFrame:
+    """The nearest outfall downstream (keys under 3 or divisible by 13) where conduits branch and some run in circles."""
+    nodes = web.select(F.col("from_key").alias("node")).union(web.select("to_key")).distinct()
+    return flow.reached_outfalls(web, nodes.where("node < 3 or node % 13 = 0"))
+
+
 @query("n11_components_without_outfall", "v_tree", sql=WALK + """, c AS (SELECT node, min(reached) AS component FROM walk GROUP BY node)
 SELECT component, count(*) AS n_nodes FROM c GROUP BY component HAVING NOT bool_or(node % 13 = 0)""")
 def n11(tree: DataFrame) -> DataFrame:
@@ -179,7 +191,7 @@ walk(node, dist, source, parent) AS (SELECT n, 0::DOUBLE, n, NULL::BIGINT FROM s
 SELECT node, dist, source, parent FROM walk""")
 def n14(tree: DataFrame) -> DataFrame:
     sources = tree.join(tree.select(F.col("from_key").alias("to_key")), "to_key", "left_anti").select(F.col("to_key").alias("node")).distinct()
-    return op.shortest_forest(tree.select(F.col("from_key").alias("a"), F.col("to_key").alias("b"), F.col("length_m").alias("length")), sources)
+    return flow.shortest_forest(tree.select(F.col("from_key").alias("a"), F.col("to_key").alias("b"), F.col("length_m").alias("length")), sources)
 
 
 @query("n15_invert_propagation", "v_tree", sql="""
@@ -194,7 +206,7 @@ def n15(tree: DataFrame) -> DataFrame:
     forest = tree.select(F.col("from_key").alias("node"), F.col("to_key").alias("parent"), F.col("length_m").alias("length")).unionByName(roots.withColumn("parent", F.lit(None).cast("long")).withColumn("length", F.lit(0.0)))
     ground = F.lit(100.0) + F.col("node") % 7
     nodes = forest.select("node").withColumn("ground", ground).withColumn("outfall_invert", ground - 1.0)
-    return op.propagated_inverts(forest, nodes).withColumn("invert_m", F.round("invert_m", 6))
+    return flow.propagated_inverts(forest, nodes).withColumn("invert_m", F.round("invert_m", 6))
 
 
 @query("n16_synthesised_tables", "v_tree", sql="""

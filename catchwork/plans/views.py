@@ -131,6 +131,13 @@ SELECT concat('C', CAST(p_partkey AS STRING)) AS name, p_partkey AS from_key,
 FROM part WHERE p_partkey > 2 AND p_partkey % 17 <> 0
 """
 
+# The tree with second conduits, and pairs of nodes that lead only to each other.
+VIEWS["v_web"] = """
+SELECT p_partkey AS from_key, CAST(floor(p_partkey / 3) AS BIGINT) AS to_key FROM part WHERE p_partkey > 2 AND p_partkey % 17 <> 0
+UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 2) AS BIGINT) FROM part WHERE p_partkey > 2 AND p_partkey % 17 <> 0 AND p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 17 ELSE -17 END FROM part WHERE p_partkey % 17 = 0
+"""
+
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
