@@ -88,10 +88,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows equal in doc_id, text, lang and source are one choice: the first of them stands for all. Null ids, texts, langs and sources are treated
     as in mix_sources.
     """
-    chosen = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "lang", "source").agg(F.count("*").cast("int").alias("times"))
-    chosen = written(chosen.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("lang").alias("l"), F.col("source").alias("s"), "times"), "mix_chosen")
+    def keyed(x: DataFrame, *more: Column) -> DataFrame:
+        """x with a 128-bit key of what makes a choice, nulls told apart, so that the join's order serves for taking the first row, too."""
+        parts = [F.col("own"), F.isnull("own"), F.col("hash"), F.col("lang"), F.col("source")]
+        return x.select(*more, F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
+
     none = F.lit("(null)")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"))
-    same = keyed.own.eqNullSafe(chosen.id) & (keyed.text_hash == chosen.hash) & (keyed.lang == chosen.l) & (keyed.source == chosen.s)
-    once = keyed.join(chosen, same).dropDuplicates(["id", "hash", "l", "s"])
+    chosen = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("own"), F.col("text_hash").alias("hash"), "lang", "source").agg(F.count("*").cast("int").alias("times"))
+    chosen = written(keyed(chosen, F.col("times")), "mix_chosen")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"))
+    once = keyed(rows, F.col("row")).join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

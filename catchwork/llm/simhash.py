@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork.frames import written
+from catchwork.llm.keeping import one_of_each
 from catchwork.llm.words import slices, texts
 from catchwork.operators.components import connected_components
 
@@ -147,9 +148,4 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, hot_key: int
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of simhash_groups: that with the least doc_id (rows without id come last), then the least text key. All columns stay, whatever they are called."""
-    groups = simhash_groups(docs, **options)
-    first = groups.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("one"))
-    first = first.select(F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("key"))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("of"), F.xxhash64("text").alias("text_key"))
-    kept = keyed.join(first, keyed.of.eqNullSafe(first.id) & (keyed.text_key == first.key), "left_semi")
-    return kept.dropDuplicates(["of", "text_key"]).select("row.*")
+    return one_of_each(docs, simhash_groups(docs, **options))
