@@ -12,7 +12,7 @@ from catchwork.plans.views import view, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("ingest", "network", "forcing", "loading", "catalogue", "checks", "land", "exports", "evaluate")
+MODULES = ("ingest", "network", "forcing", "loading", "catalogue", "checks", "land", "polygons", "merging", "exports", "evaluate")
 
 
 def query(name: str, *sources: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:

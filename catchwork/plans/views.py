@@ -138,6 +138,31 @@ UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 2) AS BIGINT) FROM part WHERE
 UNION ALL SELECT p_partkey, p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 17 ELSE -17 END FROM part WHERE p_partkey % 17 = 0
 """
 
+# Vertices of features of 3 to 7 corners: every third has a hole, every ninth an island in it, every eleventh is nearly all hole, every seventh crosses itself; even ones run clockwise.
+VIEWS["v_vertex"] = """
+SELECT p_partkey AS feature, ring_no, j AS i,
+       round(p_partkey % 40 * 16 + scale * (5 + (p_partkey * 7 + n * 5) % 9 / 3e0) * cos(2 * pi() * n / m), 6) AS x,
+       round(floor(p_partkey / 40) * 16 + scale * (5 + (p_partkey * 7 + n * 5) % 9 / 3e0) * sin(2 * pi() * n / m), 6) AS y
+FROM (SELECT p_partkey, ring_no, j, m, CASE ring_no WHEN 0 THEN 1e0 WHEN 1 THEN CASE WHEN p_partkey % 11 = 0 THEN 8e-1 ELSE 3e-1 END ELSE 1e-1 END AS scale,
+             CASE WHEN p_partkey % 7 = 6 THEN CASE j % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE j % 4 END WHEN p_partkey % 2 = 0 THEN (m - j) % m ELSE j % m END AS n
+      FROM (SELECT p_partkey, ring_no, j, CASE WHEN p_partkey % 7 = 6 THEN 4 ELSE 3 + p_partkey % 5 END AS m
+            FROM part CROSS JOIN (VALUES (0),(1),(2)) AS r(ring_no) CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS c(j)) a
+      WHERE j <= m AND (ring_no = 0 OR (p_partkey % 7 <> 6 AND ((ring_no = 1 AND (p_partkey % 3 = 0 OR p_partkey % 11 = 0)) OR (ring_no = 2 AND p_partkey % 9 = 0))))) b
+"""
+
+# Points over the features' ground.
+VIEWS["v_spot"] = """
+SELECT o_orderkey AS point_key, round(o_custkey * 37 % 6400 / 1e1 + o_orderkey % 7 * 1e-3, 4) AS x, round(o_orderkey * 13 % 8000 / 1e1 + o_custkey % 11 * 1e-3, 4) AS y FROM orders
+"""
+
+# Ragged cells of pixels, some in more than one piece, over official basins that end at a line.
+VIEWS["v_offer"] = """
+SELECT CAST(floor(o_orderkey / 2500) AS BIGINT) AS aoi_id, o_orderkey % 50 AS ix, CAST(floor((o_orderkey % 2500) / 50) AS BIGINT) AS iy,
+       CAST(floor((o_orderkey % 50 + floor((o_orderkey % 2500) / 50) * 3 % 4) / 9) + 10 * floor((floor((o_orderkey % 2500) / 50) + o_orderkey % 50 * 2 % 3) / 8) AS BIGINT) AS cell,
+       CASE WHEN floor((o_orderkey % 2500) / 50) < 44 THEN CAST(floor((o_orderkey % 50 + floor((o_orderkey % 2500) / 50) % 11 + floor(o_orderkey / 2500) * 3) / 17) + 10 * floor(floor((o_orderkey % 2500) / 50) / 21) AS BIGINT) END AS basin
+FROM orders
+"""
+
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
