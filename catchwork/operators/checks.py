@@ -1,4 +1,4 @@
-"""Checks of catchments: summaries and outliers of each area, by percentile aggregates and joins with one row an area."""
+"""Checks of catchments: summaries and outliers of each area, by percentiles and joins with one row an area."""
 
 from __future__ import annotations
 
@@ -7,16 +7,36 @@ from pyspark.sql import functions as F
 
 from catchwork import constants as k
 from catchwork.operators.grid import inside
+from catchwork.operators.quantiles import percentiles
 
 
 def order_statistic(rows: DataFrame, value: str, by: str, share: float, upper: bool = False) -> DataFrame:
     """(by, q): the value of each group at place share * (n - 1) in ascending order, rounded down, or up. Exact: the interpolated percentile lies between the two values at its sides, so the last one up to it, or the first one from it on, is meant."""
-    p = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.percentile(value, share).alias("_p"))
+    p = percentiles(rows.where(F.col(value).isNotNull()), [by], value, share, "_p")
     near = rows.join(p, by)
     pick = F.min(F.when(F.col(value) >= F.col("_p"), F.col(value))) if upper else F.max(F.when(F.col(value) <= F.col("_p"), F.col(value)))
     return near.groupBy(by).agg(pick.alias("q"))
 
 
+def catchment_checks(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(aoi_id, check, severity, passed, n_bad): an area's catchments without an outlet, with one that is no node, without a positive area, without a polygon (a warning), with hydraulics that are no finite number, and how many names occur more than once.
+
+    catchments: (aoi_id, name, outlet_key, area_ha, has_polygon, pct_imperv), null as missing; nodes: (node_key). Names are compared whole; null names are nobody's.
+    """
+    known = nodes.select(F.col("node_key").alias("outlet_key"), F.lit(True).alias("_known")).distinct()
+    x = catchments.join(known, "outlet_key", "left")
+    finite = F.coalesce(F.abs("pct_imperv") < float("inf"), F.lit(True))
+    rules = {
+        "outlet_present": ("error", F.col("outlet_key").isNull()), "outlet_exists": ("error", F.col("_known").isNull()), "area_positive": ("error", ~F.coalesce(F.col("area_ha") > 0, F.lit(False))),
+        "geometry_absent": ("warning", ~F.coalesce("has_polygon", F.lit(False))), "finite_hydraulics": ("error", ~finite),
+    }
+    counts = x.groupBy("aoi_id").agg(*(F.count_if(bad).alias(name) for name, (_, bad) in rules.items()))
+    twice = catchments.where("name is not null").groupBy("aoi_id", "name").count().where("count > 1").groupBy("aoi_id").agg(F.count("*").alias("unique_ids"))
+    counts = counts.join(twice, "aoi_id", "left").withColumn("unique_ids", F.coalesce("unique_ids", F.lit(0)))
+    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(n).cast("long").alias("n_bad")) for n, s in [*((n, s) for n, (s, _) in rules.items()), ("unique_ids", "error")])))
+    return counts.select("aoi_id", listed.alias("c")).select("aoi_id", "c.check", "c.severity", (F.col("c.n_bad") == 0).alias("passed"), "c.n_bad")
+
+
 def distance_summary(rows: DataFrame, value: str, by: str, warn_m: float = 20.0, error_m: float = 50.0) -> DataFrame:
     """(by, max_m, p95_m, n_20_50, n_over_50): largest distance, 95th percentile (lower of the two values beside it), and how many lie over the two limits."""
     m = F.col(value)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catchwork import constants as k
 from catchwork.frames import written
 from catchwork.operators.components import connected_components
+from catchwork.operators.quantiles import percentiles
 
 PIXEL = ["aoi_id", "ix", "iy"]
 
@@ -90,7 +91,8 @@ def physical_imperviousness(px: DataFrame, by: list[str], evidence: float = 0.02
 def slope_gate(px: DataFrame, posting_m: Column, by: str = "aoi_id") -> DataFrame:
     """(area, median_pct, gate_pct, flat): the median slope of an area's pixels against the gate for its posting; posting_m is a column of px, the same within an area. Pixels without a slope don't count."""
     gate = F.when(F.min(posting_m) < k.FINE_POSTING_M, k.SLOPE_GATE_FINE_PCT).otherwise(k.SLOPE_GATE_PCT)
-    x = px.where("slope_pct is not null").groupBy(by).agg(F.percentile("slope_pct", 0.5).alias("median_pct"), gate.alias("gate_pct"))
+    known = px.where("slope_pct is not null")
+    x = percentiles(known, [by], "slope_pct", 0.5, "median_pct").join(known.groupBy(by).agg(gate.alias("gate_pct")), by)
     return x.withColumn("flat", F.col("median_pct") < F.col("gate_pct"))
 
 
@@ -181,8 +183,6 @@ def flow_directions(px: DataFrame) -> DataFrame:
 
 def grown_labels(px: DataFrame, label: str, rounds: int) -> DataFrame:
     """Unlabelled pixels take the least label beside them, one ring a round."""
-    from catchwork.frames import written
-
     for i in range(rounds):
         have = px.where(F.col(label).isNotNull()).select("aoi_id", F.col("ix").alias("n_ix"), F.col("iy").alias("n_iy"), F.col(label).alias("_l"))
         near = neighbours(px.where(F.col(label).isNull())).join(have, ["aoi_id", "n_ix", "n_iy"]).groupBy(*PIXEL).agg(F.min("_l").alias("_new"))

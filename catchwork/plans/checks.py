@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
 from catchwork.operators import checks
+from catchwork.operators.quantiles import percentiles
 from catchwork.plans.registry import query
 
 
-def result(df: DataFrame, name: str, bad: Column, severity: str = "error", by: list[str] | None = None) -> DataFrame:
-    """One row a group: how many rows are bad."""
-    n = F.count_if(bad)
-    return df.groupBy(*(by or [])).agg(F.lit(name).alias("check"), F.lit(severity).alias("severity"), (n == 0).alias("passed"), n.alias("n_bad"))
-
-
-@query("a22_catchment_checks", "v_catchment", "v_node", sql="""
-WITH b AS (SELECT *, outlet_key NOT IN (SELECT node_key FROM v_node) AS dangling, area_ha <= 1 AS small FROM v_catchment),
-n AS (SELECT count(*) - count(DISTINCT lower(substr(name, 1, 4))) AS k FROM v_catchment)
-SELECT 'outlet_exists' AS check, 'error' AS severity, count(*) FILTER (WHERE dangling) = 0 AS passed, count(*) FILTER (WHERE dangling) AS n_bad FROM b
-UNION ALL SELECT 'area_positive', 'error', count(*) FILTER (WHERE small) = 0, count(*) FILTER (WHERE small) FROM b
-UNION ALL SELECT 'finite_hydraulics', 'error', true, count(*) FILTER (WHERE isnan(pct_imperv)) FROM b
-UNION ALL SELECT 'unique_names', 'error', k = 0, k FROM n""")
+@query("a22_catchment_checks", "v_checked", "v_node", sql="""
+WITH b AS (SELECT c.*, n.node_key IS NULL AS dangling FROM v_checked c LEFT JOIN v_node n ON n.node_key = c.outlet_key),
+twice AS (SELECT aoi_id, count(*) AS k FROM (SELECT aoi_id, name FROM v_checked WHERE name IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY 1),
+c AS (SELECT aoi_id, 'outlet_present' AS check, 'error' AS severity, count(*) FILTER (WHERE outlet_key IS NULL) AS n_bad FROM b GROUP BY 1
+UNION ALL SELECT aoi_id, 'outlet_exists', 'error', count(*) FILTER (WHERE dangling) FROM b GROUP BY 1
+UNION ALL SELECT aoi_id, 'area_positive', 'error', count(*) FILTER (WHERE NOT coalesce(area_ha > 0, false)) FROM b GROUP BY 1
+UNION ALL SELECT aoi_id, 'geometry_absent', 'warning', count(*) FILTER (WHERE NOT has_polygon) FROM b GROUP BY 1
+UNION ALL SELECT aoi_id, 'finite_hydraulics', 'error', count(*) FILTER (WHERE NOT isfinite(pct_imperv)) FROM b GROUP BY 1
+UNION ALL SELECT aoi_id, 'unique_ids', 'error', coalesce(any_value(k), 0) FROM b LEFT JOIN twice USING (aoi_id) GROUP BY 1)
+SELECT *, n_bad = 0 AS passed FROM c""")
 def a22(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
-    known = nodes.select(F.col("node_key").alias("outlet_key"), F.lit(True).alias("ok"))
-    x = catchments.join(known, "outlet_key", "left")
-    rows = [result(x, "outlet_exists", F.col("ok").isNull()), result(x, "area_positive", F.col("area_ha") <= 1), result(x, "finite_hydraulics", F.isnan("pct_imperv"))]
-    short = catchments.withColumn("name", F.lower(F.substring("name", 1, 4))).groupBy("name").count().agg(F.sum(F.col("count") - 1).alias("n_bad"))
-    names = short.select(F.lit("unique_names").alias("check"), F.lit("error").alias("severity"), (F.col("n_bad") == 0).alias("passed"), "n_bad")
-    return reduce(DataFrame.unionByName, [*rows, names])
+    """Checks of an area's catchments that need no geometry but its presence, by whole names."""
+    return checks.catchment_checks(catchments, nodes.select("node_key"))
 
 
 @query("t04_check_samples", "v_catchment", sql="SELECT outlet_key % 5 AS area, array_to_string(list_sort(list(name) FILTER (WHERE area_ha < 2))[1:10], ',') AS sample, count(*) FILTER (WHERE area_ha < 2) AS n_bad FROM v_catchment GROUP BY 1")
@@ -137,8 +129,8 @@ def a26(catchments: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:
     corner = lambda i, j: F.struct(((F.col("gx") + i) * 100.0).alias("x"), ((F.col("gy") + j) * 100.0).alias("y"))
     ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
     areas = nodes.select("aoi_id", gx.alias("gx"), gy.alias("gy"), (1 + (gx + gy + F.col("aoi_id")) % 3).alias("declared")).distinct().select("aoi_id", ring.alias("ring"), "declared")
-    every = nodes.select("aoi_id").distinct().join(F.broadcast(ours.select(F.col("ours").alias("name")).where("name is not null").distinct().withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    outfalls = every.select("aoi_id", "name", (F.col("name") % 13 == 0).alias("synthesised"))
+    named = areas.select("aoi_id", F.col("declared").alias("name")).union(units.select("aoi_id", "ours")).distinct()  # an area's outfalls, so far as anything names them
+    outfalls = named.join(ours.select(F.col("ours").alias("name")), "name", "left_semi").select("aoi_id", "name", (F.col("name") % 13 == 0).alias("synthesised"))
     return checks.agreement_rate(checks.outlet_agreement(units, areas, outfalls))
 
 
@@ -151,7 +143,9 @@ def a31(catchments: DataFrame) -> DataFrame:
 
 @query("a41_delineation_table", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, count(*) AS n_cells, round(median(area_ha), 6) AS median_ha, round(sum(area_ha), 4) AS area_ha, count(*) FILTER (WHERE area_ha < 1) AS n_failing FROM v_catchment GROUP BY 1")
 def a41(catchments: DataFrame) -> DataFrame:
-    return catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.count("*").alias("n_cells"), F.round(F.percentile("area_ha", 0.5), 6).alias("median_ha"), F.round(F.sum("area_ha"), 4).alias("area_ha"), F.count_if(F.col("area_ha") < 1).alias("n_failing"))
+    x = catchments.withColumn("aoi", F.col("outlet_key") % 5)
+    sums = x.groupBy("aoi").agg(F.count("*").alias("n_cells"), F.round(F.sum("area_ha"), 4).alias("area_ha"), F.count_if(F.col("area_ha") < 1).alias("n_failing"))
+    return sums.join(percentiles(x, ["aoi"], "area_ha", 0.5, "median_ha").withColumn("median_ha", F.round("median_ha", 6)), "aoi")
 
 
 @query("a42_model_manifest", "v_tree", "v_catchment", sql="""WITH c AS (SELECT system, count(*) AS n_conduits, count(DISTINCT from_key) AS n_nodes, round(sum(length_m), 3) AS length_m FROM v_tree GROUP BY 1)
@@ -203,6 +197,8 @@ SELECT area, CASE WHEN area % 6 = 0 AND area % 4 <> 0 THEN 'corridor_voronoi' WH
 def g20(catchments: DataFrame) -> DataFrame:
     """The chain for the drainage area of each node; the view states which areas have a corridor, streets and terrain."""
     a = F.col("area")
-    x = catchments.groupBy(F.col("outlet_key").alias("area")).agg(F.avg((F.col("area_ha") < 0.5).cast("int")).alias("noise_share"), (F.percentile("pct_imperv", 0.5) / 20).alias("slope_pct"), F.count("*").alias("n"), F.count_if(F.col("area_ha") < 0.15).alias("n_errors"))
+    x = catchments.groupBy(F.col("outlet_key").alias("area")).agg(F.avg((F.col("area_ha") < 0.5).cast("int")).alias("noise_share"), F.count("*").alias("n"), F.count_if(F.col("area_ha") < 0.15).alias("n_errors"))
+    slopes = percentiles(catchments.withColumn("area", F.col("outlet_key")), ["area"], "pct_imperv", 0.5, "median")
+    x = x.join(slopes, "area").withColumn("slope_pct", F.col("median") / 20)
     x = x.select("*", (a % 6 == 0).alias("corridor"), (a % 4 == 0).alias("streets"), (a % 7 != 0).alias("has_dem"), (a % 11 != 0).alias("overlaps"), F.when(a % 2 == 0, 1.0).otherwise(4.0).alias("gate_pct"), F.when(a % 13 != 0, F.col("n")).otherwise(0).alias("n_cells"))
     return checks.delineation_decisions(x).select("area", "decision")

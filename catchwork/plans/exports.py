@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
-from catchwork.frames import new_path
+from catchwork.frames import new_path, ranked
 from catchwork.operators import grid, ingest
 from catchwork.plans.checks import rises
 from catchwork.plans.registry import query
@@ -190,8 +190,8 @@ def p21(nodes: DataFrame, tree: DataFrame) -> DataFrame:
 @query("p22_export_conduits", "v_raw_pipe", "v_node", sql="SELECT p.file_seq, u.node AS us_node, d.node AS ds_node, substr('123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(least(35, row_number() OVER (PARTITION BY p.up_key, p.dn_key ORDER BY p.file_seq)) AS INT), 1) AS suffix, CAST(p.diameter_mm AS DOUBLE) AS width_mm, round(u.rim_m - 2, 4) AS us_invert, round(d.rim_m - 2, 4) AS ds_invert FROM v_raw_pipe p JOIN v_node u ON u.node_key = p.up_key JOIN v_node d ON d.node_key = p.dn_key")
 def p22(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     u, d = (nodes.select(F.col("node_key").alias(c), F.col("node").alias(f"{s}_node"), F.round(F.col("rim_m") - 2, 4).alias(f"{s}_invert")) for c, s in (("up_key", "us"), ("dn_key", "ds")))
-    n = F.row_number().over(Window.partitionBy("up_key", "dn_key").orderBy("file_seq"))
-    x = pipes.join(u, "up_key").join(d, "dn_key").withColumn("n", F.least(n, F.lit(35)))
+    x = ranked(pipes.select("file_seq", "up_key", "dn_key", "diameter_mm"), [F.col("up_key"), F.col("dn_key")], ["file_seq"], "n")
+    x = x.join(u, "up_key").join(d, "dn_key").withColumn("n", F.least("n", F.lit(35)).cast("int"))
     return x.select("file_seq", "us_node", "ds_node", F.substring(F.lit("123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("n"), F.lit(1)).alias("suffix"), F.col("diameter_mm").cast("double").alias("width_mm"), "us_invert", "ds_invert")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catchwork.functions import values as v
 from catchwork.operators import forcing as op
+from catchwork.operators.quantiles import percentiles
 from catchwork.plans.registry import query
 
 FIRST = """o AS (SELECT climate_id, ts, CASE WHEN precip_raw IS NULL AND flag = 'T' THEN 0 ELSE precip_raw END AS mm FROM (
@@ -239,7 +240,7 @@ SELECT climate_id, median(m) AS step_min, CASE WHEN median(m) < 1440 THEN 'sub-d
 def a33(obs: DataFrame) -> DataFrame:
     x = _first(obs).where("mm is not null")
     gap = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("climate_id").orderBy("ts")))) / 60
-    step = x.select("climate_id", gap.alias("m")).where("m is not null").groupBy("climate_id").agg(F.percentile("m", 0.5).alias("step_min"))
+    step = percentiles(x.select("climate_id", gap.alias("m")).where("m is not null"), ["climate_id"], "m", 0.5, "step_min")
     return step.select("climate_id", "step_min", F.when(F.col("step_min") < 1440, "sub-daily").otherwise("daily").alias("kind"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork.constants import CITY_RULE_SCHEMA, CITY_RULES
+from catchwork.frames import ranked
 from catchwork.functions import values as v
 from catchwork.operators import ingest as op
 from catchwork.plans.registry import query
@@ -162,8 +163,7 @@ def w04(layers: DataFrame) -> DataFrame:
 WITH x AS (SELECT file_seq, up_key, dn_key, row_number() OVER (PARTITION BY up_key, dn_key ORDER BY file_seq) AS k FROM v_raw_pipe)
 SELECT file_seq, up_key, dn_key, substr('123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(least(k, 35) AS INT), 1) AS suffix, k > 35 AS clamped FROM x""")
 def w05(pipes: DataFrame) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("up_key", "dn_key").orderBy("file_seq"))
-    x = pipes.withColumn("k", k)
+    x = ranked(pipes.select("file_seq", "up_key", "dn_key"), [F.col("up_key"), F.col("dn_key")], ["file_seq"], "k")
     pool = F.lit("123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return x.select("file_seq", "up_key", "dn_key", F.substring(pool, F.least("k", F.lit(35)), F.lit(1)).alias("suffix"), (F.col("k") > 35).alias("clamped"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.frames import ranked
 from catchwork.operators import flow
 from catchwork.operators import grid as op
+from catchwork.operators.quantiles import percentiles
 from catchwork.plans.registry import query
 
 CELL = "aoi_id, ix // 10 + 10 * (iy // 10) AS cell"
@@ -68,7 +70,8 @@ def w08(px: DataFrame) -> DataFrame:
 
 @query("a11_zonal_median_slope", "v_px", sql=f"WITH {SLOPE} SELECT {CELL}, round(median(p), 5) AS slope_pct FROM s WHERE p IS NOT NULL GROUP BY ALL")
 def a11(px: DataFrame) -> DataFrame:
-    return _zones(op.slope_pct(px)).where("slope_pct is not null").groupBy(*ZONES).agg(F.round(F.percentile("slope_pct", 0.5), 5).alias("slope_pct"))
+    median = percentiles(_zones(op.slope_pct(px)).where("slope_pct is not null"), ZONES, "slope_pct", 0.5, "slope_pct")
+    return median.withColumn("slope_pct", F.round("slope_pct", 5))
 
 
 @query("a32_slope_gate", "v_px", sql=f"WITH {SLOPE}, t AS (SELECT aoi_id, CASE WHEN aoi_id % 3 = 0 THEN p / 100 ELSE p END AS p, CASE WHEN aoi_id % 2 = 0 THEN 1.0 ELSE 4.0 END::DOUBLE AS gate FROM s WHERE p IS NOT NULL) SELECT aoi_id, round(median(p), 5) AS median_pct, min(gate) AS gate_pct, median(p) < min(gate) AS flat FROM t GROUP BY 1")
@@ -184,12 +187,9 @@ def t07(px: DataFrame) -> DataFrame:
 
 @query("w11_piece_names", "v_px", sql=_reach("landcover IN (1, 2, 3, 4, 5, 6)") + ", n AS (SELECT aoi_id, part, count(*) AS pixels FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY pixels DESC, part) AS i FROM n) SELECT aoi_id, part, 'S_' || aoi_id || CASE WHEN i > 1 THEN '__' || i ELSE '' END AS name FROM r")
 def w11(px: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     parts = op.parts(px.where("landcover in (1, 2, 3, 4, 5, 6)").withColumn("kind", F.lit(1)), "kind")
-    n = parts.groupBy("aoi_id", "part").agg(F.count("*").alias("pixels"))
-    i = F.row_number().over(Window.partitionBy("aoi_id").orderBy(F.desc("pixels"), "part"))
-    return n.withColumn("i", i).select("aoi_id", "part", F.concat(F.lit("S_"), F.col("aoi_id").cast("string"), F.when(F.col("i") > 1, F.concat(F.lit("__"), F.col("i").cast("string"))).otherwise("")).alias("name"))
+    n = parts.groupBy("aoi_id", "part").agg((-F.count("*")).alias("fewer"))
+    return ranked(n, [F.col("aoi_id")], ["fewer", "part"], "i").select("aoi_id", "part", F.concat(F.lit("S_"), F.col("aoi_id").cast("string"), F.when(F.col("i") > 1, F.concat(F.lit("__"), F.col("i").cast("string"))).otherwise("")).alias("name"))
 
 
 EDGE = "e AS (SELECT z.aoi_id, z.cell AS a, q.cell AS b, count(*) AS edges FROM z JOIN z q ON q.aoi_id = z.aoi_id AND abs(q.ix - z.ix) + abs(q.iy - z.iy) = 1 WHERE z.cell <> q.cell GROUP BY ALL)"

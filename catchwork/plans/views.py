@@ -163,6 +163,15 @@ SELECT CAST(floor(o_orderkey / 2500) AS BIGINT) AS aoi_id, o_orderkey % 50 AS ix
 FROM orders
 """
 
+# Catchments with every fault that a check looks for.
+VIEWS["v_checked"] = """
+SELECT CAST(p_partkey % 5 AS BIGINT) AS aoi_id, CASE WHEN p_partkey % 53 <> 0 THEN concat('S_', CAST(p_partkey - CASE WHEN p_partkey % 60 = 0 THEN 5 ELSE 0 END AS STRING)) END AS name,
+       CASE WHEN p_partkey % 31 <> 0 THEN p_partkey % 12 + CASE WHEN p_partkey % 37 = 0 THEN 1000000 ELSE 0 END END AS outlet_key,
+       CASE WHEN p_partkey % 41 = 0 THEN 0e0 WHEN p_partkey % 83 = 0 THEN NULL ELSE p_size / 1e1 END AS area_ha, p_partkey % 43 <> 0 AS has_polygon,
+       CASE WHEN p_partkey % 47 = 0 THEN CAST('NaN' AS DOUBLE) WHEN p_partkey % 97 <> 0 THEN round(p_retailprice % 100, 2) END AS pct_imperv
+FROM part
+"""
+
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
