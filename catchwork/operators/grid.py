@@ -33,17 +33,48 @@ def nearest_within(points: DataFrame, seeds: DataFrame, radius: float, key: str
 
 
 def nearest(points: DataFrame, seeds: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = (), farthest: float = 1e6) -> DataFrame:
-    """As nearest_within, at any distance up to farthest: points without a seed in reach try again with twice the radius. Points without one at all, or of an area without seeds, have null."""
+    """As nearest_within, at any distance up to farthest. Points without a seed in reach go down a pyramid of buckets. Points without a seed at all, or of an area without seeds, have null."""
     head = [*area, key]
     tried = points.join(seeds.select(*area).distinct(), list(area), "left_semi") if area else points
-    done, rest = None, tried
-    while True:
-        found = written(nearest_within(rest, seeds, min(radius, farthest), key, area), "nearest")
-        done = found if done is None else done.unionByName(found)
-        rest = written(rest.join(found.select(*head), head, "left_anti"), "nearest_rest")
-        if radius >= farthest or rest.isEmpty():
-            return points.select(*head).join(done, head, "left")
-        radius *= 2
+    done = written(nearest_within(tried, seeds, min(radius, farthest), key, area), "nearest")
+    rest = written(tried.select(*head, "x", "y").join(done.select(*head), head, "left_anti"), "nearest_rest")
+    if radius < farthest and not rest.isEmpty():
+        done = done.unionByName(written(_descended(rest, seeds, radius, key, area).where(F.col("distance") <= farthest), "nearest"))
+    return points.select(*head).join(done, head, "left")
+
+
+FAN = 4  # buckets of a level along each side of a bucket of the next one
+
+
+def _descended(points: DataFrame, seeds: DataFrame, base: float, key: str, area: tuple[str, ...]) -> DataFrame:
+    """nearest at any distance: each point goes down from its area's largest buckets to small ones, a level a round, and keeps those whose box of seeds may hold the nearest one.
+
+    A bucket's box is that of its seeds, so a point far from dense seeds keeps only the few buckets at their near edge, and meets the seeds of these.
+    """
+    head, at = [*area, key], lambda c: F.floor(F.col(c) / FAN)
+    own = seeds.select(*area, "seed_key", "sx", "sy", F.floor(F.col("sx") / base).alias("bx"), F.floor(F.col("sy") / base).alias("by"))
+    bounds = [F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2")]
+    level = own.groupBy(*area, "bx", "by").agg(F.min("sx").alias("x1"), F.max("sx").alias("x2"), F.min("sy").alias("y1"), F.max("sy").alias("y2"))
+    levels = [written(level, "nearest_level")]
+    while not levels[-1].where("bx not in (-1, 0) or by not in (-1, 0)").isEmpty():  # at most 4 buckets of an area are left in the end
+        up = levels[-1].withColumn("bx", at("bx")).withColumn("by", at("by")).groupBy(*area, "bx", "by").agg(*bounds)
+        levels.append(written(up, "nearest_level"))
+    out = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+    far = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
+    least, most = (F.sqrt(F.pow(f("x", "x1", "x2"), 2) + F.pow(f("y", "y1", "y2"), 2)) for f in (out, far))
+    kept = None
+    for boxes in reversed(levels):
+        if kept is None:
+            one = F.lit(1).alias("_one")
+            met = points.join(boxes, list(area)) if area else points.select("*", one).join(F.broadcast(boxes.select("*", one)), "_one").drop("_one")  # 4 rows
+        else:
+            below = boxes.withColumn("ux", at("bx")).withColumn("uy", at("by"))
+            met = kept.select(*head, "x", "y", F.col("bx").alias("ux"), F.col("by").alias("uy")).join(below, [*area, "ux", "uy"])
+        near = met.withColumn("_near", F.min(most).over(Window.partitionBy(*head)))  # the buckets that a point has kept
+        kept = written(near.where(least <= F.col("_near") * (1 + 1e-12)).select(*head, "x", "y", "bx", "by"), "nearest_kept")
+    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+    best = kept.join(own, [*area, "bx", "by"]).groupBy(*head).agg(F.min(F.struct(d.alias("distance"), "seed_key")).alias("m"))
+    return best.select(*head, F.col("m.seed_key").alias("seed_key"), F.col("m.distance").alias("distance"))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, radius: float, key: str = "point_key", area: tuple[str, ...] = ()) -> DataFrame:
