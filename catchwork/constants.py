@@ -37,6 +37,10 @@ INLET_TIME_MIN, TRAVEL_VELOCITY_MS, C_IMPERVIOUS, C_PERVIOUS = 10.0, 1.0, 0.9, 0
 
 # Gates of climate records.
 HOURLY_COVERAGE, HOURLY_GAP_H, DAILY_COVERAGE, DAILY_GAP_D, MISMATCH_PCT, TRACE_MM = 0.90, 24, 0.90, 3, 15.0, 1.0
+DATUM_PREFERENCE = ("CGVD28", "CGVD2013")
+TIDE_COVERAGE = 0.9
+STATION_TRIES = 40
+COMPLETE = 0.999
 
 # Dry-weather loading.
 LITRES_PER_PERSON_DAY, PERSONS_PER_DWELLING, PERSONS_PER_HA = 280.0, 2.4, 45.0
@@ -103,6 +107,8 @@ METHODS = {
 }
 DECISIONS = ("corridor_frontage", "corridor_voronoi", "no_dem", "no_dem_overlap", "below_slope_gate", "dem_degenerate", "posterior_fallback", "noise_cell_fallback", "dem")
 NOISE_SHARE = 0.5  # over this share of cells under the least size, a delineation is noise
+CELL_OUTSIDE_ERROR = 0.5
+AREA_OUTSIDE_WARNING = 0.02
 INFILTRATION_DRY_DAYS, CURVE_NUMBER_KSAT, DEFAULT_CN = 7.0, 0.5, 61.0
 
 # Validation and capability thresholds.

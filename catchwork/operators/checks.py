@@ -102,3 +102,20 @@ def delineation_decisions(areas: DataFrame) -> DataFrame:
         "below_slope_gate": F.col("slope_pct") < F.col("gate_pct"), "dem_degenerate": F.coalesce("n_cells", F.lit(0)) == 0, "posterior_fallback": F.col("n_errors") > 0,
     }
     return areas.withColumn("decision", F.coalesce(*(F.when(rule, name) for name, rule in rules.items()), F.when(noise, "noise_cell_fallback"), F.lit("dem")))
+
+
+def containment(cells: DataFrame, area: DataFrame, most: float = k.CELL_OUTSIDE_ERROR, share: float = k.AREA_OUTSIDE_WARNING) -> DataFrame:
+    """(aoi_id, n_mostly_outside, outside_fraction, verdict): cells of which more than `most` lies outside their area, and the share of all covered land outside it. cells: (aoi_id, cell, ix, iy); area: (aoi_id, ix, iy)."""
+    inner = area.select("aoi_id", "ix", "iy", F.lit(True).alias("_in")).distinct()
+    x = cells.join(inner, ["aoi_id", "ix", "iy"], "left").withColumn("_out", F.col("_in").isNull())
+    bad = x.groupBy("aoi_id", "cell").agg((F.count_if("_out") > most * F.count("*")).alias("bad")).groupBy("aoi_id").agg(F.count_if("bad").alias("n_mostly_outside"))
+    once = x.groupBy("aoi_id", "ix", "iy").agg(F.bool_or("_out").alias("_out")).groupBy("aoi_id").agg((F.count_if("_out") / F.count("*")).alias("outside_fraction"))
+    verdict = F.when(F.col("n_mostly_outside") > 0, "error").when(F.col("outside_fraction") > share, "warning").otherwise("ok")
+    return bad.join(once, "aoi_id").withColumn("verdict", verdict)
+
+
+def node_coverage(nodes: DataFrame, cells: DataFrame, area: DataFrame) -> DataFrame:
+    """(aoi_id, n_nodes, n_in_area, n_uncovered): an area's nodes, those on its land, and those of them that no cell covers. nodes: (aoi_id, node_key, ix, iy)."""
+    place = ["aoi_id", "ix", "iy"]
+    x = nodes.join(area.select(*place, F.lit(True).alias("_in")).distinct(), place, "left").join(cells.select(*place, F.lit(True).alias("_held")).distinct(), place, "left")
+    return x.groupBy("aoi_id").agg(F.count("*").alias("n_nodes"), F.count("_in").alias("n_in_area"), F.count_if(F.col("_in").isNotNull() & F.col("_held").isNull()).alias("n_uncovered"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchwork import constants as k
 from catchwork.frames import written
 from catchwork.operators.grid import inside
 
-from catchwork import constants as k
-
 
 def traced(value: Column, flag: Column) -> Column:
     """An observed depth; a missing one flagged `T` (trace) is 0."""
@@ -154,3 +153,54 @@ def gauge_days(days: DataFrame, stations: DataFrame, ring: Column, first: str, l
     """days (station_key, day, ...) of the stations (station_key, x, y) that lie in a ring, from the first to the last day."""
     inside_area = stations.where(inside(ring, F.col("x"), F.col("y"))).select("station_key")
     return days.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).join(inside_area, "station_key", "left_semi")
+
+
+def daily_stations(candidates: DataFrame, tries: int = k.STATION_TRIES, complete: float = k.COMPLETE) -> DataFrame:
+    """(aoi_id, climate_id, coverage, inside): the daily stations of each area.
+
+    candidates: (aoi_id, climate_id, inside, rank, coverage, usable), rank by distance from 1. Every usable station inside the area is taken. Only where there is none, the
+    best by coverage, then rank, of the nearest `tries` is; those behind the first usable one that is complete are not looked at.
+    """
+    inner = candidates.where("inside and usable").select("aoi_id", "climate_id", "coverage", F.lit(True).alias("inside"))
+    rest = candidates.where(F.col("usable") & (F.col("rank") <= tries)).join(inner.select("aoi_id").distinct(), "aoi_id", "left_anti")
+    stop = rest.where(F.col("coverage") >= complete).groupBy("aoi_id").agg(F.min("rank").alias("stop"))
+    seen = rest.join(stop, "aoi_id", "left").where("stop is null or rank <= stop")
+    best = seen.groupBy("aoi_id").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "rank", "climate_id")).alias("b"))
+    return inner.unionByName(best.select("aoi_id", F.col("b.climate_id").alias("climate_id"), (-F.col("b.c")).alias("coverage"), F.lit(False).alias("inside")))
+
+
+def hourly_stations(candidates: DataFrame, tries: int = k.STATION_TRIES) -> DataFrame:
+    """(aoi_id, climate_id, tried): the first usable hourly station of each area, those inside first, in the order of their distance, among the first `tries`; areas without one are left out. candidates: (aoi_id, climate_id, inside, rank, usable)."""
+    order = Window.partitionBy("aoi_id").orderBy(F.desc("inside"), "rank")
+    first = candidates.withColumn("tried", F.row_number().over(order)).where(F.col("tried") <= tries)  # each task sends `tries` rows an area at most
+    best = first.where("usable").groupBy("aoi_id").agg(F.min(F.struct("tried", "climate_id")).alias("b"))
+    return best.select("aoi_id", F.col("b.climate_id").alias("climate_id"), F.col("b.tried").alias("tried"))
+
+
+def standard_hours(lon: Column, lat: Column) -> Column:
+    """Hours from UTC to local standard time: by longitude, but for three areas whose legal clock differs."""
+    own = F.when((lon > -59) & (lat > 46.5), -3.5).when((lon > -110.5) & (lon < -101.4) & (lat >= 49) & (lat < 60), -6.0).when((lon > -141.1) & (lon < -123.8) & (lat >= 60), -7.0)
+    return own.otherwise(F.rint(lon / 15))
+
+
+def tide_frames(levels: DataFrame, stations: DataFrame, datums: DataFrame, first: str, last: str) -> tuple[DataFrame, DataFrame]:
+    """Levels of each usable station in local standard time above a geodetic datum, and what was decided: (station_key, local_ts, level_m) and (station_key, datum, offset_m, n_hours, expected, verdict).
+
+    levels: (station_key, file_seq, ts, level_m) hourly, UTC, above chart datum; stations: (station_key, lon, lat); datums: (station_key, code, offset_m). The first known
+    code of the preference counts; a station without one is refused (no_datum), since chart and geodetic levels don't compare. Of overlapping
+    records of one time the first counts. Days from the first to the last are kept; under nine tenths of their hours the station is refused (sparse, or no_data).
+    """
+    names = k.DATUM_PREFERENCE
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("code"))
+    one = datums.where(F.col("code").isin(*names) & F.col("offset_m").isNotNull()).groupBy("station_key").agg(F.min_by(F.struct("code", "offset_m"), order).alias("d"))
+    known = stations.select("station_key", (standard_hours(F.col("lon"), F.col("lat")) * 3600).cast("long").alias("shift")).join(one, "station_key", "left")
+    once = levels.groupBy("station_key", "ts").agg(F.min_by("level_m", "file_seq").alias("level_m"))
+    local = F.timestamp_seconds(F.unix_timestamp("ts") + F.col("shift"))
+    x = once.join(known, "station_key").withColumn("local_ts", local).where((F.to_date("local_ts") >= F.lit(first).cast("date")) & (F.to_date("local_ts") <= F.lit(last).cast("date")))
+    n = x.groupBy("station_key").agg(F.count("*").alias("n_hours"))
+    expected = (F.datediff(F.lit(last).cast("date"), F.lit(first).cast("date")) + 1) * 24
+    said = known.join(n, "station_key", "left").select("station_key", F.col("d.code").alias("datum"), F.col("d.offset_m").alias("offset_m"), F.coalesce("n_hours", F.lit(0)).alias("n_hours"), expected.alias("expected"))
+    verdict = F.when(F.col("datum").isNull(), "no_datum").when(F.col("n_hours") == 0, "no_data").when(F.col("n_hours") < k.TIDE_COVERAGE * F.col("expected"), "sparse").otherwise("ok")
+    said = written(said.withColumn("verdict", verdict), "tide_verdicts")
+    good = said.where("verdict = 'ok'").select("station_key")
+    return x.join(good, "station_key", "left_semi").select("station_key", "local_ts", F.round(F.col("level_m") + F.col("d.offset_m"), 3).alias("level_m")), said

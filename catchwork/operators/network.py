@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
@@ -24,12 +24,12 @@ def node_table(ends: DataFrame, grounds: DataFrame) -> DataFrame:
     return at.join(ground, "node_key", "left").select("node_key", "p.lon", "p.lat", "ground_m")
 
 
-def filled_inverts(nodes: DataFrame, edges: DataFrame, rounds: int = 1) -> DataFrame:
+def filled_inverts(nodes: DataFrame, edges: DataFrame, rounds: int = 1, within: Column | None = None) -> DataFrame:
     """(node_key, invert_m, source, ground_m): published inverts, then tiers: neighbours' least, own ground less 2.5 m, neighbours, terrain less 2.5 m, neighbours, the least of all.
 
     nodes: (node_key, invert_m, ground_m, dem_m); edges: (a, b). A neighbour sweep is synchronous: values found in a round reach
     further nodes in the next one, for `rounds` rounds or until none is found, so the result depends on no order. Terrain that gives an invert is the node's
-    ground too, where it has none. Every round is a written table, so each reads the edges and the state once.
+    ground too, where it has none. within, a column of node_key, tells parts apart whose least counts for each alone. Every round is a written table, so each reads the edges and the state once.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("n", "o").distinct(), "fill_edges")
     state = nodes.select("node_key", "invert_m", "ground_m", "dem_m", F.when(F.col("invert_m").isNotNull(), "data").alias("source"))
@@ -54,8 +54,29 @@ def filled_inverts(nodes: DataFrame, edges: DataFrame, rounds: int = 1) -> DataF
         return written(s.withColumn("ground_m", F.coalesce("ground_m", F.when(F.col("source") == "dem", F.col("dem_m")))), "fill_state")
 
     state = sweep(tier(sweep(tier(sweep(state), "ground_m", "rim")), "dem_m", "dem"))
-    lowest = state.agg(F.coalesce(F.min("invert_m"), F.lit(0.0)).alias("lowest"))
-    return state.join(F.broadcast(lowest)).select("node_key", F.coalesce("invert_m", "lowest").alias("invert_m"), F.coalesce("source", F.lit("global_min")).alias("source"), "ground_m")  # one row
+    if within is None:
+        lowest = state.agg(F.coalesce(F.min("invert_m"), F.lit(0.0)).alias("lowest"))
+        state = state.join(F.broadcast(lowest))  # one row
+    else:
+        state = state.withColumn("_part", within)
+        state = state.join(state.groupBy("_part").agg(F.coalesce(F.min("invert_m"), F.lit(0.0)).alias("lowest")), "_part")
+    return state.select("node_key", F.coalesce("invert_m", "lowest").alias("invert_m"), F.coalesce("source", F.lit("global_min")).alias("source"), "ground_m")
+
+
+def refilled_errors(nodes: DataFrame, edges: DataFrame, folds: int = 5, rounds: int = 1, fold: Column | None = None) -> DataFrame:
+    """(node_key, fold, truth_m, refilled_m, source): each known invert as the tiers fill it when it and the others of its fold are hidden.
+
+    A fold, from 0 to folds - 1, is a hash of the node where none is given. All folds go through one run of filled_inverts: a copy of the network for each, told apart by the key, so nothing is
+    filled from another fold's copy.
+    """
+    fold = fold if fold is not None else F.pmod(F.xxhash64("node_key"), F.lit(folds)).cast("int")
+    copy = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    n = nodes.withColumn("own", fold).withColumn("fold", copy)
+    hidden = n.select(F.struct("fold", "node_key").alias("node_key"), F.when(F.col("own") != F.col("fold"), F.col("invert_m")).alias("invert_m"), "ground_m", "dem_m")
+    e = edges.select("a", "b").withColumn("fold", copy).select(F.struct("fold", F.col("a").alias("node_key")).alias("a"), F.struct("fold", F.col("b").alias("node_key")).alias("b"))
+    filled = filled_inverts(hidden, e, rounds, within=F.col("node_key.fold")).select("node_key.fold", "node_key.node_key", F.col("invert_m").alias("refilled_m"), "source")
+    truth = nodes.where("invert_m is not null").select("node_key", fold.alias("fold"), F.col("invert_m").alias("truth_m"))
+    return truth.join(filled, ["node_key", "fold"]).select("node_key", "fold", "truth_m", "refilled_m", "source")
 
 
 def fill_counts(filled: DataFrame) -> DataFrame:

@@ -79,8 +79,8 @@ def boxes_of(rings: DataFrame) -> DataFrame:
     return each.groupBy("feature").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points (x, y, ...) with every box (x1, y1, x2, y2, ...) that holds them, edges included. Column names are all different.
+def in_boxes(points: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points (*keys, x, y, ...) with every box (*keys, x1, y1, x2, y2, ...) of their keys that holds them, edges included. Other column names are all different.
 
     A box names the squares of its own size, a power of two, that it touches: nine at most. A point names its square of each size that occurs. So
     large and small boxes meet points by one equi-join.
@@ -93,7 +93,7 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     b = b.withColumn("_sx", span("x1", "x2")).withColumn("_sy", span("y1", "y2"))
     p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     p = p.withColumn("_sx", square(F.col("x"), F.col("_level"))).withColumn("_sy", square(F.col("y"), F.col("_level")))
-    return p.join(b, ["_level", "_sx", "_sy"]).where("x between x1 and x2 and y between y1 and y2").drop("_level", "_sx", "_sy")
+    return p.join(b, [*keys, "_level", "_sx", "_sy"]).where("x between x1 and x2 and y between y1 and y2").drop("_level", "_sx", "_sy")
 
 
 def points_inside(points: DataFrame, rings: DataFrame, band: float) -> DataFrame:
@@ -135,3 +135,21 @@ def without_remainders(found: DataFrame, most: float = 0.5) -> DataFrame:
     shells = F.sum(F.when(~F.col("hole"), F.col("size")))
     holes = F.coalesce(F.sum(F.when(F.col("hole"), F.col("size"))), F.lit(0.0))
     return found.groupBy("feature").agg(shells.alias("s"), holes.alias("h")).where(F.col("h") <= most * F.col("s")).select("feature")
+
+
+def largest_extents(layers: DataFrame) -> DataFrame:
+    """(city_key, system, x1, y1, x2, y2): the largest box among an area's layers, the least layer_id of equals. layers: (city_key, system, layer_id, x1, y1, x2, y2), null where a layer states none."""
+    size = F.abs((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    best = layers.where(size.isNotNull()).groupBy("city_key", "system").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct(size, -F.col("layer_id"))).alias("b"))
+    return best.select("city_key", "system", "b.x1", "b.y1", "b.x2", "b.y2")
+
+
+def scoped_counts(layers: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(city_key, system, n_city_wide, n_features, scoped): anchors of a city's system, all of them and those within the largest extent of its area layers. Without an extent all count, and scoped is false, so that a missing bound shows. anchors: (city_key, system, x, y)."""
+    key = ("city_key", "system")
+    extents = written(largest_extents(layers), "extents")
+    inner = in_boxes(anchors.select(*key, "x", "y"), extents, key).groupBy(*key).agg(F.count("*").alias("inside"))
+    every = anchors.groupBy(*key).agg(F.count("*").alias("n_city_wide"))
+    x = every.join(extents.select(*key, F.lit(True).alias("has")), list(key), "left").join(inner, list(key), "left")
+    scoped = F.coalesce("has", F.lit(False))
+    return x.select(*key, "n_city_wide", F.when(scoped, F.coalesce("inside", F.lit(0))).otherwise(F.col("n_city_wide")).alias("n_features"), scoped.alias("scoped"))

@@ -202,3 +202,30 @@ def g20(catchments: DataFrame) -> DataFrame:
     x = x.join(slopes, "area").withColumn("slope_pct", F.col("median") / 20)
     x = x.select("*", (a % 6 == 0).alias("corridor"), (a % 4 == 0).alias("streets"), (a % 7 != 0).alias("has_dem"), (a % 11 != 0).alias("overlaps"), F.when(a % 2 == 0, 1.0).otherwise(4.0).alias("gate_pct"), F.when(a % 13 != 0, F.col("n")).otherwise(0).alias("n_cells"))
     return checks.delineation_decisions(x).select("area", "decision")
+
+
+COVER = """c AS (SELECT aoi_id, cell, ix, iy FROM v_offer WHERE (ix + iy * 3) % 41 <> 0 UNION ALL SELECT aoi_id, 900 + aoi_id, 60 + ix, iy FROM v_offer WHERE ix < 3 AND iy < 4 AND aoi_id % 2 = 0),
+a AS (SELECT aoi_id, ix, iy FROM v_offer WHERE ix < 49 - aoi_id % 3 * 5)"""
+
+
+def _covered(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    aoi = F.col("aoi_id")
+    cells = px.where("(ix + iy * 3) % 41 <> 0").select("aoi_id", "cell", "ix", "iy").union(px.where("ix < 3 and iy < 4 and aoi_id % 2 = 0").select("aoi_id", 900 + aoi, 60 + F.col("ix"), "iy"))
+    return cells, px.where(F.col("ix") < 49 - aoi % 3 * 5).select("aoi_id", "ix", "iy")
+
+
+@query("a19_containment", "v_offer", sql=f"""WITH {COVER}, x AS (SELECT c.*, a.ix IS NULL AS outside FROM c LEFT JOIN a USING (aoi_id, ix, iy)),
+b AS (SELECT aoi_id, count(*) FILTER (WHERE bad) AS n_mostly_outside FROM (SELECT aoi_id, cell, count(*) FILTER (WHERE outside) > 0.5 * count(*) AS bad FROM x GROUP BY ALL) GROUP BY 1),
+f AS (SELECT aoi_id, count(*) FILTER (WHERE outside) / count(*)::DOUBLE AS outside_fraction FROM (SELECT DISTINCT aoi_id, ix, iy, outside FROM x) GROUP BY 1)
+SELECT aoi_id, n_mostly_outside, round(outside_fraction, 6) AS outside_fraction, CASE WHEN n_mostly_outside > 0 THEN 'error' WHEN outside_fraction > 0.02 THEN 'warning' ELSE 'ok' END AS verdict FROM b JOIN f USING (aoi_id)""")
+def a19_containment(px: DataFrame) -> DataFrame:
+    """Cells that lie mostly outside their area, and the share of all covered land that does."""
+    return checks.containment(*_covered(px)).withColumn("outside_fraction", F.round("outside_fraction", 6))
+
+
+@query("a19_node_coverage", "v_offer", "v_node", sql=f"""WITH {COVER}, n AS (SELECT aoi_id, node_key, node_key * 7 % 60 AS ix, node_key * 11 % 50 AS iy FROM v_node)
+SELECT n.aoi_id, count(*) AS n_nodes, count(a.ix) AS n_in_area, count(*) FILTER (WHERE a.ix IS NOT NULL AND c.ix IS NULL) AS n_uncovered FROM n LEFT JOIN a USING (aoi_id, ix, iy) LEFT JOIN (SELECT DISTINCT aoi_id, ix, iy FROM c) c USING (aoi_id, ix, iy) GROUP BY 1""")
+def a19_nodes(px: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes on an area's land that no cell covers; nodes beyond it are not judged."""
+    at = nodes.select("aoi_id", "node_key", (F.col("node_key") * 7 % 60).alias("ix"), (F.col("node_key") * 11 % 50).alias("iy"))
+    return checks.node_coverage(at, *_covered(px))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchwork import constants as k
 from catchwork.functions import values as v
 from catchwork.operators import forcing as op
 from catchwork.operators.quantiles import percentiles
@@ -136,6 +137,72 @@ def t02(obs: DataFrame) -> DataFrame:
     return x.agg(F.min(F.struct("climate_id", "n_missing")).alias("b")).where("b is not null").select("b.*")
 
 
+PLACES = """p AS (SELECT n_nationkey AS aoi_id, n_nationkey % 5 * 2e0 AS x, floor(n_nationkey / 5) * 1e0 AS y, n_nationkey % 3 * 1e0 AS reach FROM nation),
+cand AS (SELECT p.aoi_id, c.climate_id, c.coverage, c.max_gap, abs(CAST(substr(climate_id, 3) AS INT) * 2 - x) <= reach AND y < 3 AS inside,
+         row_number() OVER (PARTITION BY p.aoi_id ORDER BY pow(CAST(substr(climate_id, 3) AS INT) * 2 - x, 2) + pow(1 - y, 2), climate_id) AS rank FROM p, comp c)"""
+
+
+def _candidates(nation: DataFrame, found: DataFrame) -> DataFrame:
+    """Stations of each area by distance: a station a place along a line, areas beside it, some of which hold stations. Both are few."""
+    key = F.col("n_nationkey")
+    areas = nation.select(key.cast("long").alias("aoi_id"), (key % 5 * 2.0).alias("x"), F.floor(key / 5).cast("double").alias("y"), (key % 3 * 1.0).alias("reach"))
+    at = F.substring("climate_id", 3, 10).cast("int") * 2.0
+    near = op.ranked_stations(areas, found.select(F.col("climate_id").alias("station_key"), at.alias("lon"), F.lit(1.0).alias("lat")), k.STATION_TRIES, F.sqrt(F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)), 1.0, 1.0, 4.0)
+    x = near.withColumnRenamed("station_key", "climate_id").join(areas, "aoi_id").join(found, "climate_id")
+    return x.withColumn("inside", (F.abs(at - F.col("x")) <= F.col("reach")) & (F.col("y") < 3))
+
+
+@query("t01_stations_of_areas", "nation", "v_obs_hourly", sql="WITH " + DAYS + f""", {PLACES}, u AS (SELECT * FROM cand WHERE max_gap <= 10 AND coverage >= 0.3),
+own AS (SELECT * FROM u WHERE inside), rest AS (SELECT * FROM u ANTI JOIN own USING (aoi_id) WHERE rank <= 40), st AS (SELECT aoi_id, min(rank) AS stop FROM rest WHERE coverage >= 0.999 GROUP BY 1)
+SELECT aoi_id, climate_id, round(coverage, 6) AS coverage, true AS inside FROM own UNION ALL
+(SELECT aoi_id, climate_id, round(coverage, 6), false FROM rest LEFT JOIN st USING (aoi_id) WHERE stop IS NULL OR rank <= stop QUALIFY row_number() OVER (PARTITION BY aoi_id ORDER BY coverage DESC, rank) = 1)""")
+def t01_areas(nation: DataFrame, obs: DataFrame) -> DataFrame:
+    """Daily stations of each area: all usable ones inside it, else the best of the nearest."""
+    found = op.completeness(_daily(obs), "climate_id", "day", "mm").withColumn("usable", op.daily_usable(0.3, 10))
+    return op.daily_stations(_candidates(nation, found)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("t02_station_of_areas", "nation", "v_obs_hourly", sql="WITH " + AXIS + f""", {PLACES}, o2 AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY inside DESC, rank) AS tried FROM cand)
+SELECT aoi_id, climate_id, CAST(tried AS INTEGER) AS tried FROM o2 WHERE tried <= 40 AND coverage >= 0.3 AND max_gap <= 48 QUALIFY row_number() OVER (PARTITION BY aoi_id ORDER BY tried) = 1""")
+def t02_areas(nation: DataFrame, obs: DataFrame) -> DataFrame:
+    """The first usable hourly station of each area, those inside it first."""
+    found = op.completeness(_hours(obs), "climate_id", "ts", "mm").withColumn("usable", op.hourly_usable(0.3, 48))
+    return op.hourly_stations(_candidates(nation, found))
+
+
+TIDES = """ev AS (SELECT *, CASE WHEN user_id % 20 < 12 THEN user_id % 3 ELSE user_id % 20 END AS station_key FROM events),
+st AS (SELECT DISTINCT station_key, -140 + station_key * 4::DOUBLE AS lon, 46 + station_key::DOUBLE AS lat FROM ev),
+lv AS (SELECT station_key, event_id AS file_seq, date_trunc('hour', ts) AS ts, round(value / 100, 3) AS level_m FROM ev WHERE station_key <> 17),
+one AS (SELECT station_key, ts, min_by(level_m, file_seq) AS level_m FROM lv GROUP BY ALL),
+kn AS (SELECT *, CASE WHEN lon > -59 AND lat > 46.5 THEN -3.5 WHEN lon > -110.5 AND lon < -101.4 AND lat >= 49 AND lat < 60 THEN -6 WHEN lon > -141.1 AND lon < -123.8 AND lat >= 60 THEN -7 ELSE round_even(lon / 15, 0) END AS h,
+       CASE WHEN station_key % 4 = 1 THEN 'CGVD2013' WHEN station_key % 4 <> 3 THEN 'CGVD28' END AS datum, CASE WHEN station_key % 4 = 1 THEN -0.5 WHEN station_key % 4 <> 3 THEN -1.87 END::DOUBLE AS offset_m FROM st),
+x AS (SELECT kn.*, level_m, ts + INTERVAL (CAST(h * 3600 AS BIGINT)) SECOND AS local_ts FROM one JOIN kn USING (station_key)),
+y AS (SELECT * FROM x WHERE CAST(local_ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-12'),
+vd AS (SELECT kn.station_key, datum, offset_m, coalesce(n, 0) AS n_hours, 240 AS expected, CASE WHEN datum IS NULL THEN 'no_datum' WHEN coalesce(n, 0) = 0 THEN 'no_data' WHEN n < 0.9 * 240 THEN 'sparse' ELSE 'ok' END AS verdict
+       FROM kn LEFT JOIN (SELECT station_key, count(*) AS n FROM y GROUP BY 1) USING (station_key))"""
+
+
+def _tides(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    s = F.when(F.col("user_id") % 20 < 12, F.col("user_id") % 3).otherwise(F.col("user_id") % 20)
+    stations = events.select(s.alias("station_key")).distinct().select("station_key", (-140 + F.col("station_key") * 4.0).alias("lon"), (46.0 + F.col("station_key")).alias("lat"))
+    levels = events.where(s != 17).select(s.alias("station_key"), F.col("event_id").alias("file_seq"), F.date_trunc("hour", "ts").alias("ts"), F.round(F.col("value") / 100, 3).alias("level_m"))
+    kind = F.col("station_key") % 4
+    codes = F.explode(F.array(*(F.struct(F.lit(c).alias("code"), o.alias("offset_m")) for c, o in (("CGVD2013", F.lit(-0.5)), ("CGVD28", F.when(kind != 1, -1.87)), ("IGLD", F.lit(3.0))))))
+    datums = stations.select("station_key", codes.alias("d")).select("station_key", "d.code", "d.offset_m").where(~((F.col("station_key") % 4 == 3) & F.col("code").startswith("CGVD")))
+    return op.tide_frames(levels, stations, datums, "2024-01-03", "2024-01-12")
+
+
+@query("m15_tide_levels", "events", sql=f"WITH {TIDES} SELECT station_key, local_ts, round(level_m + y.offset_m, 3) AS level_m FROM y JOIN vd USING (station_key) WHERE verdict = 'ok'")
+def m15_levels(events: DataFrame) -> DataFrame:
+    """Hourly levels in local standard time above the preferred datum, of the stations whose record is whole enough."""
+    return _tides(events)[0]
+
+
+@query("m15_tide_verdicts", "events", sql=f"WITH {TIDES} SELECT * FROM vd")
+def m15_verdicts(events: DataFrame) -> DataFrame:
+    return _tides(events)[1]
+
+
 WEATHER = "SELECT day, 49::DOUBLE AS lat, CAST(extract(doy FROM day) AS INT) AS doy, (extract(doy FROM day) % 25) - 8::DOUBLE AS tmin, (extract(doy FROM day) % 25) - 8 + obs_cms / 100 AS tmax, CASE WHEN extract(doy FROM day) % 3 = 0 THEN obs_cms / 50 - 2 END AS tmean FROM v_flow_obs"
 
 

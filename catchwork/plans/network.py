@@ -31,8 +31,8 @@ def _nodes_of(p: DataFrame) -> DataFrame:
     return e.groupBy("node_key").agg(F.min("i").alias("invert_m"), F.max("rim_m").alias("ground_m"), F.max("dem_m").alias("dem_m"))
 
 
-def _fill_sql() -> str:
-    """The tiers as SQL, a step a table: neighbour rounds, rim, rounds, terrain, rounds."""
+def _fill_sql(folds: int = 0) -> str:
+    """The tiers as SQL, a step a table: neighbour rounds, rim, rounds, terrain, rounds. With folds there is a copy of the network for each, in which its inverts (keys by remainder) are hidden; a copy's keys are key * folds + fold."""
     steps, at = [], 0
 
     def sweeps() -> None:
@@ -53,9 +53,12 @@ def _fill_sql() -> str:
     sweeps()
     tier("d", "dem")
     sweeps()
-    return f"""WITH {CLEAN}, h AS (SELECT a AS n, b AS o, inv_a AS i, rim_m, dem_m FROM pp UNION ALL SELECT b, a, inv_b, NULL, NULL FROM pp), e AS (SELECT DISTINCT n, o FROM h),
-t0 AS (SELECT n, max(rim_m) AS g, max(dem_m) AS d, min(i) AS i, CASE WHEN min(i) IS NOT NULL THEN 'data' END AS s FROM h GROUP BY n),
-{", ".join(steps)}, filled AS (SELECT n AS node_key, coalesce(i, (SELECT min(i) FROM t{at}), 0) AS invert_m, coalesce(s, 'global_min') AS source, g AS ground_m FROM t{at}) """
+    plain = f"""WITH {CLEAN}, h AS (SELECT a AS n, b AS o, inv_a AS i, rim_m, dem_m FROM pp UNION ALL SELECT b, a, inv_b, NULL, NULL FROM pp), {"e1" if folds else "e"} AS (SELECT DISTINCT n, o FROM h),
+{"truth" if folds else "t0"} AS (SELECT n, max(rim_m) AS g, max(dem_m) AS d, min(i) AS i, CASE WHEN min(i) IS NOT NULL THEN 'data' END AS s FROM h GROUP BY n), """
+    copies = f"""f AS (SELECT unnest(range(0, {folds})) AS f), e AS (SELECT n * {folds} + f AS n, o * {folds} + f AS o FROM e1, f),
+t0 AS (SELECT n * {folds} + f AS n, g, d, CASE WHEN n % {folds} <> f THEN i END AS i, CASE WHEN n % {folds} <> f THEN s END AS s FROM truth, f), """
+    least = f"SELECT min(x.i) FROM t{at} x" + (f" WHERE x.n % {folds} = t.n % {folds}" if folds else "")
+    return plain + (copies if folds else "") + f"""{", ".join(steps)}, filled AS (SELECT n AS node_key, coalesce(i, ({least}), 0) AS invert_m, coalesce(s, 'global_min') AS source, g AS ground_m FROM t{at} t) """
 
 
 @query("n01_snap_ends", "v_raw_pipe", "v_node", sql="""
@@ -88,6 +91,15 @@ def n03_counts(pipes: DataFrame) -> DataFrame:
     return op.fill_counts(op.filled_inverts(_nodes_of(p), p, SWEEPS))
 
 
+@query("a37_refilled_errors", "v_reach", sql=_fill_sql(5) + """SELECT CAST(t.n // 10 % 5 AS BIGINT) AS aoi_id, f.source, count(*) AS n_hidden, round(avg(abs(f.invert_m - t.i)), 4) AS mae_m
+FROM truth t JOIN filled f ON f.node_key = t.n * 5 + t.n % 5 WHERE t.i IS NOT NULL GROUP BY ALL""")
+def a37_refilled(pipes: DataFrame) -> DataFrame:
+    """The typical error of filled inverts by area and tier: a fifth of the known ones at a time is hidden, and the tiers fill it again."""
+    p = _clean(pipes)
+    x = op.refilled_errors(_nodes_of(p), p, 5, SWEEPS, (F.col("node_key") % 5).cast("int"))
+    return x.groupBy((F.floor(F.col("node_key") / 10) % 5).alias("aoi_id"), "source").agg(F.count("*").alias("n_hidden"), F.round(F.avg(F.abs(F.col("refilled_m") - F.col("truth_m"))), 4).alias("mae_m"))
+
+
 @query("n04_components", "v_tree", sql=WALK + " SELECT node, min(reached) AS component FROM walk GROUP BY node")
 def n04(tree: DataFrame) -> DataFrame:
     return connected_components(tree, "from_key", "to_key")

@@ -73,3 +73,19 @@ SELECT feature, count(*) AS n_crossings FROM s WHERE a < 0 AND b < 0 GROUP BY 1"
 def crossings(vertices: DataFrame) -> DataFrame:
     """Features with edges that cross, within a ring or between two."""
     return op.crossing_pairs(op.rings_of(vertices), 4.0)
+
+
+SCOPE = """l AS (SELECT p_partkey % 25 AS city_key, CASE WHEN p_partkey % 2 = 0 THEN 'storm' ELSE 'sanitary' END AS system, p_partkey AS layer_id, x, y, CASE WHEN p_partkey % 25 <> 4 THEN x + p_size * 4 END AS x2, y + p_size * 3 AS y2 FROM (SELECT *, p_partkey * 7 % 500::DOUBLE AS x, p_partkey * 3 % 400::DOUBLE AS y FROM part) WHERE p_partkey % 6 IN (0, 1)),
+an AS (SELECT o_orderkey % 25 AS city_key, CASE WHEN o_custkey % 2 = 0 THEN 'storm' ELSE 'sanitary' END AS system, o_custkey * 37 % 6400 / 10::DOUBLE AS x, o_orderkey * 13 % 8000 / 16::DOUBLE AS y FROM orders)"""
+
+
+@query("a30_scoped_anchors", "part", "orders", sql=f"""WITH {SCOPE}, b AS (SELECT * FROM l WHERE x2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY city_key, system ORDER BY (x2 - x) * (y2 - y) DESC, layer_id) = 1)
+SELECT an.city_key, an.system, count(*) AS n_city_wide, count(*) FILTER (WHERE b.x IS NULL OR (an.x BETWEEN b.x AND b.x2 AND an.y BETWEEN b.y AND b.y2)) AS n_features, bool_or(b.x IS NOT NULL) AS scoped
+FROM an LEFT JOIN b USING (city_key, system) GROUP BY ALL""")
+def scoped_anchors(part: DataFrame, orders: DataFrame) -> DataFrame:
+    """Anchors of each city's system within the largest extent of its area layers, and city-wide where no layer states one."""
+    key, side = F.col("p_partkey"), lambda c: F.when(c % 2 == 0, "storm").otherwise("sanitary")
+    x, y = (key * 7 % 500).cast("double"), (key * 3 % 400).cast("double")
+    layers = part.where("p_partkey % 6 in (0, 1)").select((key % 25).alias("city_key"), side(key).alias("system"), key.alias("layer_id"), x.alias("x1"), y.alias("y1"), F.when(key % 25 != 4, x + F.col("p_size") * 4).alias("x2"), (y + F.col("p_size") * 3).alias("y2"))
+    anchors = orders.select((F.col("o_orderkey") % 25).alias("city_key"), side(F.col("o_custkey")).alias("system"), (F.col("o_custkey") * 37 % 6400 / 10).alias("x"), (F.col("o_orderkey") * 13 % 8000 / 16).alias("y"))
+    return op.scoped_counts(layers, anchors)
