@@ -239,14 +239,14 @@ def _scores(row: np.ndarray, at: np.ndarray, w: np.ndarray, bias: np.ndarray, n:
     return np.stack([np.bincount(row, w[at, c], minlength=n) for c in range(w.shape[1])], axis=1) + bias
 
 
-def fit(docs: DataFrame, sample: int = 300, most: int = 1500, longest: int = 2000, seed: int = 13, rounds: int = 250) -> Model:
+def fit(docs: DataFrame, sample: int = 300, most: int = 1500, longest: int = 2000, seed: int = 13, rounds: int = 250, try_new: bool = False) -> Model:
     """Softmax regression over the families and an unknown class.
 
     Positives are variants of the templates. Negatives are the fixed other sentences and at most `most` spans, none over `longest`
     bytes, of the `sample` documents whose ids have the least hash, without those that hold a licence word. A fifth is held out
-    from a first fit, which sets the temperature that calibrates probabilities and measures accuracy. The report also has
-    `new_templates`: the accuracy on the last template of each family with three or more, when no variant of it is in the training rows. The final
-    weights come from all rows.
+    from a first fit, which sets the temperature that calibrates probabilities and measures accuracy. The final weights come from
+    all rows. With try_new, which costs a fit more, the report also has `new_templates`: the accuracy on the last template of each family with
+    three or more, when no variant of it is in the training rows.
     """
     r = np.random.default_rng(seed)
     negatives = negative_spans(docs, sample, most, longest, seed)
@@ -282,7 +282,8 @@ def fit(docs: DataFrame, sample: int = 300, most: int = 1500, longest: int = 200
             best = loss, float(heat)
     guess = z.argmax(axis=1)
     report = {"rows": n, "held_out": int(held.sum()), "accuracy": float((guess == y[held]).mean()), "unknown_kept": float((guess == y[held])[y[held] == unknown].mean())}
-    report["new_templates"] = float((without(new).argmax(axis=1) == y[new]).mean())
+    if try_new:
+        report["new_templates"] = float((without(new).argmax(axis=1) == y[new]).mean())
     w, bias = _regression(row, at, y, size, rounds)
     w[np.abs(w) < 1e-3] = 0
     return Model(words, codes, w.astype(np.float32), bias, best[1], report)

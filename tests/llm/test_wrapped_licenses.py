@@ -26,7 +26,7 @@ met:"""
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), try_new=True)
 
 
 def test_wrapped_notices(spark, model):
