@@ -12,6 +12,7 @@ from catchwork.plans.views import view, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SOURCES: dict[str, tuple[str, ...]] = {}
 MODULES = ("ingest", "network", "forcing", "loading", "catalogue", "checks", "land", "polygons", "merging", "exports", "evaluate")
 
 
@@ -19,6 +20,7 @@ def query(name: str, *sources: str, sql: str | None = None) -> Callable[[Callabl
     """Registers a function of the named views' DataFrames as a query."""
 
     def keep(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        SOURCES[name] = sources
         QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, s) for s in sources))
         if sql:
             ORACLES[name] = with_views(sql)
