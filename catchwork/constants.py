@@ -38,6 +38,7 @@ INLET_TIME_MIN, TRAVEL_VELOCITY_MS, C_IMPERVIOUS, C_PERVIOUS = 10.0, 1.0, 0.9, 0
 # Gates of climate records.
 HOURLY_COVERAGE, HOURLY_GAP_H, DAILY_COVERAGE, DAILY_GAP_D, MISMATCH_PCT, TRACE_MM = 0.90, 24, 0.90, 3, 15.0, 1.0
 DATUM_PREFERENCE = ("CGVD28", "CGVD2013")
+FRAMES = ("CRS84", "EPSG::4326", "EPSG:4326")
 TIDE_COVERAGE = 0.9
 STATION_TRIES = 40
 COMPLETE = 0.999

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
-from catchwork.frames import written
+from catchwork.frames import discard, written
 from catchwork.operators.components import connected_components
 from catchwork.operators.quantiles import percentiles
 
@@ -221,6 +221,30 @@ def grown_labels(px: DataFrame, label: str, rounds: int) -> DataFrame:
     return px
 
 
+def absorbed(px: DataFrame, label: str, seeds: DataFrame) -> DataFrame:
+    """px with every pixel labelled: labels grow over unlabelled pixels, a ring of eight neighbours a round and the least label first, until none grows; what is left takes its area's nearest seed. seeds: (aoi_id, seed_key, sx, sy), seed_key a label.
+
+    Growing keeps a label's land together. A round joins the last ring only. Areas without seeds keep nulls where no label reaches.
+    """
+    known = written(px.where(F.col(label).isNotNull()).select(*PIXEL, label), "absorbed_known")
+    rest = written(px.where(F.col(label).isNull()).select(*PIXEL), "absorbed_rest")
+    ring = known
+    while True:
+        near = neighbours(ring, diagonal=True).select("aoi_id", F.col("n_ix").alias("ix"), F.col("n_iy").alias("iy"), label)
+        new = written(near.join(rest, PIXEL, "left_semi").groupBy(*PIXEL).agg(F.min(label).alias(label)), "absorbed_ring")
+        if new.isEmpty():
+            break
+        old = known, rest
+        known = written(known.unionByName(new), "absorbed_known")
+        rest = written(rest.join(new.select(*PIXEL), PIXEL, "left_anti"), "absorbed_rest")
+        discard(*old, *([ring] if ring is not old[0] else []))
+        ring = new
+    own = pixel_id(F.col("ix"), F.col("iy"), F.lit(0)).alias("point_key")
+    points = rest.select(*PIXEL, own, F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
+    far = nearest(points.select("aoi_id", "point_key", "x", "y"), seeds, 8.0, area=("aoi_id",)).select("aoi_id", "point_key", F.col("seed_key").alias(label))
+    return known.unionByName(points.join(far, ["aoi_id", "point_key"]).select(*PIXEL, label))
+
+
 # Rings: arrays of structs (x, y), first and last equal.
 
 

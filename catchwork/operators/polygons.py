@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catchwork import constants as k
 from catchwork.frames import written
 from catchwork.operators.grid import ring_area, ring_centroid, ring_perimeter
 
@@ -153,3 +154,24 @@ def scoped_counts(layers: DataFrame, anchors: DataFrame) -> DataFrame:
     x = every.join(extents.select(*key, F.lit(True).alias("has")), list(key), "left").join(inner, list(key), "left")
     scoped = F.coalesce("has", F.lit(False))
     return x.select(*key, "n_city_wide", F.when(scoped, F.coalesce("inside", F.lit(0))).otherwise(F.col("n_city_wide")).alias("n_features"), scoped.alias("scoped"))
+
+
+def oriented_rings(found: DataFrame) -> DataFrame:
+    """The rings of nested in canonical order: shells anticlockwise, holes clockwise."""
+    backward = (ring_area(F.col("ring")) < 0) != F.col("hole")
+    return found.withColumn("ring", F.when(backward, F.reverse("ring")).otherwise(F.col("ring")))
+
+
+def area_checks(areas: DataFrame, rings: DataFrame, cell: float, most: float) -> DataFrame:
+    """(area_id, area, west, south, east, north, verdict): what an area of one or several features covers, each place once, its box to 6 decimals, and the first thing wrong with it: unsupported_frame, no_area, too_large, or ok.
+
+    areas: (area_id, frame), frame null or the name of longitude and latitude; rings: (area_id, feature, ring_no, ring), feature unique among all areas. Features that overlap are
+    dissolved as pixels of size cell; most bounds the area.
+    """
+    of = rings.select("feature", "area_id").distinct()
+    covered = filled(rings, cell).join(of, "feature").select("area_id", "ix", "iy").distinct().groupBy("area_id").agg((F.count("*") * cell * cell).alias("area"))
+    box = boxes_of(rings.withColumn("feature", F.col("area_id"))).select(F.col("feature").alias("area_id"), *(F.round(a, 6).alias(b) for a, b in (("x1", "west"), ("y1", "south"), ("x2", "east"), ("y2", "north"))))
+    known = F.col("frame").isNull() | F.exists(F.array(*map(F.lit, k.FRAMES)), lambda n: F.contains(F.col("frame"), n))
+    x = areas.join(covered, "area_id", "left").join(box, "area_id", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
+    verdict = F.when(~known, "unsupported_frame").when(F.col("area") == 0, "no_area").when(F.col("area") > most, "too_large").otherwise("ok")
+    return x.select("area_id", "area", "west", "south", "east", "north", verdict.alias("verdict"))

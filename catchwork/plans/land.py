@@ -282,6 +282,14 @@ def g17_lengths(px: DataFrame) -> DataFrame:
     return flow.flow_lengths(_basins(px)).withColumn("flow_m", F.round("flow_m", 6))
 
 
+@query("g18_absorbed_land", "v_px")
+def g18_absorbed(px: DataFrame) -> DataFrame:
+    """Land that drains past every pour point goes to the basins beside it, ring by ring, and pockets to the nearest pour point. A recursive query can't take the least of a ring, so there is no SQL; a test holds the operator against the plain rule."""
+    found = _basins(px.where("landcover <> 18"))
+    seeds = px.where("ix % 9 = 4 and iy % 9 = 4").select("aoi_id", (F.col("iy") * 1000 + F.col("ix")).alias("seed_key"), F.col("ix").cast("double").alias("sx"), F.col("iy").cast("double").alias("sy"))
+    return op.absorbed(found, "label", seeds).groupBy("aoi_id", "label").agg(F.count("*").alias("pixels"))
+
+
 @query("g18_grown_labels", "v_px", sql="""WITH l0 AS (SELECT aoi_id, ix, iy, CASE WHEN landcover = 1 THEN ix * 100 + iy END AS lab FROM v_px),
 l1 AS (SELECT p.aoi_id, p.ix, p.iy, coalesce(any_value(p.lab), min(q.lab)) AS lab FROM l0 p LEFT JOIN l0 q ON p.lab IS NULL AND q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) + abs(q.iy - p.iy) = 1 GROUP BY ALL),
 l2 AS (SELECT p.aoi_id, p.ix, p.iy, coalesce(any_value(p.lab), min(q.lab)) AS lab FROM l1 p LEFT JOIN l1 q ON p.lab IS NULL AND q.aoi_id = p.aoi_id AND abs(q.ix - p.ix) + abs(q.iy - p.iy) = 1 GROUP BY ALL)

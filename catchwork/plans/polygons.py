@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork.operators import polygons as op
+from catchwork.operators.grid import ring_area
 from catchwork.plans.registry import query
 
 BAND = 2.0  # of y, in which points meet edges
@@ -89,3 +90,28 @@ def scoped_anchors(part: DataFrame, orders: DataFrame) -> DataFrame:
     layers = part.where("p_partkey % 6 in (0, 1)").select((key % 25).alias("city_key"), side(key).alias("system"), key.alias("layer_id"), x.alias("x1"), y.alias("y1"), F.when(key % 25 != 4, x + F.col("p_size") * 4).alias("x2"), (y + F.col("p_size") * 3).alias("y2"))
     anchors = orders.select((F.col("o_orderkey") % 25).alias("city_key"), side(F.col("o_custkey")).alias("system"), (F.col("o_custkey") * 37 % 6400 / 10).alias("x"), (F.col("o_orderkey") * 13 % 8000 / 16).alias("y"))
     return op.scoped_counts(layers, anchors)
+
+
+FRAMES = "CASE feature % 29 WHEN 3 THEN 'urn:ogc:def:crs:EPSG::3857' WHEN 4 THEN 'urn:ogc:def:crs:OGC:1.3:CRS84' WHEN 5 THEN 'EPSG:4326' END"
+
+
+@query("g21_dissolved_areas", "v_vertex", sql=f"""WITH {EDGES}, box AS (SELECT feature, CAST(floor(min(x)) AS BIGINT) AS a, CAST(floor(max(x)) AS BIGINT) AS z, CAST(floor(min(y)) AS BIGINT) AS b, CAST(floor(max(y)) AS BIGINT) AS c FROM v_vertex GROUP BY 1),
+col AS (SELECT feature, b, c, unnest(range(a, z + 1)) AS ix FROM box), p AS (SELECT feature, ix, iy, ix + 0.5::DOUBLE AS x, iy + 0.5::DOUBLE AS y FROM (SELECT feature, ix, unnest(range(b, c + 1)) AS iy FROM col)),
+inn AS (SELECT p.feature, p.ix, p.iy FROM p JOIN e ON e.feature = p.feature AND {CROSSED} GROUP BY ALL HAVING count(*) % 2 = 1),
+ar AS (SELECT feature // 3 AS area_id, max({FRAMES}) AS frame, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x), 6) AS east, round(max(y), 6) AS north FROM v_vertex GROUP BY 1),
+n AS (SELECT feature // 3 AS area_id, count(DISTINCT (ix, iy)) AS area FROM inn GROUP BY 1)
+SELECT CAST(area_id AS BIGINT) AS area_id, coalesce(area, 0)::DOUBLE AS area, west, south, east, north, CASE WHEN frame LIKE '%3857%' THEN 'unsupported_frame' WHEN coalesce(area, 0) = 0 THEN 'no_area' WHEN area > 250 THEN 'too_large' ELSE 'ok' END AS verdict FROM ar LEFT JOIN n USING (area_id)""")
+def dissolved_areas(vertices: DataFrame) -> DataFrame:
+    """Areas of up to three features each: dissolved area, box, and the first thing wrong."""
+    of = F.floor(F.col("feature") / 3).alias("area_id")
+    rest = F.col("feature") % 29
+    frame = F.when(rest == 3, "urn:ogc:def:crs:EPSG::3857").when(rest == 4, "urn:ogc:def:crs:OGC:1.3:CRS84").when(rest == 5, "EPSG:4326")
+    areas = vertices.groupBy(of).agg(F.max(frame).alias("frame"))
+    return op.area_checks(areas, op.rings_of(vertices).withColumn("area_id", of), 1.0, 250.0)
+
+
+@query("g21_ring_order", "v_vertex", sql=f"WITH {NESTED} SELECT n.feature, n.ring_no, CASE WHEN hole THEN -1 ELSE 1 END AS turn FROM n")
+def ring_order(vertices: DataFrame) -> DataFrame:
+    """Which way each ring runs in canonical order."""
+    x = op.oriented_rings(_nested(vertices))
+    return x.select("feature", "ring_no", F.signum(ring_area(F.col("ring"))).cast("int").alias("turn"))

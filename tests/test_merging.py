@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catchwork.operators import grid as grid_op
 from catchwork.operators import merging, quantiles
 
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -166,3 +167,29 @@ def test_percentiles(spark, share, monkeypatch):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == (v if v is None else pytest.approx(v, rel=1e-12, abs=0)), k
+
+
+def test_absorbed_land(spark):
+    """Rings of eight neighbours, the least label of a ring, pockets to the nearest seed, an area without labels and one without seeds."""
+    r = random.Random(8)
+    land = {1: {(x, y) for x in range(20) for y in range(20) if x != 12}, 2: {(x, 0) for x in range(9)}, 3: {(0, 0), (5, 5)}}
+    label = {1: {p: 10 + p[0] // 7 for p in land[1] if p[0] < 11 and r.random() < 0.1}, 2: {}, 3: {(0, 0): 4}}
+    seeds = {1: [(10, 2, 3), (11, 9, 9), (77, 19, 2), (76, 19, 15)], 2: [(50, 4, 0)], 3: []}
+    rows = [(a, x, y, label[a].get((x, y))) for a, s in land.items() for x, y in s]
+    px = spark.createDataFrame(rows, "aoi_id long, ix long, iy long, label long").repartition(3)
+    given = spark.createDataFrame([(a, k, float(x), float(y)) for a, s in seeds.items() for k, x, y in s], "aoi_id long, seed_key long, sx double, sy double")
+    got = {(x.aoi_id, x.ix, x.iy): x.label for x in grid_op.absorbed(px, "label", given).collect()}
+    for a, s in land.items():
+        known = dict(label[a])
+        while True:
+            new = {}
+            for x, y in s - set(known):
+                near = [known[x + dx, y + dy] for dx, dy in ALL if (x + dx, y + dy) in known]
+                if near:
+                    new[x, y] = min(near)
+            if not new:
+                break
+            known |= new
+        for x, y in s - set(known):
+            known[x, y] = min(((x - u) ** 2 + (y - v) ** 2, k) for k, u, v in seeds[a])[1] if seeds[a] else None
+        assert {p: got[a, *p] for p in s} == known
