@@ -91,15 +91,14 @@ class Aligner:
         self.begin, self.length, self.pairs, self.times = none, none, none, none
 
     def pieces(self, text: str) -> list[str]:
-        text = " " + text
-        cuts = [] if self.whole else [m.start() for m in CUT.finditer(text)]
-        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        """The pieces of a text, each without the space before it."""
+        return [text] if self.whole else CUT.split(text)
 
     def number(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The numbers of the pieces of each text; new ones are aligned first."""
         if len(self.known) > KNOWN_PIECES or self.known_bytes > KNOWN_BYTES:
             self.forget()
-        fresh = list(dict.fromkeys(p for t in texts for p in t if p not in self.known))
+        fresh = [p for p in dict.fromkeys(itertools.chain.from_iterable(texts)) if p not in self.known]
         if fresh:
             for p in fresh:
                 self.known[p] = len(self.known)
@@ -108,14 +107,14 @@ class Aligner:
         return [np.fromiter(map(self.known.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
 
     def _align(self, pieces: list[str]) -> None:
-        ids = [[e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces], num_threads=1)]
-        bad, ends, flat = [], [], []
-        for p, x, y in zip(pieces, *ids, strict=True):
-            body = p.encode()
-            bad.append(b"".join([self.bytes_a[i] for i in x]) != body or b"".join([self.bytes_b[i] for i in y]) != body)
+        spaced = [" " + p for p in pieces]
+        ids = [[e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(pieces, num_threads=1)]
+        bad = self._differ([p.encode() for p in spaced], ids)
+        ends, flat = [], []
         for side, sizes in zip(ids, (self.size_a, self.size_b), strict=True):
-            side[:] = [[] if b else s for b, s in zip(bad, side, strict=True)]
-            flat.append(np.fromiter((i for s in side for i in s), dtype=np.int64, count=sum(map(len, side))))
+            if bad.any():
+                side[:] = [[] if b else s for b, s in zip(bad.tolist(), side, strict=True)]
+            flat.append(_flat(side))
             ends.append(np.cumsum(sizes[flat[-1]]))
         common = np.intersect1d(*ends)  # a token without bytes would be the end of no group of its own
         group = [np.searchsorted(common, e) for e in ends]
@@ -126,12 +125,25 @@ class Aligner:
         n_groups = np.diff(last)
         links = np.concatenate([[0], np.cumsum(n[0] * n[1])])
         n_links = np.diff(links[last + 1])
-        self.facts = np.concatenate([self.facts, np.stack([*counts, n_groups, n_links, np.array(bad, dtype=np.int64)], axis=1)])
+        self.facts = np.concatenate([self.facts, np.stack([*counts, n_groups, n_links, bad.astype(np.int64)], axis=1)])
         self.texts += self._texts(flat, group, n, counts)
         pairs, times, lengths = self._pairs(flat, group, last[1:], len(pieces))
         self.begin = np.concatenate([self.begin, len(self.pairs) + np.cumsum(lengths) - lengths])
         self.length, self.pairs, self.times = (np.concatenate(x) for x in ((self.length, lengths), (self.pairs, pairs), (self.times, times)))
 
+    def _differ(self, bodies: list[bytes], ids: list[list[list[int]]]) -> np.ndarray:
+        """Whether the tokens of each piece join to other bytes than the piece has. All pieces are compared at once, and one by one only where that tells of a difference."""
+        lengths, whole = np.array([len(b) for b in bodies], dtype=np.int64), b"".join(bodies)
+        alike = True
+        for side, tokens, sizes in zip(ids, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b), strict=True):
+            flat = _flat(side)
+            upto = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum([len(s) for s in side])])]
+            alike = alike and np.array_equal(np.diff(upto), lengths) and b"".join(map(tokens.__getitem__, flat.tolist())) == whole
+        if alike:
+            return np.zeros(len(bodies), dtype=bool)
+        joined = ([b"".join([tokens[i] for i in s]) for s in side] for side, tokens in zip(ids, (self.bytes_a, self.bytes_b), strict=True))
+        return np.array([x != body or y != body for body, x, y in zip(bodies, *joined, strict=True)])
+
     def _texts(self, flat: list[np.ndarray], group: list[np.ndarray], n: list[np.ndarray], counts: list[np.ndarray]) -> list[str]:
         """Each piece's groups as text, with a semicolon at the end."""
         upto = [np.cumsum(x) for x in n]
@@ -167,6 +179,10 @@ class Aligner:
         return pair, times, np.bincount(piece, minlength=n_pieces)
 
 
+def _flat(side: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(side), dtype=np.int64, count=sum(map(len, side)))
+
+
 def _by_piece(piece: np.ndarray, pair: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links added up for each piece and pair, in this order."""
     if not len(piece):
