@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork.frames import discard, written
-from catchwork.operators.grid import PIXEL, nearest, neighbours, parts, pixel_id, shared_edges
+from catchwork.operators.grid import PIXEL, nearest, neighbours, parts, pixel_id
 
 
 def borders(px: DataFrame, label: str) -> DataFrame:
