@@ -1,4 +1,4 @@
-"""Repeated passages removed: recurrence is confirmed by counts, then Aho-Corasick automata of the confirmed passages locate every occurrence."""
+"""Repeated passages removed: counts confirm which passages recur, then Aho-Corasick automata of their texts locate every occurrence."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork.frames import written
@@ -18,8 +18,10 @@ from catchwork.llm.words import Words, rolling, slices, spread, texts
 PHRASE = 8
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLACE_BITS = np.uint64(26)
-SHARD = 20_000  # passages in one automaton
-LONGEST = 256  # consecutive windows in one passage of a run that stands once
+SHARD = 1_000_000  # words of the passages in one automaton
+LONGEST = 1024  # consecutive windows in one passage, about
+BUSY = 32  # passages of one phrase that a block takes unseen
+MODULUS = (1 << 31) - 1
 
 
 class _Words:
@@ -113,36 +115,79 @@ def _windows(spans: DataFrame, window: int) -> DataFrame:
     return spans.select("num", "text", "starts", "counts", "phrases", "times").mapInArrow(run, "num long, start int, phrase long, hash long, times long")
 
 
+def _recurring(rows: DataFrame, key: str, n: Column) -> DataFrame:
+    """Each (phrase, key) of rows (num, start, count, phrase, key): how often it stands, one place (num, start) of it, and where it stands relative to that place, hashed.
+
+    docs, shift and mix are sums over the places, so two neighbours in one document that have equal ones stand side by side everywhere.
+    """
+    doc, start = F.pmod(F.xxhash64("num"), F.lit(MODULUS)), F.col("start").cast("long")
+    x = rows.groupBy("phrase", F.col(key).alias("fine")).agg(
+        F.sum(n).alias("times"), F.min(n).alias("least"), F.min("num").alias("num"), F.min_by(start, "num").alias("start"), F.min("count").alias("count"),
+        F.count("*").alias("places"), F.sum(doc).alias("docs"), F.sum(start).alias("shift"), F.sum(F.pmod(doc * start, F.lit(MODULUS))).alias("mix"),
+    )
+    mix = F.pmod(F.col("mix") - F.col("start") * (F.col("docs") % MODULUS), F.lit(MODULUS))
+    return x.withColumn("shift", F.col("shift") - F.col("places") * F.col("start")).withColumn("mix", mix)
+
+
+def _joined(samples: DataFrame, window: int) -> DataFrame:
+    """(num, start, size, phrase, fine): neighbouring samples that stand side by side everywhere as one passage of about LONGEST windows at most."""
+    order = Window.partitionBy("num", "kind").orderBy("start")  # of one document
+    where = F.struct("places", "docs", "shift", "mix")
+    follows = (F.lag(F.col("start") + F.col("count")).over(order) == F.col("start")) & (F.lag(where).over(order) == where)
+    x = samples.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("piece", F.sum("new").over(order))
+    size = F.max(F.col("start") + F.col("count")) - F.min("start") + window - 1
+    x = x.groupBy("num", "kind", "piece", F.floor(F.col("start") / LONGEST).alias("part")).agg(F.min("start").alias("start"), size.alias("size"), F.min_by("fine", "phrase").alias("fine"), F.min("phrase").alias("phrase"))
+    return x.select("num", "start", "size", "phrase", "fine")
+
+
+def _bodies(places: DataFrame) -> DataFrame:
+    """(phrase, fine, body): the words of each passage in places (num, text, starts, sizes, phrases, fines), joined by one space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                of = [part.column(c).to_pylist() for c in ("starts", "sizes")]
+                words = [t.split() for t in texts(part, "text")]
+                body = [b" ".join(w[a : a + n]) for w, starts, sizes in zip(words, *of, strict=True) for a, n in zip(starts, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("phrases").flatten(), part.column("fines").flatten(), pa.array(body, pa.binary())], names=["phrase", "fine", "body"])
+
+    return places.select("text", "starts", "sizes", "phrases", "fines").mapInArrow(run, "phrase long, fine long, body binary")
+
+
 def _located(docs: DataFrame, passages: DataFrame, with_text: bool) -> DataFrame:
     """(num, n_removed, kept_sha256[, kept_text]): each document without the words that passages cover. docs and passages are dealt by block.
 
-    passages says where each passage that recurs anywhere stands first in a block, and which documents of it are copies to leave
-    out. The passages of a block, SHARD at a time, become an automaton, and all documents of the block are streamed through each.
+    passages holds the texts of the passages that a block's phrases call for, and by num, without a text, the documents of it that are copies to
+    leave out. Passages of words that the block knows are sorted by their first word and become automata of about SHARD words each;
+    a document is streamed through those automata whose first words it has.
     """
 
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
         nums = docs.column("num").to_pylist()
         b = _Words(texts(docs.combine_chunks().to_batches()[0], "text")) if nums else _Words([])
-        place = {n: i for i, n in enumerate(nums)}
         radix = int(len(b.table) ** 0.5) + 1  # a word is two signs of small alphabets, the first one's its own: nodes stay narrow, and matches begin with a word
-        signs = np.stack([0x10000 + b.ids // radix, 0x20000 + b.ids % radix], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        signs = lambda ids: np.stack([0x10000 + ids // radix, 0x20000 + ids % radix], axis=1).astype("<u4").tobytes().decode("utf-32-le")
         begin, end = b.begins.tolist(), b.ends.tolist()
-        out = pc.is_null(passages.column("start"))
+        out = pc.is_null(passages.column("body"))
         copies = set(passages.filter(out).column("num").to_pylist())
-        given = passages.filter(pc.invert(out))
-        where = [(begin[place[n]] + s, size) for n, s, size in zip(*(given.column(c).to_pylist() for c in ("num", "start", "size")), strict=True)]
+        called = [[b.table.get(w) for w in body.split()] for body in passages.filter(pc.invert(out)).column("body").to_pylist()]
+        called = sorted((ids for ids in called if None not in ids), key=lambda ids: ids[0])
+        shards = np.cumsum([len(ids) for ids in called]) // SHARD
         edge = np.zeros(len(b.ids) + 1, dtype=np.int64)
-        streams = [(a, signs[2 * a : 2 * z]) for i, (a, z) in enumerate(zip(begin, end, strict=True)) if nums[i] not in copies] if where else []
-        for i in range(0, len(where), SHARD):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for at, size in where[i : i + SHARD]:
-                automaton.add_word(signs[2 * at : 2 * (at + size)], size)
+        streams = [(a, z, signs(b.ids[a:z])) for i, (a, z) in enumerate(zip(begin, end, strict=True)) if nums[i] not in copies] if called else []
+        for shard in np.unique(shards):
+            automaton, first = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(len(b.table), dtype=bool)
+            for i in np.flatnonzero(shards == shard):
+                automaton.add_word(signs(np.array(called[i])), len(called[i]))
+                first[called[i][0]] = True
             automaton.make_automaton()
-            for a, stream in streams:
-                for last, size in automaton.iter(stream):
-                    z = a + last // 2 + 1
-                    edge[z - size] += 1
-                    edge[z] -= 1
+            begins = first[b.ids]
+            for a, z, stream in streams:
+                if begins[a:z].any():
+                    for last, size in automaton.iter(stream):
+                        at = a + last // 2 + 1
+                        edge[at - size] += 1
+                        edge[at] -= 1
         covered = (np.cumsum(edge)[:-1] > 0).tolist()
         rows = []
         for i, words in enumerate(b.words):
@@ -164,11 +209,13 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     A word goes if a window of that many consecutive words covers it whose word sequence starts anywhere else too, in
     another row or in the same one. Words are maximal runs without ASCII white space, compared as bytes. Passages are confirmed
     first. Each window selects its phrase of 8 words with the least hash, equal windows the same one, so consecutive windows that select
-    one place form a run. Runs are counted by a 128-bit hash of their words; one that stands twice is a passage. Where a
-    phrase heads several different runs, the windows of these are counted too; of runs that stand once, those that stand twice, consecutive ones
-    together, are passages. Then documents are dealt into blocks of about block_bytes, automata of the passages that occur in a block
-    locate all their occurrences in all documents of the block, and the words that these cover go. Of rows with equal texts one
-    is searched, counting for all, and all of them get its result.
+    one place form a run. Runs are counted by a 128-bit hash of their words; one that stands twice recurs. Where a
+    phrase heads several different runs, the windows of these are counted too; those of runs that stand once recur if they stand twice.
+    Counts keep one sample place of what recurs and no other; neighbouring samples whose places are the same everywhere, by sums of hashes
+    over them, are one passage, of which only the text is kept. Documents are dealt into blocks of about block_bytes. A block calls for the
+    passages whose phrase one of its windows selects (of a phrase with over 32 passages, those with a run or window of the block);
+    automata of these locate all occurrences in its documents, and the words that they cover go. Of rows with equal texts one is searched,
+    counting for all, and all of them get its result.
 
     A null or empty text has no words; a text under window words loses none; repeated rows are copies of each other; a null
     doc_id stays. An empty table gives an empty one. Needs window >= 8. Further columns of docs are not read.
@@ -190,26 +237,29 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     runs = scan.join(roles, "num", "left").where("lead is null or lead = num")
     runs = runs.select("num", F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.arrays_zip("starts", "counts", "phrases", "keys")).alias("r"))
     runs = runs.select("num", "n", F.col("r.starts").alias("start"), F.col("r.counts").alias("count"), F.col("r.phrases").alias("phrase"), F.col("r.keys").alias("key"))
-    known = runs.groupBy("phrase", "key").agg(F.sum("n").alias("times"), F.min("num").alias("first"))
+    known = _recurring(runs, "key", F.col("n"))
     several = known.groupBy("phrase").agg(F.count("*").alias("d")).where("d > 1").select("phrase", F.lit(True).alias("several"))
-    known = known.join(several, "phrase", "left").where("times > 1 or several").select("phrase", "key", "times", "first", F.col("several").isNotNull().alias("several"))
-    marked = written(runs.drop("n").join(known, ["phrase", "key"]), "phrase_marked")
+    known = written(known.join(several, "phrase", "left").where("times > 1 or several"), "phrase_known")
 
-    spans = marked.where("several and num = first").groupBy("num").agg(F.collect_list(F.struct("start", "count", "phrase", "times")).alias("r"))
-    spans = scan.select("num", "text").join(spans, "num").select("num", "text", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.phrase").alias("phrases"), F.col("r.times").alias("times"))
+    texts_of = scan.select("num", "text")
+    spans = known.where("several").groupBy("num").agg(F.collect_list(F.struct("start", "count", "phrase", "times")).alias("r"))
+    spans = texts_of.join(spans, "num").select("num", "text", *(F.col(f"r.{c}").alias(a) for c, a in (("start", "starts"), ("count", "counts"), ("phrase", "phrases"), ("times", "times"))))
     windows = written(_windows(spans, window), "phrase_windows")
-    twice = windows.groupBy("phrase", "hash").agg(F.sum("times").alias("all")).where("all > 1").select("phrase", "hash")
-    single = windows.where("times = 1").join(twice, ["phrase", "hash"]).select("num", "start")
-    single = single.withColumn("range", F.col("start") - F.row_number().over(Window.partitionBy("num").orderBy("start")))  # windows of one document
-    single = single.groupBy("num", "range", F.floor(F.col("start") / LONGEST).alias("part")).agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + window).alias("size"))
-    single = single.select("num", "start", "size", F.col("num").alias("h1"), F.col("start").cast("long").alias("h2"))
-    whole = marked.where("times > 1").select("num", "start", (F.col("count") + window - 1).alias("size"), F.col("phrase").alias("h1"), F.col("key").alias("h2"))
+    single = _recurring(windows.withColumn("count", F.lit(1)), "hash", F.col("times")).where("times > 1 and least = 1")
+    sample = ["num", "start", "count", "phrase", "fine", "places", "docs", "shift", "mix"]
+    samples = known.where("times > 1").select(F.lit("run").alias("kind"), *sample).unionByName(single.select(F.lit("window").alias("kind"), *sample))
+    places = _joined(samples, window).groupBy("num").agg(F.collect_list(F.struct("start", "size", "phrase", "fine")).alias("r"))
+    places = texts_of.join(places, "num").select("text", *(F.col(f"r.{c}").alias(f"{c}s") for c in ("start", "size", "phrase", "fine")))
+    passages = written(_bodies(places), "phrase_bodies")
+
     blocks = max(1, -(-(size or 0) // block_bytes))
     block = F.pmod(F.xxhash64("num"), F.lit(blocks)).cast("int").alias("block")
-    passages = single.union(whole).select(block, "num", "start", "size", "h1", "h2")
-    passages = passages.groupBy("block", "h1", "h2").agg(F.min(F.struct("num", "start", "size")).alias("p")).select("block", "p.*")
-    out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"))
-    passages = written(passages.unionByName(out), "phrase_passages")
+    busy = passages.groupBy("phrase").agg(F.count("*").alias("d")).where(F.col("d") > BUSY).select("phrase")
+    calls = runs.select(block, "phrase").distinct().join(passages.join(busy, "phrase", "left_anti"), "phrase").select("block", "body")
+    fine = runs.select(block, "phrase", F.col("key").alias("fine")).union(windows.select(block, "phrase", "hash")).join(busy, "phrase", "left_semi").distinct()
+    calls = calls.union(fine.join(passages.join(busy, "phrase", "left_semi"), ["phrase", "fine"]).select("block", "body"))
+    out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("binary").alias("body"))
+    passages = calls.select("block", F.lit(None).cast("long").alias("num"), "body").union(out)
     cut = written(_located(scan.select("num", "text", block), passages, with_text), "phrase_cut")
 
     results = ["n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]

@@ -104,6 +104,39 @@ def test_repeated_passages(spark, docs, texts):
     assert got == want
 
 
+@pytest.mark.parametrize("busy", [32, 0])
+def test_overlapping_and_periodic_passages(spark, monkeypatch, busy):
+    """Passages cut at many places, inside each other, periodic, and set between the same words, in several blocks."""
+    monkeypatch.setattr(phrases, "BUSY", busy)
+    r = np.random.default_rng(11)
+    pool = [[f"p{k}x{i}" for i in range(90)] for k in range(4)] + [["a", "b", "c"] * 30, ["z"] * 80]
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(r.integers(1, 4)):
+            p = pool[r.integers(len(pool))]
+            a, z = sorted(r.integers(0, len(p), 2))
+            words += [f"u{i}n{n}" for n in range(r.integers(0, 12))] + p[a : z + 1]
+        rows.append((i, " ".join(words)))
+    starts = Counter(tuple(w[s : s + 35]) for _, t in rows for w in [t.split()] for s in range(len(w) - 34))
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        gone = {p for s in range(len(w) - 34) if starts[tuple(w[s : s + 35])] > 1 for p in range(s, s + 35)}
+        want[i] = " ".join(x for p, x in enumerate(w) if p not in gone)
+    got = phrases.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True, block_bytes=20_000)
+    assert {r.doc_id: r.kept_text for r in got.collect()} == want
+
+
+def test_only_automata_find_passages(spark):
+    """Without the passages' texts nothing is located: no place reaches the search."""
+    docs = spark.createDataFrame([(0, 0, "a " * 40), (1, 0, "b " + "a " * 36)], "num long, block int, text string")
+    calls = "block int, num long, body binary"
+    found = {r.num: r.n_removed for r in phrases._located(docs, spark.createDataFrame([(0, None, b"a " * 35), (0, None, b"a " * 35 + b"unknown")], calls), False).collect()}
+    assert found == {0: 40, 1: 36}
+    assert {r.n_removed for r in phrases._located(docs, spark.createDataFrame([], calls), False).collect()} == {0}
+
+
 def test_repeated_passages_text(spark, docs):
     for r in phrases.repeated_passages(docs, with_text=True).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
