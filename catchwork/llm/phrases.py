@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchwork.frames import written
+from catchwork.frames import discard, written
 from catchwork.llm.words import Words, rolling, slices, spread, texts
 
 PHRASE = 8
@@ -115,24 +115,23 @@ def _windows(spans: DataFrame, window: int) -> DataFrame:
     return spans.select("num", "text", "starts", "counts", "phrases", "times").mapInArrow(run, "num long, start int, phrase long, hash long, times long")
 
 
-def _recurring(rows: DataFrame, key: str, n: Column) -> DataFrame:
+def _recurring(rows: DataFrame, key: str, n: Column, *more: Column) -> DataFrame:
     """Each (phrase, key) of rows (num, start, count, phrase, key): how often it stands, one place (num, start) of it, and where it stands relative to that place, hashed.
 
-    docs, shift and mix are sums over the places, so two neighbours in one document that have equal ones stand side by side everywhere.
+    docs and mix are sums over the places, so two neighbours in one document that have equal ones, and stand as often, stand side by side everywhere.
     """
     doc, start = F.pmod(F.xxhash64("num"), F.lit(MODULUS)), F.col("start").cast("long")
     x = rows.groupBy("phrase", F.col(key).alias("fine")).agg(
-        F.sum(n).alias("times"), F.min(n).alias("least"), F.min("num").alias("num"), F.min_by(start, "num").alias("start"), F.min("count").alias("count"),
-        F.count("*").alias("places"), F.sum(doc).alias("docs"), F.sum(start).alias("shift"), F.sum(F.pmod(doc * start, F.lit(MODULUS))).alias("mix"),
+        F.sum(n).alias("times"), F.min("num").alias("num"), F.min_by(start, "num").alias("start"), F.min("count").alias("count"),
+        F.sum(doc).alias("docs"), F.sum(F.pmod(doc * start, F.lit(MODULUS))).alias("mix"), *more,
     )
-    mix = F.pmod(F.col("mix") - F.col("start") * (F.col("docs") % MODULUS), F.lit(MODULUS))
-    return x.withColumn("shift", F.col("shift") - F.col("places") * F.col("start")).withColumn("mix", mix)
+    return x.withColumn("mix", F.pmod(F.col("mix") - F.col("start") * (F.col("docs") % MODULUS), F.lit(MODULUS)))
 
 
 def _joined(samples: DataFrame, window: int) -> DataFrame:
     """(num, start, size, phrase, fine): neighbouring samples that stand side by side everywhere as one passage of about LONGEST windows at most."""
     order = Window.partitionBy("num", "kind").orderBy("start")  # of one document
-    where = F.struct("places", "docs", "shift", "mix")
+    where = F.struct("times", "docs", "mix")
     follows = (F.lag(F.col("start") + F.col("count")).over(order) == F.col("start")) & (F.lag(where).over(order) == where)
     x = samples.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("piece", F.sum("new").over(order))
     size = F.max(F.col("start") + F.col("count")) - F.min("start") + window - 1
@@ -245,21 +244,26 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     spans = known.where("several").groupBy("num").agg(F.collect_list(F.struct("start", "count", "phrase", "times")).alias("r"))
     spans = texts_of.join(spans, "num").select("num", "text", *(F.col(f"r.{c}").alias(a) for c, a in (("start", "starts"), ("count", "counts"), ("phrase", "phrases"), ("times", "times"))))
     windows = written(_windows(spans, window), "phrase_windows")
-    single = _recurring(windows.withColumn("count", F.lit(1)), "hash", F.col("times")).where("times > 1 and least = 1")
-    sample = ["num", "start", "count", "phrase", "fine", "places", "docs", "shift", "mix"]
+    single = _recurring(windows.withColumn("count", F.lit(1)), "hash", F.col("times"), F.min("times").alias("least")).where("times > 1 and least = 1")
+    sample = ["num", "start", "count", "phrase", "fine", "times", "docs", "mix"]
     samples = known.where("times > 1").select(F.lit("run").alias("kind"), *sample).unionByName(single.select(F.lit("window").alias("kind"), *sample))
     places = _joined(samples, window).groupBy("num").agg(F.collect_list(F.struct("start", "size", "phrase", "fine")).alias("r"))
     places = texts_of.join(places, "num").select("text", *(F.col(f"r.{c}").alias(f"{c}s") for c in ("start", "size", "phrase", "fine")))
-    passages = written(_bodies(places), "phrase_bodies")
+    bodies = written(_bodies(places).withColumn("id", F.monotonically_increasing_id()), "phrase_bodies")
+    discard(known)
 
     blocks = max(1, -(-(size or 0) // block_bytes))
     block = F.pmod(F.xxhash64("num"), F.lit(blocks)).cast("int").alias("block")
-    busy = passages.groupBy("phrase").agg(F.count("*").alias("d")).where(F.col("d") > BUSY).select("phrase")
-    calls = runs.select(block, "phrase").distinct().join(passages.join(busy, "phrase", "left_anti"), "phrase").select("block", "body")
-    fine = runs.select(block, "phrase", F.col("key").alias("fine")).union(windows.select(block, "phrase", "hash")).join(busy, "phrase", "left_semi").distinct()
-    calls = calls.union(fine.join(passages.join(busy, "phrase", "left_semi"), ["phrase", "fine"]).select("block", "body"))
+    heads = bodies.select("id", "phrase", "fine")
+    busy = written(heads.groupBy("phrase").agg(F.count("*").alias("d")).where(F.col("d") > BUSY).select("phrase"), "phrase_busy")
+    calls = runs.select(block, "phrase").distinct().join(heads.join(busy, "phrase", "left_anti"), "phrase")
+    calls = written(calls.select("block", "id"), "phrase_calls")  # in jobs of their own, so that their shuffles go before texts move
+    fine = runs.select(block, "phrase", F.col("key").alias("fine")).union(windows.select(block, "phrase", "hash")).join(busy, "phrase", "left_semi")
+    fine = fine.join(heads.join(busy, "phrase", "left_semi"), ["phrase", "fine"])
+    fine = written(fine.select("block", "id").distinct(), "phrase_fine_calls")
+    discard(windows)
     out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("binary").alias("body"))
-    passages = calls.select("block", F.lit(None).cast("long").alias("num"), "body").union(out)
+    passages = calls.union(fine).join(bodies, "id").select("block", F.lit(None).cast("long").alias("num"), "body").union(out)
     cut = written(_located(scan.select("num", "text", block), passages, with_text), "phrase_cut")
 
     results = ["n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
