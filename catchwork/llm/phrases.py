@@ -169,16 +169,19 @@ def _located(docs: DataFrame, passages: DataFrame, with_text: bool) -> DataFrame
         begin, end = b.begins.tolist(), b.ends.tolist()
         out = pc.is_null(passages.column("body"))
         copies = set(passages.filter(out).column("num").to_pylist())
-        called = [[b.table.get(w) for w in body.split()] for body in passages.filter(pc.invert(out)).column("body").to_pylist()]
-        called = sorted((ids for ids in called if None not in ids), key=lambda ids: ids[0])
-        shards = np.cumsum([len(ids) for ids in called]) // SHARD
+        both = signs(np.arange(len(b.table)))
+        pair = {w: both[2 * i : 2 * i + 2] for w, i in b.table.items()}
+        bodies = (body.split() for body in passages.filter(pc.invert(out)).column("body").to_pylist())
+        called = sorted((b.table[body[0]], "".join([pair[w] for w in body])) for body in bodies if all(w in pair for w in body))
+        shards = np.cumsum([len(pattern) // 2 for _, pattern in called]) // SHARD
         edge = np.zeros(len(b.ids) + 1, dtype=np.int64)
         streams = [(a, z, signs(b.ids[a:z])) for i, (a, z) in enumerate(zip(begin, end, strict=True)) if nums[i] not in copies] if called else []
         for shard in np.unique(shards):
             automaton, first = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(len(b.table), dtype=bool)
             for i in np.flatnonzero(shards == shard):
-                automaton.add_word(signs(np.array(called[i])), len(called[i]))
-                first[called[i][0]] = True
+                word, pattern = called[i]
+                automaton.add_word(pattern, len(pattern) // 2)
+                first[word] = True
             automaton.make_automaton()
             begins = first[b.ids]
             for a, z, stream in streams:
@@ -258,9 +261,9 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     busy = written(heads.groupBy("phrase").agg(F.count("*").alias("d")).where(F.col("d") > BUSY).select("phrase"), "phrase_busy")
     calls = runs.select(block, "phrase").distinct().join(heads.join(busy, "phrase", "left_anti"), "phrase")
     calls = written(calls.select("block", "id"), "phrase_calls")  # in jobs of their own, so that their shuffles go before texts move
-    fine = runs.select(block, "phrase", F.col("key").alias("fine")).union(windows.select(block, "phrase", "hash")).join(busy, "phrase", "left_semi")
+    fine = runs.select(block, "phrase", F.col("key").alias("fine")).union(windows.select(block, "phrase", "hash")).join(busy, "phrase", "left_semi").distinct()  # once a block, before they meet passages
     fine = fine.join(heads.join(busy, "phrase", "left_semi"), ["phrase", "fine"])
-    fine = written(fine.select("block", "id").distinct(), "phrase_fine_calls")
+    fine = written(fine.select("block", "id"), "phrase_fine_calls")
     discard(windows)
     out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("binary").alias("body"))
     passages = calls.union(fine).join(bodies, "id").select("block", F.lit(None).cast("long").alias("num"), "body").union(out)
