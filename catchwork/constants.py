@@ -108,6 +108,7 @@ METHODS = {
 }
 DECISIONS = ("corridor_frontage", "corridor_voronoi", "no_dem", "no_dem_overlap", "below_slope_gate", "dem_degenerate", "posterior_fallback", "noise_cell_fallback", "dem")
 NOISE_SHARE = 0.5  # over this share of cells under the least size, a delineation is noise
+NOISE_HA = 0.05
 CELL_OUTSIDE_ERROR = 0.5
 AREA_OUTSIDE_WARNING = 0.02
 INFILTRATION_DRY_DAYS, CURVE_NUMBER_KSAT, DEFAULT_CN = 7.0, 0.5, 61.0

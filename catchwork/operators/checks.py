@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
+from catchwork.frames import ranked
 from catchwork.operators.grid import inside
 from catchwork.operators.quantiles import percentiles
 
@@ -90,6 +91,19 @@ def method_labels(runs: DataFrame) -> DataFrame:
     return runs.withColumn("label", k.lookup({n: v[0] for n, v in k.METHODS.items()}, key)).withColumn("confidence", k.lookup({n: v[1] for n, v in k.METHODS.items()}, key))
 
 
+def noise_share(cells: DataFrame, by: str, least_ha: float = k.NOISE_HA, majority: float = k.NOISE_SHARE) -> DataFrame:
+    """(by, noise_share, mostly_noise): share of a group's cells under least_ha, and whether it is over majority. A cell without an area is not counted."""
+    share = F.avg((F.col("area_ha") < least_ha).cast("int"))
+    return cells.groupBy(by).agg(share.alias("noise_share"), (share > majority).alias("mostly_noise"))
+
+
+def samples(rows: DataFrame, by: str, name: str, *first: str, n: int = 10) -> DataFrame:
+    """(by, sample): the names of a group's first n rows in the order of the columns in first, then name, joined by commas. Ranges of a group are ranked apart, so no task holds it whole; null names take a place and are not shown."""
+    x = ranked(rows.select(by, name, *first), [F.col(by)], [*first, name], "_r").where(F.col("_r") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("_r", F.col(name).cast("string").alias("name"))))
+    return x.groupBy(by).agg(F.array_join(F.transform(listed, lambda v: v["name"]), ",").alias("sample"))
+
+
 def delineation_decisions(areas: DataFrame) -> DataFrame:
     """areas with the decision on their delineation, the first that applies. They have corridor (a service mask is given), streets, has_dem, overlaps, slope_pct, gate_pct, n_cells, n_errors and noise_share; null counts as not met.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
@@ -28,12 +28,10 @@ def a22(catchments: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @query("t04_check_samples", "v_catchment", sql="SELECT outlet_key % 5 AS area, array_to_string(list_sort(list(name) FILTER (WHERE area_ha < 2))[1:10], ',') AS sample, count(*) FILTER (WHERE area_ha < 2) AS n_bad FROM v_catchment GROUP BY 1")
 def t04(catchments: DataFrame) -> DataFrame:
-    """The first ten names of what fails: ranked within an area, so no list grows with the data."""
+    """The first ten names of what fails."""
     x = catchments.select((F.col("outlet_key") % 5).alias("area"), "name", "area_ha")
     n = x.groupBy("area").agg(F.count_if(F.col("area_ha") < 2).alias("n_bad"))
-    first = x.where("area_ha < 2").withColumn("r", F.row_number().over(Window.partitionBy("area").orderBy("name"))).where("r <= 10")
-    names = first.groupBy("area").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("sample"))
-    return n.join(names, "area", "left").select("area", F.coalesce("sample", F.lit("")).alias("sample"), "n_bad")
+    return n.join(checks.samples(x.where("area_ha < 2"), "area", "name"), "area", "left").select("area", F.coalesce("sample", F.lit("")).alias("sample"), "n_bad")
 
 
 @query("j21_missing_outlets", "v_catchment", "v_node", sql="SELECT cell_key, outlet_key FROM v_catchment WHERE outlet_key NOT IN (SELECT node_key FROM v_node WHERE node_key % 7 <> 0)")
@@ -57,6 +55,13 @@ def rises(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     return pipes.join(u, "up_key").join(d, "dn_key").select("file_seq", F.col("up_key").alias("from_key"), (F.col("i_dn_key") - F.col("i_up_key")).alias("rise"))
 
 
+@query("t04_steepest_rises", "v_raw_pipe", "v_node", sql=f"""WITH {RISE} SELECT n.aoi_id, array_to_string(list(file_seq ORDER BY rise DESC, file_seq)[1:10], ',') AS sample FROM r JOIN v_node n ON n.node_key = r.from_key WHERE rise > 0.01 GROUP BY 1""")
+def t04_rises(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ten conduits of each area that rise most."""
+    x = rises(pipes, nodes).where(F.col("rise") > k.INVERT_RISE_TOL_M).join(nodes.select(F.col("node_key").alias("from_key"), "aoi_id"), "from_key")
+    return checks.samples(x.withColumn("fall", -F.col("rise")), "aoi_id", "file_seq", "fall")
+
+
 @query("a23_invert_consistency", "v_raw_pipe", "v_node", sql=f"""WITH {RISE}, n AS (SELECT from_key, bool_and(rise > 0.01) AS pit, max(rise) AS top, count(*) FILTER (WHERE rise > 0.01) AS n_adverse FROM r GROUP BY 1)
 SELECT from_key, pit, round(top, 4) AS max_rise_m, n_adverse FROM n WHERE n_adverse > 0""")
 def a23(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,11 +139,10 @@ def a26(catchments: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return checks.agreement_rate(checks.outlet_agreement(units, areas, outfalls))
 
 
-@query("a31_noise_share", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, round(avg(CAST(area_ha < 0.5 AS INT)), 6) AS noise_share, avg(CAST(area_ha < 0.5 AS INT)) > 0.5 AS mostly_noise FROM v_catchment GROUP BY 1")
-def a31(catchments: DataFrame) -> DataFrame:
-    """Share of cells below a size (here 0.5 ha) and whether they are the majority."""
-    share = F.avg((F.col("area_ha") < 0.5).cast("int"))
-    return catchments.groupBy((F.col("outlet_key") % 5).alias("aoi")).agg(F.round(share, 6).alias("noise_share"), (share > 0.5).alias("mostly_noise"))
+@query("a31_noise_share", "v_cell_shape", sql="SELECT aoi_id, round(avg(CAST(area_ha < 0.05 AS INT)), 6) AS noise_share, avg(CAST(area_ha < 0.05 AS INT)) > 0.5 AS mostly_noise FROM v_cell_shape GROUP BY 1")
+def a31(cells: DataFrame) -> DataFrame:
+    """Share of cells below 0.05 ha and whether they are the majority."""
+    return checks.noise_share(cells, "aoi_id").withColumn("noise_share", F.round("noise_share", 6))
 
 
 @query("a41_delineation_table", "v_catchment", sql="SELECT outlet_key % 5 AS aoi, count(*) AS n_cells, round(median(area_ha), 6) AS median_ha, round(sum(area_ha), 4) AS area_ha, count(*) FILTER (WHERE area_ha < 1) AS n_failing FROM v_catchment GROUP BY 1")

@@ -75,12 +75,12 @@ def s07_coefficients(idf: DataFrame) -> DataFrame:
     return src.idf_coefficients(files.select(F.concat(F.lit("station"), F.col("station_key").cast("string")).alias("path"), "value"))
 
 
-@query("s20_idf_index", "v_idf", sql="SELECT DISTINCT station_key, lon, lat FROM v_idf")
-def s20(idf: DataFrame) -> DataFrame:
+@query("s20_idf_index", "v_station", sql="SELECT station_key, name, province, lat, lon FROM v_station")
+def s20(stations: DataFrame) -> DataFrame:
     """The station index as CSV with a schema, written and read."""
-    path = new_path(idf.sparkSession, "idf_index")
-    idf.select("station_key", "lon", "lat").distinct().write.option("header", True).csv(path)
-    return idf.sparkSession.read.schema("station_key int, lon double, lat double").option("header", True).csv(path)
+    path = new_path(stations.sparkSession, "idf_index")
+    stations.select("station_key", "name", "province", "lat", "lon").write.option("header", True).csv(path)
+    return stations.sparkSession.read.schema("station_key long, name string, province string, lat double, lon double").option("header", True).csv(path)
 
 
 @query("s11_store_round_trip", "v_node", "v_catchment", sql="SELECT aoi_id, node_key, node, rim_m, 'storm_minor' AS system FROM v_node")

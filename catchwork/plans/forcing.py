@@ -59,9 +59,12 @@ def s04(obs: DataFrame) -> DataFrame:
     return x.agg(F.round(F.sum(op.traced(F.col("precip_raw"), F.col("flag"))), 6).alias("mm"), F.round(F.min("precip_raw"), 6).alias("tmin"), F.round(F.max("precip_raw"), 6).alias("tmax"))
 
 
-@query("s05_station_scan", "v_idf", sql="SELECT DISTINCT station_key, lon, lat FROM v_idf")
-def s05(idf: DataFrame) -> DataFrame:
-    return idf.select("station_key", "lon", "lat").distinct()
+@query("s05_station_scan", "v_station", sql="SELECT station_key, name, province, lon, lat FROM v_station")
+def s05(stations: DataFrame) -> DataFrame:
+    """One JSON feature a station; only the nested fields asked for are parsed."""
+    feature = F.to_json(F.struct(F.struct("station_key", "name", "province", F.lit("open").alias("state")).alias("properties"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry")))
+    x = stations.select(F.from_json(feature, "properties struct<station_key: long, name: string, province: string>, geometry struct<coordinates: array<double>>").alias("f"))
+    return x.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
 
 
 @query("s06_wide_months_to_days", "orders", sql="""

@@ -113,6 +113,12 @@ SELECT s_suppkey AS station_key, -125e0 + (s_suppkey % 25) * 25e-1 + s_suppkey *
 FROM supplier CROSS JOIN (VALUES (5),(10),(15),(30),(60),(120),(360),(720),(1440)) AS d(duration_min)
 """
 
+# Stations of an index with their names and provinces.
+VIEWS["v_station"] = """
+SELECT s_suppkey AS station_key, s_name AS name, n_name AS province, -125e0 + (s_suppkey % 25) * 25e-1 + s_suppkey * 1e-5 AS lon, 44e0 + (s_suppkey % 10) + s_suppkey * 1e-5 AS lat
+FROM supplier JOIN nation ON n_nationkey = s_nationkey
+"""
+
 # Lots: ring number, side and a key for the cases that rings must cover.
 VIEWS["v_lot"] = "SELECT p_partkey AS n_nationkey FROM part"
 

@@ -51,3 +51,12 @@ def test_slope_gate(spark):
     px = spark.createDataFrame([(1, 0.5, 1.0), (1, 1.5, 1.0), (1, None, 1.0), (2, 3.9, 30.0), (3, 3.9, 5.0)], "aoi_id int, slope_pct double, posting double")
     got = {r.aoi_id: (r.median_pct, r.gate_pct, r.flat) for r in grid.slope_gate(px, F.col("posting")).collect()}
     assert got == {1: (1.0, 1.0, False), 2: (3.9, 4.0, True), 3: (3.9, 1.0, False)}
+
+
+def test_samples_and_noise(spark):
+    rows = [(a, f"n{i:02}", float(i % 7)) for a in (1, 2) for i in range(15 * a)] + [(3, "only", 1.0)]
+    df = spark.createDataFrame(rows, "area int, name string, v double")
+    got = {r.area: r.sample for r in checks.samples(df, "area", "name", "v").collect()}
+    assert got == {a: ",".join(n for _, n in sorted((v, n) for b, n, v in rows if b == a)[:10]) for a in (1, 2, 3)}
+    cells = spark.createDataFrame([(1, 0.04), (1, 0.049), (1, 0.05), (1, None), (2, 0.01), (2, 1.0)], "aoi_id int, area_ha double")
+    assert {r.aoi_id: (round(r.noise_share, 4), r.mostly_noise) for r in checks.noise_share(cells, "aoi_id").collect()} == {1: (0.6667, True), 2: (0.5, False)}
