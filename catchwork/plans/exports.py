@@ -149,12 +149,20 @@ def _csv(df: DataFrame, schema: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).option("header", True).csv(path)
 
 
-@query("s15_map_preview", "v_node", "v_tree", sql="SELECT 'junction' AS kind, node AS name, round(rim_m, 2) AS value FROM v_node UNION ALL SELECT 'conduit', name, round(length_m, 2) FROM v_tree")
-def s15(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """One JSON feature for each element with a kind tag, parsed back."""
-    a = nodes.select(F.to_json(F.struct(F.lit("junction").alias("kind"), F.col("node").alias("name"), F.round("rim_m", 2).alias("value"))).alias("f"))
-    b = tree.select(F.to_json(F.struct(F.lit("conduit").alias("kind"), "name", F.round("length_m", 2).alias("value"))).alias("f"))
-    return a.unionByName(b).select(F.from_json("f", "kind string, name string, value double").alias("x")).select("x.*")
+@query("s15_map_preview", "v_node", "v_tree", "v_catchment", sql="""
+SELECT CASE WHEN node_key % 10 = 0 THEN 'outfall' ELSE 'junction' END AS kind, node AS id, round(rim_m - 2, 2) AS value, NULL::VARCHAR AS node FROM v_node
+UNION ALL SELECT 'conduit', t.name, round(t.length_m, 1), b.node FROM v_tree t JOIN v_node a ON a.node_key = t.from_key JOIN v_node b ON b.node_key = t.to_key
+UNION ALL SELECT 'subcatchment', name, round(area_ha, 4), 'MH' || outlet_key FROM v_catchment WHERE cell_key % 3 <> 0""")
+def s15(nodes: DataFrame, tree: DataFrame, catchments: DataFrame) -> DataFrame:
+    """Preview features of all kinds, parsed back; a third of the catchments has no outline."""
+    known = nodes.select("node_key", F.col("node").alias("name"), (F.col("rim_m") - 2).alias("invert_m"), F.lit(2.0).alias("max_depth_m"), F.lit("FREE").alias("outfall_type"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    ends = tree.join(known.select(F.col("node_key").alias("from_key"), F.col("name").alias("from_node")), "from_key", "left").join(known.select(F.col("node_key").alias("to_key"), F.col("name").alias("to_node")), "to_key", "left")
+    lines = ends.select("name", "length_m", F.coalesce("from_node", F.lit("")).alias("from_node"), F.coalesce("to_node", F.lit("")).alias("to_node"))
+    outline = F.when(F.col("cell_key") % 3 != 0, F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("area_ha").alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))))
+    land = catchments.select("name", "area_ha", "pct_imperv", F.concat(F.lit("MH"), F.col("outlet_key").cast("string")).alias("outlet_node"), outline.alias("ring"))
+    features = src.preview(known.where("node_key % 10 <> 0"), known.where("node_key % 10 = 0"), lines, land)
+    p = features.select(F.from_json("feature", "properties struct<kind: string, id: string, invert_m: double, length_m: double, area_ha: double, to_node: string, outlet_node: string>").alias("f")).select("f.properties.*")
+    return p.select("kind", "id", F.coalesce("invert_m", "length_m", "area_ha").alias("value"), F.coalesce("to_node", "outlet_node").alias("node"))
 
 
 @query("s16_package_checksums", "v_layer", sql="SELECT city_key, sha256(array_to_string(list(layer_id::VARCHAR ORDER BY layer_id), ',') || chr(10)) AS sha256, sum(strlen(layer_id::VARCHAR) + 1)::BIGINT AS size FROM v_layer GROUP BY 1")

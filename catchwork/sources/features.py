@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +108,28 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     member = F.substring_index("path", "/", -1)
     return files.select(member.alias("member"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).where("member <> 'manifest.json'")
+
+
+def preview(junctions: DataFrame, outfalls: DataFrame, conduits: DataFrame, catchments: DataFrame) -> DataFrame:
+    """(kind, feature): a JSON feature for each junction, outfall, conduit and subcatchment, its measures rounded for the map.
+
+    junctions and outfalls: (name, x, y, invert_m, and max_depth_m or outfall_type); conduits: (name, from_node, to_node, length_m), drawn only where both nodes
+    are given; catchments: (name, area_ha, pct_imperv, outlet_node, ring), left out without a ring, which is closed where it is open.
+    """
+
+    def feature(kind: str, shape: str, coordinates: Column, *properties: Column) -> list[Column]:
+        geometry = F.struct(F.lit(shape).alias("type"), coordinates.alias("coordinates"))
+        return [F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("kind"), F.col("name").alias("id"), *properties).alias("properties"), geometry.alias("geometry"))).alias("feature")]
+
+    point, invert = F.array("x", "y"), F.round("invert_m", 2).alias("invert_m")
+    at = junctions.select("name", "x", "y").unionByName(outfalls.select("name", "x", "y"))
+    a, b = (at.select(F.col("name").alias(f"{s}_node"), F.array("x", "y").alias(f"_{s}")) for s in ("from", "to"))
+    ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+    closed = F.when(F.get(ring, F.lit(0)) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    parts = [
+        junctions.select(*feature("junction", "Point", point, invert, F.round("max_depth_m", 2).alias("max_depth_m"))),
+        outfalls.select(*feature("outfall", "Point", point, invert, F.col("outfall_type"))),
+        conduits.join(a, "from_node").join(b, "to_node").select(*feature("conduit", "LineString", F.array("_from", "_to"), F.round("length_m", 1).alias("length_m"), F.col("from_node"), F.col("to_node"))),
+        catchments.where(F.size("ring") > 0).select(*feature("subcatchment", "Polygon", F.array(closed), F.round("area_ha", 4).alias("area_ha"), F.round("pct_imperv", 1).alias("pct_imperv"), F.col("outlet_node"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
