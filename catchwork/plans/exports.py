@@ -359,7 +359,7 @@ def j14(tree: DataFrame, nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     px_, py_ = grid.metric((c % 10) * 1e-3 + (c % 7) * 1e-5, (c % 40) * 1e-3 + (c % 3) * 1e-5, F.lit(0.0), F.lit(0.0))
     p = catchments.select("cell_key", (px_ * F.cos(F.radians(F.lit(48.4)))).alias("x"), py_.alias("y"))
     seeds = m.select(F.col("node_key").alias("seed_key"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    return grid.resolved_outlets(p, g, seeds, 200.0, "cell_key").withColumn("distance", F.round("distance", 2))
+    return grid.by_place(p, lambda q: grid.resolved_outlets(q, g, seeds, 200.0, "cell_key"), "cell_key").withColumn("distance", F.round("distance", 2))
 
 
 @query("j17_street_sample_labels", "v_tree", sql="""WITH st AS (SELECT name, from_key, to_key, CASE WHEN from_key % 3 <> 0 THEN (from_key % 5) / 4.0::DOUBLE END AS crest, greatest(2, CAST(floor(length_m / 10) AS BIGINT)) AS n FROM v_tree),

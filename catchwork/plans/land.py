@@ -387,7 +387,7 @@ def j08(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
 @query("j18_parcel_to_seed", "v_node", "v_catchment", sql=f"WITH {METRIC}, {POINT}, d AS (SELECT p.cell_key, m.node_key, round(sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)), 5) AS d FROM p, m) SELECT cell_key, min_by(node_key, (d, node_key)) AS seed, round(min(d), 1) AS distance FROM d GROUP BY 1")
 def j18(nodes: DataFrame, catchments: DataFrame) -> DataFrame:
     """Each parcel's nearest seed at any distance."""
-    found = op.nearest(_points(catchments), _metric(nodes), 100.0)
+    found = op.by_place(_points(catchments), lambda p: op.nearest(p, _metric(nodes), 100.0))
     return found.select(F.col("point_key").alias("cell_key"), F.col("seed_key").alias("seed"), F.round(F.round("distance", 5), 1).alias("distance"))
 
 
@@ -567,7 +567,7 @@ def g12(nation: DataFrame, nodes: DataFrame) -> DataFrame:
     cx, cy = op.ring_centroid(F.col("ring"))
     u = _rings(nation).where("n_nationkey % 7 <> 6").select("n_nationkey", F.round(op.ring_area(F.col("ring")), 6).alias("area"), ((k2 * 7) % 30 + F.when(k2 % 2 == 0, 0).otherwise(100_000)).cast("long").alias("want"), (cx * 100).alias("x"), (cy * 100).alias("y"))
     m = _metric(nodes)
-    near = op.nearest(u.select(k2.cast("long").alias("point_key"), "x", "y"), m, 500.0).select(F.col("point_key").alias("n_nationkey"), F.col("seed_key").alias("near"))
+    near = op.by_place(u.select(k2.cast("long").alias("point_key"), "x", "y"), lambda p: op.nearest(p, m, 500.0)).select(F.col("point_key").alias("n_nationkey"), F.col("seed_key").alias("near"))
     known = m.select(F.col("seed_key").alias("want"), F.lit(True).alias("known"))
     x = u.join(near, "n_nationkey").join(known, "want", "left")
     return x.select("n_nationkey", "area", F.when(F.col("known"), F.col("want")).otherwise(F.col("near")).alias("outlet"), F.coalesce("known", F.lit(False)).alias("declared"))
