@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwork import constants as k
@@ -104,8 +104,8 @@ def points_inside(points: DataFrame, rings: DataFrame, band: float) -> DataFrame
     return met.groupBy("point_key", "feature").agg(F.count("*").alias("n")).where("n % 2 = 1").select("point_key", "feature")
 
 
-def filled(rings: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(feature, ix, iy): grid cells whose centre a feature covers, even-odd over all its rings, so holes stay open and rings that cross themselves are filled too."""
+def filled_spans(rings: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(feature, iy, from, upto): the grid cells of each row whose centres a feature covers, from and upto included, even-odd over all its rings, so holes stay open and rings that cross themselves are filled too."""
     e = edges_of(rings).where("y1 <> y2")
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = e.withColumn("iy", F.explode(F.sequence(F.ceil(lo / cell - 0.5), F.ceil(hi / cell - 0.5)))).withColumn("yc", (F.col("iy") + 0.5) * cell)
@@ -114,7 +114,20 @@ def filled(rings: DataFrame, cell: float = 1.0) -> DataFrame:
     line = rows.groupBy("feature", "iy").agg(F.array_sort(F.collect_list(at)).alias("xs"))  # a feature's crossings of one row of pixels
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", 2 * i).alias("a"), F.get("xs", 2 * i + 1).alias("b")))
     spans = line.where("size(xs) >= 2").select("feature", "iy", F.explode(pairs).alias("p")).withColumn("from", F.ceil(F.col("p.a") / cell - 0.5)).withColumn("upto", F.ceil(F.col("p.b") / cell - 0.5) - 1)
-    return spans.where("upto >= from").select("feature", F.explode(F.sequence("from", "upto")).alias("ix"), "iy")
+    return spans.where("upto >= from").select("feature", "iy", "from", "upto")
+
+
+def filled(rings: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(feature, ix, iy): the grid cells of filled_spans, one by one."""
+    return filled_spans(rings, cell).select("feature", F.explode(F.sequence("from", "upto")).alias("ix"), "iy")
+
+
+def covered_cells(spans: DataFrame, by: str) -> DataFrame:
+    """(by, cells): how many different grid cells the spans (by, iy, from, upto) cover. In each row a span counts from where the earlier ones end, so cells are never listed."""
+    earlier = Window.partitionBy(by, "iy").orderBy("from", "upto").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.greatest("from", F.max("upto").over(earlier) + 1)
+    own = spans.select(by, "iy", (F.col("upto") - first + 1).alias("_n"))
+    return own.groupBy(by).agg(F.sum(F.greatest("_n", F.lit(0))).alias("cells"))
 
 
 def crossing_pairs(rings: DataFrame, band: float) -> DataFrame:
@@ -166,10 +179,10 @@ def area_checks(areas: DataFrame, rings: DataFrame, cell: float, most: float) ->
     """(area_id, area, west, south, east, north, verdict): what an area of one or several features covers, each place once, its box to 6 decimals, and the first thing wrong with it: unsupported_frame, no_area, too_large, or ok.
 
     areas: (area_id, frame), frame null or the name of longitude and latitude; rings: (area_id, feature, ring_no, ring), feature unique among all areas. Features that overlap are
-    dissolved as pixels of size cell; most bounds the area.
+    dissolved as rows of pixels of size cell; most bounds the area.
     """
     of = rings.select("feature", "area_id").distinct()
-    covered = filled(rings, cell).join(of, "feature").select("area_id", "ix", "iy").distinct().groupBy("area_id").agg((F.count("*") * cell * cell).alias("area"))
+    covered = covered_cells(filled_spans(rings, cell).join(of, "feature"), "area_id").select("area_id", (F.col("cells") * cell * cell).alias("area"))
     box = boxes_of(rings.withColumn("feature", F.col("area_id"))).select(F.col("feature").alias("area_id"), *(F.round(a, 6).alias(b) for a, b in (("x1", "west"), ("y1", "south"), ("x2", "east"), ("y2", "north"))))
     known = F.col("frame").isNull() | F.exists(F.array(*map(F.lit, k.FRAMES)), lambda n: F.contains(F.col("frame"), n))
     x = areas.join(covered, "area_id", "left").join(box, "area_id", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))

@@ -105,3 +105,10 @@ def test_boxes_of_all_sizes(spark):
     points = [(i, r.uniform(-60, 60), r.uniform(-60, 60)) for i in range(400)] + [(1000, 5.0, 5.0)]
     got = polygons.in_boxes(spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(boxes, "b long, x1 double, y1 double, x2 double, y2 double")).collect()
     assert sorted((x.p, x.b) for x in got) == sorted((p, b) for p, x, y in points for b, x1, y1, x2, y2 in boxes if x1 <= x <= x2 and y1 <= y <= y2)
+
+
+def test_cells_of_overlapping_spans_are_counted_not_listed(spark):
+    """A row of 10^12 cells is one span; cells under several spans count once."""
+    rows = [(1, 0, 0, 10**12 - 1), (1, 0, 5, 20), (1, 1, 3, 4), (1, 1, 4, 6), (1, 1, 9, 9), (1, 1, 9, 9), (1, 2, 0, 9), (1, 2, 2, 3), (1, 2, 5, 12), (2, 0, -5, -5)]
+    spans = spark.createDataFrame(rows, "area_id long, iy long, `from` long, upto long").repartition(3)
+    assert {q.area_id: q.cells for q in polygons.covered_cells(spans, "area_id").collect()} == {1: 10**12 + 5 + 13, 2: 1}
