@@ -25,7 +25,7 @@ MODULUS = (1 << 31) - 1
 
 
 class _Words:
-    """Some documents' words in one row of numbers, with their 128-bit hashes."""
+    """Some documents' words in one row of numbers."""
 
     def __init__(self, bodies: list[bytes]) -> None:
         self.words = [t.split() for t in bodies]
@@ -34,8 +34,11 @@ class _Words:
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
         self.ids = np.concatenate([np.zeros(0, dtype=np.int64), *(self.table.ids(w) for w in self.words)])
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each word's 128-bit hash."""
         lo, hi = self.table.hashes()
-        self.lo, self.hi = lo[self.ids], hi[self.ids]
+        return lo[self.ids], hi[self.ids]
 
 
 class _Block(_Words):
@@ -43,7 +46,8 @@ class _Block(_Words):
 
     def __init__(self, bodies: list[bytes], window: int) -> None:
         super().__init__(bodies)
-        self.phrases = spread(rolling(self.lo, PHRASE, BASES[0]))
+        lo, self.hi = self.hashes()
+        self.phrases = spread(rolling(lo, PHRASE, BASES[0]))
         at = np.arange(max(0, len(self.ids) - window + 1))
         doc_end = np.repeat(self.ends, self.sizes)
         self.starts = at[at + window <= doc_end[: len(at)]]
@@ -108,7 +112,7 @@ def _windows(spans: DataFrame, window: int) -> DataFrame:
                 row = np.repeat(np.arange(part.num_rows), part.column("starts").value_lengths().to_numpy(zero_copy_only=False))
                 own = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 row, phrase, times = np.repeat(row, n), np.repeat(phrase, n), np.repeat(times, n)
-                h = rolling(b.hi, window, BASES[1])[own + b.begins[row]]
+                h = rolling(b.hashes()[1], window, BASES[1])[own + b.begins[row]]
                 columns = [part.column("num").to_numpy(zero_copy_only=False)[row], own.astype(np.int32), phrase, h.view(np.int64), times]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["num", "start", "phrase", "hash", "times"])
 
@@ -153,6 +157,12 @@ def _bodies(places: DataFrame) -> DataFrame:
     return places.select("text", "starts", "sizes", "phrases", "fines").mapInArrow(run, "phrase long, fine long, body binary")
 
 
+def _fine_calls(runs: DataFrame, windows: DataFrame, passages: DataFrame) -> DataFrame:
+    """(block, id): the passages (id, phrase, fine) that are a run or window (block, phrase, fine) of the block. A run meets its passage once a block, not once for each document that holds it; windows stand once for each run."""
+    met = (x.join(passages, ["phrase", "fine"]).select("block", "id") for x in (runs.distinct(), windows))
+    return next(met).union(next(met)).distinct()
+
+
 def _located(docs: DataFrame, passages: DataFrame, with_text: bool) -> DataFrame:
     """(num, n_removed, kept_sha256[, kept_text]): each document without the words that passages cover. docs and passages are dealt by block.
 
@@ -172,7 +182,8 @@ def _located(docs: DataFrame, passages: DataFrame, with_text: bool) -> DataFrame
         both = signs(np.arange(len(b.table)))
         pair = {w: both[2 * i : 2 * i + 2] for w, i in b.table.items()}
         bodies = (body.split() for body in passages.filter(pc.invert(out)).column("body").to_pylist())
-        called = sorted((b.table[body[0]], "".join([pair[w] for w in body])) for body in bodies if all(w in pair for w in body))
+        known = ((body[0], pairs) for body in bodies if None not in (pairs := list(map(pair.get, body))))
+        called = sorted((b.table[word], "".join(pairs)) for word, pairs in known)
         shards = np.cumsum([len(pattern) // 2 for _, pattern in called]) // SHARD
         edge = np.zeros(len(b.ids) + 1, dtype=np.int64)
         streams = [(a, z, signs(b.ids[a:z])) for i, (a, z) in enumerate(zip(begin, end, strict=True)) if nums[i] not in copies] if called else []
@@ -261,9 +272,8 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     busy = written(heads.groupBy("phrase").agg(F.count("*").alias("d")).where(F.col("d") > BUSY).select("phrase"), "phrase_busy")
     calls = runs.select(block, "phrase").distinct().join(heads.join(busy, "phrase", "left_anti"), "phrase")
     calls = written(calls.select("block", "id"), "phrase_calls")  # in jobs of their own, so that their shuffles go before texts move
-    fine = runs.select(block, "phrase", F.col("key").alias("fine")).union(windows.select(block, "phrase", "hash")).join(busy, "phrase", "left_semi").distinct()  # once a block, before they meet passages
-    fine = fine.join(heads.join(busy, "phrase", "left_semi"), ["phrase", "fine"])
-    fine = written(fine.select("block", "id"), "phrase_fine_calls")
+    finely = written(heads.join(busy, "phrase", "left_semi"), "phrase_finely")
+    fine = written(_fine_calls(runs.select(block, "phrase", F.col("key").alias("fine")), windows.select(block, "phrase", F.col("hash").alias("fine")), finely), "phrase_fine_calls")
     discard(windows)
     out = roles.where("num <> lead").select(block, "num", F.lit(None).cast("binary").alias("body"))
     passages = calls.union(fine).join(bodies, "id").select("block", F.lit(None).cast("long").alias("num"), "body").union(out)

@@ -41,7 +41,7 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        both = np.array([divmod(xxhash.xxh3_128_intdigest(w), 1 << 64) for w in self.known], dtype=np.uint64).reshape(-1, 2)
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.known)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
 
