@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, most_features: int
     if len(fits) < 10:
         return None
     table = rows.where(F.col("order") <= sizes.column("order")[int(fits[-1])].as_py()).toArrow()  # most_features bounds it
-    table = table.sort_by([("order", "ascending"), ("quality", "ascending"), ("n", "ascending")]).combine_chunks()
+    table = table.sort_by([("order", "ascending"), ("quality", "ascending"), ("n", "ascending")])
+    table = table.combine_chunks()
     y = 1.0 - table.column("quality").to_numpy()
     if y.min() == y.max():
         return None
@@ -142,9 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, most_features: int
     at = pc.list_flatten(table.column("at")).to_numpy().astype(np.int32)
     value = pc.list_flatten(table.column("value")).to_numpy().astype(np.float32) * np.float32(SCALE)
     del table
+    pa.default_memory_pool().release_unused()  # copies that sorting left
     begins = np.cumsum(n) - n
     by_feature = np.argsort(at, kind="stable").astype(np.int32)
-    features, starts = np.unique(at[by_feature], return_index=True)
+    ordered = at[by_feature]
+    starts = np.flatnonzero(np.diff(ordered, prepend=np.int32(-1)))
+    features = ordered[starts]
+    del ordered
     row_of = np.repeat(np.arange(len(y), dtype=np.int32), n)[by_feature]
     value_of = value[by_feature]
     del by_feature
@@ -152,14 +157,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, most_features: int
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * ~held  # held-out rows weigh nothing
 
     def scores() -> np.ndarray:
-        return np.add.reduceat(value * w.astype(np.float32)[at], begins).astype(np.float64) + bias
+        part = w.astype(np.float32)[at]
+        part *= value
+        return np.add.reduceat(part, begins).astype(np.float64) + bias
 
     w, bias = np.zeros(3 * SIZE), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for i in range(1, rounds + 1):
         error = (1 / (1 + np.exp(-np.clip(scores(), -30, 30))) - y) * cost / cost.sum()
         g, gb = l2 * w, error.sum()
-        g[features] += np.add.reduceat(value_of * error.astype(np.float32)[row_of], starts)
+        part = error.astype(np.float32)[row_of]
+        part *= value_of
+        g[features] += np.add.reduceat(part, starts)
+        del part
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.05 * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
         w -= step * m / (np.sqrt(v) + 1e-8)
